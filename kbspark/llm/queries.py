@@ -11,24 +11,54 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kbspark.llm.pii import find_pii
+
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kbspark.llm.ngram_jaccard import jaccard_classes
 
     return jaccard_classes(_table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kbspark.llm.line_dedup import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents"))
+
+
+def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kbspark.llm.language_mix import identify, remainder
+
+    return identify(_table(spark, sf_dir, "documents"), remainder("doc_id", 3) == 1)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kbspark.llm.decontaminate import contamination
 
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=10)
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kbspark.llm.embedding_dedup import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kbspark.llm.secret_scan import scan_secrets
 
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kbspark.llm.quality import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
