@@ -23,6 +23,13 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kbspark.llm.language_mix import remainder
+    from kbspark.llm.ngram_trie import score
+
+    return score(_table(spark, sf_dir, "documents"), remainder("doc_id", 7) == 2)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kbspark.llm.line_dedup import dedup_lines
 
