@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kbspark.llm.stages import settle, sized
+
 #: What lies between words of the rule [^\x00-\x2F\x3A-\x60\x7B-\x7F]+, after lower-casing A-Z.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -88,5 +90,5 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFra
 
 def remove_documents(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     """docs without the documents in which a window occurs."""
-    bad = contamination(docs, items, width).where("contaminated").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    bad = settle(hits(docs, items, width).where("items is not null").select("doc_id").distinct(), "contaminated")
+    return docs.join(sized(bad), "doc_id", "left_anti").select(*docs.columns)

@@ -80,17 +80,19 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows whose last columns are text and gone, the others, n_lines, n_removed and the text that is left."""
     for batch in batches:
+        others = batch.num_columns - 2
         for s in range(0, batch.num_rows, 256):
             part = batch.slice(s, 256)
             texts, total, gone = [], [], []
-            for text, listed in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+            for text, listed in zip(part.column(others).to_pylist(), part.column(others + 1).to_pylist(), strict=True):
                 lines = [] if text is None else text.split("\n")
                 drop = {i for c in listed or () for i in range(c["first"], min(c["first"] + c["n"], len(lines)))}
                 texts.append(text if not drop else "\n".join(x for i, x in enumerate(lines) if i not in drop))
                 total.append(len(lines))
                 gone.append(len(drop))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_lines", "n_removed", "text"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:others], pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())], [*part.schema.names[:others], "n_lines", "n_removed", "text"])
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
@@ -116,5 +118,18 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     null and has no lines; an empty one has one. Rows that repeat a doc_id are one document to the rule "the
     first occurrence stays": equal rows stay or go alike. Other columns are ignored.
     """
+    return _cleaned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), [])
+
+
+def _cleaned(docs: DataFrame, others: list[str]) -> DataFrame:
     gone = settle(repeated_chunks(docs), "line-gone")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sized(gone, 200_000), "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(_cut, "doc_id long, n_lines long, n_removed long, text string")
+    rows = docs.join(sized(gone, 200_000), "doc_id", "left").select("doc_id", *others, "text", "gone")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select("doc_id", *others).schema)
+    return rows.mapInArrow(_cut, f"{kinds}, n_lines long, n_removed long, text string")
+
+
+def clean_documents(docs: DataFrame) -> DataFrame:
+    """docs with the texts that dedup_lines leaves and n_chars to match; rows of which nothing written is left go."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    left = _cleaned(docs, others).where("n_removed = 0 or length(trim(text)) > 0")
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)

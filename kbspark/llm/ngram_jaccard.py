@@ -275,4 +275,4 @@ def _bounded(percent: int):
 def dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, of each class only the document with the smallest doc_id. Rows without shingles stay."""
     gone = jaccard_classes(docs, width, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(sized(gone), "doc_id", "left_anti").select(*docs.columns)

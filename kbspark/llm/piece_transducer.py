@@ -65,12 +65,13 @@ class Transducer:
         self.id = {p: i for i, (p, _, k) in enumerate(pieces) if k in (NORMAL, USER)}
         self.unknown = next((i for i, p in enumerate(pieces) if p[2] == UNKNOWN), 0)
         self.byte = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(pieces) if k == BYTE}
-        self.longest = max(map(len, self.id), default=1)
         self.low = min((self.score[i] for i in self.id.values()), default=0.0) - 10
         inside = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
         self.inside = inside
         self.follows: dict[tuple[str, str], bool] = {}
+        self.starts = {p[:i] for p in self.id for i in range(1, len(p))}
         self.kept: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
         self.parts: dict[str, tuple[int, ...]] = {}
         # blanks begin words, controls that no piece holds stand alone
         alone = "".join(re.escape(chr(c)) for c in range(32) if not any(chr(c) in p for p in self.id))
@@ -113,69 +114,105 @@ class Transducer:
         """Whether piece b may follow piece a (empty: the beginning)."""
         known = self.follows.get((a, b))
         if known is None:
-            if len(self.follows) > 4 * MOST_KEPT:
+            if len(self.follows) >= MOST_KEPT:
                 self.follows.clear()
             known = self.merged(a + b) == ([a, b] if a else [b])
             self.follows[a, b] = known
         return known
 
-    def shortest(self, part: str) -> tuple[int, ...]:
-        """Ids on the shortest path over one part."""
-        n, free = len(part), self.kind != BPE
-        cost, back = [0.0] + [np.inf] * n, [0] * (n + 1)
-        last = [""] * (n + 1)
-        get, score, longest = self.id.get, self.score, self.longest
-        for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                if cost[start] == np.inf:
-                    continue
-                piece = part[start:end]
-                i = get(piece)
-                if i is None:
-                    if end - start > 1:
-                        continue
-                    c = cost[start] - self.low
-                else:
-                    c = cost[start] - score[i]
-                if c < cost[end] and (free or self.may_follow(last[start], piece)):
-                    cost[end], back[end], last[end] = c, start, piece
-                    if not free:
+    def arcs(self, part: str, start: int) -> list[str]:
+        """Pieces that read on from ``start``, shortest first; a character of no piece reads as itself."""
+        out, ids, starts = [], self.id, self.starts
+        for end in range(start + 1, len(part) + 1):
+            piece = part[start:end]
+            if piece in ids:
+                out.append(piece)
+            if piece not in starts:
+                break
+        if part[start] not in ids:
+            out.insert(0, part[start])
+        return out
+
+    def shortest(self, part: str) -> list[str]:
+        """Pieces of the shortest path over one part."""
+        return self._single(part) if self.kind == BPE else self._cheapest(part)
+
+    def _single(self, part: str) -> list[str]:
+        """The one path of a byte-pair machine, depth first with the longest arcs ahead. Each position can be
+        reached in one state only, so a position is left for good when nothing leads on from it."""
+        n, at, prev = len(part), 0, ""
+        seen = bytearray(n + 1)
+        path: list[str] = []
+        left = [self.arcs(part, 0)]
+        follows = self.follows
+        while at < n:
+            options = left[-1]
+            while options:
+                piece = options.pop()
+                end = at + len(piece)
+                if not seen[end]:
+                    ok = follows.get((prev, piece))
+                    if ok if ok is not None else self.may_follow(prev, piece):
                         break
-        if cost[n] == np.inf:
-            raise ValueError(f"no path over {part!r}")
+            else:
+                left.pop()
+                if not left:
+                    raise ValueError(f"no path over {part!r}")
+                at -= len(path.pop())
+                prev = path[-1] if path else ""
+                continue
+            seen[end] = 1
+            path.append(piece)
+            at, prev = end, piece
+            if at < n:
+                left.append(self.arcs(part, at))
+        return path
+
+    def _cheapest(self, part: str) -> list[str]:
+        n = len(part)
+        cost, back = [0.0] + [np.inf] * n, [0] * (n + 1)
+        for start in range(n):
+            for piece in self.arcs(part, start):
+                end, i = start + len(piece), self.id.get(piece)
+                c = cost[start] - (self.low if i is None else self.score[i])
+                if c < cost[end]:
+                    cost[end], back[end] = c, start
         out, end = [], n
         while end:
             out.append(part[back[end] : end])
             end = back[end]
+        return out[::-1]
+
+    def written(self, path: list[str]) -> tuple[int, ...]:
         ids: list[int] = []
-        for piece in reversed(out):
-            i = get(piece)
+        for piece in path:
+            i = self.id.get(piece)
             ids += [i] if i is not None else [self.byte[b] for b in piece.encode("utf-8", "replace")] if self.byte else [self.unknown]
         return tuple(ids)
 
     def word(self, word: str) -> tuple[int, ...]:
-        found = self.kept.get(word)
+        found = self.old.pop(word, None)
         if found is None:
-            if len(self.kept) > MOST_KEPT:
-                self.kept.clear()
             found, at = (), 0
             for i in range(1, len(word) + 1):
                 if i == len(word) or word[i - 1 : i + 1] not in self.inside:
                     part = word[at:i]
                     ids = self.parts.get(part)
                     if ids is None:
-                        if len(self.parts) > MOST_KEPT:
+                        if len(self.parts) >= MOST_KEPT // 2:
                             self.parts.clear()
-                        ids = self.parts[part] = self.shortest(part)
+                        ids = self.parts[part] = self.written(self.shortest(part))
                     found, at = found + ids, i
-            self.kept[word] = found
+        if len(self.kept) >= MOST_KEPT:  # words that were not met since the last time are forgotten
+            self.old, self.kept = self.kept, {}
+        self.kept[word] = found
         return found
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        word, kept = self.word, self.kept
+        word = self.word
         for w in self.cut.findall(self.normalise(text)):
-            out += kept.get(w) or word(w)
+            out += self.kept.get(w) or word(w)
         return out
 
     def decode(self, ids) -> str:
