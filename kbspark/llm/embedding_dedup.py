@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from kbspark.llm.stages import components, partitions, settle
 
 SAMPLE = 20_000  # vectors that the forest is fitted on, at most
-LEAF = 160  # classes that a leaf should have
+LEAF = 160  # classes of one label that a leaf should have
 BLOCK = 512
 SPILL = 0.45  # half width of the zone that goes both ways, in deviations of the projected difference of a pair at the threshold
 
@@ -194,7 +194,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, trees: int = 8) ->
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label"))
     valid = rows.where(F.col("vec_id").isNotNull() & _fine())
     classes = settle(valid.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).select("label", "rep", "copies", "v"), "vector-classes")
-    total = classes.count()
+    total = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0  # leaves are split by label
     sample = [r["v"] for r in classes.select("v", F.xxhash64("rep").alias("o")).orderBy("o").limit(SAMPLE).collect()]
     p = partitions(spark)
     if sample:
