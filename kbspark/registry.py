@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+
+def queries() -> dict[str, Callable]:
+    from kbspark.plans.catalog import QUERIES
+
+    return {name: f for name, (f, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from kbspark.plans.catalog import QUERIES
+
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
