@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kbspark.llm import text as tx
-from kbspark.llm.stages import settle, sized
+from kbspark.llm.stages import release, settle, sized
 
 SEEDS = 4
 ONE_IN = 2  # line breaks that end a chunk
@@ -108,7 +108,9 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     firsts = pieces.where("keeper").select("h1", "h2", F.col("piece").alias("own"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).distinct()
     rest = pieces.where("not keeper").withColumn("salt", F.pmod(F.xxhash64("doc_id", "first"), "salts").cast("int"))
     equal = rest.join(firsts, ["h1", "h2", "salt"]).where("piece = own")
-    return equal.groupBy("doc_id").agg(F.collect_set(F.struct("first", "n")).alias("gone"))
+    gone = settle(equal.groupBy("doc_id").agg(F.collect_set(F.struct("first", "n")).alias("gone")), "line-gone")
+    release(found, listed, pieces)
+    return gone
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -122,7 +124,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 
 def _cleaned(docs: DataFrame, others: list[str]) -> DataFrame:
-    gone = settle(repeated_chunks(docs), "line-gone")
+    gone = repeated_chunks(docs)
     rows = docs.join(sized(gone, 200_000), "doc_id", "left").select("doc_id", *others, "text", "gone")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select("doc_id", *others).schema)
     return rows.mapInArrow(_cut, f"{kinds}, n_lines long, n_removed long, text string")

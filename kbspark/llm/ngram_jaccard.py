@@ -2,8 +2,10 @@
 
 Sizes are cut into bands whose ratio is the similarity, so that linked sets lie in one band or in
 neighbours; such a pair of bands is a tile. Two sets of a tile that link differ in at most d shingles,
-so with more than d parts of the hash space they agree in a whole part. Each set therefore shows one
-hash a part of each of its tiles, and sets that show the same hash are candidates:
+so with more than d parts of the hash space
+they agree in a whole part; large sets, whose differences hashing spreads evenly, in many of fewer parts.
+Each set therefore shows one hash a part of each of its tiles, and sets that show the same hash are
+candidates:
 
 1. in each bucket of equal hashes every set is paired with the smallest id (a star, never all pairs);
    parity bitmaps bound the overlap from above, and what passes is compared exactly by sorted arrays;
@@ -11,9 +13,9 @@ hash a part of each of its tiles, and sets that show the same hash are candidate
    BLOCK sets over as many tasks as there are pairs of blocks. Only pairs of different components whose
    bound passes are kept, and compared exactly.
 
-A link inside a component cannot change it, so no class is lost. Parts of fewer than two shingles are
-shown only by sets that have more of them than the spare parts (both sets of a pair that no larger
-part joins have that many), which keeps them from filling buckets.
+A link inside a component cannot change it, so no class is lost. Parts that are empty, or of one shingle, are
+shown only by sets that have more of them than the spare parts (both sets of a pair that no larger part
+joins have that many), which keeps them from filling buckets.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kbspark.llm import text as tx
-from kbspark.llm.stages import components, partitions, settle, sized
+from kbspark.llm.stages import components, partitions, release, settle, sized
 
 BITS = 1024  # of a bitmap
 BLOCK = 256  # sets of a block
@@ -42,12 +44,27 @@ def _bands(percent: int) -> np.ndarray:
     return np.array(ends)
 
 
-def _parts(upper: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(parts, spare parts) of tiles whose smaller sets have fewer than ``upper`` shingles."""
+UNTOUCHED = 40  # parts that a pair at the threshold shares on average where parts are fewer than differences
+
+
+def _parts(upper: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(parts, spare parts, least size of a shown part) of tiles whose smaller sets have fewer than ``upper`` shingles.
+
+    A pair that links differs in at most d shingles. With d + 1 and spare parts, more than the spare ones are
+    equal for certain. Large sets need fewer: d differences that hashing spreads over k parts leave
+    k exp(-d/k) of them equal on average; k is chosen so that none being equal has a chance below 1e-15.
+    """
     a = upper - 1
     d = (100 - percent) * (a + a * 100 // percent) // (100 + percent)
-    spare = 4 + d // 5  # about four deviations above the parts that chance leaves small
-    return np.where(d > 0, d + 1 + spare, 1), np.where(d > 0, spare, 0)
+    spare = 4 + d // 5
+    k = np.where(d > 0, d + 1 + spare, 1)
+    mean = np.maximum(a * percent // 100, 1) / k
+    least = np.where((1 + mean) * np.exp(-mean) * k < spare / 1.6, 2, 1)
+    fewer = np.ceil(d / np.log(np.maximum(d, 2) / UNTOUCHED + 1) / 1.2)
+    for _ in range(40):  # the smallest k with k exp(-d/k) >= UNTOUCHED, by fixed steps upward
+        fewer = np.where(fewer * np.exp(-d / np.maximum(fewer, 1)) < UNTOUCHED, np.ceil(fewer * 1.03) + 1, fewer)
+    use = fewer < k
+    return np.where(use, fewer, k).astype(np.int64), np.where(d > 0, np.where(use, 1 << 40, spare), 0), np.where(use, 2, least)
 
 
 def _sets(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,7 +102,7 @@ def _postings(width: int, percent: int):
                     tile = own - back
                     ok = (n > 0) & (tile >= 0)
                     upper = bands[np.maximum(tile, 0)]
-                    k, spare = _parts(upper, percent)
+                    k, spare, least = _parts(upper, percent)
                     k = np.where(ok, k, 0)
                     base = np.concatenate([[0], np.cumsum(k)])
                     use = ok[owner]
@@ -93,7 +110,7 @@ def _postings(width: int, percent: int):
                     group = base[o] + ((v >> np.uint64(8)) % k[o].astype(np.uint64)).astype(np.int64)
                     size = np.bincount(group, minlength=base[-1])
                     who = np.repeat(np.arange(len(k)), k)
-                    small = (size < 2) & (k > 1)[who]
+                    small = (size < least[who]) & (k > 1)[who]
                     many = np.bincount(who[small], minlength=len(k)) > spare
                     shown = ~small | many[who]
                     part = np.arange(base[-1]) - base[who]
@@ -234,7 +251,8 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     pairs = folded(stars.select(F.col("center").alias("a"), F.col("doc").alias("b")).distinct(), "a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     near = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n1"), F.col("bitmap").alias("m1")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("bitmap").alias("m2")), "b")
     near = near.mapInArrow(_bounded(percent), "a long, b long")
-    links = settle(equal.union(_checked(settle(near, "jaccard-pairs"), texts, width, percent)), "jaccard-links")
+    near = settle(near, "jaccard-pairs")
+    links = settle(equal.union(_checked(near, texts, width, percent)), "jaccard-links")
     first = settle(components(links), "jaccard-first")
 
     # buckets of three and more documents that still hold more than one component
@@ -249,6 +267,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
     more = spread.repartition(p, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_blocks(percent), "a long, b long")
     more = settle(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-more")
+    release(near, stars, members)
     final = named.withColumnRenamed("doc", "doc_id")
     if not more.isEmpty():
         found = settle(_checked(more, texts, width, percent), "jaccard-late")
