@@ -126,7 +126,7 @@ def id_list(c: Column) -> Column:
 def pair_key(c: Column) -> Column:
     """(a, b) of "a||b", a JSON array or a tuple literal; null if it is neither."""
     bars = F.split(c, r"\|\|")
-    listed = id_list(c)
+    listed = F.transform(F.split(F.regexp_replace(c, r"[\[\]'\"()]", ""), ","), strip)
     out = F.when(F.contains(c, F.lit("||")) & (F.size(bars) == 2), F.transform(bars, strip)).when(c.rlike(r"^\s*[\[(].*[\])]\s*$") & (F.size(listed) == 2), listed)
     return out
 

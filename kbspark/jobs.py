@@ -20,9 +20,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write a table in the shared folder and read it: later stages survive lost executors and it is made once."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default; whole texts are large rows
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out._settled = path
     return out
 

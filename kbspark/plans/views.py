@@ -27,9 +27,9 @@ def chunks(t: Tables) -> DataFrame:
     return stride_chunks(t.documents, SIZE, OVERLAP).withColumn("id", F.col("doc_id") * 10_000_000 + F.col("chunk_order"))
 
 
-CHUNKS = """w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), x -> x <> '') AS w FROM documents WHERE text IS NOT NULL),
-at AS (SELECT doc_id, w, unnest(generate_series(0, len(w) - 1, 96)) AS at FROM w WHERE len(w) > 0),
-chunks AS (SELECT doc_id, CAST(at // 96 AS BIGINT) AS chunk_order, CAST(len(list_slice(w, at + 1, at + 128)) AS BIGINT) AS tokens, array_to_string(list_slice(w, at + 1, at + 128), ' ') AS text, doc_id * 10000000 + at // 96 AS id FROM at)"""
+CHUNKS = """w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+cuts AS (SELECT doc_id, w, unnest(generate_series(0, len(w) - 1, 96)) AS pos FROM w WHERE len(w) > 0),
+chunks AS (SELECT doc_id, CAST(pos // 96 AS BIGINT) AS chunk_order, CAST(len(list_slice(w, pos + 1, pos + 128)) AS BIGINT) AS tokens, array_to_string(list_slice(w, pos + 1, pos + 128), ' ') AS text, doc_id * 10000000 + pos // 96 AS id FROM cuts)"""
 
 
 def mentions(t: Tables) -> DataFrame:
