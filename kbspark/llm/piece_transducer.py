@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 MARK = "▁"  # fixed value: written for a blank
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MOST_KEPT = 400_000  # words whose paths a task keeps
+MOST_KEPT = 200_000  # words whose paths a task keeps
 UNIGRAM, BPE = 1, 2  # fixed values: model types of the file format
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5  # fixed values: kinds of pieces
 
@@ -208,6 +208,10 @@ class Transducer:
         self.kept[word] = found
         return found
 
+    def forget(self) -> None:
+        """Give back most of the memory of paths; a task's worker lives on."""
+        self.old, self.parts = {}, {}
+
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         word = self.word
@@ -257,6 +261,7 @@ def _encode(model):
                     n.append(len(found))
                     whole.append(t.decode(found) == (text or "").replace(MARK, " "))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(whole)], ["doc_id", "n_pieces", "ids", "lossless"])
+        t.forget()
 
     return run
 

@@ -1,6 +1,6 @@
 """Vectorised text helpers for Arrow batches: words, hashes and shingle sets as numpy arrays.
 
-A batch is cut into slices of a few MB, whose bytes are worked on at once. Every whole text goes
+A batch is cut into slices of about a MB, whose bytes are worked on at once. Every whole text goes
 into one slice, so a slice is as large as its longest text; memory is about 60 bytes a text byte.
 """
 
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES, SLICE_DOCS = 2 << 20, 2048
+SLICE_BYTES, SLICE_DOCS = 1 << 20, 1024
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
