@@ -24,7 +24,7 @@ class Snapshots:
 
     def _pointer(self):
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/current.txt")
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def current(self, before: int | None = None) -> int | None:
@@ -44,11 +44,11 @@ class Snapshots:
         df.select(*names).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
         path, fs = self._pointer()
         last = self.current(batch)
-        out = fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_next"), True)
+        out = fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/next.txt"), True)
         out.write(bytearray(f"{batch}\n" if last is None else f"{last}\n{batch}\n", "ascii"))
         out.close()
         fs.delete(path, False)
-        fs.rename(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_next"), path)
+        fs.rename(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/next.txt"), path)
 
 
 STATUS = "doc_id string, status string, text string, batch long"
