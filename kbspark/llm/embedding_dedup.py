@@ -110,16 +110,21 @@ def _routed(forest, dim: int):
     return run
 
 
-def _first_shared(codes: list[np.ndarray], a: np.ndarray, b: np.ndarray, code: int) -> np.ndarray:
-    """Whether ``code`` is the smallest that the lists of a pair share."""
+def _first_shared(codes: pa.ListArray, a: np.ndarray, b: np.ndarray, code: int) -> np.ndarray:
+    """Whether ``code`` is the smallest that the lists of each pair (a, b) of rows share."""
+    rows, back = np.unique(np.concatenate([a, b]), return_inverse=True)
+    ends, flat = np.asarray(codes.offsets), np.asarray(codes.values)
     names: dict[bytes, int] = {}
-    kind = np.array([names.setdefault(c.tobytes(), len(names)) for c in codes])
-    rep = {k: i for i, k in enumerate(kind)}
-    pair, back = np.unique(kind[a] * len(names) + kind[b], return_inverse=True)
-    ok = np.empty(len(pair), bool)
-    for i, p in enumerate(pair):
-        x, y = codes[rep[p // len(names)]], codes[rep[p % len(names)]]
-        ok[i] = np.intersect1d(x, y, assume_unique=True)[0] == code
+    lists: list[np.ndarray] = []
+    kind = np.empty(len(rows), np.int64)
+    for i, r in enumerate(rows):
+        own = flat[ends[r] : ends[r + 1]]
+        kind[i] = names.setdefault(own.tobytes(), len(names))
+        if kind[i] == len(lists):
+            lists.append(own)
+    kind = kind[back]
+    pair, back = np.unique(kind[: len(a)] * len(names) + kind[len(a) :], return_inverse=True)
+    ok = np.array([np.intersect1d(lists[p // len(names)], lists[p % len(names)], assume_unique=True)[0] == code for p in pair], bool)
     return ok[back]
 
 
@@ -128,8 +133,8 @@ def _tiles(threshold: float):
         t = pa.Table.from_batches(group).combine_chunks()
         rep, copies, side = (t[c].to_numpy() for c in ("rep", "copies", "side"))
         code = int(t["code"][0].as_py())
-        x = _unit(np.stack(t["v"].to_numpy()))
-        codes = [np.asarray(c) for c in t["codes"].to_numpy()]
+        vectors, codes = (pa.concat_arrays(t[c].chunks) for c in ("v", "codes"))
+        x = _unit(vectors.flatten().to_numpy().reshape(len(rep), -1))  # a leaf has vectors of one length
         left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
         near = x[left] @ x[right].T >= threshold
         if side[0] == 0:
