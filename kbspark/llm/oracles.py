@@ -2,4 +2,29 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+SQL: dict[str, str] = {
+    "op2_ngram_jaccard_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x{{20}}\\x{{09}}-\\x{{0D}}]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(d, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.d)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, (SELECT min(m) FROM r WHERE d = doc_id) AS component_id FROM documents LEFT JOIN n USING (doc_id)""",
+    "op6_decontamination": f"""
+WITH dw AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x{{00}}-\\x{{2F}}\\x{{3A}}-\\x{{60}}\\x{{7B}}-\\x{{7F}}]+'), lambda x: x <> '') AS w FROM documents),
+iw AS (SELECT CAST(item_id AS VARCHAR) AS item, list_filter(string_split_regex(translate(text, '{UPPER}', '{LOWER}'), '[\\x{{00}}-\\x{{2F}}\\x{{3A}}-\\x{{60}}\\x{{7B}}-\\x{{7F}}]+'), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+iz AS (SELECT item, w, least(len(w), 10) AS m FROM iw WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS g FROM (SELECT item, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM iz)),
+pos AS (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM dw, (SELECT DISTINCT m FROM win) WHERE len(w) >= m),
+hit AS (SELECT doc_id, i - 1 AS b, pos.m AS m, item FROM pos JOIN win ON win.m = pos.m AND win.g = array_to_string(list_slice(w, i, i + pos.m - 1), ' ')),
+cov AS (SELECT DISTINCT doc_id, unnest(range(b, b + m)) AS p FROM hit),
+isl AS (SELECT doc_id, min(p) AS s, max(p) + 1 AS e FROM (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS k FROM cov) GROUP BY doc_id, k),
+spans AS (SELECT doc_id, sum(e - s) AS n_hit, string_agg(s || ':' || e, ',' ORDER BY s) AS hit_words FROM isl GROUP BY 1),
+its AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS h FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(h, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(hit_words, '') AS hit_words
+FROM dw LEFT JOIN spans USING (doc_id) LEFT JOIN its USING (doc_id)""",
+}
