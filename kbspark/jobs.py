@@ -43,6 +43,15 @@ def sized(df: DataFrame, rows: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+SALTS = 16
+
+
+def spread_join(rows: DataFrame, one: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """Inner join with a table that has one row a key; the rows of a hot key are spread over SALTS tasks by a column."""
+    salted = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
