@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.stages import components, partitions, settle
+from kbspark.llm.stages import components, partitions, settle, spread_join
 
 SAMPLE = 20_000  # vectors that the forest is fitted on, at most
 LEAF = 160  # classes of one label that a leaf should have
@@ -220,7 +220,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, trees: int = 8) ->
     else:
         known = spark.createDataFrame([], "rep long, n long, component long")
     twins = classes.where("copies > 1").select("label", "v", "rep")
-    twin = valid.join(twins, ["label", "v"]).where("vec_id <> rep").groupBy("vec_id").agg(F.min("rep").alias("rep"))
+    twin = spread_join(valid, twins, ["label", "v"], "vec_id").where("vec_id <> rep").groupBy("vec_id").agg(F.min("rep").alias("rep"))
     out = rows.select("vec_id", _fine().alias("ok"))
     out = out.join(twin, "vec_id", "left").withColumn("rep", F.when(F.col("ok"), F.coalesce("rep", "vec_id"))).join(known, "rep", "left")
     component = F.coalesce("component", "vec_id")

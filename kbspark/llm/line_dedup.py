@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kbspark.llm import text as tx
-from kbspark.llm.stages import release, settle, sized
+from kbspark.llm.stages import release, settle, sized, spread_join
 
 SEEDS = 4
 ONE_IN = 2  # line breaks that end a chunk
@@ -101,7 +101,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     found = settle(texts.mapInArrow(_chunks, _CHUNK), "line-chunks")
     again = found.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "first")).alias("keep")).where("times > 1")
     again = again.withColumn("salts", F.ceil(F.col("times") / PER_SALT).cast("int"))
-    listed = found.join(again, ["h1", "h2"]).select("doc_id", F.struct("h1", "h2", "first", "n", "salts", (F.struct("doc_id", "first") == F.col("keep")).alias("keeper")).alias("c"))
+    listed = spread_join(found, again, ["h1", "h2"], "doc_id").select("doc_id", F.struct("h1", "h2", "first", "n", "salts", (F.struct("doc_id", "first") == F.col("keep")).alias("keeper")).alias("c"))
     listed = settle(listed.groupBy("doc_id").agg(F.collect_set("c").alias("listed")), "line-listed")
     pieces = texts.join(sized(listed, 200_000), "doc_id").select("doc_id", "text", "listed").mapInArrow(_pieces, "h1 long, h2 long, salts int, keeper boolean, doc_id long, first int, n int, piece string")
     pieces = settle(pieces, "line-pieces")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kbspark.llm import text as tx
-from kbspark.llm.stages import components, partitions, release, settle, sized
+from kbspark.llm.stages import components, partitions, release, settle, sized, spread_join
 
 BITS = 1024  # of a bitmap
 BLOCK = 256  # sets of a block
@@ -231,7 +231,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sig = settle(texts.mapInArrow(_signatures(width), "doc_id long, n_shingles long, f1 long, f2 long, bitmap binary"), "jaccard-sets")
     known = sig.where("n_shingles > 0 and doc_id is not null")
     classes = known.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    equal = known.join(classes.where("n > 1"), ["f1", "f2", "n_shingles"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
+    equal = spread_join(known.drop("bitmap"), classes.where("n > 1"), ["f1", "f2", "n_shingles"], "doc_id").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
     equal = settle(equal, "jaccard-equal")
 
     p = partitions(docs.sparkSession)

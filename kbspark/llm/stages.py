@@ -1,5 +1,5 @@
 """What the operators of this subpackage take from the library: lineage cuts, checked broadcasts, components."""
 
-from kbspark.jobs import components, partitions, release, settle, shared_dir, sized
+from kbspark.jobs import components, partitions, release, settle, shared_dir, sized, spread_join
 
-__all__ = ["components", "partitions", "release", "settle", "shared_dir", "sized"]
+__all__ = ["components", "partitions", "release", "settle", "shared_dir", "sized", "spread_join"]
