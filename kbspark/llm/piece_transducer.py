@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 MARK = "▁"  # fixed value: written for a blank
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MOST_KEPT = 200_000  # words whose paths a task keeps
+STAY = 60_000  # of these, what stays between tasks
 UNIGRAM, BPE = 1, 2  # fixed values: model types of the file format
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5  # fixed values: kinds of pieces
 
@@ -209,8 +211,10 @@ class Transducer:
         return found
 
     def forget(self) -> None:
-        """Give back most of the memory of paths; a task's worker lives on."""
+        """Give back most of the memory of paths; a task's worker lives on. What was met first, the frequent words, stays."""
         self.old, self.parts = {}, {}
+        self.kept = dict(islice(self.kept.items(), STAY))
+        self.follows = dict(islice(self.follows.items(), STAY))
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
