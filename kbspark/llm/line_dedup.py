@@ -98,12 +98,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """(doc_id, gone): the chunks first, n (in lines) of a document that repeat an earlier one of the corpus."""
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = settle(texts.mapInArrow(_chunks, _CHUNK), "line-chunks")
+    found = settle(texts.mapInArrow(tx.tidy(_chunks), _CHUNK), "line-chunks")
     again = found.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "first")).alias("keep")).where("times > 1")
     again = again.withColumn("salts", F.ceil(F.col("times") / PER_SALT).cast("int"))
     listed = spread_join(found, again, ["h1", "h2"], "doc_id").select("doc_id", F.struct("h1", "h2", "first", "n", "salts", (F.struct("doc_id", "first") == F.col("keep")).alias("keeper")).alias("c"))
     listed = settle(listed.groupBy("doc_id").agg(F.collect_set("c").alias("listed")), "line-listed")
-    pieces = texts.join(sized(listed, 200_000), "doc_id").select("doc_id", "text", "listed").mapInArrow(_pieces, "h1 long, h2 long, salts int, keeper boolean, doc_id long, first int, n int, piece string")
+    pieces = texts.join(sized(listed, 200_000), "doc_id").select("doc_id", "text", "listed").mapInArrow(tx.tidy(_pieces), "h1 long, h2 long, salts int, keeper boolean, doc_id long, first int, n int, piece string")
     pieces = settle(pieces, "line-pieces")
     firsts = pieces.where("keeper").select("h1", "h2", F.col("piece").alias("own"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).distinct()
     rest = pieces.where("not keeper").withColumn("salt", F.pmod(F.xxhash64("doc_id", "first"), "salts").cast("int"))
@@ -127,7 +127,7 @@ def _cleaned(docs: DataFrame, others: list[str]) -> DataFrame:
     gone = repeated_chunks(docs)
     rows = docs.join(sized(gone, 200_000), "doc_id", "left").select("doc_id", *others, "text", "gone")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select("doc_id", *others).schema)
-    return rows.mapInArrow(_cut, f"{kinds}, n_lines long, n_removed long, text string")
+    return rows.mapInArrow(tx.tidy(_cut), f"{kinds}, n_lines long, n_removed long, text string")
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:

@@ -216,7 +216,7 @@ def _checked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     texts = texts.join(sized(asked.select(F.col("d").alias("doc_id")).distinct()), "doc_id", "left_semi")
     asked = asked.join(texts.select(F.col("doc_id").alias("d"), "text"), "d").select("a", "salt", "d", "text")
     rows = asked.repartition(p, "a", "salt").sortWithinPartitions("a", "salt", F.col("a") != F.col("d"))
-    return rows.mapInArrow(_verify(width, percent), "a long, b long").distinct()
+    return rows.mapInArrow(tx.tidy(_verify(width, percent)), "a long, b long").distinct()
 
 
 def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -228,15 +228,15 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     repeated row gets a row each time; null doc_ids get a null component; other columns are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sig = settle(texts.mapInArrow(_signatures(width), "doc_id long, n_shingles long, f1 long, f2 long, bitmap binary"), "jaccard-sets")
+    sig = settle(texts.mapInArrow(tx.tidy(_signatures(width)), "doc_id long, n_shingles long, f1 long, f2 long, bitmap binary"), "jaccard-sets")
     known = sig.where("n_shingles > 0 and doc_id is not null")
     classes = known.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     equal = spread_join(known.drop("bitmap"), classes.where("n > 1"), ["f1", "f2", "n_shingles"], "doc_id").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
     equal = settle(equal, "jaccard-equal")
 
     p = partitions(docs.sparkSession)
-    posted = texts.where("doc_id is not null").mapInArrow(_postings(width, percent), "key long, doc long")
-    stars = posted.repartition(p, "key").sortWithinPartitions("key", "doc").mapInArrow(_stars, "key long, center long, doc long")
+    posted = texts.where("doc_id is not null").mapInArrow(tx.tidy(_postings(width, percent)), "key long, doc long")
+    stars = posted.repartition(p, "key").sortWithinPartitions("key", "doc").mapInArrow(tx.tidy(_stars), "key long, center long, doc long")
     stars = settle(stars, "jaccard-buckets")
 
     same = equal.select(F.col("b").alias("x"), F.col("a").alias("to"))
@@ -250,7 +250,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sets = known.groupBy("doc_id").agg(F.max("n_shingles").alias("n"), F.max("bitmap").alias("bitmap"))
     pairs = folded(stars.select(F.col("center").alias("a"), F.col("doc").alias("b")).distinct(), "a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     near = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n1"), F.col("bitmap").alias("m1")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("bitmap").alias("m2")), "b")
-    near = near.mapInArrow(_bounded(percent), "a long, b long")
+    near = near.mapInArrow(tx.tidy(_bounded(percent)), "a long, b long")
     near = settle(near, "jaccard-pairs")
     links = settle(equal.union(_checked(near, texts, width, percent)), "jaccard-links")
     first = settle(components(links), "jaccard-first")
@@ -265,7 +265,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     spread = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), "doc", "component", "n", "bitmap"
     )
-    more = spread.repartition(p, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_blocks(percent), "a long, b long")
+    more = spread.repartition(p, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(tx.tidy(_blocks(percent)), "a long, b long")
     more = settle(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-more")
     release(near, stars, members)
     final = named.withColumnRenamed("doc", "doc_id")

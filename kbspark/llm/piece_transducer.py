@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from kbspark.llm import text as tx
+
 MARK = "▁"  # fixed value: written for a blank
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MOST_KEPT = 200_000  # words whose paths a task keeps
@@ -278,7 +280,7 @@ def encode_pieces(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
     read by the driver and shipped.
     """
     model = docs.sparkSession.sparkContext.broadcast(_read(model_path))  # less than a megabyte
-    return docs.select("doc_id", "text").mapInArrow(_encode(model), "doc_id long, n_pieces long, ids array<int>, lossless boolean")
+    return docs.select("doc_id", "text").mapInArrow(tx.tidy(_encode(model)), "doc_id long, n_pieces long, ids array<int>, lossless boolean")
 
 
 def _decode(model):
@@ -294,4 +296,4 @@ def _decode(model):
 def decode_pieces(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
     """doc_id, text of rows of encoded(doc_id, ids)."""
     model = encoded.sparkSession.sparkContext.broadcast(_read(model_path))
-    return encoded.select("doc_id", "ids").mapInArrow(_decode(model), "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tx.tidy(_decode(model)), "doc_id long, text string")

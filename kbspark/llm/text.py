@@ -1,17 +1,18 @@
 """Vectorised text helpers for Arrow batches: words, hashes and shingle sets as numpy arrays.
 
-A batch is cut into slices of about a MB, whose bytes are worked on at once. Every whole text goes
+A batch is cut into slices of about half a MB, whose bytes are worked on at once. Every whole text goes
 into one slice, so a slice is as large as its longest text; memory is about 60 bytes a text byte.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES, SLICE_DOCS = 1 << 20, 1024
+SLICE_BYTES, SLICE_DOCS = 1 << 19, 1024
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -50,6 +51,21 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.Rec
         at = to
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, whose worker gives free memory back to the system when its task ends; workers live on between stages."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+            if trim:
+                trim(0)
+
+    return out
+
+
 def words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, document) of the words of a slice; gap: which bytes lie between words."""
     inside = np.zeros(len(data) + 2, bool)
