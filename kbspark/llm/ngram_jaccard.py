@@ -33,7 +33,7 @@ from kbspark.llm.stages import components, partitions, release, settle, sized, s
 
 BITS = 1024  # of a bitmap
 BLOCK = 256  # sets of a block
-PER_SALT = 512  # comparisons that one copy of a center's text serves
+PER_SALT = 128  # comparisons that one copy of a center's text serves
 
 
 def _bands(percent: int) -> np.ndarray:
