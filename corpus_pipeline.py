@@ -22,7 +22,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the chunks of lines that repeat earlier ones; those of which nothing is left go."""
+    """Documents without the passages of lines that repeat earlier ones; those of which nothing is left go."""
     return clean_documents(docs)
 
 

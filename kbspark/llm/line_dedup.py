@@ -1,9 +1,9 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by content-defined windows of lines.
 
-A rolling hash over the hashes of the lines beside each line break decides whether a chunk ends there, so
-boundaries move with the text; this is done once a seed, so that the edges of a passage fall on a boundary
-of some seed. Chunks of two and more written lines that occur again anywhere are compared byte by byte
-with their first occurrence (smallest doc_id, then line) and removed where they are equal.
+A window goes from one written line to the next, with the blank lines between them. Its hash rolls over every
+break between written lines, so windows depend on nothing but the passage itself: any passage of two and more
+written lines is a chain of windows, wherever it stands. Windows that occur again anywhere are compared byte
+by byte with their first occurrence (smallest doc_id, then line) and removed where they are equal.
 """
 
 from __future__ import annotations
@@ -18,12 +18,11 @@ from pyspark.sql import functions as F
 from kbspark.llm import text as tx
 from kbspark.llm.stages import release, settle, sized, spread_join
 
-SEEDS = 4
-ONE_IN = 2  # line breaks that end a chunk
 PER_SALT = 1000  # occurrences that are compared with one copy of the first
 
-_CHUNK = "h1 long, h2 long, doc_id long, first int, n int"
+_WINDOW = "h1 long, h2 long, doc_id long, first int, n int"
 _BLANK = tx.SPACE.copy()
+_SPACES = bytes(np.flatnonzero(_BLANK).astype(np.uint8)).decode()
 
 
 def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -41,33 +40,25 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, doc
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, data, offsets in tx.slices(batch):
             starts, ends, doc = _lines(data, offsets)
             h = tx.word_hashes(data, starts, ends)
             ink = np.concatenate([[0], np.cumsum(~_BLANK[data])])
-            written = ink[ends] > ink[starts]
+            written = np.flatnonzero(ink[ends] > ink[starts])
             first = np.searchsorted(doc, np.arange(rows.num_rows))
             ids = rows.column(0).to_numpy(zero_copy_only=False)
-            head = np.ones(len(doc), bool)
-            head[1:] = doc[1:] != doc[:-1]
-            place = (np.arange(len(doc)) - first[doc]).astype(np.uint64)
-            for seed in range(SEEDS):
-                roll = tx.mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(seed * 7919))
-                start = head.copy()
-                start[1:] |= roll % np.uint64(ONE_IN) == 0
-                chunk = np.cumsum(start) - 1
-                m = int(chunk[-1]) + 1 if len(chunk) else 0
-                at = np.flatnonzero(start)
-                inner = (place - place[at][chunk]) * np.uint64(0xD6E8FEB86659FD93)
-                n, ok = np.bincount(chunk, minlength=m), np.bincount(chunk, written, m) >= 2
-                h1, h2 = (tx.sums(tx.mix(h + inner + np.uint64(k)), chunk, m) for k in (11, 23))
-                yield pa.RecordBatch.from_arrays([tx.longs(h1[ok]), tx.longs(h2[ok]), tx.longs(ids[doc[at[ok]]]), pa.array((at - first[doc[at]])[ok].astype(np.int32)), pa.array(n[ok].astype(np.int32))], ["h1", "h2", "doc_id", "first", "n"])
+            a, b = written[:-1], written[1:]
+            same = doc[a] == doc[b]
+            a, b = a[same], b[same]
+            h1 = tx.word_hashes(data, starts[a], ends[b])
+            h2 = tx.mix(h[a] * np.uint64(0x9E3779B97F4A7C15) + h[b] * np.uint64(0xC2B2AE3D27D4EB4F) + (b - a).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([tx.longs(h1), tx.longs(h2), tx.longs(ids[doc[a]]), pa.array((a - first[doc[a]]).astype(np.int32)), pa.array((b - a + 1).astype(np.int32))], ["h1", "h2", "doc_id", "first", "n"])
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of listed chunks of each document."""
+    """The bytes of listed windows of each document."""
     for batch in batches:
         for s in range(0, batch.num_rows, 256):
             out = []
@@ -79,6 +70,19 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * 8, (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)], ["h1", "h2", "salts", "keeper", "doc_id", "first", "n", "piece"])
 
 
+def _loose(lines: list[str], drop: set[int]) -> set[int]:
+    """Blank lines whose neighbours with writing, or the ends of the text, are gone on both sides."""
+    out, run, gone = set(), [], True
+    for i, x in enumerate(lines if drop else ()):
+        if i not in drop and not x.strip(_SPACES):
+            run.append(i)
+            continue
+        if gone and i in drop:
+            out.update(run)
+        run, gone = [], i in drop
+    return out.union(run) if gone else out
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows whose last columns are text and gone, the others, n_lines, n_removed and the text that is left."""
     for batch in batches:
@@ -89,19 +93,21 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for text, listed in zip(part.column(others).to_pylist(), part.column(others + 1).to_pylist(), strict=True):
                 lines = [] if text is None else text.split("\n")
                 drop = {i for c in listed or () for i in range(c["first"], min(c["first"] + c["n"], len(lines)))}
+                drop |= _loose(lines, drop)
                 texts.append(text if not drop else "\n".join(x for i, x in enumerate(lines) if i not in drop))
                 total.append(len(lines))
                 gone.append(len(drop))
             yield pa.RecordBatch.from_arrays([*part.columns[:others], pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string())], [*part.schema.names[:others], "n_lines", "n_removed", "text"])
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, gone): the chunks first, n (in lines) of a document that repeat an earlier one of the corpus."""
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """(doc_id, gone): the windows first, n (in lines) of a document that repeat an earlier one of the corpus without overlap."""
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = settle(texts.mapInArrow(tx.tidy(_chunks), _CHUNK), "line-chunks")
+    found = settle(texts.mapInArrow(tx.tidy(_windows), _WINDOW), "line-windows")
     again = found.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "first")).alias("keep")).where("times > 1")
     again = again.withColumn("salts", F.ceil(F.col("times") / PER_SALT).cast("int"))
-    listed = spread_join(found, again, ["h1", "h2"], "doc_id").select("doc_id", F.struct("h1", "h2", "first", "n", "salts", (F.struct("doc_id", "first") == F.col("keep")).alias("keeper")).alias("c"))
+    apart = "doc_id <> keep.doc_id or first = keep.first or first >= keep.first + n"  # a line that repeats itself overlaps its first pair
+    listed = spread_join(found, again, ["h1", "h2"], "doc_id").where(apart).select("doc_id", F.struct("h1", "h2", "first", "n", "salts", (F.struct("doc_id", "first") == F.col("keep")).alias("keeper")).alias("c"))
     listed = settle(listed.groupBy("doc_id").agg(F.collect_set("c").alias("listed")), "line-listed")
     pieces = texts.join(sized(listed, 200_000), "doc_id").select("doc_id", "text", "listed").mapInArrow(tx.tidy(_pieces), "h1 long, h2 long, salts int, keeper boolean, doc_id long, first int, n int, piece string")
     pieces = settle(pieces, "line-pieces")
@@ -114,17 +120,19 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed, text of every row of docs(doc_id, text), the text without repeated chunks.
+    """doc_id, n_lines, n_removed, text of every row of docs(doc_id, text), the text without repeated passages.
 
-    Lines end at line feeds. Blank lines do not count as written, but go with their chunk. A null text stays
-    null and has no lines; an empty one has one. Rows that repeat a doc_id are one document to the rule "the
-    first occurrence stays": equal rows stay or go alike. Other columns are ignored.
+    A line goes if it is part of a passage of two and more written lines that occurs, byte for byte, earlier in
+    the corpus without overlapping it; so the first occurrence of every line stays. Lines end at line feeds.
+    Blank lines are not written: they go within a passage, and where nothing written is left on either side of
+    them. A null text stays null and has no lines; an empty one has one. Rows that repeat a doc_id are one
+    document to the rule "the first occurrence stays": equal rows stay or go alike. Other columns are ignored.
     """
     return _cleaned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), [])
 
 
 def _cleaned(docs: DataFrame, others: list[str]) -> DataFrame:
-    gone = repeated_chunks(docs)
+    gone = repeated_windows(docs)
     rows = docs.join(sized(gone, 200_000), "doc_id", "left").select("doc_id", *others, "text", "gone")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select("doc_id", *others).schema)
     return rows.mapInArrow(tx.tidy(_cut), f"{kinds}, n_lines long, n_removed long, text string")

@@ -41,3 +41,45 @@ def test_hash_hits_are_compared(spark, monkeypatch):
     texts = ["a b\nc d\ne f\ng h"] * 3
     found = rows(line_dedup.dedup_lines(frame(spark, texts)))
     assert found[0]["text"] == texts[0] and found[1]["n_removed"] > 0
+
+
+def brute(texts):
+    """Line indices that go: those of passages of two and more written lines that occur earlier without overlap."""
+    seen, gone = {}, {}
+    for d, t in enumerate(texts):
+        lines = [] if t is None else t.split("\n")
+        w = [i for i, x in enumerate(lines) if x.strip(" \t\n\v\f\r")]
+        drop = set()
+        for a, b in zip(w, w[1:], strict=False):
+            at = seen.setdefault(tuple(lines[a : b + 1]), (d, a, b))
+            if at[0] < d or at[2] < a:
+                drop |= set(range(a, b + 1))
+        for i in range(len(lines)):
+            before, after = max([x for x in w if x < i], default=None), min([x for x in w if x > i], default=None)
+            if drop and i not in w and all(x is None or x in drop for x in (before, after)):
+                drop.add(i)
+        gone[d] = drop
+    return gone
+
+
+def test_every_repeated_passage_goes_whole(spark):
+    """Short passages between foreign lines, with blank lines, at the edges, many times, and lines that repeat themselves."""
+    import random
+
+    r = random.Random(7)
+    own = iter([" ".join(prose(1000 + k, 6).split()) + f" {k}" for k in range(4000)])
+    texts = []
+    for size in (2, 3, 4, 8):
+        for copies in (2, 2, 2, 2, 2, 2, 50):
+            passage = [next(own) for _ in range(size)]
+            if r.random() < 0.4:
+                passage.insert(1, r.choice(["", " \t"]))
+            for _ in range(copies):
+                texts.append("\n".join([next(own) for _ in range(r.randrange(4))] + passage + [next(own) for _ in range(r.randrange(4))]))
+    texts += ["tie\ntie", "tie\ntie\ntie", "z\nz\nz", "q\nq\nq\nq", "q\n\nq\n", *AWKWARD, "one\n\n\ntwo\n", "\none\n\n\ntwo\n\n", "one\n\ntwo"]
+    r.shuffle(texts)
+    found, want = rows(dedup_lines(frame(spark, texts))), brute(texts)
+    for d, t in enumerate(texts):
+        assert found[d]["n_removed"] == len(want[d])
+        assert found[d]["text"] == (t if not want[d] else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[d]))
+    assert sum(map(len, want.values())) > 900
