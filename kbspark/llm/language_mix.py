@@ -3,8 +3,9 @@
 Training counts byte trigrams of words per language over all training documents (Spark sums the counts of
 the tasks; the table has 65,536 bins a language, whatever the input). A document is a mixture: each of its
 words comes from one language, with the likelihood of the word's trigrams. Expectation-maximisation
-estimates the proportions; of the nested sets of its best 1, 2 and 3 languages the one with the highest
-likelihood less a penalty of half the logarithm of the words a free parameter is selected.
+estimates the proportions; of the nested sets of its best 1, 2, 3 and so on up to all languages the one with
+the highest likelihood less a penalty of half the logarithm of the words a free parameter is selected. Larger
+sets are left out only once a bound on the likelihood of any mixture shows that none of them can be selected.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from kbspark.llm import text as tx
 
 BINS = 1 << 16
 STEPS = 8  # of expectation-maximisation a set
-SETS = 3  # languages that a selected set holds at most
 SMOOTH = 0.5
 NOISE = 1e-6  # share of words from no language
 
@@ -101,19 +101,30 @@ def mixtures(ll: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray,
     first = np.concatenate([[0], np.cumsum(n)[:-1]])
     top = ll.max(1, keepdims=True)
     like = np.exp(ll - top)
-    share, _ = _em(like, doc, first, n)
-    k = min(SETS, ll.shape[1])
-    best = np.argsort(-share, 1, kind="stable")[:, :k]
+    share, fit = _em(like, doc, first, n)
+    s = (share[doc] * like).sum(1) + np.float32(NOISE)
+    slope = (np.add.reduceat(like / s[:, None], first, 0) / n[:, None]).max(1) + np.add.reduceat(np.float32(NOISE) / s, first) / n
+    upper = fit + n * np.log(np.maximum(slope, 1)) + 0.01  # the logarithm is concave: no mixture has a higher likelihood
+    k = ll.shape[1]
+    best = np.argsort(-share, 1, kind="stable")
     sets, shares, score = np.full((n_docs, k), -1), np.zeros((n_docs, k)), np.full(n_docs, -np.inf)
+    penalty = 0.5 * np.log(n + 1.0)
     for m in range(1, k + 1):
-        own = np.take_along_axis(like, best[doc, :m], 1)
-        share, fit = _em(own, doc, first, n)
-        value = fit - (m - 1) * 0.5 * np.log(n + 1.0)
-        better = value > score
-        score[better] = value[better]
-        sets[better] = -1
-        shares[better] = 0
-        sets[better, :m], shares[better, :m] = best[better, :m], share[better]
+        on = np.flatnonzero(upper - (m - 1) * penalty > score)
+        if not len(on):
+            break
+        place = np.full(n_docs, -1)
+        place[on] = np.arange(len(on))
+        words = np.flatnonzero(place[doc] >= 0)
+        own = np.take_along_axis(like[words], best[doc[words], :m], 1)
+        share, fit = _em(own, place[doc[words]], np.concatenate([[0], np.cumsum(n[on])[:-1]]), n[on])
+        value = fit - (m - 1) * penalty[on]
+        better = value > score[on]
+        at = on[better]
+        score[at] = value[better]
+        sets[at] = -1
+        shares[at] = 0
+        sets[at, :m], shares[at, :m] = best[at, :m], share[better]
     order = np.argsort(-shares, 1, kind="stable")
     return np.take_along_axis(sets, order, 1), np.take_along_axis(shares, order, 1)
 

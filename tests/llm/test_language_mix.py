@@ -39,3 +39,37 @@ def test_awkward(spark):
     none = identify(frame(spark, texts).withColumn("lang", F.lit(None).cast("string")), F.lit(False))
     assert {r["lang_pred"] for r in none.collect()} == {"und"}
     assert identify(frame(spark, []), F.lit(False)).count() == 0
+
+
+def test_more_than_three_languages():
+    r = np.random.default_rng(9)
+    ll = np.log(r.random((660, 6)) + 1e-3).astype(np.float32)
+    doc = np.repeat([0, 1, 2, 3], [200, 200, 60, 200])
+    for k in range(4):
+        ll[50 * k : 50 * k + 50, k] += 8  # four languages, a quarter each
+    for k in range(5):
+        ll[200 + 40 * k : 240 + 40 * k, k] += 8  # five
+    ll[400:460, 5] += 8  # one
+    for k in range(6):
+        ll[460 + 33 * k : 493 + 33 * k, k] += 8  # all
+    sets, shares = mixtures(ll, doc, 4)
+    assert [sorted(x for x in row if x >= 0) for row in sets.tolist()] == [[0, 1, 2, 3], [0, 1, 2, 3, 4], [5], [0, 1, 2, 3, 4, 5]]
+    assert abs(shares[0, 0] - 0.25) < 0.03 and abs(shares[1, 0] - 0.2) < 0.03 and shares[3, 0] < 0.2
+    assert np.allclose(shares.sum(1), 1, atol=1e-3)
+
+
+def test_no_larger_set_is_left_out_that_would_win():
+    from kbspark.llm.language_mix import _em
+
+    r = np.random.default_rng(3)
+    n = r.integers(1, 80, 60)
+    doc = np.repeat(np.arange(60), n)
+    ll = (r.gamma(0.3, 6, (len(doc), 5))).astype(np.float32)
+    sets, shares = mixtures(ll, doc, 60)
+    for d in range(60):
+        x = np.exp(ll[doc == d] - ll[doc == d].max(1, keepdims=True))
+        zero, one = np.zeros(len(x), int), np.array([len(x)])
+        best = np.argsort(-_em(x, zero, np.array([0]), one)[0], 1, kind="stable")[0]
+        values = [_em(x[:, best[:m]], zero, np.array([0]), one)[1][0] - (m - 1) * 0.5 * np.log(len(x) + 1.0) for m in range(1, 6)]
+        m = int((sets[d] >= 0).sum())
+        assert values[m - 1] >= max(values) - 1e-3
