@@ -121,6 +121,39 @@ def sums(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
     return low + (high << np.uint64(32)) + (high >> np.uint64(32)) * _MUL[14]
 
 
+class Table:
+    """Finds the rows of distinct, not negative 64-bit keys, by open addressing in arrays."""
+
+    def __init__(self, keys: np.ndarray):
+        self.size = 1 << max(4, int(np.ceil(np.log2(max(len(keys), 1) * 3))))
+        self.key, self.row = np.full(self.size, -1, np.int64), np.zeros(self.size, np.int32)
+        keys = keys.astype(np.int64)
+        slot, todo = self._slot(keys), np.arange(len(keys))
+        while len(todo):
+            free = todo[self.key[slot[todo]] == -1]
+            at, which = np.unique(slot[free], return_index=True)
+            self.key[at], self.row[at] = keys[free[which]], free[which]
+            todo = todo[self.key[slot[todo]] != keys[todo]]
+            slot[todo] = (slot[todo] + 1) & (self.size - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys.view(np.uint64)) & np.uint64(self.size - 1)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, -1 where there is none."""
+        slot = self._slot(keys)
+        seen = self.key[slot]
+        out = np.where(seen == keys, self.row[slot], -1)
+        todo = np.flatnonzero((seen != keys) & (seen != -1))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & (self.size - 1)
+            seen = self.key[slot[todo]]
+            hit = seen == keys[todo]
+            out[todo[hit]] = self.row[slot[todo[hit]]]
+            todo = todo[~hit & (seen != -1)]
+        return out
+
+
 def longs(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
