@@ -2,10 +2,9 @@
 
 Sizes are cut into bands whose ratio is the similarity, so that linked sets lie in one band or in
 neighbours; such a pair of bands is a tile. Two sets of a tile that link differ in at most d shingles,
-so with more than d parts of the hash space
-they agree in a whole part; large sets, whose differences hashing spreads evenly, in many of fewer parts.
-Each set therefore shows one hash a part of each of its tiles, and sets that show the same hash are
-candidates:
+so with more than d parts of the hash space they agree in a whole part. Equal sets are one class, for which
+its smallest id stands. Each class therefore shows one hash a part of each of its tiles, and classes that show
+the same hash are candidates:
 
 1. in each bucket of equal hashes every set is paired with the smallest id (a star, never all pairs);
    parity bitmaps bound the overlap from above, and what passes is compared exactly by sorted arrays;
@@ -44,15 +43,11 @@ def _bands(percent: int) -> np.ndarray:
     return np.array(ends)
 
 
-UNTOUCHED = 40  # parts that a pair at the threshold shares on average where parts are fewer than differences
-
-
 def _parts(upper: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(parts, spare parts, least size of a shown part) of tiles whose smaller sets have fewer than ``upper`` shingles.
 
     A pair that links differs in at most d shingles. With d + 1 and spare parts, more than the spare ones are
-    equal for certain. Large sets need fewer: d differences that hashing spreads over k parts leave
-    k exp(-d/k) of them equal on average; k is chosen so that none being equal has a chance below 1e-15.
+    equal for certain.
     """
     a = upper - 1
     d = (100 - percent) * (a + a * 100 // percent) // (100 + percent)
@@ -60,11 +55,7 @@ def _parts(upper: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.
     k = np.where(d > 0, d + 1 + spare, 1)
     mean = np.maximum(a * percent // 100, 1) / k
     least = np.where((1 + mean) * np.exp(-mean) * k < spare / 1.6, 2, 1)
-    fewer = np.ceil(d / np.log(np.maximum(d, 2) / UNTOUCHED + 1) / 1.2)
-    for _ in range(40):  # the smallest k with k exp(-d/k) >= UNTOUCHED, by fixed steps upward
-        fewer = np.where(fewer * np.exp(-d / np.maximum(fewer, 1)) < UNTOUCHED, np.ceil(fewer * 1.03) + 1, fewer)
-    use = fewer < k
-    return np.where(use, fewer, k).astype(np.int64), np.where(d > 0, np.where(use, 1 << 40, spare), 0), np.where(use, 2, least)
+    return k, np.where(d > 0, spare, 0), least
 
 
 def _sets(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -235,20 +226,15 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     equal = settle(equal, "jaccard-equal")
 
     p = partitions(docs.sparkSession)
-    posted = texts.where("doc_id is not null").mapInArrow(tx.tidy(_postings(width, percent)), "key long, doc long")
+    # a class is posted once; an id that stands for different texts is posted with all of them
+    varied = known.groupBy("doc_id").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select("doc_id")
+    told = equal.select(F.col("b").alias("doc_id")).join(sized(varied), "doc_id", "left_anti").distinct()
+    posted = texts.where("doc_id is not null").join(sized(told), "doc_id", "left_anti").mapInArrow(tx.tidy(_postings(width, percent)), "key long, doc long")
     stars = posted.repartition(p, "key").sortWithinPartitions("key", "doc").mapInArrow(tx.tidy(_stars), "key long, center long, doc long")
     stars = settle(stars, "jaccard-buckets")
 
-    same = equal.select(F.col("b").alias("x"), F.col("a").alias("to"))
-    maps = [sized(same)]
-
-    def folded(rows: DataFrame, *columns: str) -> DataFrame:
-        for c in columns:
-            rows = rows.join(maps[0].withColumnRenamed("x", c), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
-        return rows
-
     sets = known.groupBy("doc_id").agg(F.max("n_shingles").alias("n"), F.max("bitmap").alias("bitmap"))
-    pairs = folded(stars.select(F.col("center").alias("a"), F.col("doc").alias("b")).distinct(), "a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = stars.select(F.col("center").alias("a"), F.col("doc").alias("b")).distinct()
     near = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n1"), F.col("bitmap").alias("m1")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("bitmap").alias("m2")), "b")
     near = near.mapInArrow(tx.tidy(_bounded(percent)), "a long, b long")
     near = settle(near, "jaccard-pairs")
@@ -258,7 +244,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # buckets of three and more documents that still hold more than one component
     named = first.select(F.col("node").alias("doc"), "component")
     members = stars.select("key", "doc").union(stars.select("key", F.col("center").alias("doc")).distinct())
-    members = folded(members, "doc").distinct().join(named, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    members = members.distinct().join(named, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     members = settle(members, "jaccard-members")
     open_ = members.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("size > 2 and lo < hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     rows = members.join(open_, "key").join(sets.withColumnRenamed("doc_id", "doc"), "doc").withColumn("own", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
