@@ -10,11 +10,15 @@ CJK = "\\u4e00-\\u9fff"
 # HTML entities that sanitation of variant B replaces.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
 
-# Factors of number words and units.
-UNITS = {"thousand": 1e3, "million": 1e6, "billion": 1e9, "trillion": 1e12, "k": 1e3, "m": 1e6, "b": 1e9, "t": 1e12, "万": 1e4, "亿": 1e8, "千": 1e3, "百万": 1e6, "万亿": 1e12}
+# Factors of number words and units; those of Latin letters in either case.
+UNITS = {"千": 1e3, "万": 1e4, "十万": 1e5, "百万": 1e6, "千万": 1e7, "亿": 1e8, "十亿": 1e9, "百亿": 1e10, "千亿": 1e11, "万亿": 1e12, "k": 1e3, "thousand": 1e3, "million": 1e6, "m": 1e6, "billion": 1e9, "b": 1e9, "trillion": 1e12, "t": 1e12}
 
 # Words for symbols in relation labels.
-SYMBOLS = {"&": "_and_", "@": "_at_", "%": "_percent_", "+": "_plus_", "=": "_equals_", "<": "_lt_", ">": "_gt_", "/": "_slash_", "'": "", '"': "", ".": "_", ",": "_", ":": "_", ";": "_", "!": "_", "?": "_", "(": "_", ")": "_", "[": "_", "]": "_", "{": "_", "}": "_", "-": "_", "|": "_", "\\": "_", "*": "_", "#": "_", "$": "_", "^": "_", "~": "_", "`": "_"}
+SYMBOLS = {
+    "...": "_ellipsis_", "…": "_ellipsis_", "。": "_period_", "，": "_comma_", "；": "_semicolon_", "：": "_colon_", "！": "_exclamation_", "？": "_question_", "（": "_lparen_", "）": "_rparen_", "【": "_lbracket_", "】": "_rbracket_", "《": "_langle_", "》": "_rangle_",
+    "'": "_apostrophe_", '"': "_quote_", "\\": "_backslash_", "/": "_slash_", "|": "_pipe_", "&": "_ampersand_", "=": "_equals_", "+": "_plus_", "*": "_asterisk_", "^": "_caret_", "%": "_percent_", "$": "_dollar_", "#": "_hash_", "@": "_at_", "!": "_bang_", "?": "_question_",
+    "(": "_lparen_", ")": "_rparen_", "[": "_lbracket_", "]": "_rbracket_", "{": "_lbrace_", "}": "_rbrace_", "<": "_langle_", ">": "_rangle_",
+}
 
 
 def strip(c: Column) -> Column:
@@ -58,11 +62,10 @@ def name_spaced(c: Column) -> Column:
 
 
 def relation_label(c: Column) -> Column:
-    """P2 (5): symbols to words, blanks to underscores, runs of underscores to one, none at the ends, lower-case."""
-    c = F.lower(c)
+    """P2 (5): symbols to words, runs of underscores to one, none at the ends; case and blanks stay."""
     for symbol, word in SYMBOLS.items():
         c = F.replace(c, F.lit(symbol), F.lit(word))
-    return F.regexp_replace(F.regexp_replace(c, r"[\s_]+", "_"), "^_+|_+$", "")
+    return F.regexp_replace(F.regexp_replace(c, "_+", "_"), "^_|_$", "")
 
 
 def content_id(c: Column) -> Column:
@@ -81,21 +84,29 @@ def prefixed_id(prefix: str, c: Column) -> Column:
 
 
 def parse_number(c: Column) -> Column:
-    """A number with thousands separators and an optional unit; null if the text is none."""
-    text = F.replace(strip(F.lower(c)), F.lit(","), F.lit(""))
-    unit = F.regexp_extract(text, r"^[-+]?[0-9]*\.?[0-9]+\s*([a-z一-鿿]*)$", 1)
-    number = F.regexp_extract(text, r"^([-+]?[0-9]*\.?[0-9]+)\s*[a-z一-鿿]*$", 1)
+    """The value of a number, with thousands separators and at most one unit; null if the text is none."""
+    text = F.replace(strip(c), F.lit(","), F.lit(""))
+    plain = F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast("double"))
+    parts = rf"^([+-]?[0-9]+(?:\.[0-9]+)?)\s*((?i:{'|'.join(sorted(UNITS, key=len, reverse=True))}))$"
+    unit = F.lower(F.regexp_extract(text, parts, 2))
     factor = F.lit(None).cast("double")
     for name, value in UNITS.items():
         factor = F.when(unit == name, F.lit(value)).otherwise(factor)
-    return F.when(number == "", None).otherwise(number.cast("double") * F.when(unit == "", F.lit(1.0)).otherwise(factor))
+    return F.coalesce(plain, F.regexp_extract(text, parts, 1).try_cast("double") * factor)
+
+
+def number_or_text(c: Column) -> Column:
+    """Struct num, text: the value of a number, or the stripped text where it is none."""
+    num = parse_number(c)
+    return F.struct(num.alias("num"), F.when(num.isNull(), strip(c)).alias("text"))
 
 
 def magnitude(c: Column) -> Column:
-    """P5: two decimals and T, B or M from 1e12, 1e9 and 1e6 on."""
-    out = F.format_string("%.2f", c)
+    """P5: two decimals of the number as it is stored, and T, B or M from 1e12, 1e9 and 1e6 on."""
+    shown = lambda x, name: F.concat(F.call_function("format_number", x, F.lit("0.00")), F.lit(name))
+    out = shown(c, "")
     for low, name in ((1e6, "M"), (1e9, "B"), (1e12, "T")):
-        out = F.when(c >= low, F.format_string(f"%.2f{name}", c / low)).otherwise(out)
+        out = F.when(c >= low, shown(c / low, name)).otherwise(out)
     return out
 
 

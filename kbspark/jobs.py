@@ -5,14 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is set, as in tests, a folder of this machine."""
+    """The cluster's shared folder; where none is set and Spark runs in one process, as in tests, a folder of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         found = getattr(spark, "_own_shared_dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark._own_shared_dir = found
     return found.rstrip("/")
@@ -38,9 +40,27 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+MOST_BYTES = 64 << 20  # of a table that is broadcast, about
+
+
+def _bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes."""
+    out = F.lit(0).cast("long")
+    for f in df.schema:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            out += F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif kind in ("array", "map", "struct"):
+            out += F.coalesce(F.octet_length(F.to_json(f.name)), F.lit(0))
+        else:
+            out += 8
+    return out
+
+
 def sized(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """A table of a few longs a row, to be broadcast if it is counted to have at most ``rows``; else it is joined by shuffling."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """A table to be broadcast if it is counted to have at most ``rows`` and MOST_BYTES; else it is joined by shuffling."""
+    n, size = df.limit(rows + 1).agg(F.count("*"), F.sum(_bytes(df))).first()
+    return F.broadcast(df) if n <= rows and (size or 0) <= MOST_BYTES else df
 
 
 SALTS = 16
@@ -62,19 +82,19 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     Alternates large-star and small-star contractions, which are grouped minima and equi-joins, until
     every node points straight at its root. Only counts come to the driver.
     """
-    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    edges = settle(edges, "edges")
+    edges = settle(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "edges")
     for _ in range(rounds):
         # a forest of stars: each u has one v, and no v is a u
-        roots = edges.select(F.col("v").alias("u")).distinct()
-        per = edges.groupBy("u").agg(F.count("*").alias("n"))
-        if per.where("n > 1").isEmpty() and per.join(roots, "u", "left_semi").isEmpty():
-            roots = roots.withColumn("v", F.col("u"))
-            return edges.union(roots).select(F.col("u").alias("node"), F.col("v").alias("component"))
+        ends = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        open_ = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)")
+        if open_.isEmpty():
+            roots = edges.select(F.col("v").alias("node")).distinct()
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = spread_join(both.where("v > u"), least, ["u"], "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = settle(small.where("u > v").distinct(), "edges")
+        last, edges = edges, settle(small.where("u > v").distinct(), "edges")
+        release(last)
     raise RuntimeError(f"components did not settle within {rounds} rounds")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kbspark.functions.text import content_id, strip
+from kbspark.functions.text import content_id, sanitize, strip
 
 #: After any of these a window may be cut.
 STOPS = "。.,，!?！？\n"
@@ -51,14 +51,14 @@ def stride_chunks(docs: DataFrame, size: int = 1024, overlap: int = 128, split:
     return each.select("doc_id", order.alias("chunk_order"), "tokens", "text")
 
 
-def _window_cuts(text: str, size: int, overlap: int, encode: Callable, decode: Callable) -> Iterator[tuple[int, int, str]]:
+def _window_cuts(text: str, size: int, overlap: int, encode: Callable, decode: Callable, stops: str) -> Iterator[tuple[int, int, str]]:
     tokens = encode(text)
     at = 0
     while at < len(tokens):
         end = min(at + size, len(tokens))
         piece = decode(tokens[at:end])
         if end < len(tokens):
-            stop = max(piece.rfind(c) for c in STOPS)
+            stop = max((piece.rfind(c) for c in stops), default=-1)
             if stop > 0:
                 piece = piece[: stop + 1]
                 end = at + max(1, len(encode(piece)))
@@ -69,8 +69,8 @@ def _window_cuts(text: str, size: int, overlap: int, encode: Callable, decode: C
         at = end - overlap
 
 
-def sentence_chunks(docs: DataFrame, size: int = 1024, overlap: int = 50, encode: Callable | None = None, decode: Callable | None = None) -> DataFrame:
-    """doc_id, chunk_order, start, end, text: token windows cut after the last stop inside, the next one ``overlap``
+def sentence_chunks(docs: DataFrame, size: int = 1024, overlap: int = 50, encode: Callable | None = None, decode: Callable | None = None, stops: str = STOPS) -> DataFrame:
+    """doc_id, chunk_order, start, end, text: token windows cut after the last of the stops inside, the next one ``overlap``
     tokens before the end; ends where it would not advance. encode and decode are a tokenizer (U3); by default
     tokens are runs of non-blanks with the blanks before them."""
     enc = encode or (lambda t: re.findall(r"\s*\S+|\s+$", t))
@@ -78,12 +78,23 @@ def sentence_chunks(docs: DataFrame, size: int = 1024, overlap: int = 50, encode
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(d, i, s, e, t) for d, text in zip(frame["doc_id"], frame["text"], strict=True) if text for i, (s, e, t) in enumerate(_window_cuts(text, size, overlap, enc, dec))]
+            rows = [(d, i, s, e, t) for d, text in zip(frame["doc_id"], frame["text"], strict=True) if text for i, (s, e, t) in enumerate(_window_cuts(text, size, overlap, enc, dec, stops))]
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_order", "start", "end", "text"])
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_order int, start int, end int, text string")
 
 
+def custom_chunks(docs: DataFrame, chunker: Callable[[str], list[str]]) -> DataFrame:
+    """doc_id, chunk_order, text: what a chunker of the user's makes of each text of docs(doc_id, text)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(d, i, piece) for d, text in zip(frame["doc_id"], frame["text"], strict=True) if text for i, piece in enumerate(chunker(text))]
+            yield pd.DataFrame(rows, columns=["doc_id", "chunk_order", "text"])
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_order int, text string")
+
+
 # Punctuation from strongest to weakest.
 _PUNCTUATION = [".", "?", "!", "*", ";", ",", "(", ")", "[", "]", "“", "”", "‘", "’", "'", '"', "`", ":", "—", "…", "/", "\\", "–", "&", "-"]
 
@@ -273,6 +284,9 @@ def page_layout(blocks: DataFrame) -> DataFrame:
 
 
 def first_texts(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """The first row (by key) of each text. Texts are compared by their SHA-256; counting is pre-summed by task."""
-    first = docs.groupBy(content_id(F.col(text)).alias("_h")).agg(F.min(key).alias(key)).select(key)
-    return docs.join(first, key, "left_semi")
+    """The first row (by key) of each sanitised text, which it has from then on; null and empty ones go. Texts are
+    compared by their SHA-256; counting is pre-summed by task. A key that repeats is an error of the caller's: all
+    its rows stay if one is a first."""
+    clean = docs.withColumn(text, sanitize(F.col(text))).where(F.col(text) != "")
+    first = clean.groupBy(content_id(F.col(text)).alias("_h")).agg(F.min(key).alias(key)).select(key)
+    return clean.join(first, key, "left_semi")

@@ -43,6 +43,9 @@ def subgraph(starts: DataFrame, edges: DataFrame, depth: int = 3, most: int = 10
     seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct()
     front = seen
     for level in range(1, depth + 1):
+        # deeper nodes come after all that are seen, so a start with more than enough goes no further
+        full = seen.groupBy("start").agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+        front = front.join(full, "start", "left_anti")
         new = front.select("start", F.col("node").alias("src")).join(both, "src").select("start", F.col("dst").alias("node")).distinct()
         front = settle(new.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(level)), "front")
         seen = seen.unionByName(front)
@@ -116,11 +119,14 @@ def global_retrieval(queries: DataFrame, relations: DataFrame, k: int) -> tuple[
     return hits, first.withColumn("position", F.row_number().over(W.partitionBy("query_id").orderBy("o", "node"))).select("query_id", "node", "position")
 
 
-def hybrid_context(local: DataFrame, global_: DataFrame, budget: int) -> DataFrame:
-    """(query_id, id, position, tokens): two ranked lists(query_id, id, rank, tokens) in turns, within a token budget."""
-    lists = local.select("query_id", F.lit(0).alias("list"), "rank", "id").unionByName(global_.select("query_id", F.lit(1).alias("list"), "rank", "id"))
-    tokens = local.select("id", "tokens").unionByName(global_.select("id", "tokens")).groupBy("id").agg(F.max("tokens").alias("tokens"))
-    return ranking.within_budget(ranking.interleave(lists).join(tokens, "id"), ["query_id"], ["position"], "tokens", budget)
+def mix_context(parts: list[tuple[DataFrame, int]]) -> DataFrame:
+    """query_id, id, position: ranked lists(query_id, id, rank, tokens), such as local and global hits and chunks, each
+    within its own token budget, then in turns; a repeated id counts where it comes first."""
+    out = None
+    for i, (rows, budget) in enumerate(parts):
+        one = ranking.within_budget(rows, ["query_id"], ["rank", "id"], "tokens", budget).select("query_id", F.lit(i).alias("list"), "rank", "id")
+        out = one if out is None else out.unionByName(one)
+    return ranking.interleave(out)
 
 
 def effective_mode(queries: DataFrame) -> DataFrame:
@@ -149,8 +155,10 @@ def dedup_rounds(rows: DataFrame, key: str, merge: Callable[[DataFrame], DataFra
 
 
 def cluster_merge(records: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(records with their cluster's name, mapping(old, canonical)) of records(id, block, name, embedding), in one pass."""
-    found = vectors.clusters_linked(records, similarity)
+    """(records with their cluster's name, mapping(old, canonical)) of records(id, block, name, embedding): average
+    linkage of all records of a block at once, where batches would be reduced in pairs. What a policy makes of a
+    cluster's records is infer.merge_groups by cluster."""
+    found = vectors.clusters_average(records, similarity)
     named = records.join(found, "id")
     best = named.groupBy("cluster").agg(F.min(F.struct((-F.length("name")).alias("l"), F.col("name").alias("n")))["n"].alias("canonical"))
     out = named.join(best, "cluster")

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kbspark.functions.text import index_tokens
+from kbspark.jobs import settle
+from kbspark.operators.vectors import candidates, kept
 
 K1, B = 1.5, 0.75
+MOST_ASKED = 500_000  # (query, token) rows that are shipped
 
 
 def inverted_index(chunks: DataFrame, tokens: Column | None = None) -> DataFrame:
@@ -21,10 +29,23 @@ def inverted_index(chunks: DataFrame, tokens: Column | None = None) -> DataFrame
 
 def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int, match: str = "all", tokens: Column | None = None) -> DataFrame:
     """query_id, id, score, rank: BM25 of chunks(id, text) for queries(query_id, text); ``all``: only chunks that hold
-    every query token. Rounded to 6 digits, ties by id. Only postings of query tokens are joined."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(index_tokens(F.col("text")))).alias("token"))
-    wanted = asked.groupBy("query_id").agg(F.count("*").alias("wanted"))
+    every query token. Rounded to 6 digits, ties by id.
+
+    Up to MOST_ASKED query tokens are shipped: one pass counts them in each chunk, a second scores whole chunks and
+    keeps k a query and task, so only those are shuffled. More are joined with the postings of the chunks.
+    """
+    asked = queries.select("query_id", F.explode(F.array_distinct(index_tokens(F.col("text")))).alias("token")).distinct()
     each = chunks.select("id", (tokens if tokens is not None else index_tokens(F.col("text"))).alias("t")).where("size(t) > 0")
+    if asked.limit(MOST_ASKED + 1).count() > MOST_ASKED:
+        hits = _by_postings(asked, each, match)
+    else:
+        hits = _by_chunks(asked, each, k, match)
+    ranked = hits.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id")))
+    return ranked.where(F.col("rank") <= k)
+
+
+def _by_postings(asked: DataFrame, each: DataFrame, match: str) -> DataFrame:
+    wanted = asked.groupBy("query_id").agg(F.count("*").alias("wanted"))
     stats = each.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))  # one row
     postings = each.select("id", F.size("t").alias("size"), F.explode("t").alias("token")).join(asked.select("token").distinct(), "token", "left_semi").groupBy("token", "id").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
     df = postings.groupBy("token").agg(F.count("*").alias("df"))
@@ -34,8 +55,78 @@ def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int, match: str = "al
     hits = asked.join(scored.select("token", "id", weight.alias("weight")), "token").groupBy("query_id", "id").agg(F.sum("weight").alias("score"), F.count("*").alias("found"))
     if match == "all":
         hits = hits.join(wanted, "query_id").where("found = wanted")
-    ranked = hits.select("query_id", "id", F.round("score", 6).alias("score")).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id")))
-    return ranked.where(F.col("rank") <= k)
+    return hits.select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+def _counted(shipped):
+    """Of chunks(id, t), how often each shipped token occurs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(shipped.value)
+        for batch in batches:
+            lists = batch.column(1)
+            at = pc.index_in(lists.flatten(), value_set=names).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            size = np.diff(np.asarray(lists.offsets))
+            row = np.repeat(np.arange(batch.num_rows), size)
+            cell, tf = np.unique(row[at >= 0] * (len(names) + 1) + at[at >= 0], return_counts=True)
+            ends = np.searchsorted(cell, np.arange(batch.num_rows + 1) * (len(names) + 1)).astype(np.int32)
+            listed = lambda x: pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32)))  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size.astype(np.int64)), listed(cell % (len(names) + 1)), listed(tf)], ["id", "size", "token", "tf"])
+
+    return run
+
+
+def _scored(shipped, k: int, match: str):
+    """The k best of a task's counted chunks for each query. ``first``: where the queries of a token begin in ``of``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, wanted, first, of, idf, mean = shipped.value
+        n, best = len(names), []
+        step = max(1, 4_000_000 // max(n, 1))
+        for batch in batches:
+            for s in range(0, batch.num_rows, step):
+                part = batch.slice(s, step)
+                ids, size = part.column(0).to_numpy(), part.column(1).to_numpy()
+                row = np.repeat(np.arange(len(ids)), pc.list_value_length(part.column(2)).to_numpy())
+                token, tf = (part.column(i).flatten().to_numpy() for i in (2, 3))
+                weight = idf[token] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[row] / mean))
+                times = first[token + 1] - first[token]
+                at = np.repeat(first[token] - np.cumsum(times) + times, times) + np.arange(times.sum())
+                cell = np.repeat(row, times) + of[at] * len(ids)
+                score = np.round(np.bincount(cell, np.repeat(weight, times), n * len(ids)).reshape(n, -1), 6)
+                found = np.bincount(cell, minlength=n * len(ids)).reshape(n, -1)
+                score[found < (wanted[:, None] if match == "all" else 1)] = -np.inf
+                i, j = candidates(score, k)
+                best.append((i, score[i, j], ids[j]))
+                if len(best) > 16:
+                    best = _kept(best, k)
+        if best:
+            i, score, ids = _kept(best, k)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(ids), pa.array(score)], ["query_id", "id", "score"])
+
+    return run
+
+
+def _kept(best: list, k: int) -> list:
+    parts = [np.concatenate(x) for x in zip(*best, strict=True)]
+    keep = kept(*parts, k)
+    return [tuple(x[keep] for x in parts)]
+
+
+def _by_chunks(asked: DataFrame, each: DataFrame, k: int, match: str) -> DataFrame:
+    spark = each.sparkSession
+    pairs = asked.toArrow()  # at most MOST_ASKED rows
+    names, query = np.unique(pairs["query_id"].to_numpy(), return_inverse=True)
+    words, token = np.unique(np.array(pairs["token"].to_pylist(), object).astype(str), return_inverse=True)
+    counted = settle(each.mapInArrow(_counted(spark.sparkContext.broadcast(words.tolist())), "id long, size long, token array<int>, tf array<int>"), "keyword-counts")
+    n, mean = counted.agg(F.count("*"), F.avg("size")).first()
+    df = np.zeros(len(words))
+    seen = counted.select(F.explode("token").alias("token")).groupBy("token").agg(F.count("*").alias("df")).toArrow()  # at most a row a query token
+    df[seen["token"].to_numpy()] = seen["df"].to_numpy()
+    order = np.argsort(token, kind="stable")
+    first = np.concatenate([[0], np.cumsum(np.bincount(token, minlength=len(words)))])
+    shipped = spark.sparkContext.broadcast((names, np.bincount(query, minlength=len(names)), first, query[order], np.log(1 + (n - df + 0.5) / (df + 0.5)), mean))
+    return counted.where("size(token) > 0").mapInArrow(_scored(shipped, k, match), "query_id long, id long, score double")
 
 
 def triple_topk(queries: DataFrame, triples: DataFrame, k: int = 5) -> DataFrame:

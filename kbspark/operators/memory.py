@@ -60,9 +60,8 @@ def add_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 def recall_candidates(facts: DataFrame, memories: DataFrame, k: int = 5) -> DataFrame:
     """M2: scope, id, alias: the k nearest memories(id, scope, embedding) of each of facts(query_id, scope, embedding) within
     its scope, distinct in a scope, with short numbers from 0."""
-    pairs = facts.select("query_id", "scope", F.col("embedding").alias("q")).join(memories, "scope")
-    scored = pairs.select("query_id", "scope", "id", F.round(vectors.dot(F.col("q"), F.col("embedding")) / (vectors.norm(F.col("q")) * vectors.norm(F.col("embedding"))), 6).alias("score"))
-    ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "scope").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    hits = vectors.topk(facts, memories, k, cosine=True, scope="scope")
+    ranked = hits.join(facts.select("query_id", "scope"), "query_id")
     return ranked.select("scope", "id").distinct().withColumn("alias", F.row_number().over(W.partitionBy("scope").orderBy("id")) - 1)
 
 

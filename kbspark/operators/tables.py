@@ -25,6 +25,13 @@ def declared_schema(columns: list[tuple[str, str, str]]) -> T.StructType:
     return T.StructType([T.StructField(re.sub(r"[^0-9A-Za-z_一-鿿]", "_", n.strip()) or "_", kinds.get(k, T.StringType()), True, {"comment": d}) for n, d, k in columns])
 
 
+def table_text(name: str, schema: T.StructType) -> str:
+    """The text that makes such a table, with its comments."""
+    quoted = lambda x: x.replace("'", "''")
+    lines = [f"  `{f.name}` {f.dataType.simpleString().upper()} COMMENT '{quoted(f.metadata.get('comment', ''))}'" for f in schema]
+    return f"CREATE TABLE `{name}` (\n" + ",\n".join(lines) + "\n)"
+
+
 def years(spark: SparkSession, start: int, end: int) -> DataFrame:
     """Position, value of the years start..end."""
     return spark.range(start, end + 1).select((F.col("id") - start).alias("position"), F.col("id").cast("string").alias("value"))

@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kbspark.jobs import components, settle
+from kbspark.jobs import components, settle, spread_join
 
 QUERY_BLOCK = 4096  # queries that are shipped at once
-CLUSTER_BLOCK = 2000  # rows of a block of exact average linkage
+SLICE = 50_000  # rows of the corpus that a block of queries meets at once where there are more queries
+TILE = 512  # rows of a block that are compared with as many at once
+CLUSTER_BLOCK = 8000  # linked rows of exact average linkage
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -39,61 +41,112 @@ def topk_one(corpus: DataFrame, vector: list[float], k: int, threshold: float |
     return out.orderBy(F.desc("score"), "id").limit(k)
 
 
-def _block_topk(shipped, k: int, cosine: bool, floor: float | None):
+def kept(group: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Which rows are among the k of their group with the largest scores; ties by id."""
+    order = np.lexsort((ids, -score, group))
+    g = group[order]
+    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+    place = np.arange(len(g)) - np.repeat(first, np.diff(np.concatenate([first, [len(g)]])))
+    return order[place < k]
+
+
+def candidates(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest finite scores of each row and of those that tie with the last."""
+    if score.shape[1] > k:
+        least = np.partition(score, score.shape[1] - k, 1)[:, score.shape[1] - k, None]
+        return np.nonzero((score >= least) & (score > -np.inf))
+    return np.nonzero(score > -np.inf)
+
+
+def _matrix(column: pa.Array, n: int, cosine: bool) -> np.ndarray:
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 0))
+    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300) if cosine else x
+
+
+def _best_of(names, q, q_scope, ids, x, scope, k: int, floor: float | None, digits: int, scoped: bool):
+    """(query, scope, id, score) of the best rows for each query: within each scope where there are any, only the query's own if scoped."""
+    out = []
+    for c in np.unique(scope) if scope is not None else [None]:
+        cols = np.arange(len(ids)) if c is None else np.flatnonzero(scope == c)
+        rows = np.flatnonzero(q_scope == c) if scoped else np.arange(len(names))
+        if not len(cols) or not len(rows):
+            continue
+        s = q[rows] @ x[cols].T
+        s = np.where(s > floor, np.round(s, digits), -np.inf) if floor is not None else np.round(s, digits)
+        i, j = candidates(s, k)
+        out.append((rows[i], np.full(len(i), 0 if c is None else c), ids[cols[j]], s[i, j]))
+    return out
+
+
+def _joined(found: list, k: int):
+    q, c, ids, s = (np.concatenate(x) for x in zip(*found, strict=True))
+    _, group = np.unique(np.stack([q, c]), axis=1, return_inverse=True)
+    keep = kept(group.ravel(), s, ids, k)
+    return [(q[keep], c[keep], ids[keep], s[keep])]
+
+
+def _block_topk(shipped, k: int, cosine: bool, floor: float | None, digits: int, scoped: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, q = shipped.value
-        best: list[tuple[np.ndarray, np.ndarray]] = []
+        names, q, q_scope = shipped.value
+        best: list = []
         for batch in batches:
             for at in range(0, batch.num_rows, 8192):
                 part = batch.slice(at, 8192)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
-                if cosine:
-                    x = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
-                s = q @ x.T
-                if floor is not None:
-                    s = np.where(s > floor, s, -np.inf)
-                n = min(k, s.shape[1])
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), 1)[:, :n]
-                best.append((np.take_along_axis(s, order, 1), ids[order]))
+                scope = part.column(2).to_numpy(zero_copy_only=False) if part.num_columns > 2 else None
+                best += _best_of(names, q, q_scope, part.column(0).to_numpy(zero_copy_only=False), _matrix(part.column(1), part.num_rows, cosine), scope, k, floor, digits, scoped)
                 if len(best) > 16:
-                    best = [_merge(best, k)]
+                    best = _joined(best, k)
         if best:
-            s, i = _merge(best, k)
-            rows, _ = np.nonzero(s > -np.inf)
-            keep = s > -np.inf
-            yield pa.RecordBatch.from_arrays([pa.array(names[rows]), pa.array(i[keep]), pa.array(s[keep])], ["query_id", "id", "score"])
+            i, c, ids, s = _joined(best, k)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(c.astype(np.int64)), pa.array(ids), pa.array(s)], ["query_id", "scope", "id", "score"])
 
     return run
 
 
-def _merge(best: list, k: int):
-    s, i = np.concatenate([b[0] for b in best], 1), np.concatenate([b[1] for b in best], 1)
-    order = np.lexsort((i, -s), 1)[:, :k]
-    return np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+_HITS = "query_id long, scope long, id long, score double"
+
 
+def _tiled(asked: DataFrame, rows: DataFrame, n: int, k: int, cosine: bool, floor: float | None, digits: int, scoped: bool) -> DataFrame:
+    """Blocks of queries meet slices of the corpus, a task a pair; each slice goes once to every block."""
+    blocks, slices = -(-n // QUERY_BLOCK), max(1, -(-rows.count() // SLICE))
+    q = asked.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    c = rows.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
 
-def topk(queries: DataFrame, corpus: DataFrame, k: int, cosine: bool = False, floor: float | None = None, digits: int = 6) -> DataFrame:
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.combine_chunks(), right.combine_chunks()
+        names, ids = left["query_id"].to_numpy(), right["id"].to_numpy()
+        vector = lambda t: _matrix(pa.concat_arrays(t["embedding"].chunks), t.num_rows, cosine) if t.num_rows else np.zeros((0, 0))
+        found = []
+        if len(names) and len(ids):
+            found = _best_of(names, vector(left), left["scope"].to_numpy() if scoped else None, ids, vector(right), right["scope"].to_numpy() if "scope" in right.column_names else None, k, floor, digits, scoped)
+        i, g, ids, s = _joined(found, k)[0] if found else (np.zeros(0, int),) * 4
+        return pa.table([pa.array(names[i], pa.int64()), pa.array(g, pa.int64()), pa.array(ids, pa.int64()), pa.array(s, pa.float64())], ["query_id", "scope", "id", "score"])
+
+    return q.groupBy("b", "s").cogroup(c.groupBy("b", "s")).applyInArrow(meet, _HITS)
+
+
+def topk(queries: DataFrame, corpus: DataFrame, k: int, cosine: bool = False, floor: float | None = None, digits: int = 6, per: str | None = None, scope: str | None = None) -> DataFrame:
     """V5, V3: query_id, id, score, rank of the k best rows of corpus(id long, embedding) for each of queries(query_id long, embedding).
 
-    Queries are shipped in blocks of QUERY_BLOCK and met by every corpus partition once a block; a partition
-    returns its k best a query, so the shuffle has k rows a query and partition. cosine normalises; floor
-    keeps scores above it. Scores are rounded, ties go to the smaller id.
+    Up to QUERY_BLOCK queries are shipped and met by every corpus partition; more of them are cut into blocks that
+    meet slices of the corpus in tasks of their own. A task returns its k best a query, so the last shuffle
+    has k rows a query and task. cosine normalises; floor keeps scores above it. Scores are rounded, ties go to
+    the smaller id. ``per``: the k best of each value of a corpus column, ranked within it; ``scope``: only rows
+    whose value of a column is the query's.
     """
-    spark = corpus.sparkSession
-    asked = queries.select("query_id", "embedding").toArrow().sort_by("query_id")  # the stated set of queries
-    out = None
-    for at in range(0, max(asked.num_rows, 1), QUERY_BLOCK):
-        part = asked.slice(at, QUERY_BLOCK).combine_chunks()
-        names = part["query_id"].to_numpy()
-        q = np.array(part["embedding"].to_pylist(), np.float64).reshape(len(names), -1)
-        if cosine and len(names):
-            q = q / np.maximum(np.sqrt((q * q).sum(1, keepdims=True)), 1e-300)
-        shipped = spark.sparkContext.broadcast((names, q))
-        found = corpus.select("id", "embedding").where("embedding is not null").mapInArrow(_block_topk(shipped, k, cosine, floor), "query_id long, id long, score double")
-        out = found if out is None else out.unionByName(found)
-    ranked = out.withColumn("score", F.round("score", digits)).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id")))
-    return ranked.where(F.col("rank") <= k)
+    code = [F.xxhash64(per or scope).alias("scope")] if per or scope else []
+    asked = queries.where("embedding is not null").select("query_id", "embedding", *([F.xxhash64(scope).alias("scope")] if scope else []))
+    rows = corpus.where("embedding is not null").select("id", "embedding", *code)
+    n = asked.limit(QUERY_BLOCK + 1).count()
+    if n <= QUERY_BLOCK:
+        t = asked.toArrow().sort_by("query_id").combine_chunks()  # at most QUERY_BLOCK rows
+        q = _matrix(pa.concat_arrays(t["embedding"].chunks), n, cosine) if n else np.zeros((0, 0))
+        shipped = corpus.sparkSession.sparkContext.broadcast((t["query_id"].to_numpy(), q, t["scope"].to_numpy() if scope else None))
+        found = rows.mapInArrow(_block_topk(shipped, k, cosine, floor, digits, bool(scope)), _HITS)
+    else:
+        found = _tiled(asked, rows, asked.count(), k, cosine, floor, digits, bool(scope))
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id", *(["scope"] if per else [])).orderBy(F.desc("score"), "id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
 
 
 def topk_scoped(queries: DataFrame, corpus: DataFrame, allowed: DataFrame, k: int, **more) -> DataFrame:
@@ -104,12 +157,7 @@ def topk_scoped(queries: DataFrame, corpus: DataFrame, allowed: DataFrame, k: in
 
 def topk_federated(queries: DataFrame, corpus: DataFrame, k: int, per: int = 10, **more) -> DataFrame:
     """V7: of corpus(id, embedding, dataset, name), ``per`` rows a dataset, the best one of a name, then k a query."""
-    names = [r["dataset"] for r in corpus.select("dataset").distinct().orderBy("dataset").collect()]  # a row a dataset
-    parts = [topk(queries, corpus.where(F.col("dataset") == d), per, **more).withColumn("dataset", F.lit(d)) for d in names]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    found = found.join(corpus.select("id", "name"), "id")
+    found = topk(queries, corpus, per, per="dataset", **more).join(corpus.select("id", "name"), "id")
     one = found.withColumn("_n", F.row_number().over(W.partitionBy("query_id", "name").orderBy(F.desc("score"), "id"))).where("_n = 1")
     return one.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k).drop("_n")
 
@@ -161,23 +209,59 @@ def resolve(new: DataFrame, old: DataFrame, least: float = 0.9) -> DataFrame:
     return new.select("query_id").join(found, "query_id", "left").select("query_id", "match_id", F.coalesce("match_id", "query_id").alias("node_id"))
 
 
+def _tile_links(limit: float):
+    """Of a tile's rows (a pair of sub-blocks of a block), links that span what lies within ``limit``: at most one a row."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        ids, side = t["id"].to_numpy(), t["side"].to_numpy()
+        x = _matrix(pa.concat_arrays(t["embedding"].chunks), len(ids), True)
+        left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+        i, j = np.nonzero(np.sqrt(np.maximum(2 - 2 * x[left] @ x[right].T, 0)) <= limit)
+        i, j = left[i], right[j]
+        rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+        root = rank.copy()
+        while True:  # the smallest rank among linked rows, until nothing changes
+            new = root.copy()
+            np.minimum.at(new, i, root[j])
+            np.minimum.at(new, j, root[i])
+            if (new == root).all():
+                break
+            root = new
+        keep = root != rank
+        return pa.table([pa.array(np.sort(ids)[root[keep]]), pa.array(ids[keep])], ["a", "b"])
+
+    return run
+
+
 def clusters_linked(corpus: DataFrame, similarity: float) -> DataFrame:
     """V10 at scale: id, cluster by single linkage of rows(id, block, embedding) of a block whose unit vectors lie within
-    1 - similarity of each other. Links come from block joins; a row without vector stands alone."""
-    distance = 1 - similarity
+    1 - similarity of each other. A block is compared in tiles of at most 2 TILE rows, whose tasks return spanning
+    links, never pairs; a row without vector stands alone."""
     rows = corpus.where("embedding is not null").select("id", "block", "embedding")
-    a, b = rows.select(F.col("id").alias("a"), "block", F.col("embedding").alias("x")), rows.select(F.col("id").alias("b"), "block", F.col("embedding").alias("y"))
-    links = a.join(b, "block").where("a < b").where(F.sqrt(F.greatest(2 - 2 * dot(F.col("x"), F.col("y")) / (norm(F.col("x")) * norm(F.col("y"))), F.lit(0.0))) <= distance)
-    found = components(settle(links.select("a", "b"), "cluster-links"))
+    sizes = rows.groupBy("block").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+    own = spread_join(rows, sizes, ["block"], "id").withColumn("own", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    tiles = own.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    tiles = tiles.select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "id", "embedding")
+    links = tiles.groupBy("block", "i", "j").applyInArrow(_tile_links(1 - similarity), "a long, b long")
+    found = components(settle(links, "cluster-links"))
     return corpus.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
 
 
 def clusters_average(corpus: DataFrame, similarity: float) -> DataFrame:
     """Id, cluster by average linkage of unit vectors, cut at Euclidean distance 1 - similarity, within blocks of
-    rows(id, block, embedding). A block of more than CLUSTER_BLOCK rows is an error; cluster is the smallest id."""
-    largest = corpus.groupBy("block").count().agg(F.max("count")).first()[0] or 0
+    rows(id, block, embedding); cluster is the smallest id.
+
+    Clusters merge only where two of their rows lie within the distance, so each cluster lies inside one of
+    clusters_linked; those are clustered, whatever the size of their block. One of more than CLUSTER_BLOCK rows
+    is an error, since average linkage needs all its distances at once.
+    """
+    linked = settle(corpus.select("id", "embedding").join(clusters_linked(corpus, similarity), "id"), "linked")
+    sizes = linked.groupBy("cluster").agg(F.count("*").alias("n"))
+    largest = sizes.agg(F.max("n")).first()[0] or 0
     if largest > CLUSTER_BLOCK:
-        raise ValueError(f"a block has {largest} rows; use clusters_linked or smaller blocks")
+        raise ValueError(f"{largest} rows are linked; average linkage takes at most {CLUSTER_BLOCK} at once")
     cut = 1 - similarity
 
     def run(p):
@@ -202,7 +286,8 @@ def clusters_average(corpus: DataFrame, similarity: float) -> DataFrame:
             label[m] = ids[m].min()
         return p[["id"]].assign(cluster=label)
 
-    found = corpus.where("embedding is not null").groupBy("block").applyInPandas(run, "id long, cluster long")
+    many = linked.join(sizes.where("n > 1"), "cluster").select("cluster", "id", "embedding")
+    found = many.groupBy("cluster").applyInPandas(run, "id long, cluster long")
     return corpus.select("id").join(found, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kbspark.functions import answers, text
+from kbspark.jobs import settle
 from kbspark.operators import aggregates, chunking, graph, infer, joins, keyword, memory, ranking, tables, vectors
 from kbspark.plans import retrieval, views
 from kbspark.sources import files, keyed
@@ -204,9 +205,12 @@ def c9_page_layout(t):
     return chunking.page_layout(blocks).select(F.col("doc_id").alias("source"), "page", F.array_join("elements", ",").alias("elements"))
 
 
-@query("SELECT min(doc_id) AS doc_id, md5(text) AS h FROM documents WHERE text IS NOT NULL GROUP BY text")
+_CLEAN = "regexp_replace(regexp_replace(text, '[\\x{00}-\\x{08}\\x{0B}\\x{0C}\\x{0E}-\\x{1F}\\x{7F}\\x{FFFE}\\x{FFFF}]', '', 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"SELECT min(doc_id) AS doc_id, md5(t) AS h, arg_min(source, doc_id) AS source FROM (SELECT doc_id, source, {_CLEAN} AS t FROM documents) WHERE t <> '' GROUP BY t")
 def c10_exact_dedup(t):
-    return chunking.first_texts(t.documents.where("text is not null"), "text", "doc_id").select("doc_id", F.md5("text").alias("h"))
+    return chunking.first_texts(t.documents, "text", "doc_id").select("doc_id", F.md5("text").alias("h"), "source")
 
 
 @query("WITH e AS (SELECT doc_id, unnest(string_split_regex(lower(text), '\\s+')) AS token FROM documents) SELECT doc_id, CAST(count(*) AS BIGINT) AS tokens, CAST(count(DISTINCT token) AS BIGINT) AS terms FROM e WHERE token <> '' GROUP BY 1")
@@ -248,6 +252,13 @@ def v5_batch_topk(t):
     return _ranked(vectors.topk(views.vector_queries(t), views.vectors(t), 10))
 
 
+@query("SELECT CAST(count(*) AS BIGINT) AS n, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
+def v6_recall(t):
+    """Whether the approximate search finds nine tenths of what the exact one does."""
+    both = vectors.topk(views.vector_queries(t), views.vectors(t), 10).select("query_id", "id").join(vectors.topk_approximate(views.vector_queries(t), views.vectors(t), 10, lists=16, probe=12).select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    return both.groupBy("query_id").agg(F.sum("hit").alias("hits"), F.count("*").alias("of")).agg(F.count("*").alias("n"), (F.sum("hits") >= 0.9 * F.sum("of")).alias("enough"))
+
+
 @query()
 def v6_approximate_topk(t):
     return _ranked(vectors.topk_approximate(views.vector_queries(t), views.vectors(t), 10, lists=16, probe=12))
@@ -278,6 +289,14 @@ def v12_resolve(t):
 
 @query()
 def v10_clusters(t):
+    return vectors.clusters_average(views.vectors(t).withColumnRenamed("dataset", "block"), 0.4)
+
+
+_LINKS = f"l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE sqrt(greatest(2 - 2 * list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 0)) <= 0.6)"
+
+
+@query(f"WITH RECURSIVE {_LINKS}, w(n, m) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, w.m FROM w JOIN l ON l.a = w.n) SELECT n AS id, min(m) AS cluster FROM w GROUP BY 1")
+def v10_linked(t):
     return vectors.clusters_linked(views.vectors(t).withColumnRenamed("dataset", "block"), 0.4)
 
 
@@ -302,9 +321,16 @@ def w4_keyword_any(t):
     return out.select("query_id", "id")
 
 
-@query()
+_TRIPLES = """WITH tok AS (SELECT DISTINCT l_partkey * 100 + ascii(l_returnflag) AS id, [lower(p_name), lower(l_returnflag), lower(p_brand)] AS t FROM lineitem JOIN part ON l_partkey = p_partkey), st AS (SELECT count(*) AS n FROM tok),
+q AS (SELECT DISTINCT query_id, unnest(string_split(lower(replace(p_brand, ' ', '_') || ' r ' || p_name), ' ')) AS token FROM (SELECT p_name, p_brand, min(p_partkey) AS query_id FROM part GROUP BY ALL)),
+tf AS (SELECT id, token, count(*) AS tf FROM (SELECT id, unnest(t) AS token FROM tok) WHERE token IN (SELECT token FROM q) GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
+s AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE)), 6) AS score FROM q JOIN tf USING (token) JOIN df USING (token), st GROUP BY ALL)
+SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5"""
+
+
+@query(_TRIPLES)
 def w3_triple_search(t):
-    triples = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("p_name").alias("source"), F.col("l_returnflag").alias("relation"), F.col("p_brand").alias("destination"))
+    triples = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).select((F.col("l_partkey") * 100 + F.ascii("l_returnflag")).alias("id"), F.col("p_name").alias("source"), F.col("l_returnflag").alias("relation"), F.col("p_brand").alias("destination")).distinct()
     asked = t.part.groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("query_id")).select("query_id", F.concat_ws(" ", F.translate("p_brand", " ", "_"), F.lit("R"), "p_name").alias("text"))
     return keyword.triple_topk(asked, triples).select("query_id", "id", "score")
 
@@ -339,7 +365,10 @@ def w7_token_budget(t):
     return ranking.within_budget(rows, ["o_custkey"], ["o_orderkey"], "tokens", 300000).select("o_custkey", "o_orderkey")
 
 
-@query()
+@query("""WITH w AS (SELECT l_suppkey AS query_id, CAST(month(l_shipdate) AS INT) AS owner_rank, l_orderkey * 10 + l_linenumber AS id FROM lineitem), o AS (SELECT query_id, owner_rank, count(*) AS has FROM w GROUP BY ALL), i AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY owner_rank) - 1 AS i, count(*) OVER (PARTITION BY query_id) AS n FROM o),
+u AS (SELECT *, CASE WHEN n = 1 THEN 5 ELSE CAST(round_even(5 - i / (n - 1) * 4, 0) AS INT) END AS quota FROM i), l AS (SELECT *, sum(CASE WHEN n = 1 THEN 0 ELSE greatest(quota - has, 0) END) OVER (PARTITION BY query_id) AS spare FROM u),
+r AS (SELECT w.*, quota, spare, row_number() OVER (PARTITION BY query_id, owner_rank ORDER BY id) AS place FROM w JOIN l USING (query_id, owner_rank)), x AS (SELECT *, row_number() OVER (PARTITION BY query_id, place <= quota ORDER BY owner_rank, place) AS extra FROM r)
+SELECT query_id, owner_rank, id, row_number() OVER (PARTITION BY query_id ORDER BY place <= quota DESC, owner_rank, place) AS position FROM x WHERE place <= quota OR extra <= spare""")
 def w9_weighted_polling(t):
     owned = t.lineitem.select(F.col("l_suppkey").alias("query_id"), F.month("l_shipdate").alias("owner_rank"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).withColumn("chunk_rank", F.col("id"))
     return ranking.poll_weighted(owned, 5).withColumn("position", F.col("position").cast("long"))
@@ -658,10 +687,14 @@ def g2_canonical_names(t):
     return graph.canonical_names(t.part.select(F.col("p_brand").alias("root"), F.col("p_name").alias("name")))
 
 
-@query(f"""WITH RECURSIVE {views.EDGES}, b AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), w(s, n, d) AS (SELECT 's' || s_suppkey, 's' || s_suppkey, 0 FROM supplier UNION SELECT s, b, d + 1 FROM w JOIN b ON a = n WHERE d < 1) SELECT s AS start, n AS node, CAST(min(d) AS BIGINT) AS depth FROM w GROUP BY ALL""")
+@query(f"""WITH RECURSIVE {views.EDGES}, b AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), g AS (SELECT a AS n, count(*) AS degree FROM b GROUP BY 1), w(s, n, d) AS (SELECT 's' || s_suppkey, 's' || s_suppkey, 0 FROM supplier UNION SELECT s, b, d + 1 FROM w JOIN b ON a = n WHERE d < 3),
+m AS (SELECT s, n, min(d) AS d FROM w GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY d, degree DESC NULLS LAST, n) AS r, count(*) OVER (PARTITION BY s) AS c FROM m LEFT JOIN g USING (n)), k AS (SELECT * FROM r WHERE r <= 1000), x AS (SELECT k.s, count(*) AS edges FROM k JOIN b ON a = k.n JOIN k o ON o.s = k.s AND o.n = b.b WHERE a < b.b GROUP BY 1)
+SELECT s AS start, n AS node, CAST(d AS BIGINT) AS depth, c > 1000 AS truncated, CAST(coalesce(edges, 0) AS BIGINT) AS edges FROM k LEFT JOIN x USING (s)""")
 def g3_subgraph(t):
     starts = t.supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("start"))
-    return graph.subgraph(starts, views.edges(t), 1, 10**9)[0].select("start", "node", F.col("depth").cast("long").alias("depth"))
+    nodes, kept = graph.subgraph(starts, views.edges(t))
+    n = kept.groupBy("start").agg(F.count("*").alias("edges"))
+    return nodes.join(n, "start", "left").select("start", "node", F.col("depth").cast("long").alias("depth"), "truncated", F.coalesce("edges", F.lit(0)).alias("edges"))
 
 
 @query("WITH m AS (SELECT p_partkey, 'p' || min(p_partkey) OVER (PARTITION BY p_name, p_brand) AS c FROM part) SELECT least(c, 's' || l_suppkey) AS src, greatest(c, 's' || l_suppkey) AS dst, max(l_quantity) AS weight, array_to_string(list_sort(list_distinct(list(l_linestatus))), ',') AS keywords, CAST(count(DISTINCT l_orderkey) AS BIGINT) AS sources FROM lineitem JOIN m ON p_partkey = l_partkey GROUP BY 1, 2")
@@ -706,7 +739,7 @@ def g8_local_retrieval(t):
     return graph.local_retrieval(views.vector_queries(t), views.vectors(t), e, 10)[0].select("query_id", F.col("rank").cast("long").alias("rank"), "id", "score")
 
 
-@query()
+@query(f"WITH h AS ({_TOP.format(score=_IP, more='', k=10)}), e AS (SELECT query_id, rank * 10 AS o, 'a' || id % 13 AS node FROM h UNION ALL SELECT query_id, rank * 10 + 1, 'b' || label FROM h JOIN embeddings ON vec_id = id), f AS (SELECT query_id, node, min(o) AS o FROM e GROUP BY ALL) SELECT query_id, node, row_number() OVER (PARTITION BY query_id ORDER BY o, node) AS position FROM f")
 def g9_global_retrieval(t):
     r = views.vectors(t).select("id", F.concat(F.lit("a"), F.col("id") % 13).alias("src"), F.concat(F.lit("b"), F.col("dataset")).alias("dst"), "embedding")
     return graph.global_retrieval(views.vector_queries(t), r, 10)[1].withColumn("position", F.col("position").cast("long"))
@@ -719,15 +752,26 @@ def _embedded(df: DataFrame) -> DataFrame:
 # --- composite retrieval -------------------------------------------------------------------------------------
 
 
+def _corpus(t) -> tuple[DataFrame, DataFrame]:
+    """(embedded chunks, embedded queries); a chunk is embedded once."""
+    return settle(_embedded(views.chunks(t)), "embedded-chunks"), settle(_embedded(t.benchmark.select(F.col("item_id").alias("query_id"), "text")), "embedded-queries")
+
+
+def _owners(c: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entities, relations, lineage): documents own their chunks, neighbouring chunks of one document the two of them."""
+    mean = F.array(*[F.avg(F.get("embedding", F.lit(i))) for i in range(64)]).cast("array<float>").alias("embedding")
+    entities = c.groupBy((-F.col("doc_id") - 1).alias("id")).agg(mean)
+    after = c.select((F.col("id") - 1).alias("id"), F.col("embedding").alias("e"))
+    relations = c.join(after, "id").select("id", F.zip_with("embedding", "e", lambda x, y: ((x + y) / 2).cast("float")).alias("embedding"))
+    pairs = relations.select(F.col("id").alias("owner_id"), F.explode(F.array(F.col("id"), F.col("id") + 1)).alias("chunk_id"))
+    return entities, relations, c.select((-F.col("doc_id") - 1).alias("owner_id"), F.col("id").alias("chunk_id")).unionByName(pairs)
+
+
 @query()
 def q_naive_hybrid(t):
-    """Q1 and Q5 over documents: hashed embeddings of chunks, benchmark items as queries, sources as entities."""
-    c = _embedded(views.chunks(t))
-    asked = _embedded(t.benchmark.select(F.col("item_id").alias("query_id"), "text"))
-    owners = t.documents.select("doc_id", F.xxhash64("source").alias("owner_id"))
-    lineage = c.join(owners, "doc_id").select("owner_id", F.col("id").alias("chunk_id"))
-    centers = c.join(owners, "doc_id").groupBy("owner_id").agg(F.array(*[F.avg(F.get("embedding", F.lit(i))) for i in range(64)]).cast("array<float>").alias("embedding")).withColumnRenamed("owner_id", "id")
-    hits = retrieval.naive_hybrid(asked, c.select("id", "embedding"), centers, lineage, 10)
+    """Q1 and Q5 over documents: hashed embeddings of chunks, benchmark items as queries."""
+    c, asked = _corpus(t)
+    hits = retrieval.naive_hybrid(asked, c.select("id", "embedding"), *_owners(c), 10)
     named = hits.join(c.select("id", "doc_id"), "id").join(t.documents.select("doc_id", F.col("lang").alias("dataset"), "source"), "doc_id")
     return ranking.citations(named).select("query_id", "rank", "id", "score", "source", "number")
 
@@ -741,21 +785,28 @@ def q5_keyword_citations(t):
 
 @query()
 def q2_hybrid_rerank(t):
-    c = _embedded(views.chunks(t))
-    asked = _embedded(t.benchmark.select(F.col("item_id").alias("query_id"), "text"))
-    return retrieval.hybrid_rerank(asked, c, t.spark.createDataFrame([], "query_id long, id long"), 10)
+    """The chunks of the nearest documents are boosted; the external score is the cosine of the candidates."""
+    c, asked = _corpus(t)
+    entities, _, lineage = _owners(c)
+    owners = vectors.topk(asked, entities, 5).select("query_id", F.col("id").alias("owner_id"))
+    linked = joins.chunks_of(owners, lineage.select("owner_id", F.col("chunk_id").alias("id"))).select("query_id", "id")
+    scores = vectors.topk(asked, c.select("id", "embedding"), 200, cosine=True).select("query_id", "id", F.col("score").alias("rerank"))
+    return retrieval.hybrid_rerank(asked, c, linked, 10, scores=scores)
 
 
-@query()
+_VARIATIONS = "(SELECT item_id * 10 AS item_id, text FROM benchmark UNION ALL SELECT item_id * 10 + 1, array_to_string(list_slice(string_split_regex(text, '\\s+'), 1, 8), ' ') FROM benchmark UNION ALL SELECT item_id * 10 + 2, array_to_string(list_reverse(string_split_regex(text, '\\s+')), ' ') FROM benchmark)"
+
+
+@query(_BM25.replace("FROM benchmark)", f"FROM {_VARIATIONS})") + ", h AS (SELECT query_id // 10 AS q, query_id % 10 * 1000000 + rank AS rank, id, text FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) JOIN chunks USING (id) WHERE rank <= 5), f AS (SELECT *, row_number() OVER (PARTITION BY q, text ORDER BY rank) AS r FROM h) SELECT q AS query_id, row_number() OVER (PARTITION BY q ORDER BY rank, text) AS rank, id FROM f WHERE r = 1")
 def q3_multi_variation(t):
     v = t.benchmark.select(F.col("item_id").alias("query_id"), F.posexplode(F.array("text", F.array_join(F.slice(F.split("text", r"\s+"), 1, 8), " "), F.array_join(F.reverse(F.split("text", r"\s+")), " "))).alias("variation", "text"))
-    return retrieval.multi_variation(v, views.chunks(t), 5).select("query_id", "rank", "id")
+    return retrieval.multi_variation(v, settle(views.chunks(t), "chunks"), 5).select("query_id", F.col("rank").cast("long").alias("rank"), "id")
 
 
-@query(f"""WITH RECURSIVE {views.EDGES}, b AS (SELECT node, edge_id, other FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY edge_id) AS r FROM (SELECT src AS node, edge_id, dst AS other FROM edges UNION ALL SELECT dst, edge_id, src FROM edges)) WHERE r <= 3), w(q, n, d) AS (SELECT s_suppkey, 's' || s_suppkey, 0 FROM supplier UNION SELECT q, other, d + 1 FROM w JOIN b ON node = n WHERE d < 2) SELECT q AS query_id, n AS node, CAST(min(d) AS BIGINT) AS round FROM w GROUP BY ALL""")
+@query(f"""WITH RECURSIVE {views.EDGES}, b AS (SELECT node, edge_id, other FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY edge_id) AS r FROM (SELECT src AS node, edge_id, dst AS other FROM edges UNION ALL SELECT dst, edge_id, src FROM edges)) WHERE r <= 20), w(q, n, d) AS (SELECT s_suppkey, 's' || s_suppkey, 0 FROM supplier UNION SELECT q, other, d + 1 FROM w JOIN b ON node = n WHERE d < 3) SELECT q AS query_id, n AS node, CAST(min(d) AS BIGINT) AS round FROM w GROUP BY ALL""")
 def q4_multi_hop(t):
     seeds = t.supplier.select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("s"), "s_suppkey").alias("node"))
-    return retrieval.multi_hop(seeds, views.edges(t), 2, 3).withColumn("round", F.col("round").cast("long"))
+    return retrieval.multi_hop(seeds, views.edges(t)).withColumn("round", F.col("round").cast("long"))
 
 
 @query("WITH a AS (SELECT o_custkey AS query_id, o_orderkey AS id, o_totalprice AS score FROM orders WHERE o_totalprice >= 300000), b AS (SELECT c_custkey AS query_id, c_custkey AS id, 1e9 AS score FROM customer WHERE c_custkey NOT IN (SELECT query_id FROM a)) SELECT *, 0 AS store FROM a UNION ALL SELECT *, 1 FROM b")

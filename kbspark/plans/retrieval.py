@@ -11,11 +11,15 @@ from kbspark.jobs import settle
 from kbspark.operators import aggregates, joins, keyword, ranking, tables, vectors
 
 
-def naive_hybrid(queries: DataFrame, chunks: DataFrame, entities: DataFrame, lineage: DataFrame, k: int, similarity: float = 1.5, count: float = 1.0) -> DataFrame:
-    """Q1: vector hits of chunks(id, embedding), and chunks that the nearest entities(id, embedding) own by lineage(owner_id,
-    chunk_id), scored by similarity and by how many of those own them; the k best a query."""
-    hits = vectors.topk(queries, chunks, 1000 if k > 100 else max(10 * k, 50)).select("query_id", "id", "score")
-    owners = vectors.topk(queries, entities, max(1, k // 2)).select("query_id", F.col("id").alias("owner_id"))
+CANDIDATES = 1000  # nearest chunks that are scored
+
+
+def naive_hybrid(queries: DataFrame, chunks: DataFrame, entities: DataFrame, relations: DataFrame, lineage: DataFrame, k: int, similarity: float = 1.5, count: float = 1.0) -> DataFrame:
+    """Q1: the CANDIDATES nearest of chunks(id, embedding), and chunks that the nearest entities(id, embedding) and
+    relations(id, embedding), half of k each, own by lineage(owner_id, chunk_id); scored by similarity and by how many
+    of those own them; the k best a query. Ids of entities and relations differ."""
+    hits = vectors.topk(queries, chunks, CANDIDATES).select("query_id", "id", "score")
+    owners = vectors.topk(queries, entities, max(1, k // 2)).unionByName(vectors.topk(queries, relations, max(1, k - k // 2))).select("query_id", F.col("id").alias("owner_id"))
     linked = joins.chunks_of(owners, lineage.select("owner_id", F.col("chunk_id").alias("id"))).select("query_id", "id")
     return aggregates.occurrence_scores(hits, linked, k, similarity, count)
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 
-def queries() -> dict[str, Callable]:
-    from kbspark.plans.catalog import QUERIES
+def _registered() -> dict[str, tuple[Callable, str | None]]:
+    from kbspark.plans import catalog, catalog_more
 
-    return {name: f for name, (f, _) in QUERIES.items()}
+    return catalog_more.QUERIES | catalog.QUERIES
 
 
-def oracle_sql() -> dict[str, str]:
-    from kbspark.plans.catalog import QUERIES
+def queries() -> dict[str, Callable]:
+    return {name: f for name, (f, _) in _registered().items()}
 
-    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _registered().items() if sql}

@@ -13,42 +13,40 @@ from kbspark.functions.text import prefixed_id, sanitize
 from kbspark.operators.aggregates import status_counts
 from kbspark.operators.chunking import chunk_records, stride_chunks
 from kbspark.operators.memory import apply_events
-from kbspark.sources.keyed import insert_absent, upsert
+from kbspark.sources.keyed import upsert
 
 
 class Snapshots:
-    """A table of snapshots: one folder a batch; a batch that is run again replaces its own folder."""
+    """A table in batches. A batch is a folder, which counts once its mark is there; one that is run again replaces its own
+    folder. Snapshots hold the whole table, so of these the last two are kept; with ``append`` each holds what is new."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, path: str, schema: str, append: bool = False):
+        self.spark, self.path, self.schema, self.append = spark, path.rstrip("/"), schema, append
 
-    def _pointer(self):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/current.txt")
+    def _at(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def current(self, before: int | None = None) -> int | None:
-        path, fs = self._pointer()
-        if not fs.exists(path):
-            return None
-        seen = [int(r["value"]) for r in self.spark.read.text(path.toString()).collect()]  # a line a batch
-        seen = [s for s in seen if before is None or s < before]
-        return max(seen, default=None)
+    def batches(self, before: int | None = None) -> list[int]:
+        path, fs = self._at("_done")
+        seen = [int(f.getPath().getName()) for f in fs.listStatus(path)] if fs.exists(path) else []  # a number a batch
+        return sorted(n for n in seen if before is None or n < before)
 
     def read(self, before: int | None = None) -> DataFrame:
-        n = self.current(before)
-        return self.spark.createDataFrame([], self.schema) if n is None else self.spark.read.schema(self.schema).parquet(f"{self.path}/batch={n}")
+        seen = self.batches(before)
+        if not seen:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/batch={n}" for n in (seen if self.append else seen[-1:])])
 
     def write(self, df: DataFrame, batch: int) -> None:
         names = [f.split()[0] for f in self.schema.split(", ")]
         df.select(*names).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
-        path, fs = self._pointer()
-        last = self.current(batch)
-        out = fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/next.txt"), True)
-        out.write(bytearray(f"{batch}\n" if last is None else f"{last}\n{batch}\n", "ascii"))
-        out.close()
-        fs.delete(path, False)
-        fs.rename(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/next.txt"), path)
+        path, fs = self._at(f"_done/{batch}")
+        fs.create(path, True).close()
+        for old in [] if self.append else self.batches(batch)[:-1]:
+            mark, fs = self._at(f"_done/{old}")
+            fs.delete(mark, False)
+            fs.delete(self._at(f"batch={old}")[0], True)
 
 
 STATUS = "doc_id string, status string, text string, batch long"
@@ -60,12 +58,13 @@ def watch(spark: SparkSession, folder: str, schema: T.StructType, per_batch: int
 
 
 def intake(stream: DataFrame, queue: Snapshots, checkpoint: str):
-    """documents(text) into the queue: sanitised, one a content id, pending; known ids are passed over."""
+    """documents(text) into the queue, a table that is appended to: sanitised, one a content id, pending; known ids are passed over."""
 
     def batch(df: DataFrame, n: int) -> None:
         clean = df.select(sanitize(F.col("text")).alias("text")).where("text <> ''")
         new = clean.select(prefixed_id("doc-", F.col("text")).alias("doc_id"), F.lit("pending").alias("status"), "text", F.lit(n).cast("long").alias("batch"))
-        queue.write(insert_absent(queue.read(n), new, ["doc_id"]), n)
+        known = queue.read(n).select("doc_id")
+        queue.write(new.join(known, "doc_id", "left_anti").dropDuplicates(["doc_id"]), n)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -76,6 +75,20 @@ def progress(queue: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out, status_counts(out, ("pending", "processing", "processed", "failed"))
 
 
+PROGRESS = "doc_id string, status string, began timestamp, ended timestamp"
+
+
+def progress_stream(results: DataFrame, state: Snapshots, checkpoint: str):
+    """R3 as a stream: results(doc_id, ok, began, ended) into the state of all documents; ids that it does not know are added."""
+
+    def batch(df: DataFrame, n: int) -> None:
+        last = df.groupBy("doc_id").agg(F.max_by(F.struct(F.when(F.col("ok"), "processed").otherwise("failed").alias("status"), "began", "ended"), "ended").alias("r"))
+        old = state.read(n)
+        state.write(upsert(old, last.select("doc_id", "r.*"), ["doc_id"]), n)
+
+    return results.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def last_k(stream: DataFrame, k: int) -> DataFrame:
     """conv_id, texts: the last k texts of each conversation(conv_id, turn, text), as state; one row a change."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -96,30 +109,40 @@ HISTORY = "seq long, memory_id long, old_memory string, new_memory string, event
 
 
 def memory_changes(stream: DataFrame, state: Snapshots, history: Snapshots, checkpoint: str):
-    """events(seq, memory_id, event, text) into the current state and the history."""
+    """events(seq, memory_id, event, text) into the current state and the history, which is appended to."""
 
     def batch(df: DataFrame, n: int) -> None:
         new, log, _ = apply_events(state.read(n), df)
-        history.write(history.read(n).unionByName(log), n)
+        history.write(log, n)
         state.write(new, n)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-CHUNKS = "chunk_id string, doc_id long, chunk_order int, tokens int, text string"
+CHUNKS = "chunk_id string, doc_id long, chunk_order int, tokens int, text string, batch long"
 
 
-def refresh_chunks(stream: DataFrame, chunks: Snapshots, checkpoint: str, size: int = 128, overlap: int = 32):
-    """Changed documents(doc_id, text): their chunks are deleted by source and cut anew."""
+def refresh_chunks(stream: DataFrame, chunks: Snapshots, checkpoint: str, size: int = 128, overlap: int = 32, version: str | None = None):
+    """Changed documents(doc_id, text) are cut anew; of several versions in a batch the last counts. The table of
+    chunks is appended to: a batch has a mark (chunk_order -1) and the chunks of each document that changed."""
 
     def batch(df: DataFrame, n: int) -> None:
-        new = chunk_records(stride_chunks(df, size, overlap))
-        old = chunks.read(n).join(df.select("doc_id").distinct(), "doc_id", "left_anti")
-        chunks.write(old.unionByName(new.select(*old.columns)), n)
+        if version:
+            df = df.groupBy("doc_id").agg(F.max_by("text", version).alias("text"))
+        marks = df.select(F.lit("").alias("chunk_id"), "doc_id", F.lit(-1).alias("chunk_order"), F.lit(0).alias("tokens"), F.lit("").alias("text")).distinct()
+        new = chunk_records(stride_chunks(df, size, overlap)).select(*marks.columns)
+        chunks.write(new.unionByName(marks).withColumn("batch", F.lit(n).cast("long")), n)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def current_chunks(chunks: Snapshots) -> DataFrame:
+    """The chunks of the last batch of each document."""
+    rows = chunks.read()
+    last = rows.where("chunk_order = -1").groupBy("doc_id").agg(F.max("batch").alias("batch"))
+    return rows.where("chunk_order >= 0").join(last, ["doc_id", "batch"])
+
+
 def upserted(target: DataFrame, changes: DataFrame, key: list[str], order: str) -> DataFrame:
     """What a keyed upsert of a batch writes (S8 within R3)."""
     return upsert(target, changes, key, order)

@@ -21,9 +21,11 @@ def test_text(spark):
     c = F.col("c")
     assert one(spark, text.sanitize(c), "  a\x00b\tc\n ", None) == ["ab\tc", None]
     assert one(spark, text.sanitize_html(c), "a&lt;b&amp;&#39;\x85") == ["a<b&'"]
-    assert one(spark, text.parse_number(c), "1.5亿", "2.3 million", "1,200", "abc", "") == [1.5e8, 2.3e6, 1200.0, None, None]
+    assert one(spark, text.parse_number(c), "1.5亿", "2.3 million", "1,200", "abc", "", "1千万", "2十亿", "3 百亿", "1e5", " +7K ", "4 kk") == [1.5e8, 2.3e6, 1200.0, None, None, 1e7, 2e9, 3e10, 1e5, 7e3, None]
+    assert [tuple(x) for x in one(spark, text.number_or_text(c), "2 Billion", " 苹果公司 ", "", None)] == [(2e9, None), (None, "苹果公司"), (None, ""), (None, None)]
+    assert one(spark, text.magnitude(c), 710675000.0, 1005.0, 1.005, 2.5e9, 3e12, kind="double") == ["710.67M", "1005.00", "1.00", "2.50B", "3.00T"]
     assert one(spark, text.name_spaced(c), "中 文 Abc（x）", '"quoted"') == ["中文Abc(x)", "quoted"]
-    assert one(spark, text.relation_label(c), "Works & lives-In!", "a  b") == ["works_and_lives_in", "a_b"]
+    assert one(spark, text.relation_label(c), "Works & lives-In!", "a...b（c）__", "x") == ["Works _ampersand_ lives-In_bang", "a_ellipsis_b_lparen_c_rparen", "x"]
     assert one(spark, text.id_list(c), "a", "a,b,a", '["x", "y"]', "['p', 'q']", "") == [["a"], ["a", "b"], ["x", "y"], ["p", "q"], []]
     assert one(spark, text.pair_key(c), "a||b", '["a","b"]', "('a', 'a')", "x") == [["a", "b"], ["a", "b"], ["a", "a"], None]
     assert one(spark, text.identifier(c), " a b-c ", "1x", "") == ["a_b_c", "_1x", "_"]

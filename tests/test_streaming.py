@@ -8,11 +8,11 @@ def test_intake_and_chunks(spark, tmp_path):
     schema = spark.createDataFrame([], "doc_id long, text string").schema
     for i, rows in enumerate(([(1, "a b c"), (2, " a b c "), (3, "d e")], [(4, "d e"), (1, "new text here")])):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        queue, chunks = jobs.Snapshots(spark, str(tmp_path / "queue"), jobs.STATUS), jobs.Snapshots(spark, str(tmp_path / "chunks"), jobs.CHUNKS)
+        queue, chunks = jobs.Snapshots(spark, str(tmp_path / "queue"), jobs.STATUS, append=True), jobs.Snapshots(spark, str(tmp_path / "chunks"), jobs.CHUNKS, append=True)
         jobs.intake(jobs.watch(spark, str(tmp_path / "in"), schema), queue, str(tmp_path / "c1")).awaitTermination()
         jobs.refresh_chunks(jobs.watch(spark, str(tmp_path / "in"), schema), chunks, str(tmp_path / "c2"), 2, 0).awaitTermination()
         assert queue.read().count() == (2, 3)[i]
-    assert sorted(r["text"] for r in chunks.read().where("doc_id = 1").collect()) == ["here", "new text"]
+    assert sorted(r["text"] for r in jobs.current_chunks(chunks).where("doc_id = 1").collect()) == ["here", "new text"]
     out, counts = jobs.progress(queue.read(), queue.read().select("doc_id", F.lit(True).alias("ok")).limit(1))
     assert {r["status"]: r["n"] for r in counts.collect()} == {"pending": 0, "processing": 2, "processed": 1, "failed": 0, "all": 3}
 
@@ -21,7 +21,7 @@ def test_memory_stream_equals_batch(spark, tmp_path):
     schema = "seq long, memory_id long, event string, text string"
     first = [(1, 1, "ADD", "a"), (2, 2, "ADD", "b")]
     second = [(3, 1, "UPDATE", "c"), (4, 2, "DELETE", None)]
-    state, history = jobs.Snapshots(spark, str(tmp_path / "s"), jobs.MEMORY), jobs.Snapshots(spark, str(tmp_path / "h"), jobs.HISTORY)
+    state, history = jobs.Snapshots(spark, str(tmp_path / "s"), jobs.MEMORY), jobs.Snapshots(spark, str(tmp_path / "h"), jobs.HISTORY, append=True)
     for rows in (first, second):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         jobs.memory_changes(jobs.watch(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema), state, history, str(tmp_path / "c")).awaitTermination()
