@@ -34,10 +34,15 @@ PATTERNS = {
 WIDE = r"(?<![0-9A-Za-z+.-])(?:\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|(?:Mrs|Mr|Ms|Dr|Prof)\.? [A-Z][a-z]+(?: [A-Z][a-z]+)?)(?![0-9A-Za-z-])"
 
 # Gazetteers and context words.
-DOMAINS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info", "example", "test")
+DOMAINS = ("com", "org", "net", "edu", "gov", "mil", "int", "io", "ai", "app", "dev", "info", "biz", "de", "fr", "es", "it", "nl", "be", "at", "ch", "pt", "pl", "se", "no", "dk", "fi", "ie", "uk", "eu", "us", "ca", "mx", "br", "ar", "cl", "co", "jp", "cn", "in", "kr", "au", "nz", "za", "ru", "ua", "tr", "gr", "cz", "hu", "ro", "example", "test")
+NO_DOMAINS = ("png", "jpg", "gif", "svg", "js", "css", "py", "java", "html", "txt", "json", "xml", "md", "local", "localhost", "invalid")
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35|36|38)"
 COUNTRIES = r"^\+(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|35[0-9]|37[0-9]|38[0-9]|42[0-9])"
-GIVEN = ("James", "John", "Robert", "Mary", "Anna", "Maria", "Peter", "Paul", "Laura", "Julia", "Thomas", "Michael", "Sarah", "Emma", "Marie", "Carlos", "Jose", "Hans", "Claire", "David")
+GIVEN = (
+    "James", "John", "Robert", "Michael", "William", "David", "Richard", "Joseph", "Thomas", "Charles", "Daniel", "Matthew", "Anthony", "Mark", "Paul", "Steven", "Andrew", "George", "Kevin", "Brian", "Edward", "Peter", "Henry", "Jack", "Frank", "Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Barbara", "Susan", "Jessica", "Sarah", "Karen", "Lisa", "Nancy", "Anna", "Emma", "Laura", "Julia", "Alice", "Jane", "Helen", "Emily",
+    "Hans", "Klaus", "Jürgen", "Stefan", "Andreas", "Wolfgang", "Heinz", "Petra", "Sabine", "Monika", "Ursula", "Heike", "Jean", "Pierre", "Michel", "Philippe", "Claude", "Jacques", "Louis", "Marie", "Claire", "Sophie", "Camille", "Nathalie", "José", "Jose", "Carlos", "Juan", "Luis", "Antonio", "Manuel", "Pedro", "Miguel", "Maria", "María", "Carmen", "Ana", "Lucia", "Lucía", "Elena",
+)
+NO_NAMES = ("The", "This", "That", "President", "Minister", "Director", "Chairman", "Speaker", "Who", "Right", "Wrong", "Big", "Evil", "Robot")
 CONTEXT = {
     "email": "mail|contact|write|reach|address",
     "ip": "ip|server|host|address|login|from|connect",
@@ -56,17 +61,35 @@ def _found(pattern: str) -> tuple[Column, Column]:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
 
+BLOCK = 256  # matches whose places are summed at once
+
+
 def _located(found: Column, between: Column) -> Column:
-    """Structs start, end, s (the match), before (up to 40 characters)."""
-    empty = F.array().cast("array<struct<start:int,end:int,s:string,before:string>>")
+    """Structs start, end, s (the match), before (up to 40 characters). Places are running sums of lengths, by blocks of
+    matches and then over blocks, so that texts with very many matches take little more than linear time."""
+    kind = "array<struct<start:int,end:int,s:string,before:string>>"
+    empty = F.array().cast(kind)
 
     def grow(a: Column, x: Column) -> Column:
         start = a["at"] + F.length(x["gap"])
         end = start + F.length(x["s"])
         return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["s"].alias("s"), F.right(x["gap"], F.lit(40)).alias("before")))).alias("out"))
 
+    def local(block: Column) -> Column:
+        return F.aggregate(block, F.struct(F.lit(0).alias("at"), empty.alias("out")), grow)
+
+    def moved(x: Column, by: Column) -> Column:
+        return F.transform(x["out"], lambda y: F.struct((y["start"] + by).alias("start"), (y["end"] + by).alias("end"), y["s"].alias("s"), y["before"].alias("before")))
+
+    def joined(locals_: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        bases = F.aggregate(locals_, first, lambda a, x: F.struct((a["at"] + x["at"]).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+        return F.flatten(F.zip_with(locals_, bases, moved))
+
     pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda s, g: F.struct(s.alias("s"), g.alias("gap")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), grow, lambda a: a["out"])).otherwise(empty)
+    blocks = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), lambda b: local(F.slice(p, b * BLOCK + 1, F.lit(BLOCK))))
+    bound = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  x is made once
+    return F.when(F.size(found) > 0, bound(pairs, lambda p: bound(blocks(p), joined))).otherwise(empty)
 
 
 def _digits(s: Column) -> Column:
@@ -116,36 +139,38 @@ def _votes(kind: str, x: Column) -> dict[str, Column]:
     s, before = x["s"], F.lower(x["before"])
     d = _digits(s)
     gazetteer = {
-        "email": _vote(F.lower(F.regexp_extract(s, r"\.([A-Za-z0-9-]+)$", 1)).isin(*DOMAINS), F.lit(False)),
+        "email": _vote(F.lower(F.regexp_extract(s, r"\.([A-Za-z0-9-]+)$", 1)).isin(*DOMAINS), F.lower(F.regexp_extract(s, r"\.([A-Za-z0-9-]+)$", 1)).isin(*NO_DOMAINS)),
         "ip": _vote(~s.rlike(r"^(?:0|127|255)\."), s.rlike(r"^(?:0|255)\.")),
         "card": _vote(d.rlike(ISSUERS)),
         "phone": _vote(F.regexp_replace(s, "[^+0-9]", "").rlike(COUNTRIES)),
-        "national": _vote(s.rlike("[0-9]{3}.*[0-9]{3}.*[0-9]{4}"), F.lit(False)),
-        "identity": _vote(s.rlike("^[0-8]"), F.lit(True)),
-        "account": _vote(s.rlike("^(?:DE|FR|ES|GB|IT|NL|BE|AT|CH|PT|PL|SE)"), F.lit(False)),
-        "name": _vote(s.rlike(rf" (?:{'|'.join(GIVEN)})\b"), F.lit(False)),
+        "national": _vote(d.rlike("^[2-9](?!11)[0-9]{2}[2-9](?!11)"), d.rlike("^(?:[01]|.11)")),
+        "identity": _vote(d.rlike("^(?!000|666|9)[0-7]"), d.rlike("^(?:000|666|9)|^123456789$|^([0-9])\\1*$")),
+        "account": _vote(s.rlike("^(?:AD|AT|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IS|IT|LI|LT|LU|LV|MC|MT|NL|NO|PL|PT|RO|SE|SI|SK|SM|TR)")),
+        "name": _vote(s.rlike(rf" (?:{'|'.join(GIVEN)})\b"), s.rlike(rf" (?:{'|'.join(NO_NAMES)})\b")),
     }[kind]
     shape = {
         "email": _vote(~s.rlike(r"^[.-]|\.\.|-\."), s.rlike(r"^[.-]|\.\.")),
         "ip": _vote(~s.rlike(r"(?:^|\.)0[0-9]")),
         "card": _vote(s.rlike("^(?:[0-9]{12,19}|(?:[0-9]{4}[ -]){3,4}[0-9]{1,4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})$")),
         "phone": _vote(s.rlike(r"^\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}$")),
-        "national": _vote(s.rlike(r"^(?:\([0-9]{3}\) |[0-9]{3}([.-]))[0-9]{3}[.-][0-9]{4}$"), F.lit(False)),
-        "identity": _vote(F.lit(True)),
+        "national": _vote(s.rlike(r"^(?:\([0-9]{3}\) |[0-9]{3}([.-]))[0-9]{3}[.-][0-9]{4}$"), s.rlike(r"^[0-9]{3}\)|^\([0-9]{3}[^)]")),
+        "identity": _vote(~s.rlike("-00-|-0000$"), s.rlike("-00-|-0000$")),
         "account": _vote(F.length(F.regexp_replace(s, " ", "")).between(15, 34)),
-        "name": _vote(s.rlike(r"\. ?[A-Z][a-z]+ [A-Z]"), F.lit(False)),
+        "name": _vote(s.rlike(r"\.? [A-Z][a-z]+ [A-Z]"), s.rlike(r" [A-Z][a-z]?$")),
     }[kind]
     context = _vote(before.rlike(rf"\b(?:{CONTEXT[kind]})\w*\W*(?:\w+\W+)?$"), before.rlike(rf"\b(?:{AGAINST})\w*\W*(?:\w+\W+)?$"))
     return {"regex": _vote(_strict(kind, s)), "gazetteer": gazetteer, "context": context, "shape": shape}
 
 
 LABELERS = ("regex", "gazetteer", "context", "shape")
+#: Chances of a right and of a wrong vote from which expectation-maximisation starts: strict rules err least.
+START = {"regex": (0.85, 0.03), "gazetteer": (0.5, 0.2), "context": (0.4, 0.1), "shape": (0.5, 0.2)}
 _CANDIDATE = "array<struct<start:int,kind:int,end:int,base:boolean,regex:int,gazetteer:int,context:int,shape:int,size:int>>"
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): the candidates of every row with their votes."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     gate = {"email": F.contains("text", F.lit("@")), "phone": F.contains("text", F.lit("+"))}
     digit = F.col("text").rlike("[0-9]")
     sets = []
@@ -178,7 +203,7 @@ def reliabilities(patterns: list[tuple[int, tuple[int, ...], float]], steps: int
     """({kind: share}, {(labeler, class, vote): probability}) by expectation-maximisation over counted vote patterns."""
     kinds = {k for k, _, _ in patterns}
     share = dict.fromkeys(kinds, 0.5)
-    chance = {(i, c, v): {True: 0.6, False: 0.2}[(v == 1) == (c == 1) and v != 0] for i in range(len(LABELERS)) for c in (0, 1) for v in (-1, 0, 1)}
+    chance = {(i, c, v): (1 - sum(START[name]) if v == 0 else START[name][(v == 1) != (c == 1)]) for i, name in enumerate(LABELERS) for c in (0, 1) for v in (-1, 0, 1)}
     for _ in range(steps):
         n = dict.fromkeys(chance, 0.5)
         true, total = dict.fromkeys(kinds, 1.0), dict.fromkeys(kinds, 2.0)
@@ -191,6 +216,10 @@ def reliabilities(patterns: list[tuple[int, tuple[int, ...], float]], steps: int
             total[k] += count
         share = {k: true[k] / total[k] for k in kinds}
         chance = {(i, c, v): n[i, c, v] / sum(n[i, c, w] for w in (-1, 0, 1)) for i, c, v in chance}
+        for i in range(len(LABELERS)):  # a labeler is taken to be no worse than chance
+            for v in (-1, 1):
+                if (chance[i, 1, v] - chance[i, 0, v]) * v < 0:
+                    chance[i, 1, v] = chance[i, 0, v] = (chance[i, 1, v] + chance[i, 0, v]) / 2
     return share, chance
 
 
@@ -236,15 +265,15 @@ def find_pii(docs: DataFrame, least: float = 0.9) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added of every row of docs(doc_id, text).
 
     Spans of the base rule stay. A wider candidate, or one of the base kinds that fails its rule, is added if
-    the classifier gives it ``least``, at least two labelers vote for it, its strict rule holds and no span of
-    the base rule overlaps it. A null text is empty: no span, and the hash of nothing. Repeated rows give a
-    row each; other columns are ignored.
+    the classifier gives it ``least`` and no span of the base rule overlaps it; no labeler has a veto. A null text
+    is empty: no span, and the hash of nothing. Repeated rows, and rows with a null id, give a row each; other
+    columns are ignored.
     """
     found = settle(candidates(docs), "pii-candidates")
     probability = train(found.select("spans"))
     base = F.filter("spans", lambda x: x["base"])
     found = found.withColumn("own", base)
-    more = F.filter("spans", lambda x: (~x["base"]) & (x["regex"] == 1) & (x["gazetteer"] + x["context"] + x["shape"] >= 1) & (probability(x) >= least) & ~F.exists(F.col("own"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    more = F.filter("spans", lambda x: (~x["base"]) & (probability(x) >= least) & ~F.exists(F.col("own"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     found = found.withColumn("more", more)
     names = F.array(*[F.lit(k) for k in KINDS])
     key = lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))
