@@ -27,9 +27,10 @@ def brute(texts, items, width):
     return out
 
 
-@pytest.mark.parametrize("most", [10, 10**6])
-def test_brute(spark, most, monkeypatch):
-    monkeypatch.setattr(decontaminate, "MOST_WINDOWS", most)
+@pytest.mark.parametrize("hashes,windows", [(3, 3), (10**6, 3), (10**6, 10**6)])
+def test_brute(spark, hashes, windows, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MOST_HASHES", hashes)
+    monkeypatch.setattr(decontaminate, "MOST_WINDOWS", windows)
     items = [(1, prose(1, 30)), (2, prose(1, 30) + " tail"), (10, "Éa b, C-d 5 5"), (3, None), (None, prose(5, 20)), (4, "..."), (5, "one"), (7, prose(2, 11)), (8, "a b c d e f g h i j")]
     texts = [*AWKWARD, f"x {items[0][1].upper()}!! y", prose(1, 9), prose(1, 10), f"{prose(2, 11)} q {prose(2, 11)}", "éa b c d 5 5", "Éa;B;c;D;5;5;5", prose(5, 20), "a b c d e f g h i j " * 3]
     df = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
@@ -41,3 +42,14 @@ def test_brute(spark, most, monkeypatch):
     assert contamination(frame(spark, []), df).count() == 0
     none = contamination(frame(spark, texts), df.limit(0))
     assert none.count() == len(texts) and none.where("contaminated").isEmpty()
+
+
+def test_repeated_and_null_ids_and_long_texts(spark):
+    """Rows of one id are one document, null ids one more; a long text with very many hits ends in seconds."""
+    item = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "tie")], "item_id long, text string")
+    rows_ = [(1, "x a b c d e f g h i j"), (1, "y z"), (None, "tie"), (None, "q"), (2, "tie no " * 60_000)]
+    for kind in ("long", "int"):
+        found = {r["doc_id"]: r for r in contamination(spark.createDataFrame(rows_, f"doc_id {kind}, text string"), item).collect()}
+        assert (found[1]["n_words"], found[1]["n_hit"]) == (11, 10) and found[None]["n_hit"] == 1 and found[2]["n_hit"] == 60_000
+    left = remove_documents(spark.createDataFrame(rows_, "doc_id long, text string"), item)
+    assert sorted((r["doc_id"], r["text"]) for r in left.collect() if r["doc_id"]) == [] and left.count() == 2
