@@ -177,6 +177,6 @@ def identify(docs: DataFrame, held_out: Column) -> DataFrame:
     share, 0 for ``und``; langs: the set with its shares. Only the text is an input of a prediction. Ties
     go to the language that sorts first. Repeated rows give a row each; other columns are ignored.
     """
-    rows = docs.select("doc_id", held_out.alias("held_out"), "text", "lang")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text", "lang")
     model = docs.sparkSession.sparkContext.broadcast(train(rows.where("not held_out")))
     return rows.select("doc_id", "held_out", "text").mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double, langs string")

@@ -7,8 +7,8 @@ is one non-decreasing sequence; both are Elias-Fano coded. Every node has a quan
 log-probability, and as a context a quantised back-off weight.
 
 Spark counts: each task sums the n-grams of its documents and sends one packed row a shard; a shard is a
-range of hashes, or of parents, merged by one task into files in the shared folder, which it moves into place
-when they are whole, so that a task may run again. Scoring tasks map the files of the levels and look up the
+range of hashes, or of parents. Its rows are summed by several tasks, whose results one task merges into files
+in the shared folder, which it moves into place when they are whole, so that a task may run again. Scoring tasks map the files of the levels and look up the
 n-grams of many documents at once, sorted, by successor search in the parent's range. Counts cover all
 training documents; nothing is pruned.
 
@@ -19,6 +19,7 @@ number of words seen after h. An unseen n-gram has the weight of its context tim
 from __future__ import annotations
 
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -36,12 +37,14 @@ STEP = 12 / 65535  # of a quantised log10: 0 down to -12
 SHARD_CHARS = 12 << 20  # characters of text a shard
 END = tx.mix(np.array([0x656E64], np.uint64))[0]
 BLOCK_BYTES = 6 << 20  # text whose n-grams are looked up at once
+PER_SALT = 64  # blocks whose packets are summed at once
+KEPT_BYTES = 256 << 20  # of shards that are read, not mapped, which a worker keeps
 
 
 # --- files -----------------------------------------------------------------------------------------------
 
 
-def _filesystem(uri: str):
+def filesystem(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri)
@@ -49,7 +52,7 @@ def _filesystem(uri: str):
 
 def write_arrays(uri: str, arrays: dict[str, np.ndarray]) -> None:
     """One file of named arrays, 64-byte aligned; it appears when it is whole."""
-    store, path = _filesystem(uri)
+    store, path = filesystem(uri)
     part = f"{path}.{uuid.uuid4().hex}"
     names = [(k, v.dtype.str, v.size) for k, v in arrays.items()]
     head = repr(names).encode().ljust(4096)
@@ -67,7 +70,7 @@ def read_arrays(uri: str) -> dict[str, np.ndarray]:
     if urlparse(uri).scheme in ("", "file"):
         data = np.memmap(urlparse(uri).path, np.uint8, "r")
     else:
-        store, path = _filesystem(uri)
+        store, path = filesystem(uri)
         with store.open_input_file(path) as f:
             data = np.frombuffer(f.read(), np.uint8)
     out, at = {}, 4096
@@ -98,16 +101,22 @@ class Level:
     def __init__(self, folder: str, k: int, names: list[int], firsts: list[int], sizes: list[int], span: int):
         self.folder, self.k, self.names, self.firsts, self.span = folder, k, names, np.array(firsts, np.uint64), span
         self.offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        self._open: dict[int, dict] = {}
+        self._open: OrderedDict[int, dict] = OrderedDict()
+        self._held = 0  # bytes of open shards that are not mapped
 
     def __getstate__(self):
-        return self.__dict__ | {"_open": {}}
+        return self.__dict__ | {"_open": OrderedDict(), "_held": 0}
 
     def shard(self, s: int) -> dict:
-        """The mapped arrays of the s-th shard that has keys."""
+        """The arrays of the s-th shard that has keys: mapped, or read and kept while there is room."""
         if s not in self._open:
             found = read_arrays(f"{self.folder}/level{self.k}-{self.names[s]}")
-            self._open[s] = found | {n: _as_ef(found, n) for n in ("keys", "pointers") if f"{n}.shape" in found}
+            size = sum(a.nbytes for a in found.values() if not isinstance(a, np.memmap))
+            while self._open and self._held + size > KEPT_BYTES:
+                self._held -= self._open.popitem(last=False)[1]["bytes"]
+            self._held += size
+            self._open[s] = found | {n: _as_ef(found, n) for n in ("keys", "pointers") if f"{n}.shape" in found} | {"bytes": size}
+        self._open.move_to_end(s)
         return self._open[s]
 
     def _by_shard(self, sorted_keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -253,41 +262,72 @@ def _joined(got: list) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
     return [g[0] for g in got], np.concatenate([g[1] for g in got]), np.concatenate([g[2] + d for g, d in zip(got, docs, strict=False)]), np.concatenate([g[3] + p for g, p in zip(got, place, strict=False)])
 
 
-_PACKET = "shard int, a binary, b binary, c binary, n binary"
+_PACKET = "shard int, salt int, a binary, b binary, c binary, n binary"
 
 
-def _packets(shard: np.ndarray, *arrays: np.ndarray) -> pa.RecordBatch:
+def _packets(shard: np.ndarray, *arrays: np.ndarray, salt: int = 0) -> pa.RecordBatch:
     """A row a shard, from arrays sorted by shard."""
     cuts = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]]) if len(shard) else np.array([0])
     pairs = list(zip(cuts[:-1], cuts[1:], strict=True))
-    return pa.RecordBatch.from_arrays([pa.array([int(shard[i]) for i, _ in pairs], pa.int32()), *(pa.array([a[i:j].tobytes() for i, j in pairs], pa.binary()) for a in arrays)], ["shard", "a", "b", "c", "n"])
+    return pa.RecordBatch.from_arrays([pa.array([int(shard[i]) for i, _ in pairs], pa.int32()), pa.array([salt] * len(pairs), pa.int32()), *(pa.array([a[i:j].tobytes() for i, j in pairs], pa.binary()) for a in arrays)], ["shard", "salt", "a", "b", "c", "n"])
 
 
-def _count_words(bits: int):
+def _salted(blocks: Iterator[tuple], salts: int) -> Iterator[tuple]:
+    """Blocks with a salt each, which depends on the task and on the place in it only."""
+    from pyspark import TaskContext
+
+    first = (TaskContext.get().partitionId() if TaskContext.get() else 0) * 7919
+    for i, block in enumerate(blocks):
+        yield (first + i) % salts, *block
+
+
+def _count_words(bits: int, salts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, hashes, _, _ in _blocks(batches, "text"):
+        for salt, _, hashes, _, _ in _salted(_blocks(batches, "text"), salts):
             h, n = np.unique(hashes, return_counts=True)
             none = np.zeros(len(h), np.uint8)
-            yield _packets((h >> np.uint64(64 - bits)).astype(np.int64), h, none, none, n.astype(np.uint32))
+            yield _packets((h >> np.uint64(64 - bits)).astype(np.int64), h, none, none, n.astype(np.uint32), salt=salt)
 
     return run
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, list[bytes]]]]:
-    """Of packets sorted by shard, all of a shard."""
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], dict[str, list[bytes]]]]:
+    """Of packets sorted by shard and salt, all of a pair."""
     last, got = None, {}
     for batch in batches:
         for row in batch.to_pylist():
-            if row["shard"] != last:
+            here = row["shard"], row["salt"]
+            if here != last:
                 if last is not None:
                     yield last, got
-                last, got = row["shard"], {c: [] for c in "abcn"}
+                last, got = here, {c: [] for c in "abcn"}
             for c in "abcn":
                 got[c].append(row[c])
     if last is not None:
         yield last, got
 
 
+def _summed(kinds: dict[str, type]):
+    """Of packets sorted by shard and salt, one packet each; kinds: the types of a to c, whose n is summed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (shard, _), got in _shards(batches):
+            keys = [_array(got[c], kind) for c, kind in kinds.items()]
+            order = np.lexsort(keys[::-1])
+            keys = [k[order] for k in keys]
+            new = np.ones(len(order), bool)
+            new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+            at = np.flatnonzero(new)
+            n = np.add.reduceat(_array(got["n"], np.uint32)[order].astype(np.int64), at)
+            if n.max() >= 1 << 32:
+                raise OverflowError("an n-gram occurs 2**32 times")
+            columns = dict(zip(kinds, keys, strict=True))
+            none = np.zeros(len(at), np.uint8)
+            yield _packets(np.full(len(at), shard), *(columns[c][at] if c in columns else none for c in "abc"), n.astype(np.uint32))
+
+    return run
+
+
 def _array(parts: list[bytes], kind) -> np.ndarray:
     return np.frombuffer(b"".join(parts), kind)
 
@@ -301,7 +341,7 @@ def _meta(shard: int, size: int, total: int) -> pa.RecordBatch:
 
 def _build_words(folder: str, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, got in _shards(batches):
+        for (shard, _), got in _shards(batches):
             keys, back = np.unique(_array(got["a"], np.uint64), return_inverse=True)
             n = np.bincount(back, _array(got["n"], np.uint32)).astype(np.int64)
             write_arrays(f"{folder}/level1-{shard}", {**_ef("keys", keys - (np.uint64(shard) << np.uint64(64 - bits))), "count": n.astype(np.uint32) if n.max() < 1 << 32 else n})
@@ -310,12 +350,12 @@ def _build_words(folder: str, bits: int):
     return run
 
 
-def _count_grams(shipped, k: int, shards: int):
+def _count_grams(shipped, k: int, shards: int, salts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, parents_n = shipped.value
         end = int(trie.ids(np.array([END]))[0])
         step = -(-parents_n // shards)
-        for _, hashes, _, head in _blocks(batches, "text"):
+        for salt, _, hashes, _, head in _salted(_blocks(batches, "text"), salts):
             nodes = trie.nodes(trie.ids(hashes), head, end, k - 1)
             parent = np.concatenate([[-1], nodes[-1][:-1]])
             parent[head] = end if k == 2 else -1
@@ -329,7 +369,7 @@ def _count_grams(shipped, k: int, shards: int):
             n = np.diff(np.concatenate([at, [len(parent)]])).astype(np.uint32)
             parent, word, suffix = parent[at], word[at], suffix[at]
             shard = parent // step
-            yield _packets(shard, (parent - shard * step).astype(np.uint32), word.astype(np.uint32 if k == 2 else np.int64), suffix.astype(np.int64) if k > 2 else np.zeros(len(at), np.uint8), n)
+            yield _packets(shard, (parent - shard * step).astype(np.uint32), word.astype(np.uint32 if k == 2 else np.int64), suffix.astype(np.int64) if k > 2 else np.zeros(len(at), np.uint8), n, salt=salt)
 
     return run
 
@@ -342,7 +382,7 @@ def _build_grams(shipped, folder: str, k: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, parents_n = shipped.value
         step = -(-parents_n // shards)
-        for shard, got in _shards(batches):
+        for (shard, _), got in _shards(batches):
             parent, word, n = _array(got["a"], np.uint32).astype(np.int64), _array(got["b"], np.uint32 if k == 2 else np.int64).astype(np.int64), _array(got["n"], np.uint32)
             suffix = _array(got["c"], np.int64) if k > 2 else word
             order = np.lexsort((word, parent))
@@ -370,9 +410,13 @@ def _build_grams(shipped, folder: str, k: int, shards: int):
     return run
 
 
-def _merged(packets: DataFrame, build, shards: int) -> list:
-    """Build the files of a level; returns a row a shard."""
-    rows = packets.repartition(min(shards, 4096), "shard").sortWithinPartitions("shard")
+def _merged(packets: DataFrame, build, shards: int, salts: int, kinds: dict[str, type]) -> list:
+    """Build the files of a level; returns a row a shard. Packets are summed in ``salts`` tasks a shard first, so that
+    the words after a frequent one come to the last task as few packets."""
+    if salts > 1:
+        parts = packets.repartition(shards * min(salts, 4), "shard", "salt").sortWithinPartitions("shard", "salt")
+        packets = parts.mapInArrow(tx.tidy(_summed(kinds)), _PACKET)
+    rows = packets.withColumn("salt", F.lit(0)).repartition(shards, "shard").sortWithinPartitions("shard")
     return rows.mapInArrow(build, _META).collect()  # a few numbers a shard
 
 
@@ -380,19 +424,20 @@ def train(texts: DataFrame, order: int = 2) -> Trie:
     """A trie in the shared folder from all rows of texts(text)."""
     spark = texts.sparkSession
     folder = f"{shared_dir(spark)}/trie-{uuid.uuid4().hex}"
-    store, path = _filesystem(folder)
+    store, path = filesystem(folder)
     store.create_dir(path, recursive=True)
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = max(1, min(20, int(np.ceil(np.log2(max(2, chars / SHARD_CHARS))))))
+    bits = max(1, int(np.ceil(np.log2(max(2, chars / SHARD_CHARS)))))
+    salts = int(np.ceil(chars / BLOCK_BYTES / PER_SALT)) or 1
     trie = Trie(order)
-    found = {r["shard"]: r for r in _merged(texts.mapInArrow(_count_words(bits), _PACKET), _build_words(folder, bits), 1 << bits)}
+    found = {r["shard"]: r for r in _merged(texts.mapInArrow(_count_words(bits, salts), _PACKET), _build_words(folder, bits), 1 << bits, salts, {"a": np.uint64})}
     here = sorted(found)
     trie.tokens, trie.distinct = sum(r["total"] for r in found.values()), sum(r["size"] for r in found.values())
     trie.levels.append(Level(folder, 1, here, [s << (64 - bits) for s in here], [found[s]["size"] for s in here], 0))
     for k in range(2, order + 1):
         n, shards = int(trie.levels[-1].offsets[-1]), 1 << bits
         shipped = spark.sparkContext.broadcast((trie, n))  # names and sizes of shards
-        built = {r["shard"]: r for r in _merged(texts.mapInArrow(_count_grams(shipped, k, shards), _PACKET), _build_grams(shipped, folder, k, shards), shards)} if n else {}
+        built = {r["shard"]: r for r in _merged(texts.mapInArrow(_count_grams(shipped, k, shards, salts), _PACKET), _build_grams(shipped, folder, k, shards), shards, salts, {"a": np.uint32, "b": np.uint32} if k == 2 else {"a": np.uint32, "b": np.int64, "c": np.int64})} if n else {}
         step = -(-n // shards) if n else 1
         here = sorted(built)
         trie.levels.append(Level(folder, k, here, [s * step for s in here], [built[s]["size"] for s in here], step))
@@ -423,7 +468,7 @@ def score(docs: DataFrame, held_out: Column, order: int = 2) -> DataFrame:
     one end; a null text is empty, so it is one end. base_score: add-one unigrams. Without training rows, N
     and V are 0. Repeated rows are counted, and scored, each time; other columns are ignored.
     """
-    rows = docs.select("doc_id", held_out.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     trie = train(rows.where("not held_out").select("text"), order)
     shipped = docs.sparkSession.sparkContext.broadcast(trie)
     return rows.mapInArrow(_score(shipped), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -17,6 +17,7 @@ from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Keywords and kinds of the base rule.
 KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
@@ -113,7 +114,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     dropped); ``checked`` adds tokens whose embedded CRC-32 is right. A null text is empty: no span, and
     the hash of nothing. Overlaps between kinds stay. Repeated rows give a row each.
     """
-    return docs.select("doc_id", "text").mapInArrow(_scan, "doc_id long, n_assign long, n_access long, n_hex long, n_checked long, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, "doc_id long, n_assign long, n_access long, n_hex long, n_checked long, base_sha256 string, spans string")
 
 
 def redact(text: str, mark: str = "[secret]") -> str:
