@@ -14,15 +14,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kbspark.llm.stages import components, partitions, settle, spread_join
 
-SAMPLE = 20_000  # vectors that the forest is fitted on, at most
+SAMPLE = 50_000  # vectors that the forest is fitted on, at most
 LEAF = 160  # classes of one label that a leaf should have
 BLOCK = 512
-SPILL = 0.45  # half width of the zone that goes both ways, in deviations of the projected difference of a pair at the threshold
+SPILL = 0.3  # half width of the zone that goes both ways, in deviations of the projected difference of a pair at the threshold
 
 
 class Tree:
@@ -187,7 +188,7 @@ def _fine() -> Column:
     return F.coalesce(F.col("label").isNotNull() & (F.size("v") > 0) & F.forall("v", number) & F.exists("v", lambda x: x != 0), F.lit(False))
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.93, trees: int = 8) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.93, trees: int = 6) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors(vec_id, embedding, label).
 
     Rows link when their labels are equal and not null, their vectors have one length and the cosine, in
@@ -196,16 +197,20 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, trees: int = 8) ->
     as links of one another. Other columns are ignored. Recall is that of the forest; no false links.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label"))
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"  # cosines are of doubles
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v"), F.col("label").cast("string").alias("label"))
     valid = rows.where(F.col("vec_id").isNotNull() & _fine())
     classes = settle(valid.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).select("label", "rep", "copies", "v"), "vector-classes")
     total = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0  # leaves are split by label
-    sample = [r["v"] for r in classes.select("v", F.xxhash64("rep").alias("o")).orderBy("o").limit(SAMPLE).collect()]
+    first = classes.select("v", F.xxhash64("rep").alias("o")).orderBy("o").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()  # at most SAMPLE rows
+    first = first.combine_chunks() if isinstance(first, pa.ChunkedArray) else first
     p = partitions(spark)
-    if sample:
-        dim = max({len(v) for v in sample}, key=[len(v) for v in sample].count)
-        forest = spark.sparkContext.broadcast(fit(_unit(np.array([v for v in sample if len(v) == dim])), total, trees, threshold))
-        routed = classes.mapInArrow(_routed(forest, dim), "label string, rep long, copies long, v array<double>, code int, codes array<int>")
+    if len(first):
+        lengths = pc.list_value_length(first)
+        dim = int(pc.mode(lengths)[0]["mode"].as_py())
+        sample = first.filter(pc.equal(lengths, dim)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        forest = spark.sparkContext.broadcast(fit(_unit(sample), total, trees, threshold))
+        routed = classes.mapInArrow(_routed(forest, dim), f"label string, rep long, copies long, v {kind}, code int, codes array<int>")
         routed = settle(routed.withColumn("leaf", F.xxhash64("label", F.size("v"), "code")).drop("label"), "vector-leaves")
         sizes = routed.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1").select("leaf", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
         spread = routed.join(sizes, "leaf").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
