@@ -19,6 +19,7 @@ from kbspark.llm import text as tx
 from kbspark.llm.stages import release, settle, sized, spread_join
 
 PER_SALT = 1000  # occurrences that are compared with one copy of the first
+MASK = -1  # which bits of the hashes count: all
 
 _WINDOW = "h1 long, h2 long, doc_id long, first int, n int"
 _BLANK = tx.SPACE.copy()
@@ -103,7 +104,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(doc_id, gone): the windows first, n (in lines) of a document that repeat an earlier one of the corpus without overlap."""
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = settle(texts.mapInArrow(tx.tidy(_windows), _WINDOW), "line-windows")
+    found = settle(texts.mapInArrow(tx.tidy(_windows), _WINDOW).withColumns({h: F.col(h).bitwiseAND(MASK) for h in ("h1", "h2")}), "line-windows")
     again = found.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "first")).alias("keep")).where("times > 1")
     again = again.withColumn("salts", F.ceil(F.col("times") / PER_SALT).cast("int"))
     apart = "doc_id <> keep.doc_id or first = keep.first or first >= keep.first + n"  # a line that repeats itself overlaps its first pair

@@ -216,19 +216,24 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Words are cut at white space after lower-casing A-Z; a set holds the distinct shingles of ``width``
     words, of a shorter text its whole sequence. Sets link when intersection / union is ``percent`` or
     more. A null, empty or blank text has no shingle and links with nothing; equal sets always link; a
-    repeated row gets a row each time; null doc_ids get a null component; other columns are ignored.
+    repeated row gets a row each time, and of different texts of one id the largest is the one that links; null
+    doc_ids get a null component; other columns are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = settle(texts.mapInArrow(tx.tidy(_signatures(width)), "doc_id long, n_shingles long, f1 long, f2 long, bitmap binary"), "jaccard-sets")
-    known = sig.where("n_shingles > 0 and doc_id is not null")
+    known = sig.where("doc_id is not null")
+    varied = settle(known.groupBy("doc_id").agg(F.countDistinct("f1", "f2", "n_shingles").alias("n")).where("n > 1").select("doc_id"), "jaccard-varied")
+    if not varied.isEmpty():
+        largest = settle(texts.join(sized(varied), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")), "jaccard-largest")
+        texts = texts.join(sized(varied), "doc_id", "left_anti").unionByName(largest)
+        known = known.join(sized(varied), "doc_id", "left_anti").unionByName(largest.mapInArrow(tx.tidy(_signatures(width)), sig.schema))
+    known = known.where("n_shingles > 0")
     classes = known.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     equal = spread_join(known.drop("bitmap"), classes.where("n > 1"), ["f1", "f2", "n_shingles"], "doc_id").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
     equal = settle(equal, "jaccard-equal")
 
     p = partitions(docs.sparkSession)
-    # a class is posted once; an id that stands for different texts is posted with all of them
-    varied = known.groupBy("doc_id").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select("doc_id")
-    told = equal.select(F.col("b").alias("doc_id")).join(sized(varied), "doc_id", "left_anti").distinct()
+    told = equal.select(F.col("b").alias("doc_id")).distinct()  # a class is posted once
     posted = texts.where("doc_id is not null").join(sized(told), "doc_id", "left_anti").mapInArrow(tx.tidy(_postings(width, percent)), "key long, doc long")
     stars = posted.repartition(p, "key").sortWithinPartitions("key", "doc").mapInArrow(tx.tidy(_stars), "key long, center long, doc long")
     stars = settle(stars, "jaccard-buckets")

@@ -64,3 +64,29 @@ def test_empty_and_repeated(spark):
     df = frame(spark, ["a b c d e f", "a b c d e f", None])
     out = sorted((r["doc_id"], r["component_id"]) for r in jaccard_classes(df.union(df)).collect())
     assert out == [(0, 0), (0, 0), (1, 0), (1, 0), (2, 2), (2, 2)]
+
+
+def test_int_null_and_varied_ids_and_a_long_text(spark):
+    """Of two texts of an id the largest links; null ids have no class."""
+    a, b, long = prose(1, 40), "zz " + prose(2, 40), prose(3, 150_000)
+    rows_ = [(1, a), (2, a), (2, b), (3, edited(b, 1, 5)), (None, a), (7, long), (8, long + " end"), (9, prose(4, 30))]
+    found = jaccard_classes(spark.createDataFrame(rows_, "doc_id int, text string"), 4, 80).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in found) == [(0, 0), (1, 1), (2, 2), (2, 2), (3, 2), (7, 7), (8, 7), (9, 9)]
+
+
+def test_every_pair_at_the_threshold_meets(spark):
+    """Large sets that differ in just as many shingles as a link allows are linked, those with one more are not."""
+    texts, want = [], {}
+    for k, n in enumerate((400, 1500, 4000)):
+        words = [f"v{k}x{i}" for i in range(n)]
+        size = n - 3
+        apart = next(m for m in range(size) if 100 * (size - 4 * (m + 1)) < 85 * (size + 4 * (m + 1)))
+        for j, m in enumerate((apart, apart + 1)):
+            other = list(words)
+            step = (n - 10) // m
+            for i in range(m):  # places apart, so that each takes four shingles
+                other[5 + i * step] = f"u{k}y{j}z{i}"
+            first = len(texts)
+            texts += [" ".join(f"{w}{j}" for w in words), " ".join(f"{w}{j}" for w in other)]
+            want |= {first: first, first + 1: first if j == 0 else first + 1}
+    assert {i: r["component_id"] for i, r in rows(jaccard_classes(frame(spark, texts), 4, 85)).items()} == want
