@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from kbspark.functions.text import content_id, sanitize, strip
 
-#: After any of these a window may be cut.
+# After any of these a window may be cut.
 STOPS = "。.,，!?！？\n"
 
 
@@ -43,8 +43,8 @@ def stride_chunks(docs: DataFrame, size: int = 1024, overlap: int = 128, split:
         each = parts.select("doc_id", "part", F.lit(0).alias("at"), F.size("w").alias("tokens"), strip(F.col("piece")).alias("text"))
     else:
         starts = F.sequence(F.lit(0), F.size("w") - 1, F.lit(size - overlap))
-        each = parts.select("doc_id", "part", "w", F.explode(starts).alias("at")).select("doc_id", "part", "at", F.slice("w", F.col("at") + 1, F.lit(size)).alias("w"))
-        each = each.select("doc_id", "part", "at", F.size("w").alias("tokens"), F.array_join("w", " ").alias("text"))
+        window = lambda at: F.struct(at.alias("at"), F.least(F.size("w") - at, F.lit(size)).alias("tokens"), F.array_join(F.slice("w", at + 1, F.lit(size)), " ").alias("text"))
+        each = parts.select("doc_id", "part", F.explode(F.transform(starts, window)).alias("x")).select("doc_id", "part", "x.*")
     if split is None:
         return each.select("doc_id", (F.col("at") / (size - overlap)).cast("int").alias("chunk_order"), "tokens", "text")
     order = F.row_number().over(W.partitionBy("doc_id").orderBy("part", "at")) - 1
@@ -173,22 +173,32 @@ def chunk_records(chunks: DataFrame) -> DataFrame:
     return chunks.where(F.length(strip(F.col("text"))) > 0).withColumn("chunk_id", content_id(F.col("text")))
 
 
-def rechunk(chunks: DataFrame, size: int, overlap: int = 0) -> DataFrame:
-    """source_id, new_order, text, chunk_ids: the chunks(source_id, chunk_id, chunk_order, text) of a source put
-    together in order and cut anew; chunk_ids are those whose token range overlaps the new one's."""
-    rows = chunks.withColumn("w", words(F.col("text"))).withColumn("n", F.size("w"))
-    w = W.partitionBy("source_id").orderBy("chunk_order")
-    old = rows.withColumn("end", F.sum("n").over(w)).withColumn("start", F.col("end") - F.col("n"))
-    whole = rows.groupBy("source_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk_order", "w"))), lambda x: x["w"])).alias("w")).where("size(w) > 0")
-    new = whole.select("source_id", "w", F.posexplode(F.sequence(F.lit(0), F.size("w") - 1, F.lit(size - overlap))).alias("new_order", "at"))
-    new = new.select("source_id", "new_order", F.col("at").alias("new_start"), F.least(F.col("at") + size, F.size("w")).alias("new_end"), F.array_join(F.slice("w", F.col("at") + 1, F.lit(size)), " ").alias("text"))
-    both = new.join(old.select("source_id", "chunk_id", "chunk_order", "start", "end"), "source_id").where("end > new_start and start < new_end")
-    return both.groupBy("source_id", "new_order", "text").agg(F.transform(F.sort_array(F.collect_list(F.struct("chunk_order", "chunk_id"))), lambda x: x["chunk_id"]).alias("chunk_ids"))
+BLOCK = 1024  # chunks of a source whose places are summed at once
 
 
+def rechunk(chunks: DataFrame, size: int, overlap: int = 0) -> DataFrame:
+    """source_id, new_order, text, chunk_ids: the chunks(source_id, chunk_id, chunk_order, text) of a source put
+    together in order and cut anew; chunk_ids are those whose token range overlaps the new one's. Each chunk is cut
+    where the new ones begin, so that no row holds a whole source; chunks without tokens go."""
+    rows = chunks.select("source_id", "chunk_id", "chunk_order", words(F.col("text")).alias("w")).where("size(w) > 0")
+    rows = rows.withColumn("n", F.size("w").cast("long")).withColumn("part", F.floor(F.col("chunk_order") / BLOCK))
+    before = F.sum("n").over(W.partitionBy("source_id").orderBy("part")) - F.col("n")
+    parts = rows.groupBy("source_id", "part").agg(F.sum("n").alias("n")).select("source_id", "part", before.alias("base"))
+    end = F.col("base") + F.sum("n").over(W.partitionBy("source_id", "part").orderBy("chunk_order"))
+    old = rows.join(parts, ["source_id", "part"]).withColumn("end", end).withColumn("start", F.col("end") - F.col("n"))
+    step = size - overlap
+    new = F.explode(F.sequence(F.greatest(F.floor((F.col("start") - size) / step) + 1, F.lit(0)), F.floor((F.col("end") - 1) / step)))
+    cut = old.withColumn("new_order", new).withColumn("low", F.greatest("start", F.col("new_order") * step)).withColumn("high", F.least("end", F.col("new_order") * step + size))
+    pieces = cut.select("source_id", F.col("new_order").cast("int").alias("new_order"), F.struct("chunk_order", "chunk_id", F.array_join(F.slice("w", (F.col("low") - F.col("start") + 1).cast("int"), (F.col("high") - F.col("low")).cast("int")), " ").alias("t")).alias("p"))
+    whole = pieces.groupBy("source_id", "new_order").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    return whole.select("source_id", "new_order", F.array_join(F.transform("p", lambda x: x["t"]), " ").alias("text"), F.transform("p", lambda x: x["chunk_id"]).alias("chunk_ids"))
+
+
+# Elements whose text is left out.
 _DROPPED = {"script", "style", "footer", "nav", "aside", "iframe", "button", "noscript"}
 # Image attributes by priority.
 _IMAGE = ("data-src", "data-original", "data-lazy-src", "data-url", "src", "srcset")
+# Elements without an end.
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 

@@ -118,10 +118,10 @@ def p10_split(t):
     return t.orders.select("o_orderkey", F.array_join(text.split_markers(F.concat_ws("-", "o_orderpriority", "o_orderstatus"), "-", ";"), "|").alias("parts"))
 
 
-@query("SELECT l_orderkey, CAST(count(DISTINCT l_partkey) AS BIGINT) AS ids FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey, array_to_string(list_sort(list_distinct(list(CAST(l_partkey AS VARCHAR)))), ',') AS ids FROM lineitem GROUP BY 1")
 def p11_id_lists(t):
     lists = t.lineitem.groupBy("l_orderkey").agg(F.concat(F.lit("['"), F.array_join(F.collect_list(F.col("l_partkey").cast("string")), "', '"), F.lit("']")).alias("s"))
-    return lists.select("l_orderkey", F.size(text.id_list(F.col("s"))).cast("long").alias("ids"))
+    return lists.select("l_orderkey", F.array_join(F.array_sort(text.id_list(F.col("s"))), ",").alias("ids"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(l_partkey AS VARCHAR) AS a, CAST(l_suppkey AS VARCHAR) AS b FROM lineitem")
@@ -180,18 +180,18 @@ def c4_semantic_chunks(t):
     return chunking.semantic_chunks(t.documents, 128)
 
 
-@query("WITH n AS (SELECT o_orderpriority, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS n FROM orders) SELECT o_orderpriority, CAST((n - 1) // 50 AS BIGINT) AS chunk, CAST(count(*) AS BIGINT) AS rows FROM n GROUP BY ALL")
+@query("WITH n AS (SELECT o_orderpriority, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS n, o_orderstatus FROM orders) SELECT o_orderpriority, CAST((n - 1) // 50 AS BIGINT) AS chunk, CAST(count(*) AS BIGINT) AS rows, md5('orders' || CASE WHEN (n - 1) // 50 = 0 THEN '' ELSE ' (continued)' END || chr(10) || '| o_orderkey | o_orderstatus |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || o_orderkey || ' | ' || o_orderstatus || ' |', chr(10) ORDER BY o_orderkey)) AS h FROM n GROUP BY o_orderpriority, (n - 1) // 50")
 def c5_table_chunks(t):
     out = chunking.table_chunks(t.orders, "o_orderpriority", "o_orderkey", ["o_orderkey", "o_orderstatus"], caption="orders")
-    return out.select("o_orderpriority", F.col("chunk").cast("long").alias("chunk"), (F.size(F.split("text", "\n")) - 3).cast("long").alias("rows"))
+    return out.select("o_orderpriority", F.col("chunk").cast("long").alias("chunk"), (F.size(F.split("text", "\n")) - 3).cast("long").alias("rows"), F.md5("text").alias("h"))
 
 
 @query(f"""WITH {views.CHUNKS}, r AS (SELECT doc_id, id, chunk_order, sum(tokens) OVER (PARTITION BY doc_id ORDER BY chunk_order) AS e, tokens FROM chunks),
-t AS (SELECT doc_id, max(e) AS n FROM r GROUP BY 1), nw AS (SELECT doc_id, unnest(generate_series(0, CAST(n AS BIGINT) - 1, 300)) AS s, n FROM t)
-SELECT nw.doc_id AS source_id, CAST(s // 300 AS BIGINT) AS new_order, CAST(count(*) AS BIGINT) AS sources FROM nw JOIN r ON r.doc_id = nw.doc_id AND r.e > s AND r.e - r.tokens < least(s + 300, n) GROUP BY ALL""")
+wl AS (SELECT doc_id, flatten(list(string_split(text, ' ') ORDER BY chunk_order)) AS w FROM chunks GROUP BY 1), t AS (SELECT doc_id, max(e) AS n FROM r GROUP BY 1), nw AS (SELECT doc_id, unnest(generate_series(0, CAST(n AS BIGINT) - 1, 300)) AS s, n FROM t)
+SELECT nw.doc_id AS source_id, CAST(s // 300 AS BIGINT) AS new_order, CAST(count(*) AS BIGINT) AS sources, md5(array_to_string(list_slice(any_value(w), s + 1, s + 300), ' ')) AS h FROM nw JOIN wl USING (doc_id) JOIN r ON r.doc_id = nw.doc_id AND r.e > s AND r.e - r.tokens < least(s + 300, n) GROUP BY nw.doc_id, s""")
 def c7_rechunk(t):
     old = views.chunks(t).select(F.col("doc_id").alias("source_id"), F.col("id").alias("chunk_id"), "chunk_order", "text")
-    return chunking.rechunk(old, 300).select("source_id", F.col("new_order").cast("long").alias("new_order"), F.size("chunk_ids").cast("long").alias("sources"))
+    return chunking.rechunk(old, 300).select("source_id", F.col("new_order").cast("long").alias("new_order"), F.size("chunk_ids").cast("long").alias("sources"), F.md5("text").alias("h"))
 
 
 @query()
@@ -419,10 +419,10 @@ def w17_fill_down(t):
     return ranking.fill_down(rows, ["user_id"], "event_id", ["a"]).select("event_id", "a")
 
 
-@query("WITH e AS (SELECT o_custkey AS query_id, o_orderkey AS id, sum(CAST(o_totalprice AS BIGINT)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS u FROM orders) SELECT query_id, id FROM e WHERE u <= 150000")
+@query("WITH r AS (SELECT o_custkey AS query_id, o_orderkey AS id, o_orderkey % 100 / 100 AS s, CAST(o_totalprice AS BIGINT) AS n FROM orders WHERE o_orderkey % 100 >= 30), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM r), e AS (SELECT *, sum(n) OVER (PARTITION BY query_id ORDER BY rank) AS u FROM k WHERE rank <= 4) SELECT query_id, id FROM e WHERE u <= 600000")
 def w8_finish_chunks(t):
-    rows = t.orders.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("id"), (-F.col("o_orderkey")).cast("double").alias("rerank"), F.round("o_totalprice").cast("long").alias("tokens"))
-    return ranking.finish_chunks(rows, -1e18, 1_000_000, 150000).select("query_id", "id")
+    rows = t.orders.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 100 / 100).alias("rerank"), F.bround("o_totalprice").cast("long").alias("tokens"))
+    return ranking.finish_chunks(rows, 0.3, 4, 600000).select("query_id", "id")
 
 
 # --- set operations, joins -----------------------------------------------------------------------------------
@@ -532,9 +532,10 @@ def j11_triples_in_scope(t):
     return joins.triples_in_scope(nodes, e, ["scope"])
 
 
-@query(f"WITH {views.STATUS} SELECT doc_id, CASE status WHEN 'processing' THEN 'remove' ELSE 'remove' END AS action FROM st WHERE doc_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'N')")
+@query(f"WITH {views.STATUS} SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'preserve' ELSE 'remove' END AS action FROM st WHERE doc_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'N')")
 def j13_consistency(t):
-    return joins.inconsistent(views.statuses(t), t.lineitem.where("l_returnflag = 'N'").select(F.col("l_orderkey").alias("doc_id"))).select("doc_id", "action")
+    states = views.statuses(t).withColumn("status", F.when(F.col("doc_id") % 5 == 0, "failed").otherwise(F.col("status")))
+    return joins.inconsistent(states, t.lineitem.where("l_returnflag = 'N'").select(F.col("l_orderkey").alias("doc_id"))).select("doc_id", "action")
 
 
 @query(f"WITH {views.NODES}, {views.EDGES}, d AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1) SELECT position, node, true AS found, CAST(coalesce(degree, 0) AS BIGINT) AS degree FROM nodes LEFT JOIN d USING (node)")
@@ -637,10 +638,10 @@ def a15_column_samples(t):
     return aggregates.column_samples(t.orders, ["o_orderpriority", "o_orderstatus"], "o_orderkey").withColumn("samples", F.array_join("samples", "|"))
 
 
-@query(f"WITH {views.CHUNKS} SELECT doc_id AS source_id, CAST(count(*) AS BIGINT) AS n, min(id) AS first FROM chunks GROUP BY 1")
+@query(f"WITH {views.CHUNKS} SELECT doc_id AS source_id, CAST(count(*) AS BIGINT) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM chunks GROUP BY 1")
 def a16_chunks_by_source(t):
     out = aggregates.chunks_by_source(views.chunks(t).select(F.col("doc_id").alias("source_id"), F.col("id").alias("chunk_id")))
-    return out.select("source_id", "n", F.get("chunk_ids", F.lit(0)).alias("first"))
+    return out.select("source_id", "n", F.array_join("chunk_ids", ",").alias("ids"))
 
 
 _CELLS = "SELECT c_mktsegment AS e, CAST(year(o_orderdate) AS VARCHAR) AS y, count(*) AS n, sum(CAST(floor(o_totalprice) AS BIGINT)) AS r FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL"
@@ -656,10 +657,21 @@ def q6_a17_generated_table(t):
     return retrieval.generated_table(_grid(t), lambda asked: _answers(t, asked), ["orders", "revenue"])
 
 
-@query(f"WITH {views.MENTIONS}, k AS (SELECT * FROM mentions WHERE chunk_id NOT IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'F')) SELECT name, CAST(count(DISTINCT chunk_id) AS BIGINT) AS sources FROM k GROUP BY 1")
+#: Nodes from mentions k, of which the first of each chunk and name counts.
+_FIRST = ", f AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY name, chunk_id ORDER BY position) = 1), c AS (SELECT name, type, count(*) AS c, min(position) AS p FROM f GROUP BY ALL), y AS (SELECT name, type FROM c QUALIFY row_number() OVER (PARTITION BY name ORDER BY c DESC, p) = 1) SELECT name, any_value(y.type) AS type, array_to_string(list_sort(list_distinct(list(description))), '<SEP>') AS description, array_to_string(list_sort(list_distinct(list(path))), '<SEP>') AS paths, CAST(count(DISTINCT chunk_id) AS BIGINT) AS sources FROM f JOIN y USING (name) GROUP BY name"
+
+
+@query(f"WITH {views.MENTIONS}, k AS (SELECT * FROM mentions WHERE chunk_id NOT IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'F')) {_FIRST}")
 def a18_rebuild(t):
     gone = t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("chunk_id"))
-    return aggregates.rebuilt_nodes(views.mentions(t), gone)[0].select("name", F.size("sources").cast("long").alias("sources"))
+    return aggregates.rebuilt_nodes(views.mentions(t), gone)[0].select("name", "type", "description", "paths", F.size("sources").cast("long").alias("sources"))
+
+
+@query(f"WITH {views.MENTIONS}, g AS (SELECT CAST(o_orderkey AS VARCHAR) AS s FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING'), k AS (SELECT * FROM mentions WHERE chunk_id NOT IN (SELECT s FROM g) AND name IN (SELECT name FROM mentions WHERE chunk_id IN (SELECT s FROM g))) {_FIRST}")
+def g6_rebuilt_nodes(t):
+    chunks = t.orders.select(F.col("o_orderkey").cast("string").alias("chunk_id"), F.col("o_custkey").alias("doc_id"))
+    gone = t.customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("doc_id"))
+    return graph.delete_documents(views.mentions(t), chunks, gone)[1].select("name", "type", "description", "paths", F.size("sources").cast("long").alias("sources"))
 
 
 @query(f"WITH {views.NODES} SELECT DISTINCT name FROM nodes")
@@ -667,9 +679,9 @@ def a19_labels(t):
     return aggregates.labels(views.nodes(t))
 
 
-@query("SELECT 'orders' AS \"table\", c AS \"column\", CAST((SELECT count(*) FROM orders) AS BIGINT) AS rows FROM (VALUES ('o_orderkey'), ('o_custkey'), ('o_orderstatus'), ('o_totalprice'), ('o_orderdate'), ('o_orderpriority')) v(c)")
+@query("SELECT 'orders' AS \"table\", c AS \"column\", CAST((SELECT count(*) FROM orders) AS BIGINT) AS rows, p AS position, k AS type FROM (VALUES (0, 'o_orderkey', 'bigint'), (1, 'o_custkey', 'bigint'), (2, 'o_orderstatus', 'string'), (3, 'o_totalprice', 'double'), (4, 'o_orderdate', 'date'), (5, 'o_orderpriority', 'string')) v(p, c, k)")
 def a20_table_profile(t):
-    return aggregates.table_profile(t.orders, "orders").select("table", "column", "rows")
+    return aggregates.table_profile(t.orders.withColumn("o_orderdate", F.to_date("o_orderdate")), "orders").select("table", "column", "rows", "position", "type")
 
 
 # --- graph ---------------------------------------------------------------------------------------------------
@@ -697,11 +709,11 @@ def g3_subgraph(t):
     return nodes.join(n, "start", "left").select("start", "node", F.col("depth").cast("long").alias("depth"), "truncated", F.coalesce("edges", F.lit(0)).alias("edges"))
 
 
-@query("WITH m AS (SELECT p_partkey, 'p' || min(p_partkey) OVER (PARTITION BY p_name, p_brand) AS c FROM part) SELECT least(c, 's' || l_suppkey) AS src, greatest(c, 's' || l_suppkey) AS dst, max(l_quantity) AS weight, array_to_string(list_sort(list_distinct(list(l_linestatus))), ',') AS keywords, CAST(count(DISTINCT l_orderkey) AS BIGINT) AS sources FROM lineitem JOIN m ON p_partkey = l_partkey GROUP BY 1, 2")
+@query("WITH m AS (SELECT p_partkey, 'p' || min(p_partkey) OVER (PARTITION BY p_name, p_brand) AS c FROM part) SELECT least(c, 's' || l_suppkey) AS src, greatest(c, 's' || l_suppkey) AS dst, max(l_quantity) AS weight, array_to_string(list_sort(list_distinct(list(l_linestatus))), ',') AS keywords, array_to_string(list_sort(list_distinct(list(CAST(CAST(l_shipdate AS DATE) AS VARCHAR)))), '<SEP>') AS description, array_to_string(list_sort(list_distinct(list(CAST(l_orderkey AS VARCHAR)))), ',') AS sources FROM lineitem JOIN m ON p_partkey = l_partkey GROUP BY 1, 2")
 def g5_merge_entities(t):
     first = t.part.groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("c"))
     mapping = t.part.join(first, ["p_name", "p_brand"]).select(F.concat(F.lit("p"), "p_partkey").alias("old"), F.concat(F.lit("p"), "c").alias("canonical")).where("old <> canonical")
-    return graph.merge_entities(views.edges(t), mapping).select("src", "dst", "weight", "keywords", F.size("sources").cast("long").alias("sources"))
+    return graph.merge_entities(views.edges(t), mapping).select("src", "dst", "weight", "keywords", "description", F.array_join("sources", ",").alias("sources"))
 
 
 @query(f"WITH {views.MENTIONS}, g AS (SELECT CAST(o_orderkey AS VARCHAR) AS s FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING'), e AS (SELECT DISTINCT name, chunk_id FROM mentions) SELECT name, CASE WHEN count(*) FILTER (WHERE s IS NULL) = 0 THEN 'delete' WHEN count(*) FILTER (WHERE s IS NOT NULL) > 0 THEN 'rebuild' ELSE 'keep' END AS action, CAST(count(*) FILTER (WHERE s IS NULL) AS BIGINT) AS n FROM e LEFT JOIN g ON s = chunk_id GROUP BY name")
@@ -733,10 +745,16 @@ def g19_delete_triples(t):
     return graph.delete_triples(e, e.where("l_quantity > 25"), ["scope"]).drop("l_quantity")
 
 
-@query(f"WITH d AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1), h AS ({_TOP.format(score=_IP, more='', k=10)}) SELECT query_id, rank, id, score FROM h")
+@query(f"WITH e AS (SELECT vec_id AS src, -label - 1 AS dst FROM embeddings), d AS (SELECT node, count(*) AS n FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY 1), h AS ({_TOP.format(score=_IP, more='', k=10)}) SELECT query_id, rank, id, score, CAST(coalesce(n, 0) AS BIGINT) AS degree FROM h LEFT JOIN d ON node = id")
 def g8_local_retrieval(t):
-    e = t.embeddings.select(F.col("vec_id").alias("src"), F.col("label").cast("long").alias("dst"), F.lit(1.0).alias("weight"))
-    return graph.local_retrieval(views.vector_queries(t), views.vectors(t), e, 10)[0].select("query_id", F.col("rank").cast("long").alias("rank"), "id", "score")
+    e = t.embeddings.select(F.col("vec_id").alias("src"), (-F.col("label").cast("long") - 1).alias("dst"), F.lit(1.0).alias("weight"))
+    return graph.local_retrieval(views.vector_queries(t), views.vectors(t), e, 10)[0].select("query_id", F.col("rank").cast("long").alias("rank"), "id", "score", "degree")
+
+
+@query(f"WITH e AS (SELECT least(vec_id, -label - 1) AS src, greatest(vec_id, -label - 1) AS dst, max(CAST(vec_id % 5 AS DOUBLE)) AS weight FROM embeddings GROUP BY 1, 2), d AS (SELECT node, count(*) AS n FROM (SELECT vec_id AS node FROM embeddings UNION ALL SELECT -label - 1 FROM embeddings) GROUP BY 1), h AS ({_TOP.format(score=_IP, more='', k=10)}), a AS (SELECT DISTINCT query_id, src, dst, weight FROM h JOIN e ON src = id OR dst = id) SELECT query_id, src, dst, weight, CAST(x.n + y.n AS BIGINT) AS degree, row_number() OVER (PARTITION BY query_id ORDER BY x.n + y.n DESC, weight DESC, src, dst) AS rank FROM a JOIN d x ON x.node = src JOIN d y ON y.node = dst")
+def g8_local_edges(t):
+    e = t.embeddings.select(F.col("vec_id").alias("src"), (-F.col("label").cast("long") - 1).alias("dst"), (F.col("vec_id") % 5).cast("double").alias("weight"))
+    return graph.local_retrieval(views.vector_queries(t), views.vectors(t), e, 10)[1].select("query_id", "src", "dst", "weight", "degree", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH h AS ({_TOP.format(score=_IP, more='', k=10)}), e AS (SELECT query_id, rank * 10 AS o, 'a' || id % 13 AS node FROM h UNION ALL SELECT query_id, rank * 10 + 1, 'b' || label FROM h JOIN embeddings ON vec_id = id), f AS (SELECT query_id, node, min(o) AS o FROM e GROUP BY ALL) SELECT query_id, node, row_number() OVER (PARTITION BY query_id ORDER BY o, node) AS position FROM f")
@@ -847,10 +865,10 @@ def m7_state_at(t):
     return memory.state_at(history.crossJoin(F.broadcast(half)), F.col("half"))
 
 
-@query("SELECT c.vec_id AS id, CASE WHEN s >= 0.95 THEN 'remain' WHEN s >= 0.8 THEN 'update' ELSE 'add' END AS decision FROM (SELECT q.vec_id, max(round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6)) AS s FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0 AND c.vec_id % 20 <> 0 GROUP BY 1) c")
+@query("SELECT c.vec_id AS id, id2 AS nearest, CASE WHEN s >= 0.95 THEN 'remain' WHEN s >= 0.8 THEN 'update' ELSE 'add' END AS decision FROM (SELECT q.vec_id, c.vec_id AS id2, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS s FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0 AND c.vec_id % 20 <> 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, c.vec_id) = 1) c")
 def m8_gate_entries(t):
     new = views.vector_queries(t).withColumnRenamed("query_id", "id")
-    return memory.gate_entries(new, views.vectors(t).where("id % 20 <> 0")).select("id", "decision")
+    return memory.gate_entries(new, views.vectors(t).where("id % 20 <> 0")).select("id", "nearest", "decision")
 
 
 # --- model answers, periods ----------------------------------------------------------------------------------
@@ -863,10 +881,19 @@ def p13_extraction(t):
     return answers.extracted_nodes(records).groupBy("name", "type", "description").agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_partkey, p_name || '|' || p_brand AS items FROM part")
+@query("SELECT p_name AS src, p_brand AS dst, 'a,b' AS keywords, CAST(sum(p_size) AS DOUBLE) AS weight FROM part WHERE p_name <> p_brand GROUP BY ALL")
+def p13_edges(t):
+    line = F.concat(F.lit('("relationship"<|>'), F.concat_ws("<|>", "p_name", "p_brand", F.lit("made by"), F.lit("a，b"), F.col("p_size").cast("string")), F.lit(')##("relationship"<|>'), F.concat_ws("<|>", "p_name", "p_name", F.lit("self"), F.lit("x"), F.lit("9")), F.lit(")<|COMPLETE|>"))
+    records = answers.extraction_records(t.part.select("p_partkey", line.alias("answer")), "answer")
+    return answers.extracted_edges(records).groupBy("src", "dst", "keywords").agg(F.sum("weight").alias("weight"))
+
+
+@query("SELECT p_partkey, p_name || '|' || p_brand AS items, p_name || '|' || p_brand AS listed FROM part")
 def p12_answer_items(t):
     said = t.part.select("p_partkey", F.concat(F.lit("<think>x [1]</think>```json\n"), F.to_json(F.array("p_name", "p_brand")), F.lit("\n```")).alias("a"))
-    return answers.answer_items(said, "a").select("p_partkey", F.array_join("items", "|").alias("items"))
+    lines = t.part.select("p_partkey", F.concat(F.lit("1. "), "p_name", F.lit("\n\n- "), "p_brand", F.lit("\n")).alias("a"))
+    plain = answers.answer_items(lines, "a").select("p_partkey", F.array_join("items", "|").alias("listed"))
+    return answers.answer_items(said, "a").select("p_partkey", F.array_join("items", "|").alias("items")).join(plain, "p_partkey")
 
 
 @query("SELECT CAST(y AS VARCHAR) || ' Q' || q AS quarter, (SELECT CAST(count(*) AS BIGINT) FROM orders WHERE year(o_orderdate) = y AND quarter(o_orderdate) = q) AS n FROM (SELECT unnest(range((SELECT min(year(o_orderdate)) FROM orders), (SELECT max(year(o_orderdate)) + 1 FROM orders))) AS y), (SELECT unnest([1, 2, 3, 4]) AS q)")
