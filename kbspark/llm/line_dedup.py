@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from kbspark.llm import text as tx
 from kbspark.llm.stages import release, settle, sized, spread_join
 
-PER_SALT = 1000  # occurrences that are compared with one copy of the first
+PER_SALT = 100  # occurrences that are compared with one copy of the first
 MASK = -1  # which bits of the hashes count: all
 
 _WINDOW = "h1 long, h2 long, doc_id long, first int, n int"
