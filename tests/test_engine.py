@@ -170,3 +170,131 @@ def test_memory_and_tables(spark):
     assert [r["value"] for r in tables.quarters(spark, (2023, 3), (2024, 1)).orderBy("position").collect()] == ["2023 Q3", "2023 Q4", "2024 Q1"]
     attrs = aggregates.merge_attributes(spark.createDataFrame([("k", 1, "", 3), ("k", 2, "b", None), ("k", 3, "a<SEP>b", 9)], "k string, n int, s string, v int"), "k", "n", {"s": "join_unique", "v": "max"})
     assert tuple(attrs.first()) == ("k", "a<SEP>b", 9)
+
+
+def test_large_sets_of_queries_take_other_ways(spark, sf, monkeypatch):
+    """Blocks of queries that meet slices of the corpus, and postings, give what shipped queries give."""
+    from kbspark.operators import keyword
+
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding", "label")
+    q = e.where("id % 5 = 0").withColumnRenamed("id", "query_id")
+    hits = lambda **more: sorted(map(tuple, vectors.topk(q, e, 7, **more).collect()))
+    cases = [{}, {"cosine": True, "floor": 0.1}, {"per": "label"}, {"scope": "label"}]
+    one = [hits(**c) for c in cases]
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 30)
+    monkeypatch.setattr(vectors, "SLICE", 90)
+    assert [hits(**c) for c in cases] == one and one[3] != one[0]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    asked = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    found = {}
+    for most in (10**6, 0):
+        monkeypatch.setattr(keyword, "MOST_ASKED", most)
+        for match in ("any", "all"):
+            found[most, match] = sorted((r["query_id"], r["rank"], r["id"], round(r["score"], 5)) for r in keyword.keyword_topk(asked, docs, 5, match).collect())
+    assert found[10**6, "any"] == found[0, "any"] and found[10**6, "all"] == found[0, "all"]
+    assert keyword.keyword_topk(asked.limit(0), docs, 5).count() == 0 == vectors.topk(q.limit(0), e, 3).count()
+
+
+def test_average_linkage_by_brute_force(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("label").alias("block"), "embedding")
+    found = {r["id"]: r["cluster"] for r in vectors.clusters_average(e, 0.4).collect()}
+    for block in {r["block"] for r in e.select("block").distinct().collect()}:
+        rows = [(r["id"], np.array(r["embedding"], float)) for r in e.where(F.col("block") == block).collect()]
+        x = np.array([v / np.linalg.norm(v) for _, v in rows])
+        d = np.sqrt(np.maximum(2 - 2 * x @ x.T, 0))
+        groups = [[i] for i in range(len(rows))]
+        while len(groups) > 1:
+            mean, a, b = min((d[np.ix_(groups[a], groups[b])].mean(), a, b) for a in range(len(groups)) for b in range(a))
+            if mean > 0.6:
+                break
+            groups[b] += groups.pop(a)
+        for g in groups:
+            assert {found[rows[i][0]] for i in g} == {min(rows[i][0] for i in g)}
+
+
+def test_sentence_windows_by_brute_force(spark, sf):
+    import re
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = {}
+    for r in chunking.sentence_chunks(docs, 40, 6).collect():
+        found.setdefault(r["doc_id"], []).append((r["chunk_order"], r["start"], r["end"], r["text"]))
+    for r in docs.collect():
+        tokens, at, want = re.findall(r"\s*\S+|\s+$", r["text"] or ""), 0, []
+        while at < len(tokens):
+            end = min(at + 40, len(tokens))
+            if end < len(tokens):  # back to the last token of the window that holds a stop, and to the stop in it
+                piece = "".join(tokens[at:end])
+                stops = [i for i, c in enumerate(piece) if c in "。.,，!?！？\n"]
+                if stops and stops[-1] > 0:
+                    piece = piece[: stops[-1] + 1]
+                    end = at + max(1, len(re.findall(r"\s*\S+|\s+$", piece)))
+            else:
+                piece = "".join(tokens[at:end])
+            if piece.strip():
+                want.append((len(want), at, end, piece.strip()))
+            if end >= len(tokens) or end - 6 <= at:
+                break
+            at = end - 6
+        assert sorted(found.get(r["doc_id"], [])) == want
+    parts = {}
+    for r in chunking.semantic_chunks(docs, 40).collect():
+        parts.setdefault(r["doc_id"], []).append((r["chunk_order"], r["text"]))
+        assert len(r["text"].split()) <= 40
+    for r in docs.where("text is not null").collect():
+        assert "".join("".join(t.split()) for _, t in sorted(parts.get(r["doc_id"], []))) == "".join(r["text"].split())
+
+
+def test_naive_hybrid_by_brute_force(spark, sf):
+    """Q1 and Q5 over whole tables: 1000 nearest chunks, half of k entities and relations, ties by id."""
+    from kbspark.plans.catalog import QUERIES
+
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    unit = lambda t: (lambda v: (v / np.sqrt((v * v).sum())).astype(np.float32) if v.any() else v.astype(np.float32))(np.array(infer.hash_embedder([t])[0], np.float32).astype(float))
+    chunks = {}
+    for d, r in docs.items():
+        w = (r["text"] or "").split()
+        for k, at in enumerate(range(0, len(w), 96)):
+            chunks[d * 10_000_000 + k] = unit(" ".join(w[at : at + 128]))
+    ids = np.array(sorted(chunks))
+    x = np.array([chunks[i] for i in ids], float)
+    owner = ids // 10_000_000
+    entity = {d: x[owner == d].mean(0).astype(np.float32).astype(float) for d in set(owner.tolist())}
+    after = {int(i): ((chunks[i] + chunks[i + 1]) / 2).astype(np.float32).astype(float) for i in ids if i + 1 in chunks}
+    best = lambda q, names, m, n: sorted(zip(names, np.round(np.array(m) @ q, 6)), key=lambda p: (-p[1], p[0]))[:n]
+    wrong = total = 0
+    found = {}
+    for r in QUERIES["q_naive_hybrid"][0](spark, sf).collect():
+        found.setdefault(r["query_id"], {})[r["rank"]] = (r["id"], r["score"], r["source"])
+    for item in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        q = unit(item["text"]).astype(float)
+        score = {int(i): 1.5 * s for i, s in best(q, ids.tolist(), x, 1000)}
+        for d, _ in best(q, [-d - 1 for d in entity], [entity[d] for d in entity], 5):
+            for i in ids[owner == -d - 1].tolist():
+                score[i] = score.get(i, 0.0) + 1
+        for i, _ in best(q, list(after), [after[i] for i in after], 5):
+            for j in (i, i + 1):
+                score[j] = score.get(j, 0.0) + 1
+        want = sorted(score.items(), key=lambda p: (-round(p[1], 6), p[0]))[:10]
+        for rank, (i, s) in enumerate(want, 1):
+            total += 1
+            got = found[item["item_id"]][rank]
+            wrong += got[0] != i
+            assert abs(got[1] - s) < 2e-5 and got[2] == docs[got[0] // 10_000_000]["source"]
+    assert wrong <= 0.01 * total  # single precision may swap neighbours of equal score
+
+
+def test_merge_policy_that_merges_no_further(spark):
+    """Records of a kind merge, others stay; long groups end although a fold returns much of what it gets."""
+
+    def policy(p: pd.DataFrame) -> pd.DataFrame:
+        return p.groupby(["k", "kind"], as_index=False)["n"].sum()
+
+    rows = spark.range(3000).select((F.col("id") % 2).alias("k"), (F.col("id") % 300).alias("kind"), F.lit(1).cast("long").alias("n"))
+    got = infer.merge_groups(rows, "k", policy, "k long, kind long, n long").collect()
+    assert sorted(map(tuple, got)) == [(k % 2, k, 10) for k in sorted(range(300), key=lambda k: (k % 2, k))]
+
+
+def test_table_text():
+    schema = tables.declared_schema([("a b", "the first's", "number"), ("c", "", "other")])
+    assert tables.table_text("t", schema) == "CREATE TABLE `t` (\n  `a_b` DECIMAL(28,6) COMMENT 'the first''s',\n  `c` STRING COMMENT ''\n)"
