@@ -62,7 +62,7 @@ def _counted(shipped):
     """Of chunks(id, t), how often each shipped token occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = pa.array(shipped.value)
+        names = pa.array(shipped.value, pa.string())
         for batch in batches:
             lists = batch.column(1)
             at = pc.index_in(lists.flatten(), value_set=names).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -109,16 +109,16 @@ _HITS = "query_id long, scope long, id long, score double"
 def _tiled(asked: DataFrame, rows: DataFrame, n: int, k: int, cosine: bool, floor: float | None, digits: int, scoped: bool) -> DataFrame:
     """Blocks of queries meet slices of the corpus, a task a pair; each slice goes once to every block."""
     blocks, slices = -(-n // QUERY_BLOCK), max(1, -(-rows.count() // SLICE))
-    q = asked.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    c = rows.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    q = asked.withColumn("vector", F.slice("embedding", 1, F.size("embedding"))).drop("embedding").withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    c = rows.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         left, right = left.combine_chunks(), right.combine_chunks()
         names, ids = left["query_id"].to_numpy(), right["id"].to_numpy()
-        vector = lambda t: _matrix(pa.concat_arrays(t["embedding"].chunks), t.num_rows, cosine) if t.num_rows else np.zeros((0, 0))
+        vector = lambda t, c: _matrix(pa.concat_arrays(t[c].chunks), t.num_rows, cosine)
         found = []
         if len(names) and len(ids):
-            found = _best_of(names, vector(left), left["scope"].to_numpy() if scoped else None, ids, vector(right), right["scope"].to_numpy() if "scope" in right.column_names else None, k, floor, digits, scoped)
+            found = _best_of(names, vector(left, "vector"), left["scope"].to_numpy() if scoped else None, ids, vector(right, "embedding"), right["scope"].to_numpy() if "scope" in right.column_names else None, k, floor, digits, scoped)
         i, g, ids, s = _joined(found, k)[0] if found else (np.zeros(0, int),) * 4
         return pa.table([pa.array(names[i], pa.int64()), pa.array(g, pa.int64()), pa.array(ids, pa.int64()), pa.array(s, pa.float64())], ["query_id", "scope", "id", "score"])
 
