@@ -47,3 +47,9 @@ def test_checksum():
     assert [f[1] for f in find(f"see {good}.")] == [3]
     assert not find(f"see {good[:-1]}{'0' if good[-1] != '0' else '1'}.")
     assert redact(f"see {good}.") == "see [secret]."
+
+
+def test_int_null_repeated_ids_and_a_long_text(spark):
+    rows_ = [(1, "token=abcdefgh"), (1, "token=abcdefgh"), (None, "AKIA" + "B" * 16), (4, "token=abcdefgh " * 70_000), (5, None)]
+    out = scan_secrets(spark.createDataFrame(rows_, "doc_id int, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_assign"], r["n_access"]) for r in out) == [(0, 0, 1), (1, 1, 0), (1, 1, 0), (4, 70_000, 0), (5, 0, 0)]
