@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,13 +80,52 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+CONTRACTED = 1 << 20  # edges that a task contracts at once
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) with those of a task joined: each node with the smallest node that its edges here reach."""
+
+    def stars(got: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(got).combine_chunks()
+        ends = pa.chunked_array([*t["u"].chunks, *t["v"].chunks]).combine_chunks()
+        names = pc.unique(ends)
+        names = names.take(pc.sort_indices(names))
+        code = pc.index_in(ends, value_set=names).to_numpy()
+        u, v = code[: t.num_rows], code[t.num_rows :]
+        root = np.arange(len(names))
+        while True:
+            least = np.minimum(root[u], root[v])
+            new = root.copy()
+            np.minimum.at(new, root[u], least)
+            np.minimum.at(new, root[v], least)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        keep = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([names.take(pa.array(keep)), names.take(pa.array(root[keep]))], ["u", "v"])
+
+    got, n = [], 0
+    for batch in batches:
+        got.append(batch)
+        n += batch.num_rows
+        if n >= CONTRACTED:
+            yield stars(got)
+            got, n = [], 0
+    if n:
+        yield stars(got)
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, component) of every node of ``links``; component is the smallest node that links reach.
 
     Alternates large-star and small-star contractions, which are grouped minima and equi-joins, until
-    every node points straight at its root. Only counts come to the driver.
+    every node points straight at its root; before each, tasks contract the edges that they hold. Only counts
+    come to the driver.
     """
-    edges = settle(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "edges")
+    joined = lambda df: df.mapInArrow(_contracted, df.schema).distinct()
+    edges = settle(joined(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v")), "edges")
     for _ in range(rounds):
         # a forest of stars: each u has one v, and no v is a u
         ends = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
@@ -95,6 +138,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         large = spread_join(both.where("v > u"), least, ["u"], "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        last, edges = edges, settle(small.where("u > v").distinct(), "edges")
+        last, edges = edges, settle(joined(small.where("u > v")), "edges")
         release(last)
     raise RuntimeError(f"components did not settle within {rounds} rounds")

@@ -298,3 +298,27 @@ def test_merge_policy_that_merges_no_further(spark):
 def test_table_text():
     schema = tables.declared_schema([("a b", "the first's", "number"), ("c", "", "other")])
     assert tables.table_text("t", schema) == "CREATE TABLE `t` (\n  `a_b` DECIMAL(28,6) COMMENT 'the first''s',\n  `c` STRING COMMENT ''\n)"
+
+
+@pytest.mark.parametrize("at_once", [3, 10**6])
+def test_components_by_brute_force(spark, at_once, monkeypatch):
+    """Chains, stars, rings and lone pairs over several tasks, with numbers and with names."""
+    from kbspark import jobs
+
+    monkeypatch.setattr(jobs, "CONTRACTED", at_once)
+    pairs = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 90)] + [(300 + i, 300 + (i + 7) % 40) for i in range(40)] + [(500, 501), (7, 7), (501, 500)] + [(700 + (i * 37) % 101, 700 + (i * 61) % 101) for i in range(80)]
+    up = {x: x for p in pairs for x in p}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((root(a), root(b)))
+        up[y] = x
+    linked = {x for p in pairs for x in p if p[0] != p[1]}
+    df = spark.createDataFrame(pairs, "a long, b long").repartition(6)
+    assert {r["node"]: r["component"] for r in jobs.components(df).collect()} == {x: root(x) for x in linked}
+    named = df.select(F.format_string("n%04d", "a").alias("a"), F.format_string("n%04d", "b").alias("b"))
+    assert {r["node"]: r["component"] for r in jobs.components(named).collect()} == {f"n{x:04d}": f"n{root(x):04d}" for x in linked}
