@@ -7,8 +7,9 @@ is one non-decreasing sequence; both are Elias-Fano coded. Every node has a quan
 log-probability, and as a context a quantised back-off weight.
 
 Spark counts: each task sums the n-grams of its documents and sends one packed row a shard; a shard is a
-range of hashes, or of parents. Its rows are summed by several tasks, whose results one task merges into files
-in the shared folder, which it moves into place when they are whole, so that a task may run again. Scoring tasks map the files of the levels and look up the
+range of hashes, or of parents, merged by one task into files in the shared folder, which it moves into place
+when they are whole, so that a task may run again. Shards of parents that very many tokens follow are summed by
+several tasks first. Scoring tasks map the files of the levels and look up the
 n-grams of many documents at once, sorted, by successor search in the parent's range. Counts cover all
 training documents; nothing is pruned.
 
@@ -30,14 +31,14 @@ from pyspark.sql import functions as F
 
 from kbspark.llm import text as tx
 from kbspark.llm.elias_fano import EliasFano
-from kbspark.llm.stages import shared_dir
+from kbspark.llm.stages import settle, shared_dir
 
 DISCOUNT = 0.75
 STEP = 12 / 65535  # of a quantised log10: 0 down to -12
 SHARD_CHARS = 12 << 20  # characters of text a shard
 END = tx.mix(np.array([0x656E64], np.uint64))[0]
 BLOCK_BYTES = 6 << 20  # text whose n-grams are looked up at once
-PER_SALT = 64  # blocks whose packets are summed at once
+PER_SALT = 4 << 20  # tokens of a shard whose packets one task takes; there are about 2 million in a usual shard
 KEPT_BYTES = 256 << 20  # of shards that are read, not mapped, which a worker keeps
 
 
@@ -265,28 +266,28 @@ def _joined(got: list) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
 _PACKET = "shard int, salt int, a binary, b binary, c binary, n binary"
 
 
-def _packets(shard: np.ndarray, *arrays: np.ndarray, salt: int = 0) -> pa.RecordBatch:
-    """A row a shard, from arrays sorted by shard."""
+def _packets(shard: np.ndarray, *arrays: np.ndarray, salt: int = 0, salts: dict[int, int] | None = None) -> pa.RecordBatch:
+    """A row a shard, from arrays sorted by shard; salts: of hot shards."""
     cuts = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]]) if len(shard) else np.array([0])
     pairs = list(zip(cuts[:-1], cuts[1:], strict=True))
-    return pa.RecordBatch.from_arrays([pa.array([int(shard[i]) for i, _ in pairs], pa.int32()), pa.array([salt] * len(pairs), pa.int32()), *(pa.array([a[i:j].tobytes() for i, j in pairs], pa.binary()) for a in arrays)], ["shard", "salt", "a", "b", "c", "n"])
+    return pa.RecordBatch.from_arrays([pa.array([int(shard[i]) for i, _ in pairs], pa.int32()), pa.array([salt % (salts or {}).get(int(shard[i]), 1) for i, _ in pairs], pa.int32()), *(pa.array([a[i:j].tobytes() for i, j in pairs], pa.binary()) for a in arrays)], ["shard", "salt", "a", "b", "c", "n"])
 
 
-def _salted(blocks: Iterator[tuple], salts: int) -> Iterator[tuple]:
+def _salted(blocks: Iterator[tuple]) -> Iterator[tuple]:
     """Blocks with a salt each, which depends on the task and on the place in it only."""
     from pyspark import TaskContext
 
     first = (TaskContext.get().partitionId() if TaskContext.get() else 0) * 7919
     for i, block in enumerate(blocks):
-        yield (first + i) % salts, *block
+        yield first + i, *block
 
 
-def _count_words(bits: int, salts: int):
+def _count_words(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for salt, _, hashes, _, _ in _salted(_blocks(batches, "text"), salts):
+        for _, hashes, _, _ in _blocks(batches, "text"):
             h, n = np.unique(hashes, return_counts=True)
             none = np.zeros(len(h), np.uint8)
-            yield _packets((h >> np.uint64(64 - bits)).astype(np.int64), h, none, none, n.astype(np.uint32), salt=salt)
+            yield _packets((h >> np.uint64(64 - bits)).astype(np.int64), h, none, none, n.astype(np.uint32))
 
     return run
 
@@ -307,25 +308,20 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int]
         yield last, got
 
 
-def _summed(kinds: dict[str, type]):
-    """Of packets sorted by shard and salt, one packet each; kinds: the types of a to c, whose n is summed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (shard, _), got in _shards(batches):
-            keys = [_array(got[c], kind) for c, kind in kinds.items()]
-            order = np.lexsort(keys[::-1])
-            keys = [k[order] for k in keys]
-            new = np.ones(len(order), bool)
-            new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-            at = np.flatnonzero(new)
-            n = np.add.reduceat(_array(got["n"], np.uint32)[order].astype(np.int64), at)
-            if n.max() >= 1 << 32:
-                raise OverflowError("an n-gram occurs 2**32 times")
-            columns = dict(zip(kinds, keys, strict=True))
-            none = np.zeros(len(at), np.uint8)
-            yield _packets(np.full(len(at), shard), *(columns[c][at] if c in columns else none for c in "abc"), n.astype(np.uint32))
-
-    return run
+def _summed(shard: int, got: dict[str, list[bytes]], kinds: dict[str, type]) -> pa.RecordBatch:
+    """One packet of all packets of a shard and salt; kinds: the types of a to c, whose n is summed."""
+    keys = [_array(got[c], kind) for c, kind in kinds.items()]
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    at = np.flatnonzero(new)
+    n = np.add.reduceat(_array(got["n"], np.uint32)[order].astype(np.int64), at)
+    if n.max() >= 1 << 32:
+        raise OverflowError("an n-gram occurs 2**32 times")
+    columns = dict(zip(kinds, keys, strict=True))
+    none = np.zeros(len(at), np.uint8)
+    return _packets(np.full(len(at), shard), *(columns[c][at] if c in columns else none for c in "abc"), n.astype(np.uint32))
 
 
 def _array(parts: list[bytes], kind) -> np.ndarray:
@@ -340,22 +336,35 @@ def _meta(shard: int, size: int, total: int) -> pa.RecordBatch:
 
 
 def _build_words(folder: str, bits: int):
+    def build(shard: int, got: dict[str, list[bytes]]) -> pa.RecordBatch:
+        keys, back = np.unique(_array(got["a"], np.uint64), return_inverse=True)
+        n = np.bincount(back, _array(got["n"], np.uint32)).astype(np.int64)
+        write_arrays(f"{folder}/level1-{shard}", {**_ef("keys", keys - (np.uint64(shard) << np.uint64(64 - bits))), "count": n.astype(np.uint32) if n.max() < 1 << 32 else n})
+        return _meta(shard, len(keys), int(n.sum()))
+
+    return build
+
+
+def _loads(shipped, step: int):
+    """Of numbers of shards of level 1: (shard, n), how many tokens the parents of shards of ``step`` parents have here."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (shard, _), got in _shards(batches):
-            keys, back = np.unique(_array(got["a"], np.uint64), return_inverse=True)
-            n = np.bincount(back, _array(got["n"], np.uint32)).astype(np.int64)
-            write_arrays(f"{folder}/level1-{shard}", {**_ef("keys", keys - (np.uint64(shard) << np.uint64(64 - bits))), "count": n.astype(np.uint32) if n.max() < 1 << 32 else n})
-            yield _meta(shard, len(keys), int(n.sum()))
+        level = shipped.value[0].levels[0]
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                own = (level.offsets[s] + np.arange(level.offsets[s + 1] - level.offsets[s])) // step
+                n = np.bincount(own - own[0], level.shard(s)["count"])
+                yield pa.RecordBatch.from_arrays([pa.array((own[0] + np.arange(len(n))).astype(np.int32)), pa.array(n.astype(np.int64))], ["shard", "n"])
 
     return run
 
 
-def _count_grams(shipped, k: int, shards: int, salts: int):
+def _count_grams(shipped, k: int, shards: int, salts: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, parents_n = shipped.value
         end = int(trie.ids(np.array([END]))[0])
         step = -(-parents_n // shards)
-        for salt, _, hashes, _, head in _salted(_blocks(batches, "text"), salts):
+        for salt, _, hashes, _, head in _salted(_blocks(batches, "text")):
             nodes = trie.nodes(trie.ids(hashes), head, end, k - 1)
             parent = np.concatenate([[-1], nodes[-1][:-1]])
             parent[head] = end if k == 2 else -1
@@ -369,7 +378,7 @@ def _count_grams(shipped, k: int, shards: int, salts: int):
             n = np.diff(np.concatenate([at, [len(parent)]])).astype(np.uint32)
             parent, word, suffix = parent[at], word[at], suffix[at]
             shard = parent // step
-            yield _packets(shard, (parent - shard * step).astype(np.uint32), word.astype(np.uint32 if k == 2 else np.int64), suffix.astype(np.int64) if k > 2 else np.zeros(len(at), np.uint8), n, salt=salt)
+            yield _packets(shard, (parent - shard * step).astype(np.uint32), word.astype(np.uint32 if k == 2 else np.int64), suffix.astype(np.int64) if k > 2 else np.zeros(len(at), np.uint8), n, salt=salt, salts=salts)
 
     return run
 
@@ -379,45 +388,67 @@ def _quantised(log10: np.ndarray) -> np.ndarray:
 
 
 def _build_grams(shipped, folder: str, k: int, shards: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def build(shard: int, got: dict[str, list[bytes]]) -> pa.RecordBatch:
         trie, parents_n = shipped.value
         step = -(-parents_n // shards)
+        parent, word, n = _array(got["a"], np.uint32).astype(np.int64), _array(got["b"], np.uint32 if k == 2 else np.int64).astype(np.int64), _array(got["n"], np.uint32)
+        suffix = _array(got["c"], np.int64) if k > 2 else word
+        order = np.lexsort((word, parent))
+        parent, word, suffix, n = parent[order], word[order], suffix[order], n[order]
+        new = np.ones(len(parent), bool)
+        new[1:] = (parent[1:] != parent[:-1]) | (word[1:] != word[:-1])
+        at = np.flatnonzero(new)
+        n = np.add.reduceat(n.astype(np.int64), at)
+        parent, word, suffix = parent[at], word[at], suffix[at]
+        m = min(step, parents_n - shard * step)
+        pointers = np.searchsorted(parent, np.arange(m + 1))
+        total = np.bincount(parent, n, m)
+        kinds = np.diff(pointers)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            weight = np.where(total > 0, DISCOUNT * kinds / total, 1.0)
+        lower = 10.0 ** (trie.base(suffix) if k == 2 else trie.levels[k - 2].values("logp", suffix) * -STEP)
+        p = (n - DISCOUNT) / total[parent] + weight[parent] * lower
+        # children relative to the last value before them, one up so that equal ids of two parents differ
+        ends = pointers[1:][kinds > 0] - 1
+        top = np.concatenate([[0], np.cumsum(word[ends] + 1)[:-1]]) if len(ends) else np.zeros(0, np.int64)
+        values = word + 1 + np.repeat(top, kinds[kinds > 0])
+        write_arrays(f"{folder}/level{k}-{shard}", {**_ef("keys", values), **_ef("pointers", pointers), "logp": _quantised(np.log10(p)), "weight": _quantised(np.log10(weight))})
+        return _meta(shard, len(word), int(n.sum()))
+
+    return build
+
+
+_EITHER = f"{_META}, {_PACKET.removeprefix('shard int, ')}"
+
+
+def _merged(packets: DataFrame, build, shards: int, kinds: dict[str, type], salts: dict[int, int]) -> list:
+    """Build the files of a level; returns a row a shard. Packets of a hot shard, which has salts, are summed in a task a
+    salt first, and one more builds from what is left, so that the words after a frequent one are in few packets."""
+
+    def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (shard, _), got in _shards(batches):
-            parent, word, n = _array(got["a"], np.uint32).astype(np.int64), _array(got["b"], np.uint32 if k == 2 else np.int64).astype(np.int64), _array(got["n"], np.uint32)
-            suffix = _array(got["c"], np.int64) if k > 2 else word
-            order = np.lexsort((word, parent))
-            parent, word, suffix, n = parent[order], word[order], suffix[order], n[order]
-            new = np.ones(len(parent), bool)
-            new[1:] = (parent[1:] != parent[:-1]) | (word[1:] != word[:-1])
-            at = np.flatnonzero(new)
-            n = np.add.reduceat(n.astype(np.int64), at)
-            parent, word, suffix = parent[at], word[at], suffix[at]
-            m = min(step, parents_n - shard * step)
-            pointers = np.searchsorted(parent, np.arange(m + 1))
-            total = np.bincount(parent, n, m)
-            kinds = np.diff(pointers)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                weight = np.where(total > 0, DISCOUNT * kinds / total, 1.0)
-            lower = 10.0 ** (trie.base(suffix) if k == 2 else trie.levels[k - 2].values("logp", suffix) * -STEP)
-            p = (n - DISCOUNT) / total[parent] + weight[parent] * lower
-            # children relative to the last value before them, one up so that equal ids of two parents differ
-            ends = pointers[1:][kinds > 0] - 1
-            top = np.concatenate([[0], np.cumsum(word[ends] + 1)[:-1]]) if len(ends) else np.zeros(0, np.int64)
-            values = word + 1 + np.repeat(top, kinds[kinds > 0])
-            write_arrays(f"{folder}/level{k}-{shard}", {**_ef("keys", values), **_ef("pointers", pointers), "logp": _quantised(np.log10(p)), "weight": _quantised(np.log10(weight))})
-            yield _meta(shard, len(word), int(n.sum()))
-
-    return run
+            yield build(shard, got)
 
-
-def _merged(packets: DataFrame, build, shards: int, salts: int, kinds: dict[str, type]) -> list:
-    """Build the files of a level; returns a row a shard. Packets are summed in ``salts`` tasks a shard first, so that
-    the words after a frequent one come to the last task as few packets."""
-    if salts > 1:
-        parts = packets.repartition(shards * min(salts, 4), "shard", "salt").sortWithinPartitions("shard", "salt")
-        packets = parts.mapInArrow(tx.tidy(_summed(kinds)), _PACKET)
-    rows = packets.withColumn("salt", F.lit(0)).repartition(shards, "shard").sortWithinPartitions("shard")
-    return rows.mapInArrow(build, _META).collect()  # a few numbers a shard
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (shard, _), got in _shards(batches):
+            if shard in salts:
+                out = pa.Table.from_batches([_summed(shard, got, kinds)])
+                empty = pa.nulls(1, pa.int64())
+                out = out.append_column("size", empty).append_column("total", empty)
+            else:
+                out = pa.Table.from_batches([build(shard, got)])
+                for c, kind in (("salt", pa.int32()), *((c, pa.binary()) for c in "abcn")):
+                    out = out.append_column(c, pa.nulls(1, kind))
+            yield from out.select(["shard", "size", "total", "salt", "a", "b", "c", "n"]).to_batches()
+
+    if not salts:
+        rows = packets.repartition(shards, "shard").sortWithinPartitions("shard", "salt")
+        return rows.mapInArrow(built, _META).collect()  # a few numbers a shard
+    rows = packets.repartition(shards + sum(salts.values()), "shard", "salt").sortWithinPartitions("shard", "salt")
+    either = settle(rows.mapInArrow(first, _EITHER), "packets")
+    hot = either.where("size is null").select("shard", F.lit(0).alias("salt"), "a", "b", "c", "n")
+    rows = hot.repartition(len(salts), "shard").sortWithinPartitions("shard")
+    return either.where("size is not null").select("shard", "size", "total").collect() + rows.mapInArrow(built, _META).collect()
 
 
 def train(texts: DataFrame, order: int = 2) -> Trie:
@@ -428,17 +459,21 @@ def train(texts: DataFrame, order: int = 2) -> Trie:
     store.create_dir(path, recursive=True)
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = max(1, int(np.ceil(np.log2(max(2, chars / SHARD_CHARS)))))
-    salts = int(np.ceil(chars / BLOCK_BYTES / PER_SALT)) or 1
     trie = Trie(order)
-    found = {r["shard"]: r for r in _merged(texts.mapInArrow(_count_words(bits, salts), _PACKET), _build_words(folder, bits), 1 << bits, salts, {"a": np.uint64})}
+    found = {r["shard"]: r for r in _merged(texts.mapInArrow(_count_words(bits), _PACKET), _build_words(folder, bits), 1 << bits, {"a": np.uint64}, {})}
     here = sorted(found)
     trie.tokens, trie.distinct = sum(r["total"] for r in found.values()), sum(r["size"] for r in found.values())
     trie.levels.append(Level(folder, 1, here, [s << (64 - bits) for s in here], [found[s]["size"] for s in here], 0))
     for k in range(2, order + 1):
         n, shards = int(trie.levels[-1].offsets[-1]), 1 << bits
         shipped = spark.sparkContext.broadcast((trie, n))  # names and sizes of shards
-        built = {r["shard"]: r for r in _merged(texts.mapInArrow(_count_grams(shipped, k, shards, salts), _PACKET), _build_grams(shipped, folder, k, shards), shards, salts, {"a": np.uint32, "b": np.uint32} if k == 2 else {"a": np.uint32, "b": np.int64, "c": np.int64})} if n else {}
         step = -(-n // shards) if n else 1
+        salts = {}
+        if k == 2 and n:  # how many tokens follow the parents of a shard is known from the counts of words
+            loads = spark.range(len(trie.levels[0].names)).mapInArrow(_loads(shipped, step), "shard int, n long").groupBy("shard").agg(F.sum("n").alias("n"))
+            salts = {r["shard"]: -(-r["n"] // PER_SALT) for r in loads.where(F.col("n") > PER_SALT).collect()}  # a number a shard
+        packets = texts.mapInArrow(_count_grams(shipped, k, shards, salts), _PACKET)
+        built = {r["shard"]: r for r in _merged(packets, _build_grams(shipped, folder, k, shards), shards, {"a": np.uint32, "b": np.uint32} if k == 2 else {"a": np.uint32, "b": np.int64, "c": np.int64}, salts)} if n else {}
         here = sorted(built)
         trie.levels.append(Level(folder, k, here, [s * step for s in here], [built[s]["size"] for s in here], step))
     return trie
