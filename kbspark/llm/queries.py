@@ -1,4 +1,4 @@
-"""The queries of the ten operators and of the pipeline, as ``__spark_entry__.py`` registers them."""
+"""The queries of the operators and of the pipeline, as ``__spark_entry__.py`` registers them."""
 
 from __future__ import annotations
 
@@ -72,6 +72,25 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(_table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kbspark.llm.frames import fill_in_middle, store
+
+    out = fill_in_middle(store(_table(spark, sf_dir, "documents")), seed=42, rate=50, spm=80, with_frames=False)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kbspark.llm.block_max import build_index, search
+
+    return search(build_index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kbspark.llm.histogram_sort import shard_rows
+
+    return shard_rows(_table(spark, sf_dir, "documents"), shards=16)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
