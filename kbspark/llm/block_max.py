@@ -115,8 +115,8 @@ def impacts(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
 class _Shard:
     """Gathers postings of a shard's documents."""
 
-    def __init__(self):
-        self.ids, self.sizes, self.words, self.parts, self.bytes = [], [], [], [], 0
+    def __init__(self, block: int):
+        self.ids, self.sizes, self.words, self.parts, self.bytes, self.block = [], [], [], [], 0, block
 
     def add(self, ids: pa.Array) -> int:
         first = len(self.sizes)
@@ -157,7 +157,7 @@ class _Shard:
         begin = np.flatnonzero(np.diff(code, prepend=-1))  # of lists
         length = np.diff(begin, append=len(code))
         rank = np.arange(len(code)) - np.repeat(begin, length)
-        opens = np.flatnonzero(rank % BLOCK == 0)
+        opens = np.flatnonzero(rank % self.block == 0)
         closes = np.append(opens[1:], len(code)) - 1
         gap = np.diff(doc, prepend=0)
         gap[opens] = 0
@@ -180,17 +180,17 @@ def _batch(shard, term, df, data, heads, ids) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["shard", "term", "df", "data", "heads", "ids"])
 
 
-def _indexer(n_docs: int, total: int):
+def _indexer(n_docs: int, total: int, shard_docs: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, shard = TaskContext.get().partitionId() << 32, _Shard()
+        name, shard = TaskContext.get().partitionId() << 32, _Shard(block)
         for batch in batches:
             ids, added, first = batch.column(0), 0, 0
             for row, data, offsets in _pieces(batch):
                 upto = row + len(offsets) - 1
                 if upto > added:  # not the next piece of the same text
-                    if len(shard.sizes) >= SHARD_DOCS or shard.bytes >= SHARD_BYTES:
+                    if len(shard.sizes) >= shard_docs or shard.bytes >= SHARD_BYTES:
                         yield from shard.rows(name, n_docs, total)
-                        name, shard = name + 1, _Shard()
+                        name, shard = name + 1, _Shard(block)
                     first = shard.add(ids.slice(row, upto - row))
                     added = upto
                 shard.take(first, data, offsets)
@@ -207,14 +207,15 @@ class Index:
     total: int
 
 
-def build_index(docs: DataFrame) -> Index:
+def build_index(docs: DataFrame, shard_docs: int = SHARD_DOCS, block: int = BLOCK) -> Index:
     """The index of every row of docs(doc_id, text), as a table of the shared folder.
 
+    A shard is closed after so many documents or SHARD_BYTES, and has those of one slice more at most.
     A null text has no terms; such documents are never found. Null ids stay, repeated rows are documents of their own.
     """
     n, total = corpus_counts(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return Index(settle(rows.mapInArrow(tidy(_indexer(n, total)), "shard long, term binary, df long, data binary, heads binary, ids array<long>"), "postings"), n, total)
+    return Index(settle(rows.mapInArrow(tidy(_indexer(n, total, shard_docs, block)), "shard long, term binary, df long, data binary, heads binary, ids array<long>"), "postings"), n, total)
 
 
 @dataclass
