@@ -14,6 +14,7 @@ from kbspark.jobs import components, settle, spread_join
 
 QUERY_BLOCK = 4096  # queries that are shipped at once
 SLICE = 50_000  # rows of the corpus that a block of queries meets at once where there are more queries
+SCORES = 1 << 22  # of a matrix at once: 32 MB
 TILE = 512  # rows of a block that are compared with as many at once
 CLUSTER_BLOCK = 8000  # linked rows of exact average linkage
 
@@ -71,10 +72,16 @@ def _best_of(names, q, q_scope, ids, x, scope, k: int, floor: float | None, digi
         rows = np.flatnonzero(q_scope == c) if scoped else np.arange(len(names))
         if not len(cols) or not len(rows):
             continue
-        s = q[rows] @ x[cols].T
-        s = np.where(s > floor, np.round(s, digits), -np.inf) if floor is not None else np.round(s, digits)
-        i, j = candidates(s, k)
-        out.append((rows[i], np.full(len(i), 0 if c is None else c), ids[cols[j]], s[i, j]))
+        step, own = max(1, SCORES // len(rows)), []
+        for at in range(0, len(cols), step):
+            some = cols[at : at + step]
+            s = q[rows] @ x[some].T
+            s = np.where(s > floor, np.round(s, digits), -np.inf) if floor is not None else np.round(s, digits)
+            i, j = candidates(s, k)
+            own.append((rows[i], np.full(len(i), 0 if c is None else c), ids[some[j]], s[i, j]))
+            if len(own) > 16:
+                own = _joined(own, k)
+        out += own
     return out
 
 
@@ -162,42 +169,6 @@ def topk_federated(queries: DataFrame, corpus: DataFrame, k: int, per: int = 10,
     return one.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k).drop("_n")
 
 
-def fit_lists(corpus: DataFrame, lists: int, sample: int = 20_000, rounds: int = 8) -> np.ndarray:
-    """Centers of a coarse quantiser, from a bounded sample by hash order."""
-    rows = corpus.where("embedding is not null").select("embedding", F.xxhash64("id").alias("o")).orderBy("o").limit(sample).collect()
-    x = np.array([r["embedding"] for r in rows], np.float64)
-    centers = x[: min(lists, len(x))].copy()
-    for _ in range(rounds):
-        near = np.argmax(x @ centers.T - (centers**2).sum(1) / 2, 1)
-        for c in range(len(centers)):
-            if (near == c).any():
-                centers[c] = x[near == c].mean(0)
-    return centers
-
-
-def topk_approximate(queries: DataFrame, corpus: DataFrame, k: int, lists: int = 16, probe: int = 4, digits: int = 6) -> DataFrame:
-    """V6: topk over the ``probe`` nearest of ``lists`` lists. All rows are indexed; recall against topk is tested."""
-    spark = corpus.sparkSession
-    shipped = spark.sparkContext.broadcast(fit_lists(corpus, lists))
-
-    def assign(n: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            c = shipped.value
-            for batch in batches:
-                if batch.num_rows:
-                    x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                    near = np.argsort(-(x @ c.T - (c**2).sum(1) / 2), 1, kind="stable")[:, :n]
-                    take = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(near.ravel().astype(np.int32))], ["id", "embedding", "list"])
-
-        return run
-
-    own = corpus.where("embedding is not null").select("id", "embedding").mapInArrow(assign(1), "id long, embedding array<float>, list int")
-    asked = queries.select(F.col("query_id").alias("id"), "embedding").mapInArrow(assign(probe), "id long, embedding array<float>, list int").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"), "list")
-    scored = asked.join(own, "list").select("query_id", "id", F.round(dot(F.col("q"), F.col("embedding")), digits).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
-
-
 def nearest(new: DataFrame, old: DataFrame, **more) -> DataFrame:
     """V8: query_id, id, score of the nearest old row of each new one, by cosine."""
     return topk(new, old, 1, cosine=True, **more).select("query_id", "id", "score")
