@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kbspark.jobs import components, settle
-from kbspark.operators import aggregates, joins, ranking, vectors
+from kbspark.operators import aggregates, joins, linkage, ranking, vectors
 
 
 def equivalence(mappings: DataFrame) -> DataFrame:
@@ -158,7 +158,7 @@ def cluster_merge(records: DataFrame, similarity: float) -> tuple[DataFrame, Dat
     """(records with their cluster's name, mapping(old, canonical)) of records(id, block, name, embedding): average
     linkage of all records of a block at once, where batches would be reduced in pairs. What a policy makes of a
     cluster's records is infer.merge_groups by cluster."""
-    found = vectors.clusters_average(records, similarity)
+    found = linkage.clusters_average(records, similarity)
     named = records.join(found, "id")
     best = named.groupBy("cluster").agg(F.min(F.struct((-F.length("name")).alias("l"), F.col("name").alias("n")))["n"].alias("canonical"))
     out = named.join(best, "cluster")

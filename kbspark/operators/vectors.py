@@ -16,7 +16,6 @@ QUERY_BLOCK = 4096  # queries that are shipped at once
 SLICE = 50_000  # rows of the corpus that a block of queries meets at once where there are more queries
 SCORES = 1 << 22  # of a matrix at once: 32 MB
 TILE = 512  # rows of a block that are compared with as many at once
-CLUSTER_BLOCK = 8000  # linked rows of exact average linkage
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -220,48 +219,6 @@ def clusters_linked(corpus: DataFrame, similarity: float) -> DataFrame:
     return corpus.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
 
 
-def clusters_average(corpus: DataFrame, similarity: float) -> DataFrame:
-    """Id, cluster by average linkage of unit vectors, cut at Euclidean distance 1 - similarity, within blocks of
-    rows(id, block, embedding); cluster is the smallest id.
-
-    Clusters merge only where two of their rows lie within the distance, so each cluster lies inside one of
-    clusters_linked; those are clustered, whatever the size of their block. One of more than CLUSTER_BLOCK rows
-    is an error, since average linkage needs all its distances at once.
-    """
-    linked = settle(corpus.select("id", "embedding").join(clusters_linked(corpus, similarity), "id"), "linked")
-    sizes = linked.groupBy("cluster").agg(F.count("*").alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    if largest > CLUSTER_BLOCK:
-        raise ValueError(f"{largest} rows are linked; average linkage takes at most {CLUSTER_BLOCK} at once")
-    cut = 1 - similarity
-
-    def run(p):
-        ids = p["id"].to_numpy()
-        x = np.stack(p["embedding"].to_numpy()).astype(np.float64)
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        d = np.sqrt(np.maximum(2 - 2 * x @ x.T, 0))
-        np.fill_diagonal(d, np.inf)
-        n, label = np.ones(len(ids)), ids.copy()
-        members = {i: [i] for i in range(len(ids))}
-        while len(members) > 1:
-            i, j = divmod(int(np.argmin(d)), len(ids))
-            if d[i, j] > cut:
-                break
-            i, j = min(i, j), max(i, j)
-            d[i] = d[:, i] = (d[i] * n[i] + d[j] * n[j]) / (n[i] + n[j])
-            d[i, i] = np.inf
-            d[j] = d[:, j] = np.inf
-            n[i] += n[j]
-            members[i] += members.pop(j)
-        for m in members.values():
-            label[m] = ids[m].min()
-        return p[["id"]].assign(cluster=label)
-
-    many = linked.join(sizes.where("n > 1"), "cluster").select("cluster", "id", "embedding")
-    found = many.groupBy("cluster").applyInPandas(run, "id long, cluster long")
-    return corpus.select("id").join(found, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
-
-
 def rerank_candidates(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, most: int) -> DataFrame:
     """Of candidates(query_id, owner, chunk_id), distinct chunks by cosine with the query; int(most * owners / 2) a query."""
     limits = candidates.groupBy("query_id").agg(F.floor(F.lit(most) * F.countDistinct("owner") / 2).alias("n"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kbspark.functions import answers, text
 from kbspark.jobs import settle
-from kbspark.operators import aggregates, chunking, graph, infer, inverted, joins, keyword, memory, ranking, tables, vectors
+from kbspark.operators import aggregates, chunking, graph, infer, inverted, joins, keyword, linkage, memory, ranking, tables, vectors
 from kbspark.plans import retrieval, views
 from kbspark.sources import files, keyed
 
@@ -301,7 +301,7 @@ def v12_resolve(t):
 
 @query()
 def v10_clusters(t):
-    return vectors.clusters_average(views.vectors(t).withColumnRenamed("dataset", "block"), 0.4)
+    return linkage.clusters_average(views.vectors(t).withColumnRenamed("dataset", "block"), 0.4)
 
 
 _LINKS = f"l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE sqrt(greatest(2 - 2 * list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 0)) <= 0.6)"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kbspark.functions import answers, text
-from kbspark.operators import aggregates, chunking, graph, infer, joins, memory, ranking, tables, vectors
+from kbspark.operators import aggregates, chunking, graph, infer, joins, linkage, memory, ranking, tables, vectors
 from kbspark.sources import files, keyed
 
 
@@ -99,7 +99,7 @@ def test_vectors(spark):
         want = np.argsort(-np.round(x.astype(float) @ x[i].astype(float), 6), kind="stable")[:5]
         assert [exact[i, k + 1] for k in range(5)] == list(want)
     rows = spark.createDataFrame([(1, "b", [1.0, 0.0]), (2, "b", [1.0, 0.01]), (3, "b", [0.0, 1.0]), (4, "b", None)], "id long, block string, embedding array<double>")
-    for f in (vectors.clusters_average, vectors.clusters_linked):
+    for f in (linkage.clusters_average, vectors.clusters_linked):
         assert {h["id"]: h["cluster"] for h in f(rows, 0.85).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
     hits = spark.createDataFrame([(1, 10, "text", 0.8), (2, 11, "table", 0.5)], "query_id long, id long, kind string, score double")
     more = spark.createDataFrame([(1, 20, "table", 0.6), (1, 21, "table", 0.5), (2, 22, "table", 0.4)], "query_id long, id long, kind string, score double")
@@ -195,7 +195,7 @@ def test_large_sets_of_queries_take_other_ways(spark, sf, monkeypatch):
 
 def test_average_linkage_by_brute_force(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("label").alias("block"), "embedding")
-    found = {r["id"]: r["cluster"] for r in vectors.clusters_average(e, 0.4).collect()}
+    found = {r["id"]: r["cluster"] for r in linkage.clusters_average(e, 0.4).collect()}
     for block in {r["block"] for r in e.select("block").distinct().collect()}:
         rows = [(r["id"], np.array(r["embedding"], float)) for r in e.where(F.col("block") == block).collect()]
         x = np.array([v / np.linalg.norm(v) for _, v in rows])
