@@ -33,7 +33,7 @@ def vectors_of(n, seed, dim=6):
     return x.astype(np.float32)
 
 
-@pytest.mark.parametrize("local, tile", [(2000, 4096), (5, 40), (5, 4096)])  # a task a group; clusters of several tiles; rounds in few tiles
+@pytest.mark.parametrize("local, tile", [(2000, 4096), (60, 30)])  # a task a group; rounds, with clusters of several tiles
 def test_brute(spark, local, tile):
     x = vectors_of(400, 3)
     ids, blocks = [7 * k for k in range(400)], [k % 2 for k in range(400)]
@@ -41,20 +41,20 @@ def test_brute(spark, local, tile):
     found = {r["id"]: r["cluster"] for r in clusters_average(df, 0.4, local, tile).collect()}
     want = brute(ids, blocks, x.astype(np.float64), 0.6)
     assert found == want and 10 < len(set(want.values())) < 300
-    assert max(list(want.values()).count(c) for c in set(want.values())) > 40  # larger than a tile of 40
+    assert max(list(want.values()).count(c) for c in set(want.values())) > 40  # larger than a tile of 30
 
 
 def test_more_rows_than_a_task_takes(spark):
-    x = vectors_of(5000, 4, 4)
+    x = vectors_of(3000, 4, 4)
     df = spark.createDataFrame([(k, "b", [float(v) for v in row]) for k, row in enumerate(x)], "id long, block string, embedding array<float>")
-    found = clusters_average(df, 0.5, local=300, tile=700).collect()
+    found = clusters_average(df, 0.5, local=500, tile=700).collect()
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     first = np.unique(x, axis=0, return_index=True, return_counts=True)
     keep = np.sort(first[1])
     weight = dict(zip(first[1], first[2], strict=True))
     label = keep[average_labels(unit[keep].astype(np.float64), np.array([weight[k] for k in keep]), 0.5)]
     of = dict(zip(keep.tolist(), label.tolist(), strict=True))
-    assert all(r["cluster"] == of[r["id"]] for r in found if r["id"] in of) and len(found) == 5000
+    assert all(r["cluster"] == of[r["id"]] for r in found if r["id"] in of) and len(found) == 3000
 
 
 def test_odd_rows(spark):
