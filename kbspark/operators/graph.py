@@ -36,23 +36,28 @@ def top_nodes(edges: DataFrame, n: int) -> DataFrame:
 
 def subgraph(starts: DataFrame, edges: DataFrame, depth: int = 3, most: int = 1000) -> tuple[DataFrame, DataFrame]:
     """(nodes(start, node, depth, truncated), their edges) around each of starts(start): breadth first, within a level
-    those of higher degree first, at most ``most`` nodes a start, edges once a pair."""
+    those of higher degree first, at most ``most`` nodes a start, edges once a pair.
+
+    A level is cut to what ``most`` (and one, to tell that there are more) leaves a start before it is written. Of a node's
+    neighbours only the first 2 most + 1 by degree matter: at most ``most`` of them are seen before, the others fill up.
+    """
     pairs = settle(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct(), "pairs")
     d = settle(joins.degrees(pairs), "degrees")
-    both = pairs.union(pairs.select("dst", "src"))
-    seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct()
+    both = pairs.union(pairs.select("dst", "src")).join(d.withColumnRenamed("node", "dst"), "dst")
+    by_degree = F.row_number().over(W.partitionBy("src").orderBy(F.desc("degree"), "dst"))
+    near = settle(both.withColumn("_n", by_degree).where(F.col("_n") <= 2 * most + 1).select("src", F.col("dst").alias("node"), "degree"), "neighbours")
+    seen = settle(starts.select("start", F.col("start").alias("node")).distinct().join(d, "node", "left").select("start", "node", F.lit(0).alias("depth"), "degree"), "front")
     front = seen
     for level in range(1, depth + 1):
-        # deeper nodes come after all that are seen, so a start with more than enough goes no further
-        full = seen.groupBy("start").agg(F.count("*").alias("_n")).where(F.col("_n") > most)
-        front = front.join(full, "start", "left_anti")
-        new = front.select("start", F.col("node").alias("src")).join(both, "src").select("start", F.col("dst").alias("node")).distinct()
-        front = settle(new.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(level)), "front")
+        count = seen.groupBy("start").agg(F.count("*").alias("_n")).where(F.col("_n") <= most)
+        new = front.select("start", F.col("node").alias("src")).join(near, "src").select("start", "node", "degree").distinct().join(seen, ["start", "node"], "left_anti")
+        ranked = new.withColumn("_r", F.row_number().over(W.partitionBy("start").orderBy(F.desc("degree"), "node"))).where(F.col("_r") <= most + 1)
+        front = settle(ranked.join(count, "start").where(F.col("_r") + F.col("_n") <= most + 1).select("start", "node", F.lit(level).alias("depth"), "degree"), "front")
         seen = seen.unionByName(front)
-    ranked = seen.join(d, "node", "left").withColumn("_n", F.row_number().over(W.partitionBy("start").orderBy("depth", F.desc_nulls_last("degree"), "node"))).withColumn("_c", F.count("*").over(W.partitionBy("start")))
+    ranked = seen.withColumn("_n", F.row_number().over(W.partitionBy("start").orderBy("depth", F.desc_nulls_last("degree"), "node"))).withColumn("_c", F.count("*").over(W.partitionBy("start")))
     nodes = ranked.where(F.col("_n") <= most).select("start", "node", "depth", (F.col("_c") > most).alias("truncated"))
-    keep = nodes.select("start", "node")
-    kept = pairs.join(keep.withColumnRenamed("node", "src"), "src").join(keep.withColumnRenamed("node", "dst"), ["start", "dst"]).select("start", "src", "dst")
+    keep = settle(nodes.select("start", "node"), "subgraph")
+    kept = keep.withColumnRenamed("node", "src").join(pairs, "src").join(keep.withColumnRenamed("node", "dst"), ["start", "dst"], "left_semi").select("start", "src", "dst")
     return nodes, kept
 
 

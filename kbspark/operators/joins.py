@@ -12,14 +12,21 @@ def by_keys(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return table.join(keys.select(key).distinct(), key, "left_semi")
 
 
-def one_hop(seeds: DataFrame, edges: DataFrame, most: int = 20) -> DataFrame:
-    """Node, edge_id, src, dst: up to ``most`` edges(edge_id, src, dst) at either end of each of seeds(node), by id."""
-    s = seeds.select("node").distinct()
-    both = s.join(edges.withColumn("node", F.col("src")), "node").unionByName(s.join(edges.where("src <> dst").withColumn("node", F.col("dst")), "node"))
+def capped_adjacency(edges: DataFrame, most: int) -> DataFrame:
+    """node, edge_id, src, dst: the first ``most`` edges(edge_id, src, dst) by id at either end of each node; tasks cut before the shuffle."""
+    both = edges.withColumn("node", F.col("src")).unionByName(edges.where("src <> dst").withColumn("node", F.col("dst")))
     ranked = both.withColumn("_n", F.row_number().over(W.partitionBy("node").orderBy("edge_id")))
     return ranked.where(F.col("_n") <= most).select("node", "edge_id", "src", "dst")
 
 
+def one_hop(seeds: DataFrame, edges: DataFrame, most: int = 20) -> DataFrame:
+    """Node, edge_id, src, dst: up to ``most`` edges(edge_id, src, dst) at either end of each of seeds(node), by id.
+
+    The adjacency is cut first, so a hub has ``most`` rows when the seeds meet it.
+    """
+    return capped_adjacency(edges, most).join(seeds.select("node").distinct(), "node", "left_semi")
+
+
 def missing_endpoints(edges: DataFrame, known: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nodes at the ends of edges that are not known(node) yet."""
     ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
@@ -66,10 +73,36 @@ def task_grid(entities: DataFrame, times: DataFrame, metrics: DataFrame) -> Data
     return grid.select((F.col("entity_at") * F.col("nt") * F.col("nm") + F.col("time_at") * F.col("nm") + F.col("metric_at") + 1).cast("long").alias("task_id"), "entity", "time", "metric")
 
 
+def in_ranges(points: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
+    """Rows of points(key, at, ...) and ranges(key, low, high, ...) of one key with low <= at < high, whole numbers above -2**63.
+
+    A range is the union of at most two dyadic intervals a power of two (the nodes of a segment tree that cover it),
+    and a point lies in one interval of each size, so equality of intervals gives each pair once and no others: the work is
+    rows times the sizes in use (64 at most) and matches, whatever the ranges are. Other columns must differ.
+    """
+    nodes = """filter(flatten(transform(sequence(0, least(63, 1 + cast(log2(cast(high as double) - cast(low as double)) as int))), l -> array(
+        named_struct('l', l, 'n', if(pmod(-shiftright(-low, l), 2) = 1 and -shiftright(-low, l) < shiftright(high, l), -shiftright(-low, l), null)),
+        named_struct('l', l, 'n', if(pmod(shiftright(high, l), 2) = 1 and -shiftright(-low, l) < shiftright(high, l), shiftright(high, l) - 1, null))))), x -> x.n is not null)"""
+    kept = ranges.withColumns({c: F.col(c).cast("long") for c in ("low", "high")}).where("low < high")
+    cover = kept.withColumn("_c", F.explode(F.expr(nodes))).select("*", F.col("_c.l").alias("_l"), F.col("_c.n").alias("_n")).drop("_c")
+    sizes = sorted(r["_l"] for r in cover.select("_l").distinct().collect())  # at most 64
+    if not sizes:
+        return points.join(cover.drop("_l", "_n").limit(0), key)
+    each = points.withColumn("_l", F.explode(F.array(*[F.lit(x) for x in sizes]))).withColumn("_n", F.expr("shiftright(cast(at as long), _l)"))
+    return each.join(cover, [key, "_l", "_n"]).drop("_l", "_n")
+
+
 def overlapping(new: DataFrame, old: DataFrame) -> DataFrame:
-    """new(source_id, new_id, start, end) and old(source_id, old_id, start, end) ranges of a source that overlap."""
-    o = old.select("source_id", "old_id", F.col("start").alias("os"), F.col("end").alias("oe"))
-    return new.join(o, "source_id").where("oe > start and os < end").select("source_id", "new_id", "old_id")
+    """new(source_id, new_id, start, end) and old(source_id, old_id, start, end) ranges of a source that overlap.
+
+    Either the old range starts in the new one, or the new one after the start of the old one in it; both are
+    joins by ``in_ranges``. Ranges without length or turned round overlap as far as the comparisons of ends say.
+    """
+    o = old.select(F.col("source_id"), "old_id", F.col("start").alias("os"), F.col("end").alias("oe"))
+    first = in_ranges(o.withColumn("at", F.col("os")), new.select("source_id", "new_id", F.col("start").alias("low"), F.col("end").alias("high")), "source_id").where("oe > low")
+    n = new.select("source_id", "new_id", F.col("start").alias("at"), F.col("end").alias("ne"))
+    second = in_ranges(n, o.select("source_id", "old_id", F.try_add(F.col("os").cast("long"), F.lit(1)).alias("low"), F.col("oe").alias("high")), "source_id").where("low - 1 < ne")
+    return first.select("source_id", "new_id", "old_id").unionByName(second.select("source_id", "new_id", "old_id"))
 
 
 def triples_in_scope(nodes: DataFrame, edges: DataFrame, scope: list[str]) -> DataFrame:

@@ -46,12 +46,12 @@ def multi_variation(variations: DataFrame, chunks: DataFrame, k: int) -> DataFra
 
 def multi_hop(seeds: DataFrame, edges: DataFrame, rounds: int = 3, most: int = 20) -> DataFrame:
     """Q4: query_id, node, round: what edges lead to from seeds(query_id, node) in at most ``rounds`` rounds, up to ``most``
-    edges a node and round; nodes that were seen are not gone through again."""
+    edges a node and round; nodes that were seen are not gone through again. The adjacency is cut to ``most`` once."""
+    near = settle(joins.capped_adjacency(edges.select("edge_id", "src", "dst"), most).select(F.col("node").alias("from"), F.explode(F.array("src", "dst")).alias("node")).where("from <> node").distinct(), "adjacency")
     seen = seeds.select("query_id", "node", F.lit(0).alias("round")).distinct()
     front = seen
     for n in range(1, rounds + 1):
-        hop = joins.one_hop(front.select("node"), edges, most)
-        ends = front.select("query_id", "node").join(hop, "node").select("query_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
+        ends = front.select("query_id", F.col("node").alias("from")).join(near, "from").select("query_id", "node").distinct()
         front = settle(ends.join(seen, ["query_id", "node"], "left_anti").withColumn("round", F.lit(n)), "hop")
         seen = seen.unionByName(front)
     return seen
