@@ -321,16 +321,16 @@ df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
 s AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * size / mean))), 6) AS score, count(*) AS found FROM q JOIN tf USING (token) JOIN df USING (token), st GROUP BY query_id, id)"""
 
 
-@query(_BM25 + " SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE found = (SELECT count(*) FROM q WHERE q.query_id = s.query_id)) WHERE rank <= 10")
+@query(_BM25 + " SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE found = (SELECT count(*) FROM q WHERE q.query_id = s.query_id)) WHERE rank <= 10")
 def w4_keyword_topk(t):
     out = keyword.keyword_topk(t.benchmark.select(F.col("item_id").alias("query_id"), "text"), views.chunks(t), 10, "all")
-    return out.select("query_id", "id")
+    return out.select("query_id", "id", "score")
 
 
-@query(_BM25 + " SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10")
+@query(_BM25 + " SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10")
 def w4_keyword_any(t):
     out = keyword.keyword_topk(t.benchmark.select(F.col("item_id").alias("query_id"), "text"), views.chunks(t), 10, "any")
-    return out.select("query_id", "id")
+    return out.select("query_id", "id", "score")
 
 
 _TRIPLES = """WITH tok AS (SELECT DISTINCT l_partkey * 100 + ascii(l_returnflag) AS id, [lower(p_name), lower(l_returnflag), lower(p_brand)] AS t FROM lineitem JOIN part ON l_partkey = p_partkey), st AS (SELECT count(*) AS n FROM tok),
