@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.stages import settle, sized
+from kbspark.llm.stages import by_text, settle, sized
 
 #: What lies between words of the rule [^\x00-\x2F\x3A-\x60\x7B-\x7F]+, after lower-casing A-Z.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -93,6 +93,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFra
 
 
 def remove_documents(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
-    """docs without the documents in which a window occurs."""
-    bad = settle(hits(docs, items, width).where("items is not null and doc_id is not null").select("doc_id").distinct(), "contaminated")
-    return docs.join(sized(bad), "doc_id", "left_anti").select(*docs.columns)
+    """docs without the documents in which a window occurs; different texts of one id are documents of their own."""
+    rows = by_text(docs)
+    bad = settle(hits(rows, items, width).where("items is not null and doc_id is not null").select("doc_id").distinct(), "contaminated")
+    return rows.join(sized(bad), "doc_id", "left_anti").select("row.*")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kbspark.llm import text as tx
-from kbspark.llm.stages import components, partitions, release, settle, sized, spread_join
+from kbspark.llm.stages import by_text, components, partitions, release, settle, sized, spread_join
 
 BITS = 1024  # of a bitmap
 BLOCK = 256  # sets of a block
@@ -216,7 +216,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Words are cut at white space after lower-casing A-Z; a set holds the distinct shingles of ``width``
     words, of a shorter text its whole sequence. Sets link when intersection / union is ``percent`` or
     more. A null, empty or blank text has no shingle and links with nothing; equal sets always link; a
-    repeated row gets a row each time, and of different texts of one id the largest is the one that links; null
+    repeated row gets a row each time, and of different texts of one id the longest is the one that links; null
     doc_ids get a null component; other columns are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -224,9 +224,9 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     known = sig.where("doc_id is not null")
     varied = settle(known.groupBy("doc_id").agg(F.countDistinct("f1", "f2", "n_shingles").alias("n")).where("n > 1").select("doc_id"), "jaccard-varied")
     if not varied.isEmpty():
-        largest = settle(texts.join(sized(varied), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")), "jaccard-largest")
-        texts = texts.join(sized(varied), "doc_id", "left_anti").unionByName(largest)
-        known = known.join(sized(varied), "doc_id", "left_anti").unionByName(largest.mapInArrow(tx.tidy(_signatures(width)), sig.schema))
+        longest = settle(texts.join(sized(varied), "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct(F.length("text"), "text"))["text"].alias("text")), "jaccard-longest")
+        texts = texts.join(sized(varied), "doc_id", "left_anti").unionByName(longest)
+        known = known.join(sized(varied), "doc_id", "left_anti").unionByName(longest.mapInArrow(tx.tidy(_signatures(width)), sig.schema))
     known = known.where("n_shingles > 0")
     classes = known.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     equal = spread_join(known.drop("bitmap"), classes.where("n > 1"), ["f1", "f2", "n_shingles"], "doc_id").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
@@ -283,6 +283,10 @@ def _bounded(percent: int):
 
 
 def dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, of each class only the document with the smallest doc_id. Rows without shingles stay."""
-    gone = jaccard_classes(docs, width, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(sized(gone), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs, of each class only the document with the smallest doc_id. Rows without shingles stay.
+
+    Different texts of one id are documents of their own, which count as larger than ids with one text.
+    """
+    rows = by_text(docs)
+    gone = jaccard_classes(rows, width, percent).where("doc_id <> component_id").select("doc_id").distinct()
+    return rows.join(sized(gone), "doc_id", "left_anti").select("row.*")
