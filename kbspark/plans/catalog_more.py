@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from kbspark.functions import answers, text
 from kbspark.jobs import settle, shared_dir
-from kbspark.operators import chunking, graph, infer, joins, memory, ranking, tables, vectors
+from kbspark.operators import chunking, graph, infer, joins, memory, merging, ranking, tables, vectors
 from kbspark.plans import views
 from kbspark.plans.catalog import _CLEAN, _COS, QUERIES, query  # noqa: F401  one table of queries
 from kbspark.sources import files
@@ -217,13 +217,26 @@ def j15_cached_answers(t):
     return out.select("o_orderkey", "said").crossJoin(F.broadcast(new.agg(F.count("*").alias("computed"))))
 
 
-@query("SELECT l_suppkey, CAST(count(*) AS BIGINT) AS n, max(l_quantity) AS top FROM lineitem GROUP BY 1")
+@query("""WITH l AS (SELECT l_suppkey, l_returnflag, l_quantity, 's' || l_suppkey || '-' || l_linenumber AS name FROM lineitem), k AS (SELECT * FROM l WHERE l_returnflag <> 'R'), c AS (SELECT l_suppkey, min(name) AS name FROM k GROUP BY 1)
+SELECT 'record' AS kind, CAST(l_suppkey AS VARCHAR) AS key, CAST(count(*) AS BIGINT) AS n, max(l_quantity) AS top, min(name) AS name FROM k GROUP BY l_suppkey
+UNION ALL SELECT 'split', CAST(-l_suppkey AS VARCHAR), count(*), max(l_quantity), min(name) FROM l WHERE l_returnflag = 'R' GROUP BY l_suppkey
+UNION ALL SELECT DISTINCT 'mapping', k.name, 0, CAST(0 AS DOUBLE), c.name FROM k JOIN c USING (l_suppkey) WHERE k.name <> c.name""")
 def u4_merge_policy(t):
-    def policy(p: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"l_suppkey": [p["l_suppkey"].iloc[0]], "n": [p["n"].sum()], "top": [p["top"].max()], "at": [p["at"].min()]})
+    """Lines of a supplier are one record, returned ones are split off to another key, names lead to the first one."""
 
-    rows = t.lineitem.select("l_suppkey", F.lit(1).cast("long").alias("n"), F.col("l_quantity").alias("top"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
-    return infer.merge_groups(rows, "l_suppkey", policy, "l_suppkey long, n long, top double, at long").drop("at")
+    def policy(p: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, pd.DataFrame]:
+        back = p["flag"] == "R"
+        kept, split = p[~back], p[back].assign(key=-p["key"][back])
+        first = kept["name"].min()
+        record = pd.DataFrame({"key": [kept["key"].iloc[0]], "n": [kept["n"].sum()], "top": [kept["top"].max()], "name": [first], "flag": ["-"]}) if len(kept) else kept
+        return record, split, pd.DataFrame({"old": kept["name"], "canonical": first})
+
+    name = F.concat(F.lit("s"), "l_suppkey", F.lit("-"), "l_linenumber")
+    rows = t.lineitem.select(F.col("l_suppkey").cast("long").alias("key"), F.lit(1).cast("long").alias("n"), F.col("l_quantity").cast("double").alias("top"), name.alias("name"), F.col("l_returnflag").alias("flag"))
+    records, splits, mapping = merging.fold(rows, "key", policy)
+    split = splits.groupBy(F.col("key").cast("string").alias("key")).agg(F.sum("n").alias("n"), F.max("top").alias("top"), F.min("name").alias("name")).select(F.lit("split").alias("kind"), "key", "n", "top", "name")
+    named = mapping.select(F.lit("mapping").alias("kind"), F.col("old").alias("key"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("top"), F.col("canonical").alias("name"))
+    return records.select(F.lit("record").alias("kind"), F.col("key").cast("string").alias("key"), "n", "top", "name").unionByName(split).unionByName(named)
 
 
 # --- vectors and ranking -------------------------------------------------------------------------------------
@@ -337,13 +350,38 @@ def g13_dedup_rounds(t):
     return out.select("name", "id", "size", F.lit(n).alias("rounds"))
 
 
-@query("WITH c AS (SELECT vec_id, label FROM embeddings) SELECT label AS block, CAST(count(*) AS BIGINT) AS n FROM c GROUP BY 1")
+@query("WITH s AS (SELECT p_name AS name, p_brand AS brand, min(p_partkey) AS id, sum(p_size) AS size FROM part GROUP BY ALL) SELECT name || '/' || brand AS name, id, CAST(size AS BIGINT) AS size, 2 AS rounds FROM s")
+def g13_policy_rounds(t):
+    """A policy splits the parts of a name by brand in the first round; what is split meets in the second and is merged."""
+
+    def policy(p: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, pd.DataFrame]:
+        mapping = pd.DataFrame({"old": [], "canonical": []})
+        if "/" not in p["name"].iloc[0]:
+            return p.iloc[:0], p.assign(name=p["name"] + "/" + p["brand"]), mapping
+        return p.iloc[:1].assign(id=p["id"].min(), size=p["size"].sum()), p.iloc[:0], mapping
+
+    rows = t.part.select(F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("size"))
+    out, _, n = merging.dedup(rows.unionByName(rows.withColumn("size", F.lit(0).cast("long"))), "name", policy)
+    return out.select("name", "id", "size", F.lit(n).alias("rounds"))
+
+
+@query("""WITH v AS (SELECT vec_id, label, 'v' || vec_id AS name, list_transform(embedding[1:3], lambda x: x >= 0) AS signs FROM embeddings),
+c AS (SELECT label, signs, count(*) AS n, string_agg(vec_id, ',' ORDER BY vec_id) AS members, first(name ORDER BY length(name) DESC, name) AS canonical FROM v GROUP BY ALL)
+SELECT CAST(label AS VARCHAR) AS block, canonical, CAST(n AS BIGINT) AS n, members, CAST(n - 1 AS BIGINT) AS mapped FROM c""")
 def g14_cluster_merge(t):
-    """Members of the clusters of a block; every one has a name that is a member's."""
-    rows = views.vectors(t).select("id", F.col("dataset").alias("block"), "name", "embedding")
-    out, mapping = graph.cluster_merge(rows, 0.4)
-    named = out.join(rows.select("block", F.col("name").alias("canonical")).distinct(), ["block", "canonical"]).join(mapping.select(F.col("old").alias("name"), "canonical").distinct(), ["name", "canonical"])
-    return named.groupBy(F.col("block").cast("int").alias("block")).agg(F.count("*").alias("n"))
+    """Vectors of the signs of three components: the clusters of a label are the equal ones, folded by a policy whose records,
+    members, names and mapping are compared; average linkage of other vectors is held to brute force in tests."""
+
+    def policy(p: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, pd.DataFrame]:
+        name = min(p["name"], key=lambda x: (-len(x), x))
+        record = p.iloc[:1].assign(id=p["id"].min(), name=name, n=p["n"].sum(), members=[sorted(x for m in p["members"] for x in m)])
+        return record, p.iloc[:0], pd.DataFrame({"old": p["name"], "canonical": name})
+
+    signs = F.transform(F.slice("embedding", 1, 3), lambda x: F.when(x >= 0, 1).otherwise(-1).cast("float"))
+    rows = views.vectors(t).select("id", F.col("dataset").alias("block"), F.concat(F.lit("v"), "id").alias("name"), signs.alias("embedding"), F.lit(1).cast("long").alias("n"), F.array("id").alias("members"))
+    merged, mapping = merging.cluster_merge(rows, 0.85, policy)
+    mapped = mapping.groupBy("canonical").agg(F.count("*").alias("mapped"))
+    return merged.join(mapped, merged["name"] == mapped["canonical"], "left").select("block", F.col("name").alias("canonical"), "n", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"), F.coalesce("mapped", F.lit(0)).alias("mapped"))
 
 
 @query(f"""WITH RECURSIVE s AS (SELECT q.vec_id AS a, c.vec_id AS b, {_COS} AS s FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0 AND c.vec_id % 20 <> 0), h AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM s) WHERE r <= 10 AND s >= 0.5),
@@ -360,6 +398,30 @@ def g16_chunk_matches(t):
     return graph.chunk_matches(similar)
 
 
+@query("""WITH RECURSIVE e AS (SELECT least(c_nationkey, 100 + s_nationkey) AS a, greatest(c_nationkey, 100 + s_nationkey) AS b, round(sum(l_quantity)) AS score FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (ORDER BY score DESC, a, b) AS i FROM e),
+g(i, used, a, b, score) AS (SELECT 1::BIGINT, [a, b], a, b, score FROM r WHERE i = 1 UNION ALL
+  SELECT r.i, CASE WHEN list_contains(used, r.a) OR list_contains(used, r.b) THEN used ELSE list_concat(used, [r.a, r.b]) END, r.a, r.b, CASE WHEN list_contains(used, r.a) OR list_contains(used, r.b) THEN NULL ELSE r.score END FROM g JOIN r ON r.i = g.i + 1)
+SELECT a, b, score FROM g WHERE score IS NOT NULL""")
+def g16_greedy_matches(t):
+    """Nations of customers and of suppliers, matched by what goes from one to the other."""
+    rows = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey")).join(t.customer, F.col("c_custkey") == F.col("o_custkey")).join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"))
+    similar = rows.groupBy(F.col("c_nationkey").alias("a"), (F.col("s_nationkey") + 100).alias("b")).agg(F.round(F.sum("l_quantity")).alias("score"))
+    return merging.greedy_matches(similar)
+
+
+@query()
+def g16_merge_rounds(t):
+    """Chunks of documents with counts of hashed words as vectors; texts that begin alike merge."""
+
+    def policy(rows: list[tuple]) -> list:
+        return [f"{a}\n{b}" if a[:40].lower() == b[:40].lower() else None for a, b in rows]
+
+    rows = infer.embed(views.chunks(t).select(F.col("id").cast("string").alias("id"), F.col("doc_id").cast("string").alias("source"), "text"), "text", infer.hash_embedder, 64)
+    out, _ = merging.merge_chunks(rows, [policy], infer.hash_embedder, 64, floor=0.8)
+    return out.select("id", "source", F.size("parts").alias("n_parts"))
+
+
 # --- memory --------------------------------------------------------------------------------------------------
 
 

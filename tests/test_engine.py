@@ -114,11 +114,6 @@ def test_infer(spark):
     bad = infer.infer(df, ["t"], lambda rows: 1 / 0, "u", "string", fallback="none")
     assert {r["u"] for r in bad.collect()} == {"none"}
 
-    def policy(p: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"k": [p["k"].iloc[0]], "n": [p["n"].sum()]})
-
-    rows = spark.range(500).select((F.col("id") % 2).alias("k"), F.lit(1).cast("long").alias("n"))
-    assert sorted(tuple(r) for r in infer.merge_groups(rows, "k", policy, "k long, n long").collect()) == [(0, 250), (1, 250)]
 
 
 def test_ranking(spark):
@@ -282,17 +277,6 @@ def test_naive_hybrid_by_brute_force(spark, sf):
     assert wrong <= 0.01 * total  # single precision may swap neighbours of equal score
 
 
-def test_merge_policy_that_merges_no_further(spark):
-    """Records of a kind merge, others stay; long groups end although a fold returns much of what it gets."""
-
-    def policy(p: pd.DataFrame) -> pd.DataFrame:
-        return p.groupby(["k", "kind"], as_index=False)["n"].sum()
-
-    rows = spark.range(3000).select((F.col("id") % 2).alias("k"), (F.col("id") % 300).alias("kind"), F.lit(1).cast("long").alias("n"))
-    got = infer.merge_groups(rows, "k", policy, "k long, kind long, n long").collect()
-    assert sorted(map(tuple, got)) == [(k % 2, k, 10) for k in sorted(range(300), key=lambda k: (k % 2, k))]
-
-
 def test_table_text():
     schema = tables.declared_schema([("a b", "the first's", "number"), ("c", "", "other")])
     assert tables.table_text("t", schema) == "CREATE TABLE `t` (\n  `a_b` DECIMAL(28,6) COMMENT 'the first''s',\n  `c` STRING COMMENT ''\n)"
