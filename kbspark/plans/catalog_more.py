@@ -20,6 +20,7 @@ from kbspark.plans import views
 from kbspark.plans.catalog import _CLEAN, _COS, QUERIES, query  # noqa: F401  one table of queries
 from kbspark.sources import files
 from kbspark.streaming import jobs
+from kbspark.streaming.deltas import Deltas
 
 # --- files ---------------------------------------------------------------------------------------------------
 
@@ -478,12 +479,13 @@ def _stream(t, rows: DataFrame, by: str, name: str, per_batch: int = 2) -> DataF
 
 @query(f"SELECT DISTINCT 'doc-' || md5({_CLEAN}) AS doc_id, 'pending' AS status FROM documents WHERE {_CLEAN} <> ''")
 def r1_r2_intake(t):
-    queue = jobs.Snapshots(t.spark, _folder(t, "queue"), jobs.STATUS, append=True)
+    queue = Deltas(t.spark, _folder(t, "queue"), jobs.STATUS, "doc_id")
     jobs.intake(_stream(t, t.documents.select("doc_id", "text"), "doc_id", "incoming"), queue, _folder(t, "marks")).awaitTermination()
     return queue.read().select("doc_id", "status")
 
 
-@query("WITH d AS (SELECT DISTINCT text FROM documents WHERE trim(text) <> ''), s AS (SELECT CASE WHEN length(text) % 3 = 0 THEN 'processed' WHEN length(text) % 3 = 1 THEN 'failed' ELSE 'pending' END AS status FROM d) SELECT status, CAST(count(*) AS BIGINT) AS n FROM (SELECT status FROM s UNION ALL SELECT 'failed' FROM documents WHERE text IS NULL OR trim(text) = '') GROUP BY 1")
+@query("""WITH d AS (SELECT CASE WHEN trim(coalesce(text, '')) = '' THEN 'error-' || doc_id ELSE 'doc-' || md5(text) END AS doc_id, max(length(text)) AS n, min(doc_id) AS id FROM documents GROUP BY 1)
+SELECT doc_id, CASE WHEN doc_id LIKE 'error-%' OR n % 3 = 1 THEN 'failed' WHEN n % 3 = 0 THEN 'processed' ELSE 'pending' END AS status, CASE WHEN doc_id LIKE 'doc-%' AND n % 3 < 2 THEN id + 1 END AS ended FROM d""")
 def r3_status(t):
     """Results come as a stream; documents without text are recorded as failed."""
     texts = t.documents.select("doc_id", "text", F.when(F.trim(F.coalesce("text", F.lit(""))) == "", F.concat(F.lit("error-"), "doc_id")).otherwise(F.concat(F.lit("doc-"), F.md5("text"))).alias("name"))
@@ -491,10 +493,10 @@ def r3_status(t):
     none = F.lit(None).cast("timestamp")
     queue = first.select(F.col("name").alias("doc_id"), F.when(F.col("name").startswith("error-"), "failed").otherwise("pending").alias("status"), none.alias("began"), none.alias("ended"))
     results = first.where("name like 'doc-%' and n % 3 < 2").select(F.col("name").alias("doc_id"), (F.col("n") % 3 == 0).alias("ok"), F.timestamp_seconds("doc_id").alias("began"), F.timestamp_seconds(F.col("doc_id") + 1).alias("ended"), F.col("doc_id").alias("seq"))
-    state = jobs.Snapshots(t.spark, _folder(t, "state"), jobs.PROGRESS)
+    state = Deltas(t.spark, _folder(t, "state"), jobs.PROGRESS, "doc_id")
     state.write(queue, -1)
     jobs.progress_stream(_stream(t, results, "seq", "results"), state, _folder(t, "marks")).awaitTermination()
-    return state.read().groupBy("status").agg(F.count("*").alias("n"))
+    return state.read().select("doc_id", "status", F.unix_timestamp("ended").alias("ended"))
 
 
 @query("SELECT conv_id, string_agg(md5(text), ',' ORDER BY turn) AS texts FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 3 GROUP BY 1")
@@ -508,22 +510,45 @@ def r4_last_k(t):
     return last.select("conv_id", F.array_join("texts", ",").alias("texts"))
 
 
-@query(f"WITH {views.EVENTS}, born AS (SELECT memory_id, min(seq) AS b FROM ev WHERE event = 'ADD' GROUP BY 1), good AS (SELECT ev.* FROM ev JOIN born USING (memory_id) WHERE event <> 'NONE'), l AS (SELECT memory_id, arg_max(event, seq) AS e, arg_max(text, seq) AS memory, max(seq) AS updated_at FROM good GROUP BY 1) SELECT memory_id, memory, updated_at FROM l WHERE e <> 'DELETE'")
+_IN_ORDER = f"""WITH {views.EVENTS}, k AS (SELECT *, last_value(CASE event WHEN 'ADD' THEN true WHEN 'DELETE' THEN false END IGNORE NULLS) OVER (PARTITION BY memory_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS there FROM ev WHERE event <> 'NONE'),
+good AS (SELECT * FROM k WHERE event = 'ADD' OR there)"""
+
+
+def _memory_stream(t) -> tuple[DataFrame, DataFrame]:
+    """State and history after the events as they are, those of memories that are not there at their time too."""
+    ev = views.memory_events(t).select("seq", "memory_id", "event", "text")
+    state, history = Deltas(t.spark, _folder(t, "state"), jobs.MEMORY, "memory_id"), Deltas(t.spark, _folder(t, "history"), jobs.HISTORY, "seq")
+    jobs.memory_changes(_stream(t, ev, "seq", "changes"), state, history, _folder(t, "marks")).awaitTermination()
+    return state.read(), history.read()
+
+
+@query(_IN_ORDER + ", l AS (SELECT memory_id, arg_max(event, seq) AS e, arg_max(text, seq) AS memory, max(seq) AS updated_at FROM good GROUP BY 1) SELECT memory_id, memory, updated_at FROM l WHERE e <> 'DELETE'")
 def r5_memory_changes(t):
-    """All first events of a memory are additions here, so that no change comes before its memory."""
-    ev = views.memory_events(t)
-    first = ev.where("event = 'ADD'").groupBy("memory_id").agg(F.min("seq").alias("b"))
-    ordered = ev.join(first, "memory_id").withColumn("event", F.when((F.col("seq") < F.col("b")) & (F.col("event") != "NONE"), F.lit("ADD")).otherwise(F.col("event"))).select("seq", "memory_id", "event", "text")
-    state, history = jobs.Snapshots(t.spark, _folder(t, "state"), jobs.MEMORY), jobs.Snapshots(t.spark, _folder(t, "history"), jobs.HISTORY, append=True)
-    jobs.memory_changes(_stream(t, ordered, "seq", "changes"), state, history, _folder(t, "marks")).awaitTermination()
-    return state.read().select("memory_id", "memory", "updated_at")
+    return _memory_stream(t)[0].select("memory_id", "memory", "updated_at")
 
 
-@query("WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lower(text) ELSE text END AS text FROM documents WHERE text IS NOT NULL)), c AS (SELECT doc_id, w, unnest(generate_series(0, len(w) - 1, 96)) AS pos FROM w WHERE len(w) > 0) SELECT doc_id, CAST(pos // 96 AS BIGINT) AS chunk_order, sha256(array_to_string(list_slice(w, pos + 1, pos + 128), ' ')) AS chunk_id FROM c")
-def r6_refresh_chunks(t):
-    """Documents with even ids come again, in lower case."""
+@query(_IN_ORDER + ", h AS (SELECT seq, memory_id, event, CASE WHEN event <> 'DELETE' THEN text END AS new_memory FROM good) SELECT *, lag(new_memory) OVER (PARTITION BY memory_id ORDER BY seq) AS old_memory FROM h")
+def r5_history(t):
+    return _memory_stream(t)[1].select("seq", "memory_id", "event", "new_memory", "old_memory")
+
+
+_CHANGED = "WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lower(text) ELSE text END AS text FROM documents WHERE text IS NOT NULL)), c AS (SELECT doc_id, w, unnest(generate_series(0, len(w) - 1, 96)) AS pos FROM w WHERE len(w) > 0), k AS (SELECT doc_id, CAST(pos // 96 AS BIGINT) AS chunk_order, sha256(array_to_string(list_slice(w, pos + 1, pos + 128), ' ')) AS chunk_id FROM c)"
+
+
+def _refreshed(t) -> tuple[DataFrame, DataFrame]:
+    """Chunks and lineage after documents with even ids came again, in lower case."""
     docs = t.documents.select("doc_id", "text", F.col("doc_id").cast("double").alias("version"))
     again = docs.where("doc_id % 2 = 0").select("doc_id", F.lower("text").alias("text"), (F.col("version") + 1e15).alias("version"))
-    chunks = jobs.Snapshots(t.spark, _folder(t, "chunks"), jobs.CHUNKS, append=True)
-    jobs.refresh_chunks(_stream(t, docs.unionByName(again), "version", "versions"), chunks, _folder(t, "marks"), views.SIZE, views.OVERLAP, "version").awaitTermination()
-    return jobs.current_chunks(chunks).select("doc_id", F.col("chunk_order").cast("long").alias("chunk_order"), "chunk_id")
+    chunks, lineage = Deltas(t.spark, _folder(t, "chunks"), jobs.CHUNKS, "doc_id"), Deltas(t.spark, _folder(t, "lineage"), jobs.LINEAGE, "source_id")
+    jobs.refresh_chunks(_stream(t, docs.unionByName(again), "version", "versions"), chunks, lineage, _folder(t, "marks"), views.SIZE, views.OVERLAP, "version").awaitTermination()
+    return chunks.read(), lineage.read()
+
+
+@query(_CHANGED + " SELECT doc_id, chunk_order, chunk_id FROM k")
+def r6_refresh_chunks(t):
+    return _refreshed(t)[0].select("doc_id", F.col("chunk_order").cast("long").alias("chunk_order"), "chunk_id")
+
+
+@query(_CHANGED + " SELECT DISTINCT doc_id AS source_id, chunk_id FROM k")
+def r6_lineage(t):
+    return _refreshed(t)[1].select(F.col("source_id").cast("long").alias("source_id"), "chunk_id").distinct()

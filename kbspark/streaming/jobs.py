@@ -1,4 +1,4 @@
-"""Streams of documents and memory changes (R1-R6). Snapshots are Parquet folders; a pointer file names the current one."""
+"""Streams of documents and memory changes (R1-R6). Their tables are ``Deltas``: a batch reads and writes the keys that it changes."""
 
 from __future__ import annotations
 
@@ -6,47 +6,17 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kbspark.functions.text import prefixed_id, sanitize
+from kbspark.jobs import settle
 from kbspark.operators.aggregates import status_counts
 from kbspark.operators.chunking import chunk_records, stride_chunks
+from kbspark.operators.joins import build_lineage
 from kbspark.operators.memory import apply_events
-from kbspark.sources.keyed import upsert
-
-
-class Snapshots:
-    """A table in batches. A batch is a folder, which counts once its mark is there; one that is run again replaces its own
-    folder. Snapshots hold the whole table, so of these the last two are kept; with ``append`` each holds what is new."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str, append: bool = False):
-        self.spark, self.path, self.schema, self.append = spark, path.rstrip("/"), schema, append
-
-    def _at(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def batches(self, before: int | None = None) -> list[int]:
-        path, fs = self._at("_done")
-        seen = [int(f.getPath().getName()) for f in fs.listStatus(path)] if fs.exists(path) else []  # a number a batch
-        return sorted(n for n in seen if before is None or n < before)
-
-    def read(self, before: int | None = None) -> DataFrame:
-        seen = self.batches(before)
-        if not seen:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/batch={n}" for n in (seen if self.append else seen[-1:])])
-
-    def write(self, df: DataFrame, batch: int) -> None:
-        names = [f.split()[0] for f in self.schema.split(", ")]
-        df.select(*names).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
-        path, fs = self._at(f"_done/{batch}")
-        fs.create(path, True).close()
-        for old in [] if self.append else self.batches(batch)[:-1]:
-            mark, fs = self._at(f"_done/{old}")
-            fs.delete(mark, False)
-            fs.delete(self._at(f"batch={old}")[0], True)
+from kbspark.streaming.deltas import Deltas
 
 
 STATUS = "doc_id string, status string, text string, batch long"
@@ -57,14 +27,15 @@ def watch(spark: SparkSession, folder: str, schema: T.StructType, per_batch: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(folder)
 
 
-def intake(stream: DataFrame, queue: Snapshots, checkpoint: str):
-    """documents(text) into the queue, a table that is appended to: sanitised, one a content id, pending; known ids are passed over."""
+def intake(stream: DataFrame, queue: Deltas, checkpoint: str):
+    """documents(text) into the queue: sanitised, one a content id, pending; known ids are passed over."""
 
     def batch(df: DataFrame, n: int) -> None:
         clean = df.select(sanitize(F.col("text")).alias("text")).where("text <> ''")
         new = clean.select(prefixed_id("doc-", F.col("text")).alias("doc_id"), F.lit("pending").alias("status"), "text", F.lit(n).cast("long").alias("batch"))
-        known = queue.read(n).select("doc_id")
-        queue.write(new.join(known, "doc_id", "left_anti").dropDuplicates(["doc_id"]), n)
+        new = settle(new.dropDuplicates(["doc_id"]), "intake")
+        known = queue.read(n, new).select("doc_id")
+        queue.write(new.join(known, "doc_id", "left_anti"), n)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -78,13 +49,12 @@ def progress(queue: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
 PROGRESS = "doc_id string, status string, began timestamp, ended timestamp"
 
 
-def progress_stream(results: DataFrame, state: Snapshots, checkpoint: str):
+def progress_stream(results: DataFrame, state: Deltas, checkpoint: str):
     """R3 as a stream: results(doc_id, ok, began, ended) into the state of all documents; ids that it does not know are added."""
 
     def batch(df: DataFrame, n: int) -> None:
-        last = df.groupBy("doc_id").agg(F.max_by(F.struct(F.when(F.col("ok"), "processed").otherwise("failed").alias("status"), "began", "ended"), "ended").alias("r"))
-        old = state.read(n)
-        state.write(upsert(old, last.select("doc_id", "r.*"), ["doc_id"]), n)
+        last = df.where("doc_id is not null").groupBy("doc_id").agg(F.max_by(F.struct(F.when(F.col("ok"), "processed").otherwise("failed").alias("status"), "began", "ended"), "ended").alias("r"))
+        state.write(last.select("doc_id", "r.*"), n)
 
     return results.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -108,41 +78,49 @@ MEMORY = "memory_id long, memory string, created_at long, updated_at long"
 HISTORY = "seq long, memory_id long, old_memory string, new_memory string, event string, is_deleted boolean"
 
 
-def memory_changes(stream: DataFrame, state: Snapshots, history: Snapshots, checkpoint: str):
-    """events(seq, memory_id, event, text) into the current state and the history, which is appended to."""
+def known_events(state: DataFrame, events: DataFrame) -> DataFrame:
+    """Events in their order without those of ids that are not there at their time: UPDATE and DELETE before an ADD or after a
+    DELETE. ADD without text adds nothing."""
+    real = events.where("event in ('ADD', 'UPDATE', 'DELETE') and (event = 'DELETE' or trim(coalesce(text, '')) <> '')")
+    there = F.when(F.col("event") == "ADD", True).when(F.col("event") == "DELETE", False)
+    before = F.last(there, ignorenulls=True).over(W.partitionBy("memory_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1))
+    held = real.withColumn("_b", before).join(state.select("memory_id", F.lit(True).alias("_s")), "memory_id", "left")
+    return held.where("event = 'ADD' or coalesce(_b, _s, false)").select(*events.columns)
+
+
+def memory_changes(stream: DataFrame, state: Deltas, history: Deltas, checkpoint: str):
+    """events(seq, memory_id, event, text) into the current state and the history, which has a row an event. Of the
+    state a batch reads and writes the memories that its events name."""
 
     def batch(df: DataFrame, n: int) -> None:
-        new, log, _ = apply_events(state.read(n), df)
+        df = settle(df.where("memory_id is not null"), "memory-events")
+        old = settle(state.read(n, df), "memory-before")
+        new, log, _ = apply_events(old, known_events(old, df))
+        new = settle(new, "memory-after")
         history.write(log, n)
-        state.write(new, n)
+        state.write(new, n, old.join(new, "memory_id", "left_anti"))
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-CHUNKS = "chunk_id string, doc_id long, chunk_order int, tokens int, text string, batch long"
+CHUNKS = "chunk_id string, doc_id long, chunk_order int, tokens int, text string"
+LINEAGE = "owner_id string, chunk_id string, source_id string, kind string"
 
 
-def refresh_chunks(stream: DataFrame, chunks: Snapshots, checkpoint: str, size: int = 128, overlap: int = 32, version: str | None = None):
-    """Changed documents(doc_id, text) are cut anew; of several versions in a batch the last counts. The table of
-    chunks is appended to: a batch has a mark (chunk_order -1) and the chunks of each document that changed."""
+def refresh_chunks(stream: DataFrame, chunks: Deltas, lineage: Deltas, checkpoint: str, size: int = 128, overlap: int = 32, version: str | None = None):
+    """Changed documents(doc_id, text) are cut anew; of several versions in a batch the last counts. The chunks of a
+    document, and their lineage by source_id, replace the old ones; a document without words has none left."""
 
     def batch(df: DataFrame, n: int) -> None:
+        df = df.where("doc_id is not null")
         if version:
             df = df.groupBy("doc_id").agg(F.max_by("text", version).alias("text"))
-        marks = df.select(F.lit("").alias("chunk_id"), "doc_id", F.lit(-1).alias("chunk_order"), F.lit(0).alias("tokens"), F.lit("").alias("text")).distinct()
-        new = chunk_records(stride_chunks(df, size, overlap)).select(*marks.columns)
-        chunks.write(new.unionByName(marks).withColumn("batch", F.lit(n).cast("long")), n)
+        df = settle(df, "changed-documents")
+        new = settle(chunk_records(stride_chunks(df, size, overlap)).select("chunk_id", "doc_id", "chunk_order", "tokens", "text"), "changed-chunks")
+        none = df.select("doc_id").distinct().join(new, "doc_id", "left_anti")
+        owned = new.select(F.col("chunk_id").alias("owner_id"), F.array("chunk_id").alias("chunk_ids"))
+        rows = build_lineage(owned, new.select("chunk_id", F.col("doc_id").cast("string").alias("source_id")), "chunk").distinct()
+        lineage.write(rows, n, none.select(F.col("doc_id").cast("string").alias("source_id")))
+        chunks.write(new, n, none)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def current_chunks(chunks: Snapshots) -> DataFrame:
-    """The chunks of the last batch of each document."""
-    rows = chunks.read()
-    last = rows.where("chunk_order = -1").groupBy("doc_id").agg(F.max("batch").alias("batch"))
-    return rows.where("chunk_order >= 0").join(last, ["doc_id", "batch"])
-
-
-def upserted(target: DataFrame, changes: DataFrame, key: list[str], order: str) -> DataFrame:
-    """What a keyed upsert of a batch writes (S8 within R3)."""
-    return upsert(target, changes, key, order)

@@ -1,33 +1,75 @@
+import random
+
 from pyspark.sql import functions as F
 
-from kbspark.operators.memory import apply_events
 from kbspark.streaming import jobs
+from kbspark.streaming.deltas import Deltas
 
 
 def test_intake_and_chunks(spark, tmp_path):
     schema = spark.createDataFrame([], "doc_id long, text string").schema
-    for i, rows in enumerate(([(1, "a b c"), (2, " a b c "), (3, "d e")], [(4, "d e"), (1, "new text here")])):
+    for i, rows in enumerate(([(1, "a b c"), (2, " a b c "), (3, "d e")], [(4, "d e"), (1, "new text here"), (3, "")])):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        queue, chunks = jobs.Snapshots(spark, str(tmp_path / "queue"), jobs.STATUS, append=True), jobs.Snapshots(spark, str(tmp_path / "chunks"), jobs.CHUNKS, append=True)
+        queue = Deltas(spark, str(tmp_path / "queue"), jobs.STATUS, "doc_id")
+        chunks, lineage = Deltas(spark, str(tmp_path / "chunks"), jobs.CHUNKS, "doc_id"), Deltas(spark, str(tmp_path / "lineage"), jobs.LINEAGE, "source_id")
         jobs.intake(jobs.watch(spark, str(tmp_path / "in"), schema), queue, str(tmp_path / "c1")).awaitTermination()
-        jobs.refresh_chunks(jobs.watch(spark, str(tmp_path / "in"), schema), chunks, str(tmp_path / "c2"), 2, 0).awaitTermination()
+        jobs.refresh_chunks(jobs.watch(spark, str(tmp_path / "in"), schema), chunks, lineage, str(tmp_path / "c2"), 2, 0).awaitTermination()
         assert queue.read().count() == (2, 3)[i]
-    assert sorted(r["text"] for r in jobs.current_chunks(chunks).where("doc_id = 1").collect()) == ["here", "new text"]
+    left = chunks.read().collect()
+    assert sorted((r["doc_id"], r["text"]) for r in left) == [(1, "here"), (1, "new text"), (2, "a b"), (2, "c"), (4, "d e")]  # 3 is empty now
+    assert {(r["source_id"], r["chunk_id"]) for r in lineage.read().collect()} == {(str(r["doc_id"]), r["chunk_id"]) for r in left}
     out, counts = jobs.progress(queue.read(), queue.read().select("doc_id", F.lit(True).alias("ok")).limit(1))
     assert {r["status"]: r["n"] for r in counts.collect()} == {"pending": 0, "processing": 2, "processed": 1, "failed": 0, "all": 3}
 
 
-def test_memory_stream_equals_batch(spark, tmp_path):
+def in_order(events):
+    """State and history as of events taken one by one."""
+    state, history = {}, []
+    for seq, key, event, text in sorted(events):
+        if event == "ADD" and (text or "").strip() or event == "UPDATE" and (text or "").strip() and key in state or event == "DELETE" and key in state:
+            history.append((seq, key, state.get(key), None if event == "DELETE" else text, event, event == "DELETE"))
+            state[key] = text
+            if event == "DELETE":
+                del state[key]
+    return state, history
+
+
+def test_memory_stream_equals_events_one_by_one(spark, tmp_path):
     schema = "seq long, memory_id long, event string, text string"
-    first = [(1, 1, "ADD", "a"), (2, 2, "ADD", "b")]
-    second = [(3, 1, "UPDATE", "c"), (4, 2, "DELETE", None)]
-    state, history = jobs.Snapshots(spark, str(tmp_path / "s"), jobs.MEMORY), jobs.Snapshots(spark, str(tmp_path / "h"), jobs.HISTORY, append=True)
-    for rows in (first, second):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    r = random.Random(3)
+    events = [(k, r.randrange(12), r.choice(["ADD", "UPDATE", "UPDATE", "DELETE", "NONE"]), r.choice(["a", "b", " ", None, f"t{k}"])) for k in range(120)]
+    state, history = Deltas(spark, str(tmp_path / "s"), jobs.MEMORY, "memory_id", 4, 2), Deltas(spark, str(tmp_path / "h"), jobs.HISTORY, "seq", 4, 2)
+    for at in range(0, 120, 30):
+        spark.createDataFrame(events[at : at + 30], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         jobs.memory_changes(jobs.watch(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema), state, history, str(tmp_path / "c")).awaitTermination()
-    want = apply_events(spark.createDataFrame([], jobs.MEMORY), spark.createDataFrame(first + second, schema))
-    assert state.read().collect() == want[0].collect()
-    assert sorted(map(tuple, history.read().collect())) == sorted(map(tuple, want[1].collect()))
+    want, log = in_order(events)
+    assert {x["memory_id"]: x["memory"] for x in state.read().collect()} == want
+    assert sorted(map(tuple, history.read().collect())) == log
+
+
+def test_runs_are_merged_in_tiers(spark, tmp_path):
+    """After many batches a read meets few runs, and a batch that is run again changes nothing."""
+    r = random.Random(5)
+    table, want = Deltas(spark, str(tmp_path / "t"), "k long, v string", "k", 3, 3), {}
+    for n in range(20):
+        rows = [(k, f"{n}-{j}") for k in r.sample(range(15), 3) for j in range(2)]
+        gone = r.sample(range(15), 2)
+        gone = [g for g in gone if g not in {k for k, _ in rows}]
+        for again in range(1 + (n % 7 == 6)):
+            table.write(spark.createDataFrame(rows, "k long, v string").coalesce(1), n, spark.createDataFrame([(g,) for g in gone], "k long"))
+        for k in {k for k, _ in rows} | set(gone):
+            want.pop(k, None)
+        for k, v in rows:
+            want.setdefault(k, []).append(v)
+        if n % 5 == 4:
+            got = {}
+            for x in table.read().collect():
+                got.setdefault(x["k"], []).append(x["v"])
+            assert {k: sorted(v) for k, v in got.items()} == want
+            assert len(table.runs()) <= 6
+    some = table.read(keys=spark.createDataFrame([(1,), (2,), (99,)], "k long")).collect()
+    assert sorted((x["k"], x["v"]) for x in some) == sorted((k, v) for k in (1, 2) for v in want.get(k, []))
+    assert Deltas(spark, str(tmp_path / "none"), "k long, v string", "k").read().count() == 0
 
 
 def test_last_k_state(spark, tmp_path):
