@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kbspark.functions.text import strip
+from kbspark.jobs import settle, sized
 
 # Routes of file extensions.
 ROUTES = {
@@ -75,9 +83,39 @@ def route_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.withColumn("route", route(F.col("path"))).where("route is not null")
 
 
-def write_jsonl(df: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
-    """JSON lines in files of bounded size."""
-    df.write.option("maxRecordsPerFile", rows_per_file).mode("overwrite").json(path)
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines with their task, place in it, bytes before them in it, and own bytes with the line feed."""
+    task, place, before = TaskContext.get().partitionId(), 0, 0
+    for batch in batches:
+        size = pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        start = before + np.cumsum(size) - size
+        n = batch.num_rows
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(n, task)), pa.array(np.arange(place, place + n)), pa.array(start), pa.array(size)], ["line", "task", "place", "start", "size"])
+        place, before = place + n, before + int(size.sum())
+
+
+def write_jsonl(df: DataFrame, path: str, bytes_per_file: int = 3 << 30) -> None:
+    """JSON lines in files of at most so many bytes, in the order of the rows; a longer line has a file of its own.
+
+    Tasks measure their lines; the sums before each task and line say which file a line belongs to, and one exchange by
+    file writes them. Of lines of more than half a file each has its own, the others fill half a file at least.
+    """
+    lines = settle(df.select(F.to_json(F.struct(*df.columns)).alias("line")).mapInArrow(_measured, "line string, task long, place long, start long, size long"), "lines")
+    most = max(2, bytes_per_file)
+    wide = F.col("size") > most // 2
+    sums = lines.groupBy("task").agg(F.max(F.col("start") + F.col("size")).alias("bytes"), F.max(F.when(~wide, F.col("size"))).alias("most")).orderBy("task").collect()  # a row a task
+    room = max(1, most - max((r["most"] or 0 for r in sums), default=0) + 1)
+    before, at = {}, 0
+    for r in sums:
+        before[r["task"]], at = at, at + r["bytes"]
+    spark = df.sparkSession
+    offsets = spark.createDataFrame(list(before.items()) or [(0, 0)], "task long, before long")
+    small = -(-at // room)  # files of short lines
+    own = lines.where(wide).select("task", "place").withColumn("file", (F.row_number().over(W.orderBy("task", "place")) - 1 + small).cast("int"))  # fewer than twice the files
+    n = small + own.count()
+    placed = lines.join(F.broadcast(offsets), "task").join(sized(own), ["task", "place"], "left")
+    placed = placed.withColumn("file", F.coalesce("file", F.floor((F.col("before") + F.col("start")) / room).cast("int")))
+    placed.repartitionById(max(1, n), "file").sortWithinPartitions("task", "place").select("line").write.mode("overwrite").text(path)
 
 
 def export_table(df: DataFrame, path: str, form: str = "csv") -> None:

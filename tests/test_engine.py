@@ -58,8 +58,14 @@ def test_files(spark, tmp_path):
     for form in ("csv", "md", "txt"):
         files.export_table(df, str(tmp_path / form), form)
         assert any(n.startswith("part-") for n in os.listdir(tmp_path / form))
-    files.write_jsonl(df, str(tmp_path / "j"), 2)
-    assert spark.read.json(str(tmp_path / "j")).count() == 5
+    rows = [(k, "x" * (k * 37 % 90 if k % 50 else 700)) for k in range(300)]
+    files.write_jsonl(spark.createDataFrame(rows, "k int, t string").repartition(5).sortWithinPartitions("k"), str(tmp_path / "j"), 1000)
+    sizes = [f.stat().st_size for f in (tmp_path / "j").glob("part-*")]
+    assert max(sizes) <= 1000 and 20 < len(sizes) < 80
+    assert sorted((r["k"], r["t"]) for r in spark.read.json(str(tmp_path / "j")).collect()) == rows
+    files.write_jsonl(df, str(tmp_path / "one"), 5)  # lines are longer: a file each
+    assert spark.read.json(str(tmp_path / "one")).count() == 5 == len([f for f in (tmp_path / "one").glob("part-*") if f.stat().st_size])
+    files.write_jsonl(df.limit(0), str(tmp_path / "none"))
     assert files.with_aliases(spark.createDataFrame([(None, "b")], "Text string, text2 string").withColumnRenamed("text2", "ChunkId")).columns == ["chunk_id", "text"]
 
 
