@@ -117,6 +117,18 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield stars(got)
 
 
+HUB = 1000  # edges of a node beyond which its rows are not shuffled
+
+
+def _with_least(rows: DataFrame, both: DataFrame) -> DataFrame:
+    """u, v, m of rows(u, v): m is the smallest of u and what edges both(u, v) lead to from it. Rows of hubs, of which there
+    are few, meet a broadcast table; the others are joined by shuffling."""
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    hubs = sized(least.where(F.col("n") > HUB).select("u", F.col("m").alias("h")))
+    marked = rows.join(hubs, "u", "left")
+    return marked.where("h is not null").select("u", "v", F.col("h").alias("m")).unionByName(marked.where("h is null").select("u", "v").join(least.select("u", "m"), "u"))
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, component) of every node of ``links``; component is the smallest node that links reach.
 
@@ -134,8 +146,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
             roots = edges.select(F.col("v").alias("node")).distinct()
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = spread_join(both.where("v > u"), least, ["u"], "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = _with_least(both.where("v > u"), both).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         last, edges = edges, settle(joined(small.where("u > v")), "edges")
