@@ -170,6 +170,16 @@ def display_time(seconds: Column) -> Column:
     return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss")
 
 
+def iso_display_time(c: Column) -> Column:
+    """An ISO date and time, with or without an offset, as yyyy-MM-dd HH:mm:ss (session time zone); null if it is none."""
+    return F.date_format(F.try_to_timestamp(c), "yyyy-MM-dd HH:mm:ss")
+
+
+def epoch_of_display(c: Column) -> Column:
+    """Yyyy-MM-dd HH:mm:ss (session time zone) as epoch seconds; null if it is none."""
+    return F.unix_seconds(F.try_to_timestamp(c, F.lit("yyyy-MM-dd HH:mm:ss")))
+
+
 def index_tokens(c: Column) -> Column:
     """C11: lower-cased tokens of a keyword index: between white space; runs of CJK characters as bigrams."""
     runs = F.regexp_extract_all(F.lower(c), F.lit(f"[{CJK}]+|[^\\s{CJK}]+"), F.lit(0))

@@ -173,9 +173,10 @@ def nearest(new: DataFrame, old: DataFrame, **more) -> DataFrame:
     return topk(new, old, 1, cosine=True, **more).select("query_id", "id", "score")
 
 
-def resolve(new: DataFrame, old: DataFrame, least: float = 0.9) -> DataFrame:
-    """query_id, match_id, node_id: the nearest old node of at least ``least`` (4 digits), else a node of its own id."""
-    found = nearest(new, old, digits=4).where(F.col("score") >= least).select("query_id", F.col("id").alias("match_id"))
+def resolve(new: DataFrame, old: DataFrame, least: float = 0.9, scope: str | None = None, floor: float | None = 0.7) -> DataFrame:
+    """query_id, match_id, node_id: the nearest old node of at least ``least`` (4 digits), else a node of its own id.
+    scope: only nodes whose value of a column is the same; floor: similarity that the search asks for."""
+    found = nearest(new, old, digits=4, scope=scope, floor=min(floor, least) if floor is not None else None).where(F.col("score") >= least).select("query_id", F.col("id").alias("match_id"))
     return new.select("query_id").join(found, "query_id", "left").select("query_id", "match_id", F.coalesce("match_id", "query_id").alias("node_id"))
 
 

@@ -151,6 +151,15 @@ def p24_display_time(t):
     return t.events.select("event_id", text.display_time(F.unix_timestamp("ts")).alias("shown"))
 
 
+@query("SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS shown, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS seconds, NULL AS none FROM events")
+def p24_iso_times(t):
+    """ISO strings, those of even ids with an offset of two hours, shown and read back."""
+    stamp = F.col("ts").cast("timestamp")
+    iso = F.when(F.col("event_id") % 2 == 0, F.concat(F.date_format(stamp + F.expr("INTERVAL 2 HOURS"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))).otherwise(F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss"))
+    shown = text.iso_display_time(iso)
+    return t.events.select("event_id", shown.alias("shown"), text.epoch_of_display(shown).alias("seconds"), text.iso_display_time(F.concat(F.lit("no "), iso)).alias("none"))
+
+
 @query("SELECT conv_id, turn, role AS actor_id, text FROM conversations WHERE role IS NOT NULL AND role <> 'system' AND text IS NOT NULL AND trim(text) <> ''")
 def p22_usable_messages(t):
     return memory.usable_messages(t.conversations).select("conv_id", "turn", "actor_id", "text")
@@ -299,6 +308,12 @@ def v12_resolve(t):
     return vectors.resolve(views.vector_queries(t), views.vectors(t).where("id % 20 <> 0"), 0.5).select("query_id", "node_id")
 
 
+@query("WITH b AS (SELECT query_id, id FROM (SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 4) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 4) DESC, c.vec_id) AS r FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id % 20 = 0 AND c.vec_id % 20 <> 0 AND list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) > 0.3) WHERE r = 1 AND s >= 0.4) SELECT vec_id AS query_id, coalesce(id, vec_id) AS node_id FROM embeddings LEFT JOIN b ON vec_id = query_id WHERE vec_id % 20 = 0")
+def v12_resolve_in_scope(t):
+    asked = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").cast("string").alias("dataset"))
+    return vectors.resolve(asked, views.vectors(t).where("id % 20 <> 0"), 0.4, scope="dataset", floor=0.3).select("query_id", "node_id")
+
+
 @query()
 def v10_clusters(t):
     return linkage.clusters_average(views.vectors(t).withColumnRenamed("dataset", "block"), 0.4)

@@ -385,12 +385,34 @@ def g14_cluster_merge(t):
     return merged.join(mapped, merged["name"] == mapped["canonical"], "left").select("block", F.col("name").alias("canonical"), "n", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"), F.coalesce("mapped", F.lit(0)).alias("mapped"))
 
 
-@query(f"""WITH RECURSIVE s AS (SELECT q.vec_id AS a, c.vec_id AS b, {_COS} AS s FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0 AND c.vec_id % 20 <> 0), h AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM s) WHERE r <= 10 AND s >= 0.5),
-l AS (SELECT a, b FROM h UNION SELECT b, a FROM h), w(n, m) AS (SELECT DISTINCT a, a FROM l UNION SELECT l.b, w.m FROM w JOIN l ON l.a = w.n), c AS (SELECT n, min(m) AS g FROM w GROUP BY 1)
+_GROUPS = f"""WITH RECURSIVE s AS (SELECT q.vec_id AS a, c.vec_id AS b, {_COS} AS s FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0 AND c.vec_id % 20 <> 0), h AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM s) WHERE r <= 10 AND s >= 0.35),
+l AS (SELECT a, b FROM h UNION SELECT b, a FROM h), w(n, m) AS (SELECT DISTINCT a, a FROM l UNION SELECT l.b, w.m FROM w JOIN l ON l.a = w.n), c AS (SELECT n, min(m) AS g FROM w GROUP BY 1)"""
+
+
+@query(_GROUPS + """
 SELECT vec_id AS id, coalesce(g, vec_id) AS "group", CASE WHEN g IS NOT NULL THEN 'merge' WHEN vec_id % 20 = 0 THEN 'insert' ELSE 'keep' END AS action FROM embeddings LEFT JOIN c ON n = vec_id""")
 def g15_incremental_merge(t):
     rows = views.vectors(t).select("id", "embedding")
-    return graph.incremental_merge(rows.where("id % 20 = 0"), rows.where("id % 20 <> 0"), 10, 0.5)
+    return graph.incremental_merge(rows.where("id % 20 = 0"), rows.where("id % 20 <> 0"), 10, 0.35)
+
+
+@query(_GROUPS + """, r AS (SELECT coalesce(g, vec_id) AS g, vec_id, c.n IS NOT NULL AS merged FROM embeddings LEFT JOIN c ON n = vec_id WHERE c.n IS NOT NULL OR vec_id % 20 = 0)
+SELECT 'insert' AS what, CAST(g AS BIGINT) AS id, string_agg(vec_id, ',' ORDER BY vec_id) AS members FROM r GROUP BY g UNION ALL SELECT 'delete', vec_id, '' FROM r WHERE merged AND vec_id % 20 <> 0 UNION ALL SELECT 'mapping', vec_id, 'v' || g FROM r WHERE vec_id <> g""")
+def g15_merge_into(t):
+    """What is inserted, deleted and mapped when vectors of every twentieth id go into the others."""
+
+    def policy(p: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, pd.DataFrame]:
+        first = p["id"].min()
+        name = p["name"][p["id"] == first].iloc[0]
+        record = p.iloc[:1].assign(id=first, name=name, members=[sorted(x for m in p["members"] for x in m)])
+        return record, p.iloc[:0], pd.DataFrame({"old": p["name"], "canonical": name})
+
+    rows = views.vectors(t).select("id", F.concat(F.lit("v"), "id").alias("name"), "embedding", F.array("id").alias("members"))
+    inserted, deleted, mapping = merging.merge_into(rows.where("id % 20 = 0"), rows.where("id % 20 <> 0"), policy, 10, 0.35)
+    ends = inserted.select(F.explode("members").alias("m"), F.col("name").alias("last")).select(F.concat(F.lit("v"), "m").alias("old"), "last")
+    named = mapping.join(ends, "old").select(F.lit("mapping").alias("what"), F.substring("old", 2, 30).cast("long").alias("id"), F.when(F.col("canonical") == F.col("last"), F.col("canonical")).otherwise("wrong").alias("members"))
+    out = inserted.select(F.lit("insert").alias("what"), "id", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+    return out.unionByName(deleted.select(F.lit("delete").alias("what"), "id", F.lit("").alias("members"))).unionByName(named)
 
 
 @query("WITH s AS (SELECT l_partkey AS a, -l_suppkey - 1 AS b, CAST(sum(l_quantity) AS DOUBLE) AS score FROM lineitem GROUP BY ALL), e AS (SELECT a AS x, b AS y, score FROM s UNION ALL SELECT b, a, score FROM s), m AS (SELECT x, y, score FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY score DESC, y) AS r FROM e) WHERE r = 1) SELECT p.x AS a, p.y AS b, p.score FROM m p JOIN m q ON p.y = q.x AND p.x = q.y WHERE p.x < p.y")
