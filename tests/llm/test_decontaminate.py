@@ -45,11 +45,12 @@ def test_brute(spark, hashes, windows, monkeypatch):
 
 
 def test_repeated_and_null_ids_and_long_texts(spark):
-    """Rows of one id are one document, null ids one more; a long text with very many hits ends in seconds."""
+    """Rows of one id are one row of the report, null ids one more; the stage removes by text; a long text with very many hits ends in seconds."""
     item = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "tie")], "item_id long, text string")
     rows_ = [(1, "x a b c d e f g h i j"), (1, "y z"), (None, "tie"), (None, "q"), (2, "tie no " * 60_000)]
     for kind in ("long", "int"):
         found = {r["doc_id"]: r for r in contamination(spark.createDataFrame(rows_, f"doc_id {kind}, text string"), item).collect()}
         assert (found[1]["n_words"], found[1]["n_hit"]) == (11, 10) and found[None]["n_hit"] == 1 and found[2]["n_hit"] == 60_000
     left = remove_documents(spark.createDataFrame(rows_, "doc_id long, text string"), item)
-    assert sorted((r["doc_id"], r["text"]) for r in left.collect() if r["doc_id"]) == [] and left.count() == 2
+    # a clean text stays beside a contaminated one of its id; rows without an id stay
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in left.collect()) == [(0, "q"), (0, "tie"), (1, "y z")]
