@@ -12,6 +12,9 @@ the same hash are candidates:
    BLOCK sets over as many tasks as there are pairs of blocks. Only pairs of different components whose
    bound passes are kept, and compared exactly.
 
+Candidates are found by word hashes of one family and compared by those of another, so words that collide
+in the first do not link.
+
 A link inside a component cannot change it, so no class is lost. Parts that are empty, or of one shingle, are
 shown only by sets that have more of them than the spare parts (both sets of a pair that no larger part
 joins have that many), which keeps them from filling buckets.
@@ -31,6 +34,7 @@ from kbspark.llm import text as tx
 from kbspark.llm.stages import by_text, components, partitions, release, settle, sized, spread_join
 
 BITS = 1024  # of a bitmap
+CHECK = 4  # family of word hashes that candidates are compared by; sets count as equal if two families agree
 BLOCK = 256  # sets of a block
 PER_SALT = 128  # comparisons that one copy of a center's text serves
 
@@ -58,10 +62,10 @@ def _parts(upper: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.
     return k, np.where(d > 0, spare, 0), least
 
 
-def _sets(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sets(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, width: int, family: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     low = tx.LOWER[data]
     starts, ends, doc = tx.words(low, offsets, tx.SPACE)
-    values, owner = tx.shingles(tx.word_hashes(low, starts, ends), doc, rows.num_rows, width)
+    values, owner = tx.shingles(tx.word_hashes(low, starts, ends, family), doc, rows.num_rows, width)
     return values, owner, np.bincount(owner, minlength=rows.num_rows)
 
 
@@ -70,10 +74,11 @@ def _signatures(width: int):
         for batch in batches:
             for rows, data, offsets in tx.slices(batch):
                 values, owner, n = _sets(rows, data, offsets, width)
+                others, whose, _ = _sets(rows, data, offsets, width, CHECK)
                 d = rows.num_rows
                 bits = np.bincount(owner * BITS + (values >> np.uint64(40)).astype(np.int64) % BITS, minlength=d * BITS).reshape(d, BITS) & 1
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), tx.longs(n), tx.longs(tx.sums(values, owner, d)), tx.longs(tx.sums(tx.mix(values + np.uint64(7)), owner, d)), tx.binaries(np.packbits(bits.astype(np.uint8), axis=1))],
+                    [rows.column(0), tx.longs(n), tx.longs(tx.sums(values, owner, d)), tx.longs(tx.sums(others, whose, d)), tx.binaries(np.packbits(bits.astype(np.uint8), axis=1))],
                     ["doc_id", "n_shingles", "f1", "f2", "bitmap"],
                 )
 
@@ -177,7 +182,7 @@ def _verify(width: int, percent: int):
         center, its = None, None
         for batch in batches:
             for rows, data, offsets in tx.slices(batch):
-                values, owner, n = _sets(rows, data, offsets, width)
+                values, owner, n = _sets(rows, data, offsets, width, CHECK)
                 ends = np.concatenate([[0], np.cumsum(n)])
                 c, d = rows.column(0).to_numpy(), rows.column(2).to_numpy()
                 a, b = [], []

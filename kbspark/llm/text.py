@@ -7,6 +7,7 @@ into one slice, so a slice is as large as its longest text; memory is about 60 b
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,11 +23,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 _rng = np.random.default_rng(20240917)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
 _MUL = _rng.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k bytes of a block
+LONG = 64  # bytes of a range beyond which it is hashed whole
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -80,15 +79,24 @@ def words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray) -> tuple[np.nd
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges, from prefix sums of a polynomial modulo 2**64."""
-    n = len(data) + 1
-    if len(_powers[0]) < n:
-        for k, step in enumerate((_STEP, _BACK)):
-            _powers[k] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n + n // 4, step, np.uint64), dtype=np.uint64)])
-    total = np.zeros(n, np.uint64)
-    np.cumsum(_BYTE[data] * _powers[0][: n - 1], dtype=np.uint64, out=total[1:])
-    return mix((total[ends] - total[starts]) * _powers[1][starts] + (ends - starts).astype(np.uint64))
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
+    """64-bit hashes of byte ranges, of one of eight independent families.
+
+    Blocks of eight bytes go through ``mix`` one after the other; ranges of more than LONG bytes are hashed by BLAKE2b.
+    """
+    blocks = np.ndarray((len(data) + 1,), np.dtype("<u8"), np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * _MUL[family] + _MUL[family + 1])
+    todo, at = np.flatnonzero(size <= LONG), 0
+    while len(todo):
+        left = size[todo] - at
+        block = blocks[starts[todo] + at] & _MASK[np.minimum(left, 8)]
+        out[todo] = mix(mix(out[todo] ^ block) + _MUL[family + 2])
+        at += 8
+        todo = todo[left > 8]
+    for i in np.flatnonzero(size > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].data, digest_size=8, salt=bytes([family])).digest(), "little")
+    return out
 
 
 def shingles(hashes: np.ndarray, doc: np.ndarray, n_docs: int, width: int) -> tuple[np.ndarray, np.ndarray]:
