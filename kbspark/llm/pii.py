@@ -261,6 +261,13 @@ def train(spans: DataFrame):
     return probability
 
 
+def _below(numbers: str, limit: Column) -> Column:
+    """How many of an ascending array column are below limit, by binary search."""
+    n = F.size(numbers)
+    step = lambda at, k: F.when((at + k <= n) & (F.get(numbers, F.least(at + k, n) - 1) < limit), at + k).otherwise(at)
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), F.lit(0), step)
+
+
 def find_pii(docs: DataFrame, least: float = 0.9) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added of every row of docs(doc_id, text).
 
@@ -273,7 +280,9 @@ def find_pii(docs: DataFrame, least: float = 0.9) -> DataFrame:
     probability = train(found.select("spans"))
     base = F.filter("spans", lambda x: x["base"])
     found = found.withColumn("own", base)
-    more = F.filter("spans", lambda x: (~x["base"]) & (probability(x) >= least) & ~F.exists(F.col("own"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    found = found.withColumns({"starts": F.sort_array(F.transform("own", lambda b: b["start"])), "ends": F.sort_array(F.transform("own", lambda b: b["end"]))})
+    # spans that begin before x ends and did not end before x begins overlap it
+    more = F.filter("spans", lambda x: (~x["base"]) & (probability(x) >= least) & (_below("starts", x["end"]) == _below("ends", x["start"] + 1)))
     found = found.withColumn("more", more)
     names = F.array(*[F.lit(k) for k in KINDS])
     key = lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))

@@ -107,3 +107,28 @@ def test_many_matches_in_one_text(spark):
     base = ",".join(f"ip:{8 * i}:{8 * i + 7}" for i in range(100_000))
     assert next(r for r in found if r["doc_id"])["base_sha256"] == sha(base)
     assert time.time() - began < 120
+
+
+def test_many_accepted_spans_beside_base_spans(spark):
+    """Accepted spans of a text with as many base spans are held against these in less than their product; none overlaps one."""
+    import time
+
+    lines = [f"Patient Dr. Maria Lopez, call (415) {200 + i}-{1000 + i}, ssn 123-45-{6000 + i}, mail a{i}@b.com, tel +1 (771) 555-{1000 + i}" for i in range(50)]
+    n = 30_000
+    long = "".join(f"call (415) {200 + i % 700}-{1000 + i % 9000}, mail a@b.com\n" for i in range(n))
+    began = time.time()
+    found = rows(find_pii(frame(spark, [*lines, long])))[50]
+    assert (found["n_email"], found["n_added"]) == (n, n)
+    spans = [(int(a), int(b), k) for k, a, b in (s.split(":") for s in found["spans"].split(","))]
+    assert len(spans) == 2 * n and all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False))
+    assert time.time() - began < 60
+
+
+def test_binary_search(spark):
+    from pyspark.sql import functions as F
+
+    from kbspark.llm.pii import _below
+
+    arrays = [[], [3], [1, 1, 2, 5, 5, 9], list(range(0, 200, 3))]
+    df = spark.createDataFrame([(a, v) for a in arrays for v in (-1, 0, 1, 2, 5, 6, 9, 10, 198, 500)], "a array<int>, v int")
+    assert all(r["n"] == sum(x < r["v"] for x in r["a"]) for r in df.withColumn("n", _below("a", F.col("v"))).collect())
