@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kbspark.functions import answers, text
 from kbspark.jobs import settle
-from kbspark.operators import aggregates, chunking, graph, infer, inverted, joins, keyword, linkage, memory, ranking, tables, vectors
+from kbspark.operators import aggregates, chunking, graph, infer, inverted, joins, keyword, linkage, memory, ranking, segment, tables, vectors
 from kbspark.plans import retrieval, views
 from kbspark.sources import files, keyed
 
@@ -227,6 +227,15 @@ def c11_index_tokens(t):
     return keyword.inverted_index(t.documents.select(F.col("doc_id").alias("id"), "text")).groupBy(F.col("id").alias("doc_id")).agg(F.sum("tf").alias("tokens"), F.count("*").alias("terms"))
 
 
+@query()
+def c11_segments(t):
+    """Every distinct run of letters of the documents, cut into the pieces that hold together in them; the tables have no CJK text."""
+    letters = "\\p{L}"
+    words = segment.learned_words(t.documents, letters, least=20)
+    runs = t.documents.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"[{letters}]+"), F.lit(0))).alias("run"))
+    return segment.segmented(runs, words).select("run", F.array_join("words", "|").alias("words"))
+
+
 # --- vectors -------------------------------------------------------------------------------------------------
 
 _TOP = """SELECT query_id, id, score, rank FROM (SELECT q.vec_id AS query_id, c.vec_id AS id, {score} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {score} DESC, c.vec_id) AS rank FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0 {more}) WHERE rank <= {k}"""
