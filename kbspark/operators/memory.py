@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kbspark.operators import vectors
+from kbspark.operators import keyword, vectors
 
 SCOPES = ("user_id", "agent_id", "run_id")
 #: Payload keys that are columns of their own.
@@ -93,6 +93,20 @@ def search(queries: DataFrame, memories: DataFrame, k: int, floor: float | None
     return vectors.topk(queries, inside, k, cosine=True, floor=floor).join(inside.select("id", "memory"), "id")
 
 
+def search_with_graph(queries: DataFrame, memories: DataFrame, triples: DataFrame, k: int, floor: float | None = None, most: int = 5, **scope: str) -> DataFrame:
+    """M4, both sides: query_id, side, id, score, rank, text for queries(query_id, embedding, text).
+
+    ``vector``: what ``search`` finds; ``graph``: the ``most`` triples(id, source, relation, destination) of the scope's
+    ids by BM25 whose counts are those of the scope; other conditions bind memories only. A query without text
+    has no triple.
+    """
+    near = search(queries.select("query_id", "embedding"), memories, k, floor, **scope).select("query_id", F.lit("vector").alias("side"), "id", "score", "rank", F.col("memory").alias("text"))
+    inside = triples.where(scope_filter(**{name: value for name, value in scope.items() if name in SCOPES}))
+    shown = inside.select("id", F.concat_ws(" -- ", "source", "relation", "destination").alias("text"))
+    told = keyword.triple_topk(queries.where("text is not null").select("query_id", "text"), inside, most).join(shown, "id")
+    return near.unionByName(told.select("query_id", F.lit("graph").alias("side"), "id", "score", "rank", "text"))
+
+
 def list_memories(memories: DataFrame, limit: int = 100, **scope: str) -> DataFrame:
     """M5: memories of a scope, oldest first."""
     return memories.where(scope_filter(**scope)).orderBy("created_at", "memory_id").limit(limit)

@@ -474,6 +474,25 @@ def m4_scoped_search(t):
     return out.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"), "memory")
 
 
+_BOTH = f"""WITH near AS (SELECT q.vec_id AS query_id, c.vec_id AS id, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, c.vec_id) AS rank FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0 AND c.label = {_USER} AND c.vec_id % 2 = 1 AND list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) > 0.1),
+tok AS (SELECT DISTINCT l_partkey * 100 + ascii(l_returnflag) AS id, p_name || ' -- ' || l_returnflag || ' -- ' || p_brand AS text, [lower(p_name), lower(l_returnflag), lower(p_brand)] AS t FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE CAST(s_nationkey AS VARCHAR) = CAST({_USER} AS VARCHAR)),
+st AS (SELECT count(*) AS n FROM tok), q AS (SELECT DISTINCT vec_id AS query_id, unnest(string_split(lower(p_brand || ' r ' || p_name), ' ')) AS token FROM embeddings JOIN part ON p_partkey = vec_id WHERE vec_id % 20 = 0),
+tf AS (SELECT id, text, token, count(*) AS tf FROM (SELECT id, text, unnest(t) AS token FROM tok) WHERE token IN (SELECT token FROM q) GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
+s AS (SELECT query_id, id, text, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE)), 6) AS score FROM q JOIN tf USING (token) JOIN df USING (token), st GROUP BY ALL)
+SELECT query_id, 'vector' AS side, id, score, rank, 'm' || id AS text FROM near WHERE rank <= 10
+UNION ALL SELECT query_id, 'graph', id, score, rank, text FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5"""
+
+
+@query(_BOTH)
+def m4_search_with_graph(t):
+    suppliers = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("string").alias("user_id"))
+    parts = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand")
+    triples = t.lineitem.select("l_suppkey", "l_partkey", "l_returnflag").join(suppliers, "l_suppkey").join(parts, "l_partkey")
+    triples = triples.select((F.col("l_partkey") * 100 + F.ascii("l_returnflag")).alias("id"), F.col("p_name").alias("source"), F.col("l_returnflag").alias("relation"), F.col("p_brand").alias("destination"), "user_id", F.lit(None).cast("string").alias("agent_id"), F.lit(None).cast("string").alias("run_id")).distinct()
+    asked = views.vector_queries(t).join(parts.select(F.col("l_partkey").alias("query_id"), F.concat_ws(" ", "p_brand", F.lit("R"), "p_name").alias("text")), "query_id", "left")
+    return memory.search_with_graph(asked, _memories(t), triples, 10, floor=0.1, user_id=_user(t), odd="1").withColumn("rank", F.col("rank").cast("long"))
+
+
 @query(f"SELECT vec_id AS memory_id, 'm' || vec_id AS memory FROM embeddings WHERE label = {_USER} ORDER BY vec_id LIMIT 100")
 def m5_list_memories(t):
     return memory.list_memories(_memories(t), user_id=_user(t)).select("memory_id", "memory")
