@@ -693,6 +693,37 @@ def q6_a17_generated_table(t):
     return retrieval.generated_table(_grid(t), lambda asked: _answers(t, asked), ["orders", "revenue"])
 
 
+#: A question's vector is that of a row named by its words; answers count the contexts and add their ids up.
+_RETRIEVED = """WITH g AS (SELECT entity, time, metric, (length(entity) * 31 + CAST(time AS INT) * 7 + length(metric)) % (SELECT count(*) FROM embeddings) AS vec_id FROM (SELECT DISTINCT c_mktsegment AS entity FROM customer), (SELECT DISTINCT CAST(year(o_orderdate) AS VARCHAR) AS time FROM orders), (VALUES ('orders'), ('revenue')) AS m(metric)),
+h AS (SELECT g.entity, g.time, g.metric, c.vec_id AS id, row_number() OVER (PARTITION BY g.entity, g.time, g.metric ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) DESC, c.vec_id) AS r FROM g JOIN embeddings q ON q.vec_id = g.vec_id, embeddings c WHERE list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) > 0.5),
+a AS (SELECT entity, time, metric, count(*) AS n, sum(id) AS s FROM h WHERE r <= 5 GROUP BY ALL),
+f AS (SELECT g.entity, g.time, max(CASE WHEN g.metric = 'orders' THEN n * 1000::DOUBLE END) AS orders, max(CASE WHEN g.metric = 'revenue' AND s % 3 > 0 THEN s * 1000::DOUBLE END) AS revenue FROM g LEFT JOIN a ON a.entity = g.entity AND a.time = g.time AND a.metric = g.metric GROUP BY ALL)
+SELECT entity, count(*) AS years, count(revenue) AS known, sum(orders) AS orders, max(revenue) AS revenue FROM f GROUP BY entity"""
+
+
+def _retrieved(t, asked: DataFrame) -> DataFrame:
+    """Answers over retrieved rows: ``3 thousand``, ``1234,000`` or, where the sum of ids is divisible by 3, no number."""
+    n = t.embeddings.agg(F.count("*").alias("n"))  # one row
+    place = F.length("entity") * 31 + F.col("time").cast("int") * 7 + F.length("metric")
+    embed = lambda q: q.crossJoin(F.broadcast(n)).withColumn("vec_id", (place % F.col("n")).cast("long")).join(t.embeddings, "vec_id").select("task_id", "embedding")
+    chunks = t.embeddings.select(F.col("vec_id").alias("id"), "embedding", F.col("vec_id").cast("string").alias("text"))
+
+    def answer(q: DataFrame, contexts: DataFrame) -> DataFrame:
+        found = contexts.groupBy("task_id").agg(F.count("*").alias("n"), F.sum(F.col("text").cast("long")).alias("s"))
+        revenue = F.when(F.col("s") % 3 > 0, F.concat(F.col("s").cast("string"), F.lit(",000"))).otherwise(F.lit("not stated"))
+        value = F.when(F.col("metric") == "orders", F.concat_ws(" ", F.col("n").cast("string"), F.lit("thousand"))).otherwise(revenue)
+        return q.join(found, "task_id").select("task_id", F.lit(0).alias("position"), value.alias("value"))
+
+    return retrieval.retrieved_answers(asked, embed, chunks, answer)
+
+
+@query(_RETRIEVED)
+def q6_retrieved_table(t):
+    metrics = ["orders", "revenue"]
+    filled = retrieval.generated_table(_grid(t), lambda asked: _retrieved(t, asked), metrics)
+    return retrieval.queried_table(filled, metrics, lambda name: f"SELECT entity, count(*) AS years, count(revenue) AS known, sum(orders) AS orders, max(revenue) AS revenue FROM {name} GROUP BY entity")
+
+
 #: Nodes from mentions k, of which the first of each chunk and name counts.
 _FIRST = ", f AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY name, chunk_id ORDER BY position) = 1), c AS (SELECT name, type, count(*) AS c, min(position) AS p FROM f GROUP BY ALL), y AS (SELECT name, type FROM c QUALIFY row_number() OVER (PARTITION BY name ORDER BY c DESC, p) = 1) SELECT name, any_value(y.type) AS type, array_to_string(list_sort(list_distinct(list(description))), '<SEP>') AS description, array_to_string(list_sort(list_distinct(list(path))), '<SEP>') AS paths, CAST(count(DISTINCT chunk_id) AS BIGINT) AS sources FROM f JOIN y USING (name) GROUP BY name"
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kbspark.functions import text
 from kbspark.jobs import settle
 from kbspark.operators import aggregates, joins, keyword, ranking, tables, vectors
 
@@ -62,6 +64,28 @@ def generated_table(grid: DataFrame, answers: Callable[[DataFrame], DataFrame],
     return aggregates.filled_table(grid, answers(tables.questions(grid)), metrics)
 
 
+def retrieved_answers(asked: DataFrame, embed: Callable[[DataFrame], DataFrame], chunks: DataFrame, answer: Callable[[DataFrame, DataFrame], DataFrame], k: int = 5, threshold: float = 0.5) -> DataFrame:
+    """Q6: answers of questions by retrieval: embed(questions) gives (task_id, embedding), of chunks(id, embedding, text) the k
+    nearest by cosine above the threshold are contexts(task_id, rank, score, text), and answer(questions, contexts)
+    gives (task_id, position, value)."""
+    vectors_ = embed(asked).select(F.col("task_id").alias("query_id"), "embedding")
+    hits = settle(vectors.topk(vectors_, chunks, k, cosine=True, floor=threshold), "table-hits")
+    contexts = hits.join(chunks.select("id", "text"), "id").select(F.col("query_id").alias("task_id"), "rank", "score", "text")
+    return answer(asked, contexts)
+
+
+def queried_table(filled: DataFrame, metrics: list[str], sql: Callable[[str], str]) -> DataFrame:
+    """Q6: a filled table with its metrics as numbers (P4; null where a cell is none), asked by guarded SQL (P18); sql gets the
+    name under which the table can be read."""
+    name = f"table_{uuid.uuid4().hex}"
+    typed = filled.select(*[c for c in filled.columns if c not in metrics], *[text.parse_number(F.col(m)).alias(m) for m in metrics])
+    settle(typed, "table").createOrReplaceTempView(name)
+    try:
+        return tables.guarded_sql(filled.sparkSession, sql(name))
+    finally:
+        filled.sparkSession.catalog.dropTempView(name)
+
+
 def layered(queries: DataFrame, *stores: DataFrame, least: float = 0.0) -> DataFrame:
     """Q7: results(query_id, id, score) of the first store that has any of at least ``least`` for a query."""
     out, left = None, queries.select("query_id")
