@@ -142,9 +142,10 @@ def filled_table(grid: DataFrame, answers: DataFrame, metrics: list[str]) -> Dat
 
 def rebuilt_nodes(mentions: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(merged nodes of the mentions outside removed(chunk_id), names that have none left); of a (chunk, name) the
-    first mention counts."""
+    first mention counts: by position, then by place where there is one, then by the other columns."""
     kept = mentions.join(removed.select("chunk_id").distinct(), "chunk_id", "left_anti")
-    first = kept.groupBy("chunk_id", "name").agg(F.min_by(F.struct(*[c for c in kept.columns if c not in ("chunk_id", "name")]), "position").alias("r")).select("chunk_id", "name", "r.*")
+    order = [c for c in ("position", "place") if c in kept.columns]
+    first = kept.groupBy("chunk_id", "name").agg(F.min(F.struct(*order, *[c for c in kept.columns if c not in ("chunk_id", "name", *order)])).alias("r")).select("chunk_id", "name", "r.*")
     return merge_nodes(first), mentions.select("name").distinct().join(kept.select("name").distinct(), "name", "left_anti")
 
 

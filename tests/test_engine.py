@@ -310,3 +310,18 @@ def test_components_by_brute_force(spark, at_once, monkeypatch):
     assert {r["node"]: r["component"] for r in jobs.components(df).collect()} == {x: root(x) for x in linked}
     named = df.select(F.format_string("n%04d", "a").alias("a"), F.format_string("n%04d", "b").alias("b"))
     assert {r["node"]: r["component"] for r in jobs.components(named).collect()} == {f"n{x:04d}": f"n{root(x):04d}" for x in linked}
+
+
+def test_first_mention_of_equal_positions(spark, tmp_path):
+    """Of mentions of one chunk, name and position the first of the table counts, whatever the partitions are."""
+    from kbspark.plans import views
+
+    rows = [(1, k, 1 + k % 2) for k in range(1, 41)]  # order 1; lines 1 and 2 repeat
+    spark.createDataFrame([(o, k, n, "A") for o, k, n in rows[::-1]], "l_orderkey long, l_partkey long, l_linenumber int, l_returnflag string").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, "n", f"t{k:02d}", "b") for _, k, _ in rows], "p_partkey long, p_name string, p_type string, p_brand string").repartition(3).write.parquet(f"{tmp_path}/part.parquet")
+    found = views.mentions(views.Tables(spark, str(tmp_path)))
+    gone = spark.createDataFrame([], "chunk_id string")
+    for n in (1, 2, 7):
+        assert [r["type"] for r in aggregates.rebuilt_nodes(found.repartition(n, "type"), gone)[0].collect()] == ["t40"]
+    tied = found.drop("place")
+    assert len({r["type"] for n in (1, 2, 7) for r in aggregates.rebuilt_nodes(tied.repartition(n, "type"), gone)[0].collect()}) == 1
