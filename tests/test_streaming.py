@@ -79,3 +79,32 @@ def test_last_k_state(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("lastk").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r["conv_id"]: r["texts"] for r in spark.sql("select * from lastk").collect()} == {1: ["t3", "t4"], 2: ["x"]}
+
+
+def test_lots_of_several_files_arrive_in_order(spark, tmp_path):
+    """History of events whose files are in no order, held to going through the events one by one."""
+    from kbspark.plans import catalog_more, views
+
+    r, kinds = random.Random(5), ["signup", "click", "view", "error", "purchase"]
+    rows = [(k, r.randrange(6), r.choice(kinds)) for k in range(1, 400)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").repartition(6).write.parquet(f"{tmp_path}/events.parquet")
+    there, want = {}, set()
+    for seq, user, kind in rows:
+        if kind == "purchase" or (kind != "signup" and user not in there):
+            continue
+        event = {"signup": "ADD", "error": "DELETE"}.get(kind, "UPDATE")
+        new = None if kind == "error" else kind
+        want.add((seq, user, event, new, there.get(user)))
+        if new:
+            there[user] = new
+        else:
+            del there[user]
+    got = catalog_more.r5_history(views.Tables(spark, str(tmp_path))).collect()
+    assert {tuple(x) for x in got} == want
+
+
+def test_rows_without_a_place_arrive(spark, tmp_path):
+    from kbspark.plans import catalog_more, views
+
+    spark.createDataFrame([(k if k % 5 else None, f"text {k}") for k in range(40)], "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    assert catalog_more.r1_r2_intake(views.Tables(spark, str(tmp_path))).count() == 40
