@@ -154,7 +154,9 @@ def union_first(*lists: DataFrame) -> DataFrame:
     for i, other in enumerate(lists[1:], 1):
         out = out.unionByName(other.withColumn("_l", F.lit(i)))
     once = first_of(out, ["query_id", "text"], "_l", "rank")
-    return once.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("_l", "rank", "text"))).drop("_l")
+    # texts are put in order only among equal ranks, so that the order of a whole query does without them
+    tied = once.withColumn("_t", F.row_number().over(W.partitionBy("query_id", "_l", "rank").orderBy("text")))
+    return tied.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("_l", "rank", "_t"))).drop("_l", "_t")
 
 
 def incident_distinct(outgoing: DataFrame, incoming: DataFrame) -> DataFrame:

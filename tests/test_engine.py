@@ -325,3 +325,13 @@ def test_first_mention_of_equal_positions(spark, tmp_path):
         assert [r["type"] for r in aggregates.rebuilt_nodes(found.repartition(n, "type"), gone)[0].collect()] == ["t40"]
     tied = found.drop("place")
     assert len({r["type"] for n in (1, 2, 7) for r in aggregates.rebuilt_nodes(tied.repartition(n, "type"), gone)[0].collect()}) == 1
+
+
+def test_numbers_of_a_union_do_without_texts(spark):
+    """Equal ranks are in the order of their texts, and the task that numbers a query reads texts only if they are asked for."""
+    rows = [("q", 1, "b", 1), ("q", 1, "a", 2), ("q", 2, "b", 3), ("q", 0, "z", 4), ("r", 5, "b", 5), (None, 1, "b", 6)]
+    out = ranking.union_first(spark.createDataFrame(rows, "query_id string, rank long, text string, doc_id long"))
+    assert {(r["query_id"], r["rank"], r["text"], r["doc_id"]) for r in out.collect()} == {("q", 1, "z", 4), ("q", 2, "a", 2), ("q", 3, "b", 1), ("r", 1, "b", 5), (None, 1, "b", 6)}
+    plan = out.select("query_id", "doc_id", "rank")._jdf.queryExecution().optimizedPlan().toString()
+    last = next(line for line in plan.splitlines() if "Window" in line)
+    assert "text#" not in last
