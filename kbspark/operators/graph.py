@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kbspark.jobs import components, settle
+from kbspark.jobs import components, partitions, settle, sized
 from kbspark.operators import aggregates, joins, ranking, vectors
 
 
@@ -34,31 +37,140 @@ def top_nodes(edges: DataFrame, n: int) -> DataFrame:
     return joins.degrees(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()).orderBy(F.desc("degree"), "node").limit(n)
 
 
+STARTS = 512  # of a block, about, whose searches share the lists of neighbours that a task holds
+
+
+def _picked(values: np.ndarray, begins: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values of the lists ``at``, the number of values of each)."""
+    size = begins[at + 1] - begins[at]
+    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return values[np.repeat(begins[at], size) + place], size
+
+
+def _by_block(each: Callable, names: list[str]):
+    """Rows sorted by block, its lists (kind 0) before its starts (kind 1): each(lists, batch of starts) gives batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, parts, lists = None, [], None
+        for batch in batches:
+            keys = batch.column("block").to_numpy() * 2 + batch.column("kind").to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                part = batch.slice(i, j - i)
+                if part.column("block")[0].as_py() != block:
+                    block, parts, lists = part.column("block")[0].as_py(), [], None
+                if part.column("kind")[0].as_py() == 0:
+                    parts.append(part)
+                    continue
+                if lists is None:
+                    t = pa.Table.from_batches(parts, batch.schema).combine_chunks().sort_by("code").combine_chunks()
+                    begins = np.concatenate([[0], np.cumsum(pc.list_value_length(t["list"]).to_numpy())]).astype(np.int64)
+                    lists, parts = (t["code"].to_numpy(), pc.list_flatten(t["list"]).to_numpy(), begins, t["name"]), []
+                for out in each(lists, part):
+                    yield pa.RecordBatch.from_arrays(out, names)
+
+    return run
+
+
+def _grown(most: int):
+    """Starts with the next level: the unseen neighbours of the last one, in the order of codes, up to most + 1 nodes in all."""
+
+    def each(lists, part: pa.RecordBatch):
+        codes, values, begins, _ = lists
+        seen, ends = [], []
+        for s, e in zip(part.column("list"), part.column("ends"), strict=True):
+            s, e = s.values.to_numpy(), e.as_py()
+            near, _ = _picked(values, begins, np.searchsorted(codes, s[e[-2] if len(e) > 1 else 0 :]))
+            new = np.setdiff1d(near, s)[: most + 1 - len(s)]
+            seen.append(np.concatenate([s, new]))
+            ends.append([*e, len(s) + len(new)])
+        yield [part.column("block"), part.column("code"), part.column("name"), pa.array(seen, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int32()))]
+
+    return each
+
+
+def _named_nodes(most: int):
+    def each(lists, part: pa.RecordBatch):
+        codes, _, _, names = lists
+        for start, s, e in zip(part.column("name"), part.column("list"), part.column("ends"), strict=True):
+            s, e = s.values.to_numpy(), np.array(e.as_py())
+            n = min(len(s), most)
+            yield [pa.array([start.as_py()] * n, part.schema.field("name").type), names.take(pa.array(np.searchsorted(codes, s[:n]))).combine_chunks(), pa.array(np.searchsorted(e, np.arange(n), side="right").astype(np.int32)), pa.array(np.full(n, len(s) > most))]
+
+    return each
+
+
+def _named_edges(most: int):
+    def each(lists, part: pa.RecordBatch):
+        codes, values, begins, names = lists
+        rank = np.empty(len(codes), np.int64)
+        rank[pc.sort_indices(names).to_numpy()] = np.arange(len(codes))
+        inside = np.zeros(len(codes), bool)
+        local = np.minimum(np.searchsorted(codes, values), len(codes) - 1)
+        local[codes[local] != values] = -1
+        for start, s in zip(part.column("name"), part.column("list"), strict=True):
+            at = np.searchsorted(codes, s.values.to_numpy()[:most])
+            inside[at] = True
+            a, size = _picked(local, begins, at)
+            b = np.repeat(at, size)
+            keep = (a >= 0) & inside[a]
+            a, b = a[keep], b[keep]
+            inside[at] = False
+            turn = rank[a] > rank[b]
+            yield [pa.array([start.as_py()] * len(a), part.schema.field("name").type), *(names.take(pa.array(np.where(turn, x, y))).combine_chunks() for x, y in ((b, a), (a, b)))]
+
+    return each
+
+
 def subgraph(starts: DataFrame, edges: DataFrame, depth: int = 3, most: int = 1000) -> tuple[DataFrame, DataFrame]:
     """(nodes(start, node, depth, truncated), their edges) around each of starts(start): breadth first, within a level
     those of higher degree first, at most ``most`` nodes a start, edges once a pair.
 
-    A level is cut to what ``most`` (and one, to tell that there are more) leaves a start before it is written. Of a node's
-    neighbours only the first 2 most + 1 by degree matter: at most ``most`` of them are seen before, the others fill up.
+    Nodes are numbered by falling degree, so the smallest codes come first. Of a node's neighbours only the first 2 most + 1
+    matter to a search: at most ``most`` of them are seen before, the others fill up. Starts whose best node within three
+    steps is the same are dealt to blocks of about STARTS; a block gets each list of neighbours that its starts ask
+    for once, and a start is one row with the codes that it has seen, so what is shuffled are lists, not the pairs of
+    starts and nodes that a level meets. Edges are listed at the end of lower degree, so no list is longer than about the
+    square root of twice their number.
     """
-    pairs = settle(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct(), "pairs")
-    d = settle(joins.degrees(pairs), "degrees")
-    both = pairs.union(pairs.select("dst", "src")).join(d.withColumnRenamed("node", "dst"), "dst")
-    by_degree = F.row_number().over(W.partitionBy("src").orderBy(F.desc("degree"), "dst"))
-    near = settle(both.withColumn("_n", by_degree).where(F.col("_n") <= 2 * most + 1).select("src", F.col("dst").alias("node"), "degree"), "neighbours")
-    seen = settle(starts.select("start", F.col("start").alias("node")).distinct().join(d, "node", "left").select("start", "node", F.lit(0).alias("depth"), "degree"), "front")
-    front = seen
-    for level in range(1, depth + 1):
-        count = seen.groupBy("start").agg(F.count("*").alias("_n")).where(F.col("_n") <= most)
-        new = front.select("start", F.col("node").alias("src")).join(near, "src").select("start", "node", "degree").distinct().join(seen, ["start", "node"], "left_anti")
-        ranked = new.withColumn("_r", F.row_number().over(W.partitionBy("start").orderBy(F.desc("degree"), "node"))).where(F.col("_r") <= most + 1)
-        front = settle(ranked.join(count, "start").where(F.col("_r") + F.col("_n") <= most + 1).select("start", "node", F.lit(level).alias("depth"), "degree"), "front")
-        seen = seen.unionByName(front)
-    ranked = seen.withColumn("_n", F.row_number().over(W.partitionBy("start").orderBy("depth", F.desc_nulls_last("degree"), "node"))).withColumn("_c", F.count("*").over(W.partitionBy("start")))
-    nodes = ranked.where(F.col("_n") <= most).select("start", "node", "depth", (F.col("_c") > most).alias("truncated"))
-    keep = settle(nodes.select("start", "node"), "subgraph")
-    kept = keep.withColumnRenamed("node", "src").join(pairs, "src").join(keep.withColumnRenamed("node", "dst"), ["start", "dst"], "left_semi").select("start", "src", "dst")
-    return nodes, kept
+    spark, kind = edges.sparkSession, edges.select(F.least("src", "dst").alias("n")).schema["n"].dataType.simpleString()
+    named = settle(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct(), "pairs")
+    nodes = settle(joins.degrees(named).orderBy(F.desc("degree"), "node").select("node", F.monotonically_increasing_id().alias("code")), "graph-nodes")
+    coded = named.join(sized(nodes.select(F.col("node").alias("src"), F.col("code").alias("a"))), "src").join(sized(nodes.select(F.col("node").alias("dst"), F.col("code").alias("b"))), "dst")
+    pairs = settle(coded.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "coded-pairs")
+    first = pairs.union(pairs.select("b", "a")).withColumn("_n", F.row_number().over(W.partitionBy("a").orderBy("b"))).where(F.col("_n") <= 2 * most + 1)
+    near = settle(first.groupBy(F.col("a").alias("code")).agg(F.sort_array(F.collect_list("b")).alias("list")), "neighbours")
+    ends = settle(nodes.join(pairs.groupBy(F.col("b").alias("code")).agg(F.sort_array(F.collect_list("a")).alias("list")), "code", "left").select("code", F.col("node").alias("name"), F.coalesce("list", F.array().cast("array<long>")).alias("list")), "edge-lists")
+
+    own = settle(starts.select("start").distinct().join(sized(nodes.withColumnRenamed("node", "start")), "start", "left"), "starts")
+    best = near.select("code", F.least("code", F.element_at("list", 1)).alias("best"))
+    two = own.where("code is not null").select("code").distinct().join(near, "code").select(F.col("code").alias("s"), F.explode("list").alias("code")).join(sized(best), "code").groupBy(F.col("s").alias("code")).agg(F.min("best").alias("hub"))
+    hubs = settle(two, "start-hubs")
+    parts = sized(hubs.groupBy("hub").agg(F.ceil(F.count("*") / STARTS).alias("n")))
+    block = F.xxhash64("hub", F.pmod(F.xxhash64("code"), "n")).bitwiseAND((1 << 62) - 1).alias("block")
+    front = own.join(hubs.join(parts, "hub"), "code").select(block, "code", F.col("start").alias("name"), F.array("code").alias("list"), F.array(F.lit(1)).alias("ends"))
+    front = settle(front, "front")
+
+    def together(asked: DataFrame, lists: DataFrame, rows: DataFrame) -> DataFrame:
+        """The lists of each block's asked(block, code), then its rows."""
+        held = asked.distinct().join(lists, "code").select("block", F.lit(0).alias("kind"), "code", "name", "list", F.lit(None).cast("array<int>").alias("ends"))
+        both = held.unionByName(rows.select("block", F.lit(1).alias("kind"), "code", "name", "list", "ends"))
+        return both.repartition(partitions(spark), "block").sortWithinPartitions("block", "kind")
+
+    unnamed = near.withColumn("name", F.lit(None).cast(kind))
+    for _ in range(depth):
+        # a start goes on while its last level has nodes and it is not full
+        last = F.when(F.size("ends") > 1, F.element_at("ends", -2)).otherwise(0)
+        going = (F.size("list") <= most) & (F.element_at("ends", -1) > last)
+        asked = front.where(going).select("block", F.explode(F.slice("list", last + 1, F.size("list"))).alias("code"))
+        grown = together(asked, unnamed, front.where(going)).mapInArrow(_by_block(_grown(most), ["block", "code", "name", "list", "ends"]), front.schema)
+        front = settle(grown.unionByName(front.where(~going)), "front")
+    asked = front.select("block", F.explode(F.slice("list", 1, most)).alias("code"))
+    sorted_ = together(asked, ends, front)
+    lone = own.where("code is null").select("start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.lit(False).alias("truncated"))
+    found = sorted_.mapInArrow(_by_block(_named_nodes(most), ["start", "node", "depth", "truncated"]), f"start {kind}, node {kind}, depth int, truncated boolean")
+    kept = sorted_.mapInArrow(_by_block(_named_edges(most), ["start", "src", "dst"]), f"start {kind}, src {kind}, dst {kind}")
+    return found.unionByName(lone), kept
 
 
 def apply_edits(nodes: DataFrame, edges: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:

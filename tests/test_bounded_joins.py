@@ -63,3 +63,23 @@ def test_hops_with_a_hub(spark):
     assert Counter(x["node"] for x in hop) == {"hub": 20, "x3": 2, "loop": 1}
     out = multi_hop(spark.createDataFrame([(1, "hub"), (2, "y4")], "query_id long, node string"), e, 2, 20).collect()
     assert Counter((x["query_id"], x["round"]) for x in out) == {(1, 0): 1, (1, 1): 20, (1, 2): 20, (2, 0): 1, (2, 1): 1, (2, 2): 1}
+
+
+def shuffled(spark) -> int:
+    """Bytes that the session has shuffled so far."""
+    own = spark.sparkContext._jsc.sc()
+    own.listenerBus().waitUntilEmpty()
+    return own.statusStore().executorList(False).head().totalShuffleWrite()
+
+
+def test_subgraph_shuffles_lists_not_pairs(spark):
+    """Each of 200 starts meets nearly all of 200 x 1000 pairs; less than a byte an edge found is shuffled."""
+    r = random.Random(9)
+    pairs = [(f"p{k}", f"s{x}") for k in range(1000) for x in r.sample(range(200), 20)]
+    starts = spark.createDataFrame([(f"s{k}",) for k in range(200)], "start string")
+    before = shuffled(spark)
+    nodes, kept = graph.subgraph(starts, spark.createDataFrame(pairs, "src string, dst string"), 3, 1000)
+    n, m = nodes.count(), kept.count()
+    used = shuffled(spark) - before
+    assert n == 200 * 1000 and m > 2_000_000
+    assert used < m, used
