@@ -1,8 +1,7 @@
 """Quality classifier: per-document perplexity under an n-gram model of trusted text.
 
 The model is an interpolated modified Kneser-Ney model of bytes, one a language and one of all languages
-together for rows whose language has no model. It is fitted on about TRUSTED labelled documents a language, and
-on about POOLED of them for the model of all (documented bounds; n-grams are bounded by that text). Spark
+together for rows whose language has no model. All trusted documents are fitted. Spark
 counts n-grams in shards (grouped by language and n-gram, pre-summed by task) and joins the counts with those
 of their contexts and of lower orders into smoothed probabilities. A task a model writes its table to the
 shared folder; scoring tasks read the tables of the languages that they meet and join them with the n-grams of
@@ -28,8 +27,6 @@ from kbspark.llm.ngram_trie import filesystem, read_arrays, write_arrays
 from kbspark.llm.stages import settle, shared_dir, sized
 
 ORDER = 4
-TRUSTED = 1000  # documents a language, about, that the model is fitted on
-POOLED = 4000  # documents, about, that the model of all languages is fitted on
 MODELS_KEPT = 12  # models that a worker keeps in memory
 HELD_OUT = 5  # one in so many good documents is left out of the fit to choose the threshold
 BINS = 1000  # of a unit of log perplexity, in which the threshold is looked for
@@ -51,22 +48,23 @@ def _keys(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (lang, text, pooled), the n-grams of each language and of the model of all."""
+    """Of (lang, text), the n-grams of each language."""
     for batch in batches:
         for rows, data, offsets in tx.slices(batch):
             names, lang = np.unique(np.array(rows.column(0).to_pylist(), object).astype(str), return_inverse=True)
             keys, size = _keys(data, offsets, ORDER), np.diff(offsets)
-            pooled = rows.column(2).to_numpy(zero_copy_only=False)
-            for name, own in [*((str(x), lang == k) for k, x in enumerate(names)), ("", pooled)]:
-                g, n = np.unique(keys[np.repeat(own, size)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(g), pa.string()), pa.array(g), pa.array(n)], ["model", "g", "c"])
+            for k, name in enumerate(names):
+                g, n = np.unique(keys[np.repeat(lang == k, size)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([str(name)] * len(g), pa.string()), pa.array(g), pa.array(n)], ["model", "g", "c"])
 
 
 def fit(trusted: DataFrame) -> DataFrame:
-    """(model, n, g, logp, gamma) from trusted(lang, text, pooled): for each n-gram its smoothed log-probability, or the log
+    """(model, n, g, logp, gamma) from trusted(lang, text), for each language and, of their sums, for all (model ''): for each n-gram its smoothed log-probability, or the log
     weight that it has as a context; the other of them is null."""
-    counts = trusted.select("lang", "text", "pooled").mapInArrow(tx.tidy(_count), "model string, g long, c long")
-    level = {ORDER: settle(counts.groupBy("model", "g").agg(F.sum("c").alias("c")), "quality-counts")}
+    counts = trusted.select("lang", "text").mapInArrow(tx.tidy(_count), "model string, g long, c long")
+    own = settle(counts.groupBy("model", "g").agg(F.sum("c").alias("c")), "quality-counts")
+    every = own.groupBy("g").agg(F.sum("c").alias("c")).select(F.lit("").alias("model"), "g", "c")
+    level = {ORDER: settle(own.where("model <> ''").unionByName(every), "quality-counts")}
     for n in range(ORDER - 1, 0, -1):  # lower orders count the different bytes before
         level[n] = settle(level[n + 1].groupBy("model", F.col("g").bitwiseAND((1 << (8 * n)) - 1).alias("g")).agg(F.count("*").alias("c")), "quality-counts")
     lower, out = None, None
@@ -195,13 +193,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     unseen = F.lit(False) if marks.where("not good").isEmpty() else F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(HELD_OUT)) == 0
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     trusted = rows.where(F.expr("length(text) > 0") & ~unseen).join(sized(good), "doc_id", "left_semi")
-    per = {r["lang"]: r["n"] for r in trusted.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
-    shares = {k: min(1.0, TRUSTED / n) for k, n in per.items() if k is not None}
-    pool = min(1.0, POOLED / max(1.0, sum(per[k] * share for k, share in shares.items())))
-    lot = lambda salt: F.pmod(F.xxhash64("doc_id", *salt), F.lit(1_000_003)) / 1_000_003
-    share = F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("lang")) if shares else F.lit(0.0)
-    picked = trusted.where(F.col("lang").isNotNull() & (lot([]) < share)).withColumn("pooled", lot([F.lit("pooled")]) < pool)
-    picked = settle(picked, "quality-trusted")  # about TRUSTED documents a language
+    picked = settle(trusted.where("lang is not null"), "quality-trusted")
     folder = f"{shared_dir(spark)}/quality-{uuid.uuid4().hex}"
     store, path = filesystem(folder)
     store.create_dir(path, recursive=True)

@@ -129,3 +129,12 @@ def test_threshold_is_chosen_on_unseen_labels(spark):
     binned = spark.createDataFrame([(True, b) for b in (0, 1, 2, 3, 40)] + [(False, b) for b in (2, 24, 60, 70)], "good boolean, bin long")
     assert _best(binned) == pytest.approx((3 + 1 + 24) / 2 / quality.BINS)
     assert _best(binned.where("good")) is None
+
+
+def test_all_trusted_documents_are_fitted(spark, monkeypatch):
+    fitted, whole = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda trusted: fitted.append(trusted.count()) or whole(trusted))
+    docs = spark.range(4_500).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.element_at(F.array(F.lit("en"), F.lit("de")), (F.col("id") % 3 > 0).cast("int") + 1).alias("lang"))
+    labels = spark.range(4_500).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert classify(docs, labels).count() == 4_500
+    assert fitted == [4_500]
