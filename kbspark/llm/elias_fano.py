@@ -29,15 +29,22 @@ def unpack(words: np.ndarray, bits: int, at: np.ndarray) -> np.ndarray:
     return ((words[word] >> shift) | high) & np.uint64((1 << bits) - 1)
 
 
+_BYTES, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+_NTH = np.zeros((8, 256), np.uint8)  # place of the k-th set bit of a byte
+for _b in range(256):
+    for _k, _p in enumerate([p for p in range(8) if _b >> p & 1]):
+        _NTH[_k, _b] = _p
+
+
 def _in_word(x: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Place of the k-th set bit of words."""
-    at, k = np.zeros(len(x), np.uint64), k.astype(np.int64)
-    for s in (32, 16, 8, 4, 2, 1):
-        c = np.bitwise_count((x >> at) & np.uint64((1 << s) - 1)).astype(np.int64)
-        go = k >= c
-        k = k - c * go
-        at = at + np.uint64(s) * go
-    return at.astype(np.int64)
+    """Place of the k-th set bit of words: its byte by running counts of set bits, then its place in the byte."""
+    k = k.astype(np.uint64)
+    s = x - ((x >> _ONE) & np.uint64(0x5555555555555555))
+    s = (s & np.uint64(0x3333333333333333)) + ((s >> np.uint64(2)) & np.uint64(0x3333333333333333))
+    s = ((s + (s >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _BYTES
+    at = np.bitwise_count((((k * _BYTES) | _TOPS) - s) & _TOPS).astype(np.uint64) * np.uint64(8)
+    rank = k - (((s << np.uint64(8)) >> at) & np.uint64(255))
+    return at.astype(np.int64) + _NTH[(rank & np.uint64(7)).astype(np.uint8), ((x >> at) & np.uint64(255)).astype(np.uint8)]
 
 
 class EliasFano:
@@ -85,13 +92,16 @@ class EliasFano:
         h = np.where(over, 0, h)
         at = np.where(h > 0, self._zero(np.maximum(h - 1, 0)) + 1, 0) - h
         end = self._zero(h) - h
-        stop = end.copy()
+        stop = end
         todo = np.flatnonzero(at < end)
+        a, b, own = at[todo], end[todo], low[todo]
         while len(todo):
-            mid = (at[todo] + end[todo]) >> 1
-            less = unpack(self.low, self.bits, mid) < low[todo]
-            at[todo[less]], end[todo[~less]] = mid[less] + 1, mid[~less]
-            todo = todo[at[todo] < end[todo]]
+            mid = (a + b) >> 1
+            less = unpack(self.low, self.bits, mid) < own
+            a, b = np.where(less, mid + 1, a), np.where(less, b, mid)
+            at[todo] = a
+            more = a < b
+            todo, a, b, own = todo[more], a[more], b[more], own[more]
         equal = np.zeros(len(h), bool)
         inside = np.flatnonzero((at < stop) & ~over)
         equal[inside] = unpack(self.low, self.bits, at[inside]) == low[inside]

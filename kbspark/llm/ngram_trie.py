@@ -89,7 +89,15 @@ def _ef(name: str, values: np.ndarray) -> dict[str, np.ndarray]:
 
 def _as_ef(found: dict[str, np.ndarray], name: str) -> EliasFano:
     n, bits = (int(x) for x in found[f"{name}.shape"])
-    return EliasFano(n, bits, found[f"{name}.0"], found[f"{name}.1"], found[f"{name}.2"].astype(np.int64))
+    return EliasFano(n, bits, np.asarray(found[f"{name}.0"]), np.asarray(found[f"{name}.1"]), found[f"{name}.2"].astype(np.int64))
+
+
+def _order(x: np.ndarray) -> np.ndarray:
+    """The order of whole numbers from 0; values with their places are sorted if both fit one word, which takes less time."""
+    bits = len(x).bit_length()
+    if not len(x) or int(x.max()) >= 1 << 63 - bits:
+        return np.argsort(x)
+    return np.sort((x.astype(np.int64) << bits) | np.arange(len(x))) & ((1 << bits) - 1)
 
 
 # --- levels ----------------------------------------------------------------------------------------------
@@ -158,7 +166,7 @@ class Level:
 
     def values(self, name: str, nodes: np.ndarray) -> np.ndarray:
         """An array's values at node ids, in any order."""
-        order = np.argsort(nodes, kind="stable")
+        order = _order(nodes)
         at = nodes[order]
         got = None
         ends = np.searchsorted(at, self.offsets)
@@ -172,7 +180,7 @@ class Level:
 
     def weights(self, parents: np.ndarray) -> np.ndarray:
         """Quantised back-off weights of parents (sorted not needed)."""
-        order = np.argsort(parents, kind="stable")
+        order = _order(parents)
         got = np.zeros(len(parents), np.uint16)
         for s, a, b in self._by_shard(parents[order]):
             got[order[a:b]] = self.shard(s)["weight"][parents[order[a:b]] - int(self.firsts[s])]
@@ -202,7 +210,7 @@ class Trie:
     def find(self, k: int, parents: np.ndarray, words: np.ndarray) -> np.ndarray:
         found = np.full(len(parents), -1, np.int64)
         ask = np.flatnonzero((parents >= 0) & (words >= 0))
-        ask = ask[np.argsort(parents[ask], kind="stable")]
+        ask = ask[_order(parents[ask])]
         found[ask] = self.levels[k - 1].children(parents[ask], words[ask])
         return found
 
@@ -266,11 +274,21 @@ def _joined(got: list) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
 _PACKET = "shard int, salt int, a binary, b binary, c binary, n binary"
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """All first bytes, then all second ones and so on, which the shuffle's compression makes smaller."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """A rising array as its first value and the steps from one to the next."""
+    return np.concatenate([x[:1], x[1:] - x[:-1]])
+
+
 def _packets(shard: np.ndarray, *arrays: np.ndarray, salt: int = 0, salts: dict[int, int] | None = None) -> pa.RecordBatch:
-    """A row a shard, from arrays sorted by shard; salts: of hot shards."""
+    """A row a shard, from arrays sorted by shard, the first of which rises within a shard; salts: of hot shards."""
     cuts = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]]) if len(shard) else np.array([0])
     pairs = list(zip(cuts[:-1], cuts[1:], strict=True))
-    return pa.RecordBatch.from_arrays([pa.array([int(shard[i]) for i, _ in pairs], pa.int32()), pa.array([salt % (salts or {}).get(int(shard[i]), 1) for i, _ in pairs], pa.int32()), *(pa.array([a[i:j].tobytes() for i, j in pairs], pa.binary()) for a in arrays)], ["shard", "salt", "a", "b", "c", "n"])
+    return pa.RecordBatch.from_arrays([pa.array([int(shard[i]) for i, _ in pairs], pa.int32()), pa.array([salt % (salts or {}).get(int(shard[i]), 1) for i, _ in pairs], pa.int32()), *(pa.array([_planes(a[i:j] if c else _steps(a[i:j])) for i, j in pairs], pa.binary()) for c, a in enumerate(arrays))], ["shard", "salt", "a", "b", "c", "n"])
 
 
 def _salted(blocks: Iterator[tuple]) -> Iterator[tuple]:
@@ -310,7 +328,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int]
 
 def _summed(shard: int, got: dict[str, list[bytes]], kinds: dict[str, type]) -> pa.RecordBatch:
     """One packet of all packets of a shard and salt; kinds: the types of a to c, whose n is summed."""
-    keys = [_array(got[c], kind) for c, kind in kinds.items()]
+    keys = [_array(got[c], kind, c == "a") for c, kind in kinds.items()]
     order = np.lexsort(keys[::-1])
     keys = [k[order] for k in keys]
     new = np.ones(len(order), bool)
@@ -324,8 +342,9 @@ def _summed(shard: int, got: dict[str, list[bytes]], kinds: dict[str, type]) ->
     return _packets(np.full(len(at), shard), *(columns[c][at] if c in columns else none for c in "abc"), n.astype(np.uint32))
 
 
-def _array(parts: list[bytes], kind) -> np.ndarray:
-    return np.frombuffer(b"".join(parts), kind)
+def _array(parts: list[bytes], kind, rising: bool = False) -> np.ndarray:
+    each = [np.ascontiguousarray(np.frombuffer(p, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel() for p in parts]
+    return np.concatenate([np.cumsum(x, dtype=kind) for x in each] if rising else each)
 
 
 _META = "shard int, size long, total long"
@@ -337,7 +356,7 @@ def _meta(shard: int, size: int, total: int) -> pa.RecordBatch:
 
 def _build_words(folder: str, bits: int):
     def build(shard: int, got: dict[str, list[bytes]]) -> pa.RecordBatch:
-        keys, back = np.unique(_array(got["a"], np.uint64), return_inverse=True)
+        keys, back = np.unique(_array(got["a"], np.uint64, True), return_inverse=True)
         n = np.bincount(back, _array(got["n"], np.uint32)).astype(np.int64)
         write_arrays(f"{folder}/level1-{shard}", {**_ef("keys", keys - (np.uint64(shard) << np.uint64(64 - bits))), "count": n.astype(np.uint32) if n.max() < 1 << 32 else n})
         return _meta(shard, len(keys), int(n.sum()))
@@ -359,6 +378,13 @@ def _loads(shipped, step: int):
     return run
 
 
+def _by_both(parent: np.ndarray, word: np.ndarray, words: int) -> np.ndarray:
+    """The order by parent, then word, of which there are ``words``."""
+    if not len(parent) or (int(parent.max()) + 1) * words < 1 << 63:
+        return _order(parent * words + word)
+    return np.lexsort((word, parent))
+
+
 def _count_grams(shipped, k: int, shards: int, salts: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, parents_n = shipped.value
@@ -370,7 +396,7 @@ def _count_grams(shipped, k: int, shards: int, salts: dict[int, int]):
             parent[head] = end if k == 2 else -1
             use = parent >= 0
             parent, word, suffix = parent[use], nodes[0][use], nodes[-1][use]
-            order = np.lexsort((word, parent))
+            order = _by_both(parent, word, trie.distinct)
             parent, word, suffix = parent[order], word[order], suffix[order]
             new = np.ones(len(parent), bool)
             new[1:] = (parent[1:] != parent[:-1]) | (word[1:] != word[:-1])
@@ -378,7 +404,7 @@ def _count_grams(shipped, k: int, shards: int, salts: dict[int, int]):
             n = np.diff(np.concatenate([at, [len(parent)]])).astype(np.uint32)
             parent, word, suffix = parent[at], word[at], suffix[at]
             shard = parent // step
-            yield _packets(shard, (parent - shard * step).astype(np.uint32), word.astype(np.uint32 if k == 2 else np.int64), suffix.astype(np.int64) if k > 2 else np.zeros(len(at), np.uint8), n, salt=salt, salts=salts)
+            yield _packets(shard, (parent - shard * step).astype(np.uint32), word.astype(np.uint32), trie.levels[k - 2].values("logp", suffix).astype(np.uint16) if k > 2 else np.zeros(len(at), np.uint8), n, salt=salt, salts=salts)
 
     return run
 
@@ -391,9 +417,9 @@ def _build_grams(shipped, folder: str, k: int, shards: int):
     def build(shard: int, got: dict[str, list[bytes]]) -> pa.RecordBatch:
         trie, parents_n = shipped.value
         step = -(-parents_n // shards)
-        parent, word, n = _array(got["a"], np.uint32).astype(np.int64), _array(got["b"], np.uint32 if k == 2 else np.int64).astype(np.int64), _array(got["n"], np.uint32)
-        suffix = _array(got["c"], np.int64) if k > 2 else word
-        order = np.lexsort((word, parent))
+        parent, word, n = _array(got["a"], np.uint32, True).astype(np.int64), _array(got["b"], np.uint32).astype(np.int64), _array(got["n"], np.uint32)
+        suffix = _array(got["c"], np.uint16) if k > 2 else word
+        order = _by_both(parent, word, trie.distinct)
         parent, word, suffix, n = parent[order], word[order], suffix[order], n[order]
         new = np.ones(len(parent), bool)
         new[1:] = (parent[1:] != parent[:-1]) | (word[1:] != word[:-1])
@@ -406,7 +432,7 @@ def _build_grams(shipped, folder: str, k: int, shards: int):
         kinds = np.diff(pointers)
         with np.errstate(divide="ignore", invalid="ignore"):
             weight = np.where(total > 0, DISCOUNT * kinds / total, 1.0)
-        lower = 10.0 ** (trie.base(suffix) if k == 2 else trie.levels[k - 2].values("logp", suffix) * -STEP)
+        lower = 10.0 ** (trie.base(suffix) if k == 2 else suffix * -STEP)
         p = (n - DISCOUNT) / total[parent] + weight[parent] * lower
         # children relative to the last value before them, one up so that equal ids of two parents differ
         ends = pointers[1:][kinds > 0] - 1
@@ -451,7 +477,7 @@ def _merged(packets: DataFrame, build, shards: int, kinds: dict[str, type], salt
     return either.where("size is not null").select("shard", "size", "total").collect() + rows.mapInArrow(built, _META).collect()
 
 
-def train(texts: DataFrame, order: int = 2) -> Trie:
+def train(texts: DataFrame, order: int = 3) -> Trie:
     """A trie in the shared folder from all rows of texts(text)."""
     spark = texts.sparkSession
     folder = f"{shared_dir(spark)}/trie-{uuid.uuid4().hex}"
@@ -462,6 +488,8 @@ def train(texts: DataFrame, order: int = 2) -> Trie:
     trie = Trie(order)
     found = {r["shard"]: r for r in _merged(texts.mapInArrow(_count_words(bits), _PACKET), _build_words(folder, bits), 1 << bits, {"a": np.uint64}, {})}
     here = sorted(found)
+    if sum(r["size"] for r in found.values()) >= 1 << 32:
+        raise OverflowError("there are 2**32 words")
     trie.tokens, trie.distinct = sum(r["total"] for r in found.values()), sum(r["size"] for r in found.values())
     trie.levels.append(Level(folder, 1, here, [s << (64 - bits) for s in here], [found[s]["size"] for s in here], 0))
     for k in range(2, order + 1):
@@ -469,11 +497,14 @@ def train(texts: DataFrame, order: int = 2) -> Trie:
         shipped = spark.sparkContext.broadcast((trie, n))  # names and sizes of shards
         step = -(-n // shards) if n else 1
         salts = {}
+        if k > 2 and n:  # about as many tokens follow the parents of a shard as they have themselves, which their own shards tell
+            tokens = np.interp(np.arange(shards + 1) * step, trie.levels[-1].offsets, np.concatenate([[0], np.cumsum([built[s]["total"] for s in here])]))
+            salts = {s: int(-(-x // PER_SALT)) for s, x in enumerate(np.diff(tokens)) if x > PER_SALT}
         if k == 2 and n:  # how many tokens follow the parents of a shard is known from the counts of words
             loads = spark.range(len(trie.levels[0].names)).mapInArrow(_loads(shipped, step), "shard int, n long").groupBy("shard").agg(F.sum("n").alias("n"))
             salts = {r["shard"]: -(-r["n"] // PER_SALT) for r in loads.where(F.col("n") > PER_SALT).collect()}  # a number a shard
         packets = texts.mapInArrow(_count_grams(shipped, k, shards, salts), _PACKET)
-        built = {r["shard"]: r for r in _merged(packets, _build_grams(shipped, folder, k, shards), shards, {"a": np.uint32, "b": np.uint32} if k == 2 else {"a": np.uint32, "b": np.int64, "c": np.int64}, salts)} if n else {}
+        built = {r["shard"]: r for r in _merged(packets, _build_grams(shipped, folder, k, shards), shards, {"a": np.uint32, "b": np.uint32} if k == 2 else {"a": np.uint32, "b": np.uint32, "c": np.uint16}, salts)} if n else {}
         here = sorted(built)
         trie.levels.append(Level(folder, k, here, [s * step for s in here], [built[s]["size"] for s in here], step))
     return trie
@@ -496,7 +527,7 @@ def _score(shipped):
     return run
 
 
-def score(docs: DataFrame, held_out: Column, order: int = 2) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, order: int = 3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs(doc_id, text).
 
     Learns from all rows that are not held out. Tokens: words between white space after lower-casing A-Z, then

@@ -90,3 +90,14 @@ def test_int_null_repeated_ids_and_a_long_text(spark):
     rows_ = [(1, "a b"), (1, "a b"), (None, "a"), (8, prose(1, 150_000))]
     found = score(spark.createDataFrame(rows_, "doc_id int, text string"), F.lit(False), 2).collect()
     assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in found) == [(0, 2), (1, 3), (1, 3), (8, 150_001)]
+
+
+def test_the_query_scores_by_words_two_before(spark, tmp_path):
+    from kbspark.llm.queries import op3_lm_scoring
+
+    texts = [prose(i, 200, 30) for i in range(30)]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    found, want = rows(op3_lm_scoring(spark, str(tmp_path))), brute(texts, 3)
+    assert all(found[i]["score"] == pytest.approx(r[5], abs=6e-4 * r[1]) for i, r in want.items())
+    lower_order = brute(texts, 2)
+    assert any(abs(lower_order[i][5] - r[5]) > 6e-4 * r[1] for i, r in want.items())
