@@ -269,6 +269,21 @@ def rerank_candidates(candidates: DataFrame, queries: DataFrame, chunks: DataFra
     return ranked.join(limits, "query_id").where("rank <= n").drop("n")
 
 
+def rerank_members(members: DataFrame, queries: DataFrame, chunks: DataFrame, most: int) -> DataFrame:
+    """V11 where the candidates of a query are members(group, owner, chunk_id) of its group: rows of ``rerank_candidates``
+    for queries(query_id, group, embedding), without a row a candidate. Candidates without a score come last, by id."""
+    members, queries = members.where("group is not null"), queries.where("group is not null")
+    limits = members.groupBy("group").agg(F.floor(F.lit(most) * F.countDistinct("owner") / 2).alias("n"))
+    k = limits.agg(F.max("n")).first()[0] or 0
+    each = members.select("group", F.col("chunk_id").alias("id")).distinct().join(chunks.withColumnRenamed("chunk_id", "id"), "id")
+    scored = topk(queries, each, k, cosine=True, scope="group").select("query_id", F.col("id").alias("chunk_id"), "score")
+    first = lambda df: df.withColumn("_n", F.row_number().over(W.partitionBy("group").orderBy("id"))).where(F.col("_n") <= k).select("group", "id")
+    blank = queries.where("embedding is not null").join(first(each.where("embedding is null")), "group").unionByName(queries.where("embedding is null").join(first(each), "group"))
+    rows = scored.unionByName(blank.select("query_id", F.col("id").alias("chunk_id"), F.lit(None).cast("double").alias("score")))
+    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")))
+    return ranked.join(queries.select("query_id", "group").join(limits, "group").select("query_id", "n"), "query_id").where("rank <= n").drop("n")
+
+
 def boost_tables(hits: DataFrame, tables: DataFrame, factor: float = 1.5) -> DataFrame:
     """hits(query_id, id, kind, score) and, for queries without a hit of kind table, those of tables(query_id, id,
     kind, score) whose score times factor exceeds the least score of the hits."""

@@ -38,3 +38,18 @@ def test_rows_that_are_no_numbers_hide_no_others():
     x[1] = np.nan
     r, _, ids, s = vectors._joined(vectors._best_of(np.arange(1), np.ones((1, 4)), None, np.arange(4), x, None, 2, None, 6, False), 2)[0]
     assert sorted(ids.tolist()) == [0, 2] and s.tolist() == [1, 1] and r.tolist() == [0, 0]
+
+
+def test_candidates_of_a_group_rank_as_candidates_of_each_query_do(spark):
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(5)
+    rows = [(i, i % 4 if i % 9 else None, None if i % 7 == 0 or i % 4 == 1 and i > 10 else r.random(5).tolist()) for i in range(120)]
+    t = spark.createDataFrame(rows, "id long, g int, embedding array<float>")
+    queries = t.where("id % 5 = 0").select(F.col("id").alias("query_id"), F.col("g").alias("group"), "embedding")
+    members = t.select(F.col("g").alias("group"), (F.col("id") % 3).alias("owner"), F.col("id").alias("chunk_id"))
+    chunks = t.select(F.col("id").alias("chunk_id"), "embedding")
+    want = vectors.rerank_candidates(queries.join(members, "group"), queries, chunks, 5)
+    found = vectors.rerank_members(members, queries, chunks, 5)
+    key = lambda df: sorted((x["query_id"], x["rank"], x["chunk_id"], x["score"]) for x in df.collect())
+    assert len(key(want)) > 100 and key(found) == key(want)
