@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kbspark.jobs import settle
+
 
 def first_of(df: DataFrame, key: list[str], *order) -> DataFrame:
     """The first row of each key in an order."""
@@ -59,8 +61,10 @@ def poll_weighted(owned: DataFrame, most: int, least: int = 1) -> DataFrame:
     quota = F.when(F.col("n") == 1, F.lit(most)).otherwise(F.bround(F.lit(float(most)) - F.col("i") / (F.col("n") - 1) * (most - least)).cast("int"))
     owners = owners.withColumn("quota", quota).withColumn("spare", F.when(F.col("n") == 1, 0).otherwise(F.greatest(F.col("quota") - F.col("has"), F.lit(0))))
     owners = owners.withColumn("left", F.sum("spare").over(W.partitionBy("query_id")))
-    rows = owned.join(owners.select("query_id", "owner_rank", "quota", "left"), ["query_id", "owner_rank"])
-    rows = rows.withColumn("place", F.row_number().over(W.partitionBy("query_id", "owner_rank").orderBy("chunk_rank", "id")))
+    owners = settle(owners, "owners")
+    most_each = owners.agg(F.max(F.col("quota") + F.col("left"))).first()[0] or 0  # no owner gives more
+    rows = owned.withColumn("place", F.row_number().over(W.partitionBy("query_id", "owner_rank").orderBy("chunk_rank", "id"))).where(F.col("place") <= most_each)
+    rows = rows.join(owners.select("query_id", "owner_rank", "quota", "left"), ["query_id", "owner_rank"])
     rows = rows.withColumn("own", F.col("place") <= F.col("quota"))
     extra = F.row_number().over(W.partitionBy("query_id", "own").orderBy("owner_rank", "place"))
     rows = rows.withColumn("extra", extra).where(F.col("own") | (F.col("extra") <= F.col("left")))
