@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kbspark.jobs import components, partitions, settle, sized
+from kbspark.jobs import components, partitions, settle, sized, spread
 from kbspark.operators import aggregates, joins, ranking, vectors
 
 
@@ -254,10 +254,12 @@ def effective_mode(queries: DataFrame) -> DataFrame:
     return queries.withColumn("effective", mode)
 
 
-def count_mentions(graph: DataFrame, triples: DataFrame) -> DataFrame:
-    """graph(src, relation, dst, mentions) after triples(src, relation, dst) are added, one mention each."""
-    new = triples.groupBy("src", "relation", "dst").agg(F.count("*").alias("mentions"))
-    return graph.select("src", "relation", "dst", "mentions").unionByName(new).groupBy("src", "relation", "dst").agg(F.sum("mentions").alias("mentions"))
+def count_mentions(graph: DataFrame, triples: DataFrame, rows: int | None = None) -> DataFrame:
+    """graph(src, relation, dst, mentions) after triples(src, relation, dst) are added, one mention each. rows: of
+    both at most, where that is known."""
+    key = ["src", "relation", "dst"]
+    both = graph.select(*key, "mentions").unionByName(triples.select(*key, F.lit(1).cast("long").alias("mentions")))
+    return spread(both, *key, rows=rows).groupBy(*key).agg(F.sum("mentions").alias("mentions"))
 
 
 def dedup_rounds(rows: DataFrame, key: str, merge: Callable[[DataFrame], DataFrame], rounds: int = 10) -> tuple[DataFrame, int]:
