@@ -47,8 +47,15 @@ def _picked(values: np.ndarray, begins: np.ndarray, at: np.ndarray) -> tuple[np.
     return values[np.repeat(begins[at], size) + place], size
 
 
-def _by_block(each: Callable, names: list[str]):
-    """Rows sorted by block, its lists (kind 0) before its starts (kind 1): each(lists, batch of starts) gives batches."""
+def _coded_lists(t: pa.Table):
+    """(codes, values of their lists, where each begins, names) of lists of codes."""
+    t = t.combine_chunks().sort_by("code").combine_chunks()
+    begins = np.concatenate([[0], np.cumsum(pc.list_value_length(t["list"]).to_numpy())]).astype(np.int64)
+    return t["code"].to_numpy(), pc.list_flatten(t["list"]).to_numpy(), begins, t["name"]
+
+
+def _by_block(each: Callable, names: list[str], held: Callable = _coded_lists):
+    """Rows sorted by block, its lists (kind 0) before its starts (kind 1): each(lists as ``held`` gives them, batch of starts) gives batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, parts, lists = None, [], None
@@ -63,9 +70,7 @@ def _by_block(each: Callable, names: list[str]):
                     parts.append(part)
                     continue
                 if lists is None:
-                    t = pa.Table.from_batches(parts, batch.schema).combine_chunks().sort_by("code").combine_chunks()
-                    begins = np.concatenate([[0], np.cumsum(pc.list_value_length(t["list"]).to_numpy())]).astype(np.int64)
-                    lists, parts = (t["code"].to_numpy(), pc.list_flatten(t["list"]).to_numpy(), begins, t["name"]), []
+                    lists, parts = held(pa.Table.from_batches(parts, batch.schema)), []
                 for out in each(lists, part):
                     yield pa.RecordBatch.from_arrays(out, names)
 
@@ -173,6 +178,111 @@ def subgraph(starts: DataFrame, edges: DataFrame, depth: int = 3, most: int = 10
     return found.unionByName(lone), kept
 
 
+LISTS = 1 << 18  # of a block that ``hops`` holds at once, at most
+
+
+def _named_lists(t: pa.Table):
+    """(values of the lists as places in names, where each begins, the list of each name or -1, names) of lists of names."""
+    t = t.combine_chunks()
+    begins = np.concatenate([[0], np.cumsum(pc.list_value_length(t["list"]).to_numpy())]).astype(np.int64)
+    coded = pa.chunked_array([*t["name"].chunks, *pc.list_flatten(t["list"]).chunks], t.schema.field("name").type).combine_chunks().dictionary_encode()
+    codes = coded.indices.to_numpy()
+    at = np.full(len(coded.dictionary), -1)
+    at[codes[: t.num_rows]] = np.arange(t.num_rows)
+    return codes[t.num_rows :], begins, at, coded.dictionary
+
+
+def _met(rounds: int):
+    """query_id, node, round of what is met from round 1 on: of the lists of the nodes of the round before, what the query has not seen."""
+
+    def each(lists, part: pa.RecordBatch):
+        values, begins, at, names = lists
+        seen, last = np.zeros(len(at), bool), np.zeros(len(at), np.int64)
+        first = part.column("list")
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(first).to_numpy())])
+        start = pc.fill_null(pc.index_in(first.flatten(), value_set=names), -1).to_numpy()
+        found, sizes, held = [], [], 0
+
+        def out():
+            of = np.repeat([i for i, _, _ in sizes], [n for _, _, n in sizes])
+            turns = np.repeat(np.array([r for _, r, _ in sizes], np.int32), [n for _, _, n in sizes])
+            return [part.column("query_id").take(pa.array(of)), names.take(pa.array(np.concatenate(found))), pa.array(turns)]
+
+        for i in range(part.num_rows):
+            front = start[ends[i] : ends[i + 1]]
+            front = front[front >= 0]
+            seen[front] = True
+            mine = [front]
+            for r in range(1, rounds + 1):
+                to = at[front]
+                near, _ = _picked(values, begins, to[to >= 0])
+                near = near[~seen[near]]
+                last[near] = np.arange(len(near))
+                front = near[last[near] == np.arange(len(near))]  # once each
+                seen[front] = True
+                mine.append(front)
+                if len(front):
+                    found.append(front)
+                    sizes.append((i, r, len(front)))
+                    held += len(front)
+            for f in mine:
+                seen[f] = False
+            if held >= 1 << 17:
+                yield out()
+                found, sizes, held = [], [], 0
+        if held:
+            yield out()
+
+    return each
+
+
+def _hubs(nodes: DataFrame, lists: DataFrame) -> DataFrame:
+    """node, hub of nodes(node) with a list: the node of the smallest hash within two steps."""
+    near = nodes.join(lists.select("node", "list"), "node").select(F.col("node").alias("of"), F.explode(F.concat("list", F.array("node"))).alias("node"))
+    return near.join(lists.select("node", "best"), "node").groupBy(F.col("of").alias("node")).agg(F.min("best")["n"].alias("hub"))
+
+
+def hops(seeds: DataFrame, near: DataFrame, rounds: int, most: int) -> DataFrame:
+    """query_id, node, round of what near(node, other), ``most`` rows a node at most, leads to from distinct seeds(query_id, node), each
+    node in the first round that meets it; the seeds are round 0.
+
+    Queries are sorted by hubs near their seeds, so that those that meet the same nodes are neighbours, and cut into blocks.
+    Block by block, not query by query, the nodes up to the last round but one are found and each list is sent to a block
+    once; a task with a block's lists goes through them for each query, so pairs of queries and nodes are not shuffled.
+    A block holds LISTS lists at most.
+    """
+    spark = seeds.sparkSession
+    node_kind, query_kind = (seeds.schema[c].dataType.simpleString() for c in ("node", "query_id"))
+    each = F.struct(F.xxhash64("other").alias("h"), F.col("other").alias("n"))
+    own = F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("n"))
+    lists = settle(near.groupBy("node").agg(F.collect_set("other").alias("list"), F.min(each).alias("best")).withColumn("best", F.least("best", own)), "lists")
+
+    hub = settle(_hubs(seeds.select("node").distinct(), lists), "hubs")
+    order = [hub.select("node", F.col("hub").alias("hub0"))]
+    for i in (1, 2):  # the hubs of hubs bring queries together that share none
+        hub = settle(_hubs(hub.select(F.col("hub").alias("node")).distinct(), lists), "hubs")
+        order.append(hub.select(F.col("node").alias(f"hub{i - 1}"), F.col("hub").alias(f"hub{i}")))
+    placed = seeds.where("node is not null").join(order[0], "node", "left").join(order[1], "hub0", "left").join(order[2], "hub1", "left")
+    by_query = placed.groupBy("query_id").agg(F.min(F.struct("hub2", "hub1", "hub0")).alias("hubs"), F.collect_list("node").alias("list"))
+    by_query = settle(by_query.orderBy("hubs", "query_id").withColumn("at", F.monotonically_increasing_id()), "queries")
+    widest, n = by_query.agg(F.max(F.size("list")), F.count("*")).first()
+    fit = max(1, LISTS // (max(1, widest or 1) * sum(most**i for i in range(rounds))))
+    per = max(1, min(fit, STARTS, max(32, n // partitions(spark))))
+    queries = by_query.select(F.expr(f"at div {per}").alias("block"), "query_id", "list")
+
+    asked = settle(queries.select("block", F.explode("list").alias("node")).distinct(), "asked")
+    level = asked
+    for _ in range(1, rounds):
+        level = level.join(lists.select("node", "list"), "node").select("block", F.explode("list").alias("node")).distinct()
+        level = settle(level.join(asked, ["block", "node"], "left_anti"), "asked")
+        asked = asked.unionByName(level)
+    held = asked.join(lists, "node").select("block", F.lit(0).alias("kind"), F.lit(None).cast(query_kind).alias("query_id"), F.col("node").alias("name"), "list")
+    rows = queries.select("block", F.lit(1).alias("kind"), "query_id", F.lit(None).cast(node_kind).alias("name"), "list")
+    sorted_ = held.unionByName(rows).repartition(partitions(spark), "block").sortWithinPartitions("block", "kind")
+    met = sorted_.mapInArrow(_by_block(_met(rounds), ["query_id", "node", "round"], _named_lists), f"query_id {query_kind}, node {node_kind}, round int")
+    return seeds.select("query_id", "node", F.lit(0).alias("round")).unionByName(met)
+
+
 def apply_edits(nodes: DataFrame, edges: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) after edits(op, key, name, description): create, edit, rename (edges follow) and delete (with
     the edges at it). Nodes have (name, description)."""

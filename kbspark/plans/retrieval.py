@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kbspark.functions import text
 from kbspark.jobs import settle
-from kbspark.operators import aggregates, joins, keyword, ranking, tables, vectors
+from kbspark.operators import aggregates, graph, joins, keyword, ranking, tables, vectors
 
 
 CANDIDATES = 1000  # nearest chunks that are scored
@@ -48,9 +48,22 @@ def multi_variation(variations: DataFrame, chunks: DataFrame, k: int) -> DataFra
 
 def multi_hop(seeds: DataFrame, edges: DataFrame, rounds: int = 3, most: int = 20) -> DataFrame:
     """Q4: query_id, node, round: what edges lead to from seeds(query_id, node) in at most ``rounds`` rounds, up to ``most``
-    edges a node and round; nodes that were seen are not gone through again. The adjacency is cut to ``most`` once."""
-    near = settle(joins.capped_adjacency(edges.select("edge_id", "src", "dst"), most).select(F.col("node").alias("from"), F.explode(F.array("src", "dst")).alias("node")).where("from <> node").distinct(), "adjacency")
-    seen = seeds.select("query_id", "node", F.lit(0).alias("round")).distinct()
+    edges a node and round; nodes that were seen are not gone through again. The adjacency is cut to ``most`` once.
+    Queries go by blocks (``graph.hops``); those whose lists a task could not hold go by pairs of queries and nodes."""
+    near = joins.capped_adjacency(edges.select("edge_id", "src", "dst"), most).select("node", F.when(F.col("src") == F.col("node"), F.col("dst")).otherwise(F.col("src")).alias("other")).where("node <> other")
+    seeds = settle(seeds.select("query_id", "node").distinct(), "seeds")
+    lists = sum(most**n for n in range(rounds))  # of a seed, at most
+    wide = seeds.groupBy("query_id").count().where(F.col("count") * lists > graph.LISTS).select("query_id")
+    wide = settle(wide, "wide-queries")
+    if wide.isEmpty():
+        return graph.hops(seeds, near, rounds, most)
+    near, same = settle(near, "adjacency"), seeds["query_id"].eqNullSafe(wide["query_id"])
+    few = graph.hops(settle(seeds.join(wide, same, "left_anti"), "seeds"), near, rounds, most)
+    return few.unionByName(_hops_by_pairs(seeds.join(wide, same, "left_semi"), near.withColumnsRenamed({"node": "from", "other": "node"}), rounds))
+
+
+def _hops_by_pairs(seeds: DataFrame, near: DataFrame, rounds: int) -> DataFrame:
+    seen = seeds.withColumn("round", F.lit(0))
     front = seen
     for n in range(1, rounds + 1):
         ends = front.select("query_id", F.col("node").alias("from")).join(near, "from").select("query_id", "node").distinct()

@@ -83,3 +83,41 @@ def test_subgraph_shuffles_lists_not_pairs(spark):
     used = shuffled(spark) - before
     assert n == 200 * 1000 and m > 2_000_000
     assert used < m, used
+
+
+def test_hops_against_search_of_each_query(spark, monkeypatch):
+    """By blocks, with several seeds, unknown and missing ones; and, where a query's lists are too many for a task, by pairs."""
+    r = random.Random(5)
+    edges = [(k, f"n{int(r.random() ** 2 * 150)}", f"n{r.randrange(150)}") for k in range(500)] + [(900 + k, "n0", f"leaf{k}") for k in range(40)]
+    edges += [(2000, "loop", "loop"), (2001, None, "n3"), (2002, "n3", None)]
+    cut = {}
+    for k, a, b in sorted(edges):
+        for x, y in {(a, b), (b, a)} if None not in (a, b) else ():
+            cut.setdefault(x, []).append(y)
+    cut = {x: {y for y in ys[:4] if y != x} for x, ys in cut.items()}
+    seeds = [(q, f"n{q % 150}") for q in range(200)] + [(7, "n99"), (7, "n99"), (7, "leaf3"), (300, "alone"), (301, "loop"), (302, None)]
+    want = Counter()
+    for q in {q for q, _ in seeds}:
+        seen = {n for k, n in seeds if k == q}
+        front = set(seen)
+        want.update((q, n, 0) for n in front)
+        for d in (1, 2, 3):
+            front = {y for x in front for y in cut.get(x, ())} - seen
+            seen |= front
+            want.update((q, n, d) for n in front)
+    for most in (1 << 18, 30, 1):
+        monkeypatch.setattr(graph, "LISTS", most, raising=False)
+        out = multi_hop(spark.createDataFrame(seeds, "query_id long, node string"), spark.createDataFrame(edges, "edge_id long, src string, dst string"), 3, 4)
+        assert Counter(tuple(x) for x in out.select("query_id", "node", "round").collect()) == want and len(want) > 2000
+
+
+def test_hops_shuffle_lists_not_pairs(spark):
+    """Each of 4000 queries meets hundreds of nodes; less than two bytes a row of the result are shuffled."""
+    r = random.Random(9)
+    edges = [(k * 20 + i, f"p{k}", f"s{x}") for k in range(1000) for i, x in enumerate(r.sample(range(200), 20))]
+    seeds = spark.createDataFrame([(k, f"s{k % 200}") for k in range(4000)], "query_id long, node string")
+    before = shuffled(spark)
+    n = multi_hop(seeds, spark.createDataFrame(edges, "edge_id long, src string, dst string"), 3, 20).count()
+    used = shuffled(spark) - before
+    assert n > 1_000_000
+    assert used < 2 * n, (used, n)
