@@ -14,8 +14,10 @@ from kbspark.jobs import components, settle, spread_join
 
 QUERY_BLOCK = 4096  # queries that are shipped at once
 SLICE = 50_000  # rows of the corpus that a block of queries meets at once where there are more queries
-SCORES = 1 << 22  # of a matrix at once: 32 MB
+SCORES = 1 << 20  # of a matrix at once: 8 MB
+EXACT = 1 << 14  # pairs whose products are taken in double precision at once
 HELD = 1 << 20  # hits that a task keeps; more are handed on before their scope is through
+MERGED = 1 << 17  # hits beyond twice the last ones that are put together at once
 TILE = 512  # rows of a block that are compared with as many at once
 
 
@@ -53,7 +55,13 @@ def kept(group: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.nd
 
 def _matrix(column: pa.Array, n: int, cosine: bool) -> np.ndarray:
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 0))
-    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300) if cosine else x
+    if cosine:
+        x /= np.maximum(_lengths(x), 1e-300)[:, None]
+    return x
+
+
+def _lengths(x: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.concatenate([(x[s : s + 4096] ** 2).sum(1) for s in range(0, len(x), 4096)] or [np.zeros(0)]))
 
 
 def _above(q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, floor: float | None, digits: int, bound: np.ndarray):
@@ -64,7 +72,7 @@ def _above(q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, floor: float |
     rounding could be wrong, in double precision.
     """
     width = 10.0**-digits
-    error = (q.shape[1] + 8) * 2.0**-23 * np.sqrt((q * q).sum(1)) * np.sqrt((x * x).sum(1)).max() + 1e-30
+    error = (q.shape[1] + 8) * 2.0**-23 * _lengths(q) * _lengths(x).max() + 1e-30
     plain = ~(error < 1e12)  # beyond single precision, or not finite: all are taken in double precision
     error[plain] = 0
     if floor is not None:
@@ -82,8 +90,8 @@ def _above(q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, floor: float |
         hit = s >= (bound - error - width).astype(np.float32)[:, None] - np.float32(1e-30)
         hit[plain] = True
         i, j = np.divmod(np.flatnonzero(hit), to - at)
-        for n in range(0, len(i), 1 << 18):  # of a piece, some at once
-            r, c = i[n : n + (1 << 18)], j[n : n + (1 << 18)] + at
+        for n in range(0, len(i), EXACT):
+            r, c = i[n : n + EXACT], j[n : n + EXACT] + at
             exact = np.einsum("ij,ij->i", q[r], x[c])
             ok = exact > (floor if floor is not None else -np.inf)
             more.append((r[ok], ids[c[ok]], np.round(exact[ok], digits)))
@@ -118,8 +126,12 @@ def _best_of(names, q, q_scope, ids, x, scope, k: int, floor: float | None, digi
 
 def _joined(found: list, k: int):
     q, c, ids, s = (np.concatenate(x) for x in zip(*found, strict=True))
-    _, group = np.unique(np.stack([q, c]), axis=1, return_inverse=True)
-    keep = kept(group.ravel(), s, ids, k)
+    low = c.min() if len(c) else 0
+    if len(c) and c.max() != low:  # number the scopes
+        _, code = np.unique(c, return_inverse=True)
+        keep = kept(q.astype(np.int64) * (int(code.max()) + 1) + code, s, ids, k)
+    else:
+        keep = kept(q, s, ids, k)
     return [(q[keep], c[keep], ids[keep], s[keep])]
 
 
@@ -127,6 +139,7 @@ def _block_topk(shipped, k: int, cosine: bool, floor: float | None, digits: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, q, q_scope = shipped.value
         best: list = []
+        whole = 0  # hits when they were last put together
         bound = np.full(len(names), -np.inf)
 
         def out() -> pa.RecordBatch:
@@ -138,11 +151,12 @@ def _block_topk(shipped, k: int, cosine: bool, floor: float | None, digits: int,
                 part = batch.slice(at, 8192)
                 scope = part.column(2).to_numpy(zero_copy_only=False) if part.num_columns > 2 else None
                 best += _best_of(names, q, q_scope, part.column(0).to_numpy(zero_copy_only=False), _matrix(part.column(1), part.num_rows, cosine), scope, k, floor, digits, scoped, bound)
-                if len(best) > 16:
+                if sum(len(b[0]) for b in best) > 2 * whole + MERGED:
                     best = _joined(best, k)
-                    if len(best[0][0]) > HELD:  # with many scopes; the last shuffle ranks them anyway
+                    whole = len(best[0][0])
+                    if whole > HELD:  # with many scopes; the last shuffle ranks them anyway
                         yield out()
-                        best = []
+                        best, whole = [], 0
         if best:
             yield out()
 
