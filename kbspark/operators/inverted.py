@@ -28,7 +28,8 @@ QUERY_BLOCK = 4096  # queries that are shipped at once; more meet the lists by a
 PART_ROWS = 50_000  # of a list that a task takes at once
 SAMPLE = 200_000  # rows that centers are fitted on, at most
 ROUNDS = 8
-SCORES = 1 << 22  # of a matrix at once
+SCORES = 1 << 20  # of a matrix at once: 8 MB
+FOUND = 1 << 18  # candidates that come before those of too low scores are dropped
 EPS = 1e-6  # scores are rounded to six digits
 
 
@@ -214,7 +215,7 @@ class _Best:
             i, j = np.nonzero(mid + slack >= self.floor[which][:, None] - EPS)
             self.found.append((which[i], np.full(len(i), no, np.int32), ids[own][j], (mid - slack)[i, j], (mid + slack)[i, j]))
             self.held += len(i)
-            if self.held > 1 << 20:
+            if self.held > FOUND:
                 self.settle()
 
     def settle(self) -> tuple:
