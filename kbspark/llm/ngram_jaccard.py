@@ -7,10 +7,15 @@ its smallest id stands. Each class therefore shows one hash a part of each of it
 the same hash are candidates:
 
 1. in each bucket of equal hashes every set is paired with the smallest id (a star, never all pairs);
-   parity bitmaps bound the overlap from above, and what passes is compared exactly by sorted arrays;
+   parity bitmaps bound the overlap from above, and what passes and met in enough buckets is compared exactly
+   by sorted arrays;
 2. buckets that still hold more than one component are compared bitmap by bitmap, in blocks of at most
    BLOCK sets over as many tasks as there are pairs of blocks. Only pairs of different components whose
-   bound passes are kept, and compared exactly.
+   bound passes are kept and, if they met in enough buckets, compared exactly.
+
+Enough: as sets that link have more than the spare parts in common, they meet in as many buckets of the tile of the smaller
+one, but for parts that one of them does not show. Bitmaps tell little about large sets, of which any two
+that share a passage would else be compared by their texts.
 
 Candidates are found by word hashes of one family and compared by those of another, so words that collide
 in the first do not link.
@@ -36,6 +41,7 @@ from kbspark.llm.stages import by_text, components, partitions, release, settle,
 BITS = 1024  # of a bitmap
 CHECK = 4  # family of word hashes that candidates are compared by; sets count as equal if two families agree
 BLOCK = 256  # sets of a block
+TILES = 256  # a key's last bits are its tile's, whose neighbours so differ
 PER_SALT = 128  # comparisons that one copy of a center's text serves
 
 
@@ -69,7 +75,25 @@ def _sets(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, width: in
     return values, owner, np.bincount(owner, minlength=rows.num_rows)
 
 
-def _signatures(width: int):
+def _in_tile(values: np.ndarray, owner: np.ndarray, n: np.ndarray, percent: int, back: int):
+    """Of the tile ``back`` bands below each set's own: (tile, spare parts, small parts of each set; values that have parts,
+    their parts; of each part its set, number, size, and whether it is small)."""
+    bands = _bands(percent)
+    tile = np.searchsorted(bands, n, "right") - back
+    ok = (n > 0) & (tile >= 0)
+    k, spare, least = _parts(bands[np.maximum(tile, 0)], percent)
+    k = np.where(ok, k, 0)
+    base = np.concatenate([[0], np.cumsum(k)])
+    use = ok[owner]
+    v, o = values[use], owner[use]
+    group = base[o] + ((v >> np.uint64(8)) % k[o].astype(np.uint64)).astype(np.int64)
+    size = np.bincount(group, minlength=base[-1])
+    who = np.repeat(np.arange(len(k)), k)
+    small = (size < least[who]) & (k > 1)[who]
+    return tile, spare, np.bincount(who[small], minlength=len(k)), v, group, who, np.arange(base[-1]) - base[who], size, small
+
+
+def _signatures(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in tx.slices(batch):
@@ -77,40 +101,26 @@ def _signatures(width: int):
                 others, whose, _ = _sets(rows, data, offsets, width, CHECK)
                 d = rows.num_rows
                 bits = np.bincount(owner * BITS + (values >> np.uint64(40)).astype(np.int64) % BITS, minlength=d * BITS).reshape(d, BITS) & 1
+                small = [pa.array(_in_tile(values, owner, n, percent, back)[2].astype(np.int32)) for back in (0, 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), tx.longs(n), tx.longs(tx.sums(values, owner, d)), tx.longs(tx.sums(others, whose, d)), tx.binaries(np.packbits(bits.astype(np.uint8), axis=1))],
-                    ["doc_id", "n_shingles", "f1", "f2", "bitmap"],
+                    [rows.column(0), tx.longs(n), tx.longs(tx.sums(values, owner, d)), tx.longs(tx.sums(others, whose, d)), tx.binaries(np.packbits(bits.astype(np.uint8), axis=1)), *small],
+                    ["doc_id", "n_shingles", "f1", "f2", "bitmap", "small0", "small1"],
                 )
 
     return run
 
 
 def _postings(width: int, percent: int):
-    bands = _bands(percent)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in tx.slices(batch):
                 values, owner, n = _sets(rows, data, offsets, width)
                 ids = rows.column(0).to_numpy(zero_copy_only=False)
-                own = np.searchsorted(bands, n, "right")
                 for back in (0, 1):
-                    tile = own - back
-                    ok = (n > 0) & (tile >= 0)
-                    upper = bands[np.maximum(tile, 0)]
-                    k, spare, least = _parts(upper, percent)
-                    k = np.where(ok, k, 0)
-                    base = np.concatenate([[0], np.cumsum(k)])
-                    use = ok[owner]
-                    v, o = values[use], owner[use]
-                    group = base[o] + ((v >> np.uint64(8)) % k[o].astype(np.uint64)).astype(np.int64)
-                    size = np.bincount(group, minlength=base[-1])
-                    who = np.repeat(np.arange(len(k)), k)
-                    small = (size < least[who]) & (k > 1)[who]
-                    many = np.bincount(who[small], minlength=len(k)) > spare
-                    shown = ~small | many[who]
-                    part = np.arange(base[-1]) - base[who]
-                    key = tx.mix(tx.sums(v, group, base[-1]) + tx.mix((tile[who] * (1 << 34) + part).astype(np.uint64)) + size.astype(np.uint64))
+                    tile, spare, few, v, group, who, part, size, small = _in_tile(values, owner, n, percent, back)
+                    shown = ~small | (few > spare)[who]
+                    key = tx.mix(tx.sums(v, group, len(size)) + tx.mix((tile[who] * (1 << 34) + part).astype(np.uint64)) + size.astype(np.uint64))
+                    key = (key & ~np.uint64(TILES - 1)) | (tile[who] % TILES).astype(np.uint64)
                     yield pa.RecordBatch.from_arrays([tx.longs(key[shown]), tx.longs(ids[who[shown]])], ["key", "doc"])
 
     return run
@@ -140,21 +150,37 @@ def _close(n1, n2, xor_bits, percent: int):
     return (n1 + n2 - xor_bits) * (100 + percent) >= 2 * percent * (n1 + n2)
 
 
+def _enough(small1: list[np.ndarray], small2: list[np.ndarray], own1, own2, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the tile, modulo TILES, in whose buckets sets of these own bands meet if they link; in how many of them at least).
+    small1, small2: small parts in the own tile of each, and in the one below."""
+    tile = np.minimum(own1, own2)
+    _, spare, _ = _parts(_bands(percent)[tile], percent)
+    both = np.minimum(np.where(own1 == tile, *small1), np.where(own2 == tile, *small2))  # that may be equal and not shown
+    return tile % TILES, spare + 1 - np.where(both > spare, 0, both)
+
+
 def _blocks(percent: int):
-    """Of rows sorted by bucket and pair of blocks, pairs of different components whose bitmaps allow a link."""
+    """Of rows sorted by bucket and pair of blocks, pairs of different components whose bitmaps allow a link, with the number
+    of buckets in which they meet if they do."""
+    bands = _bands(percent)
 
     def compare(group: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(group)
-        doc, comp, n, side = (t[c].to_numpy() for c in ("doc", "component", "n", "side"))
+        doc, comp, n, side, *small = (t[c].to_numpy() for c in ("doc", "component", "n", "side", "small0", "small1"))
+        own, here = np.searchsorted(bands, n, "right"), t["key"][0].as_py() % TILES
         bits = np.frombuffer(b"".join(t["bitmap"].to_pylist()), np.uint64).reshape(len(doc), BITS // 64)
         left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
         a, b = [], []
         for i in left:
             x = np.bitwise_count(bits[right] ^ bits[i]).sum(1, dtype=np.int64)
             ok = right[(comp[right] != comp[i]) & _close(n[right], n[i], x, percent) & ((doc[right] > doc[i]) | (side[i] == 1))]
-            a.append(np.full(len(ok), doc[i]))
-            b.append(doc[ok])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (a, b)], ["a", "b"])
+            a.append(np.full(len(ok), i))
+            b.append(ok)
+        a, b = (np.concatenate(x).astype(np.int64) for x in (a, b))
+        tile, need = _enough([x[a] for x in small], [x[b] for x in small], own[a], own[b], percent)
+        ok = tile == here
+        a, b = doc[a[ok]], doc[b[ok]]
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (np.minimum(a, b), np.maximum(a, b), need[ok])], ["a", "b", "need"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, last = [], None
@@ -225,16 +251,16 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     doc_ids get a null component; other columns are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sig = settle(texts.mapInArrow(tx.tidy(_signatures(width)), "doc_id long, n_shingles long, f1 long, f2 long, bitmap binary"), "jaccard-sets")
+    sig = settle(texts.mapInArrow(tx.tidy(_signatures(width, percent)), "doc_id long, n_shingles long, f1 long, f2 long, bitmap binary, small0 int, small1 int"), "jaccard-sets")
     known = sig.where("doc_id is not null")
     varied = settle(known.groupBy("doc_id").agg(F.countDistinct("f1", "f2", "n_shingles").alias("n")).where("n > 1").select("doc_id"), "jaccard-varied")
     if not varied.isEmpty():
         longest = settle(texts.join(sized(varied), "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct(F.length("text"), "text"))["text"].alias("text")), "jaccard-longest")
         texts = texts.join(sized(varied), "doc_id", "left_anti").unionByName(longest)
-        known = known.join(sized(varied), "doc_id", "left_anti").unionByName(longest.mapInArrow(tx.tidy(_signatures(width)), sig.schema))
+        known = known.join(sized(varied), "doc_id", "left_anti").unionByName(longest.mapInArrow(tx.tidy(_signatures(width, percent)), sig.schema))
     known = known.where("n_shingles > 0")
     classes = known.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    equal = spread_join(known.drop("bitmap"), classes.where("n > 1"), ["f1", "f2", "n_shingles"], "doc_id").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
+    equal = spread_join(known.select("doc_id", "n_shingles", "f1", "f2"), classes.where("n > 1"), ["f1", "f2", "n_shingles"], "doc_id").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
     equal = settle(equal, "jaccard-equal")
 
     p = partitions(docs.sparkSession)
@@ -243,12 +269,14 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     stars = posted.repartition(p, "key").sortWithinPartitions("key", "doc").mapInArrow(tx.tidy(_stars), "key long, center long, doc long")
     stars = settle(stars, "jaccard-buckets")
 
-    sets = known.groupBy("doc_id").agg(F.max("n_shingles").alias("n"), F.max("bitmap").alias("bitmap"))
-    pairs = stars.select(F.col("center").alias("a"), F.col("doc").alias("b")).distinct()
-    near = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n1"), F.col("bitmap").alias("m1")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.col("bitmap").alias("m2")), "b")
-    near = near.mapInArrow(tx.tidy(_bounded(percent)), "a long, b long")
+    told_of = ("n_shingles", "bitmap", "small0", "small1")
+    sets = known.groupBy("doc_id").agg(*(F.max(c).alias(c) for c in told_of)).withColumnRenamed("n_shingles", "n")
+    of = lambda end, i: sets.select(F.col("doc_id").alias(end), *(F.col(c).alias(f"{c}_{i}") for c in sets.columns[1:]))
+    pairs = stars.groupBy(F.col("center").alias("a"), F.col("doc").alias("b"), F.pmod("key", F.lit(TILES)).cast("int").alias("tile")).agg(F.count("*").alias("met"))
+    near = pairs.join(of("a", 1), "a").join(of("b", 2), "b").mapInArrow(tx.tidy(_bounded(percent)), "a long, b long, met long, need long")
     near = settle(near, "jaccard-pairs")
-    links = settle(equal.union(_checked(near, texts, width, percent)), "jaccard-links")
+    early = near.where("met >= need").select("a", "b")
+    links = settle(equal.union(_checked(early, texts, width, percent)), "jaccard-links")
     first = settle(components(links), "jaccard-first")
 
     # buckets of three and more documents that still hold more than one component
@@ -259,10 +287,12 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     open_ = members.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("size > 2 and lo < hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     rows = members.join(open_, "key").join(sets.withColumnRenamed("doc_id", "doc"), "doc").withColumn("own", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
     spread = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), "doc", "component", "n", "bitmap"
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), "doc", "component", *sets.columns[1:]
     )
-    more = spread.repartition(p, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(tx.tidy(_blocks(percent)), "a long, b long")
-    more = settle(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-more")
+    more = spread.repartition(p, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(tx.tidy(_blocks(percent)), "a long, b long, need long")
+    # what met at centers counts twice where the bucket is still open; a bucket of two is no open one
+    met = more.withColumn("met", F.lit(1).cast("long")).unionByName(near.where("met < need")).groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("need").alias("need"))
+    more = settle(met.where("met >= need").select("a", "b").join(early, ["a", "b"], "left_anti"), "jaccard-more")
     release(near, stars, members)
     final = named.withColumnRenamed("doc", "doc_id")
     if not more.isEmpty():
@@ -273,16 +303,20 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def _bounded(percent: int):
-    """Pairs whose bitmaps allow the similarity."""
+    """Pairs whose bitmaps allow the similarity, in the tile where they meet if they link; need: how often at least."""
+    bands = _bands(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t = {c: batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "n1", "n2", "m1", "m2")}
             if not batch.num_rows:
                 continue
-            m1, m2 = (np.frombuffer(b"".join(t[c].to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("m1", "m2"))
-            ok = pa.array(_close(t["n1"].to_numpy(), t["n2"].to_numpy(), np.bitwise_count(m1 ^ m2).sum(1, dtype=np.int64), percent))
-            yield pa.RecordBatch.from_arrays([t["a"].filter(ok), t["b"].filter(ok)], ["a", "b"])
+            t = {c: batch.column(c) for c in batch.schema.names}
+            n1, n2 = (t[c].to_numpy() for c in ("n_1", "n_2"))
+            m1, m2 = (np.frombuffer(b"".join(t[c].to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("bitmap_1", "bitmap_2"))
+            small1, small2 = ([t[f"small{back}_{i}"].to_numpy() for back in (0, 1)] for i in (1, 2))
+            tile, need = _enough(small1, small2, np.searchsorted(bands, n1, "right"), np.searchsorted(bands, n2, "right"), percent)
+            ok = pa.array((t["tile"].to_numpy() == tile) & _close(n1, n2, np.bitwise_count(m1 ^ m2).sum(1, dtype=np.int64), percent))
+            yield pa.RecordBatch.from_arrays([*(t[c].filter(ok) for c in ("a", "b", "met")), pa.array(need.astype(np.int64)).filter(ok)], ["a", "b", "met", "need"])
 
     return run
 

@@ -90,3 +90,14 @@ def test_every_pair_at_the_threshold_meets(spark):
             texts += [" ".join(f"{w}{j}" for w in words), " ".join(f"{w}{j}" for w in other)]
             want |= {first: first, first + 1: first if j == 0 else first + 1}
     assert {i: r["component_id"] for i, r in rows(jaccard_classes(frame(spark, texts), 4, 85)).items()} == want
+
+
+def test_texts_that_share_a_passage_are_not_compared(spark, monkeypatch):
+    """Large sets, whose bitmaps say nothing, are compared by their texts only if they meet in as many buckets as a link needs."""
+    passage = prose(7, 400)
+    texts = [f"{passage} {prose(600 + i, 2600 + 10 * i)}" for i in range(40)] + [edited(f"{passage} {prose(639, 2990)}", 30, 1)]
+    asked, checked = [], ngram_jaccard._checked
+    monkeypatch.setattr(ngram_jaccard, "_checked", lambda pairs, *more: asked.append(pairs.count()) or checked(pairs, *more))
+    found = rows(jaccard_classes(frame(spark, texts), 5, 80))
+    assert {i: r["component_id"] for i, r in found.items()} == {i: min(i, 39) for i in range(41)}
+    assert sum(asked) == 1, asked
