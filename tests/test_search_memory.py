@@ -49,3 +49,27 @@ def test_candidates_of_a_list(monkeypatch):
     g, _, ids, low, _ = best.settle()
     assert np.bincount(g, minlength=4096).min() >= 10
     assert most < 200, most
+
+
+def test_vectors_are_not_sent_to_every_block(spark, monkeypatch):
+    """With many blocks of queries each row of the corpus is shuffled once, and the hits are those of one block."""
+    from pyspark.sql import functions as F
+
+    def moved():
+        store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+        none = spark._jvm.java.util.ArrayList()
+        stages = store.stageList(none, False, False, gateway.new_array(spark._jvm.double, 0), none)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    r = np.random.default_rng(6)
+    t = spark.createDataFrame([(i, i % 3, [float(v) for v in r.integers(0, 4, 6)]) for i in range(2000)], "id long, g int, embedding array<float>")
+    q = t.select(F.col("id").alias("query_id"), "g", "embedding")
+    for more in ({}, {"scope": "g"}, {"per": "g"}, {"floor": 0.9}):
+        find = lambda: sorted(tuple(x) for x in vectors.topk(q, t, 5, cosine=True, **more).collect())  # noqa: E731, B023
+        want = find()
+        with monkeypatch.context() as m:
+            m.setattr(vectors, "QUERY_BLOCK", 64)
+            m.setattr(vectors, "SLICE", 200)
+            before = moved()
+            assert find() == want and len(want) > 5000
+            assert moved() - before < 2000 * (4 + (15 if "per" in more else 5)) + 500
