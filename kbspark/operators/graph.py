@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kbspark.jobs import components, partitions, settle, sized, spread
+from kbspark.jobs import components, partitions, release, settle, sized, spread
 from kbspark.operators import aggregates, joins, ranking, vectors
 
 
@@ -94,33 +94,37 @@ def _grown(most: int):
     return each
 
 
+def _between(lists, starts: pa.Array, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each start: (places of its nodes, ends of the edges between them)."""
+    codes, values, begins, _ = lists
+    inside = np.zeros(len(codes), bool)
+    local = np.minimum(np.searchsorted(codes, values), len(codes) - 1)
+    local[codes[local] != values] = -1
+    for s in starts:
+        at = np.searchsorted(codes, s.values.to_numpy()[:most])
+        inside[at] = True
+        a, size = _picked(local, begins, at)
+        keep = (a >= 0) & inside[a]
+        inside[at] = False
+        yield at, a[keep], np.repeat(at, size)[keep]
+
+
 def _named_nodes(most: int):
     def each(lists, part: pa.RecordBatch):
-        codes, _, _, names = lists
-        for start, s, e in zip(part.column("name"), part.column("list"), part.column("ends"), strict=True):
-            s, e = s.values.to_numpy(), np.array(e.as_py())
-            n = min(len(s), most)
-            yield [pa.array([start.as_py()] * n, part.schema.field("name").type), names.take(pa.array(np.searchsorted(codes, s[:n]))).combine_chunks(), pa.array(np.searchsorted(e, np.arange(n), side="right").astype(np.int32)), pa.array(np.full(n, len(s) > most))]
+        names = lists[3]
+        for start, s, e, (at, a, _) in zip(part.column("name"), part.column("list"), part.column("ends"), _between(lists, part.column("list"), most), strict=True):
+            n, e = len(at), np.array(e.as_py())
+            yield [pa.array([start.as_py()] * n, part.schema.field("name").type), names.take(pa.array(at)).combine_chunks(), pa.array(np.searchsorted(e, np.arange(n), side="right").astype(np.int32)), pa.array(np.full(n, len(s) > most)), pa.array(np.full(n, len(a), np.int64))]
 
     return each
 
 
 def _named_edges(most: int):
     def each(lists, part: pa.RecordBatch):
-        codes, values, begins, names = lists
-        rank = np.empty(len(codes), np.int64)
-        rank[pc.sort_indices(names).to_numpy()] = np.arange(len(codes))
-        inside = np.zeros(len(codes), bool)
-        local = np.minimum(np.searchsorted(codes, values), len(codes) - 1)
-        local[codes[local] != values] = -1
-        for start, s in zip(part.column("name"), part.column("list"), strict=True):
-            at = np.searchsorted(codes, s.values.to_numpy()[:most])
-            inside[at] = True
-            a, size = _picked(local, begins, at)
-            b = np.repeat(at, size)
-            keep = (a >= 0) & inside[a]
-            a, b = a[keep], b[keep]
-            inside[at] = False
+        names = lists[3]
+        rank = np.empty(len(names), np.int64)
+        rank[pc.sort_indices(names).to_numpy()] = np.arange(len(names))
+        for start, (_, a, b) in zip(part.column("name"), _between(lists, part.column("list"), most), strict=True):
             turn = rank[a] > rank[b]
             yield [pa.array([start.as_py()] * len(a), part.schema.field("name").type), *(names.take(pa.array(np.where(turn, x, y))).combine_chunks() for x, y in ((b, a), (a, b)))]
 
@@ -128,8 +132,9 @@ def _named_edges(most: int):
 
 
 def subgraph(starts: DataFrame, edges: DataFrame, depth: int = 3, most: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """(nodes(start, node, depth, truncated), their edges) around each of starts(start): breadth first, within a level
-    those of higher degree first, at most ``most`` nodes a start, edges once a pair.
+    """(nodes(start, node, depth, truncated, edges), their edges) around each of starts(start): breadth first, within a level
+    those of higher degree first, at most ``most`` nodes a start, edges once a pair. edges: how many of them
+    the start has, so that to count them they need not be listed.
 
     Nodes are numbered by falling degree, so the smallest codes come first. Of a node's neighbours only the first 2 most + 1
     matter to a search: at most ``most`` of them are seen before, the others fill up. Starts whose best node within three
@@ -143,9 +148,11 @@ def subgraph(starts: DataFrame, edges: DataFrame, depth: int = 3, most: int = 10
     nodes = settle(joins.degrees(named).orderBy(F.desc("degree"), "node").select("node", F.monotonically_increasing_id().alias("code")), "graph-nodes")
     coded = named.join(sized(nodes.select(F.col("node").alias("src"), F.col("code").alias("a"))), "src").join(sized(nodes.select(F.col("node").alias("dst"), F.col("code").alias("b"))), "dst")
     pairs = settle(coded.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "coded-pairs")
+    release(named)
     first = pairs.union(pairs.select("b", "a")).withColumn("_n", F.row_number().over(W.partitionBy("a").orderBy("b"))).where(F.col("_n") <= 2 * most + 1)
     near = settle(first.groupBy(F.col("a").alias("code")).agg(F.sort_array(F.collect_list("b")).alias("list")), "neighbours")
     ends = settle(nodes.join(pairs.groupBy(F.col("b").alias("code")).agg(F.sort_array(F.collect_list("a")).alias("list")), "code", "left").select("code", F.col("node").alias("name"), F.coalesce("list", F.array().cast("array<long>")).alias("list")), "edge-lists")
+    release(pairs)
 
     own = settle(starts.select("start").distinct().join(sized(nodes.withColumnRenamed("node", "start")), "start", "left"), "starts")
     best = near.select("code", F.least("code", F.element_at("list", 1)).alias("best"))
@@ -155,6 +162,7 @@ def subgraph(starts: DataFrame, edges: DataFrame, depth: int = 3, most: int = 10
     block = F.xxhash64("hub", F.pmod(F.xxhash64("code"), "n")).bitwiseAND((1 << 62) - 1).alias("block")
     front = own.join(hubs.join(parts, "hub"), "code").select(block, "code", F.col("start").alias("name"), F.array("code").alias("list"), F.array(F.lit(1)).alias("ends"))
     front = settle(front, "front")
+    release(nodes, hubs)
 
     def together(asked: DataFrame, lists: DataFrame, rows: DataFrame) -> DataFrame:
         """The lists of each block's asked(block, code), then its rows."""
@@ -165,15 +173,17 @@ def subgraph(starts: DataFrame, edges: DataFrame, depth: int = 3, most: int = 10
     unnamed = near.withColumn("name", F.lit(None).cast(kind))
     for _ in range(depth):
         # a start goes on while its last level has nodes and it is not full
-        last = F.when(F.size("ends") > 1, F.element_at("ends", -2)).otherwise(0)
-        going = (F.size("list") <= most) & (F.element_at("ends", -1) > last)
-        asked = front.where(going).select("block", F.explode(F.slice("list", last + 1, F.size("list"))).alias("code"))
+        before = F.when(F.size("ends") > 1, F.element_at("ends", -2)).otherwise(0)
+        going = (F.size("list") <= most) & (F.element_at("ends", -1) > before)
+        asked = front.where(going).select("block", F.explode(F.slice("list", before + 1, F.size("list"))).alias("code"))
         grown = together(asked, unnamed, front.where(going)).mapInArrow(_by_block(_grown(most), ["block", "code", "name", "list", "ends"]), front.schema)
-        front = settle(grown.unionByName(front.where(~going)), "front")
+        last, front = front, settle(grown.unionByName(front.where(~going)), "front")
+        release(last)
+    release(near)
     asked = front.select("block", F.explode(F.slice("list", 1, most)).alias("code"))
     sorted_ = together(asked, ends, front)
-    lone = own.where("code is null").select("start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.lit(False).alias("truncated"))
-    found = sorted_.mapInArrow(_by_block(_named_nodes(most), ["start", "node", "depth", "truncated"]), f"start {kind}, node {kind}, depth int, truncated boolean")
+    lone = own.where("code is null").select("start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.lit(False).alias("truncated"), F.lit(0).cast("long").alias("edges"))
+    found = sorted_.mapInArrow(_by_block(_named_nodes(most), ["start", "node", "depth", "truncated", "edges"]), f"start {kind}, node {kind}, depth int, truncated boolean, edges long")
     kept = sorted_.mapInArrow(_by_block(_named_edges(most), ["start", "src", "dst"]), f"start {kind}, src {kind}, dst {kind}")
     return found.unionByName(lone), kept
 

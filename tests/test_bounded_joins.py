@@ -3,6 +3,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from kbspark import jobs
 from kbspark.operators import graph, joins
 from kbspark.plans.retrieval import multi_hop
 
@@ -121,3 +122,16 @@ def test_hops_shuffle_lists_not_pairs(spark):
     used = shuffled(spark) - before
     assert n > 1_000_000
     assert used < 2 * n, (used, n)
+
+
+def test_subgraphs_leave_no_inner_tables_and_know_their_edges(spark, tmp_path, monkeypatch):
+    """Of the settled tables only those stay that the result reads, and the number of edges comes with the nodes."""
+    r = random.Random(8)
+    pairs = [(f"p{k}", f"s{x}") for k in range(300) for x in r.sample(range(60), 4)]
+    starts = spark.createDataFrame([(f"s{k}",) for k in range(50)] + [("alone",)], "start string")
+    monkeypatch.setattr(jobs, "shared_dir", lambda _: f"file://{tmp_path}")
+    nodes, kept = graph.subgraph(starts, spark.createDataFrame(pairs, "src string, dst string"), 3, 40)
+    assert sorted(x.name.rsplit("-", 1)[0] for x in tmp_path.iterdir()) == ["edge-lists", "front", "starts"]
+    want = {x["start"]: x["n"] for x in kept.groupBy("start").agg(F.count("*").alias("n")).collect()}
+    found = {x["start"]: x["edges"] for x in nodes.select("start", "edges").distinct().collect()}
+    assert found == {f"s{k}": want.get(f"s{k}", 0) for k in range(50)} | {"alone": 0} and max(found.values()) > 40
